@@ -1,10 +1,12 @@
 """The queries of this folder, by name, and their SQL."""
 
-from millrace.llm import mixing, pii, sharding
+from millrace.llm import decontamination, mixing, pii, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii": pii.op6_pii,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {"op1_mixing": mixing.ORACLE, "op10_sharding": sharding.ORACLE}

@@ -70,9 +70,9 @@ def column_bytes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     return LOWER[data] if lower else data, offsets - offsets[0]
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
+def split_words(texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Words:
     data, offsets = column_bytes(texts, lower)
-    solid = np.concatenate([[False], ~SPACE[data], [False]])
+    solid = np.concatenate([[False], ~space[data], [False]])
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     start = np.flatnonzero(solid[1:] & (~solid[:-1] | cut))
