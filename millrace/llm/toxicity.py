@@ -4,7 +4,7 @@ The categories are predicted one after the other, in CHAIN's order. A category's
 features and the probabilities of the categories before it. For training, those probabilities come from models that
 haven't seen the document (FOLDS folds), so that a later model learns how far to trust an earlier one.
 
-Features: presence of the most telling hashed words (runs of letters, digits and non-ASCII bytes, lower case), picked by
+Features: log2(1 + count) of the most telling hashed words (runs of letters, digits and non-ASCII bytes, lower case), picked by
 chi-square on the training rows alone, and a few ratios of the text's form.
 The models are fitted in one task on SAMPLE labelled documents at most, those first by a hash of doc_id; all else covers all rows.
 """
@@ -27,7 +27,7 @@ from millrace.llm.common import table
 CHAIN = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
 #: The most labelled documents that a fit reads.
 SAMPLE = 10_000
-WORDS, FOLDS, RIDGE, STEPS, BITS = 192, 5, 1.0, 7, 20
+WORDS, FOLDS, RIDGE, STEPS, BITS = 192, 5, 0.3, 8, 20
 THRESHOLD = 0.5
 FORMS = ("log_words", "word_length", "upper", "marks", "distinct")
 
@@ -35,12 +35,12 @@ NOT_WORD = np.zeros(256, bool)
 NOT_WORD[:128] = [not chr(c).isalnum() for c in range(128)]
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, hashed word) pairs, each once, sorted; and the form ratios, a row per document."""
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hashed word, weight) of each document's words, each once, sorted; and the form ratios, a row per document."""
     w = tk.split_words(texts, lower=True, space=NOT_WORD)
     n = np.diff(w.first)
     bucket = (tk.word_hashes(w) >> tk.U(64 - BITS)).astype(np.int64)
-    pair = np.unique((w.doc() << BITS) | bucket)
+    pair, times = np.unique((w.doc() << BITS) | bucket, return_counts=True)
     doc, word = pair >> BITS, pair & ((1 << BITS) - 1)
     raw, offsets = tk.column_bytes(texts)
     count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
@@ -49,7 +49,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     some = np.maximum(n, 1)
     letters = np.diff(np.concatenate([[0], np.cumsum(w.end - w.start)])[w.first])
     forms = np.stack([np.log1p(n), letters / some, upper / size, marks / size, np.bincount(doc, minlength=len(n)) / some], 1)
-    return doc, word, forms
+    return doc, word, np.log2(1.0 + times), forms
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -59,7 +59,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class Linear:
     """A ridge logistic regression over picked words, forms and earlier probabilities."""
 
-    def __init__(self, doc: np.ndarray, word: np.ndarray, dense: np.ndarray, y: np.ndarray):
+    def __init__(self, doc: np.ndarray, word: np.ndarray, value: np.ndarray, dense: np.ndarray, y: np.ndarray):
         n, pos = len(y), max(1, int(y.sum()))
         inside = np.bincount(word[y[doc] > 0], minlength=1 << BITS)
         overall = np.bincount(word, minlength=1 << BITS)
@@ -69,7 +69,7 @@ class Linear:
         top = np.lexsort((np.arange(len(chi)), -chi))[:WORDS]
         self.words = np.sort(top[overall[top] > 1])
         self.mean, self.scale = dense.mean(0), np.maximum(dense.std(0), 1e-6)
-        x = self.matrix(doc, word, dense)
+        x = self.matrix(doc, word, value, dense)
         self.w = np.zeros(x.shape[1])
         penalty = np.full(x.shape[1], RIDGE)
         penalty[0] = 1e-6
@@ -78,48 +78,48 @@ class Linear:
             s = np.maximum(p * (1 - p), 1e-4)
             self.w += np.linalg.solve((x.T * s) @ x + np.diag(penalty), x.T @ (y - p) - penalty * self.w)
 
-    def matrix(self, doc: np.ndarray, word: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    def matrix(self, doc: np.ndarray, word: np.ndarray, value: np.ndarray, dense: np.ndarray) -> np.ndarray:
         k = len(self.words)
         x = np.zeros((len(dense), 1 + k + dense.shape[1]))
         x[:, 0] = 1
         at = np.minimum(np.searchsorted(self.words, word), max(0, k - 1))
         if k:
             hit = self.words[at] == word
-            x[doc[hit], 1 + at[hit]] = 1
+            x[doc[hit], 1 + at[hit]] = value[hit]
         x[:, 1 + k :] = (dense - self.mean) / self.scale
         return x
 
-    def probability(self, doc: np.ndarray, word: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    def probability(self, doc: np.ndarray, word: np.ndarray, value: np.ndarray, dense: np.ndarray) -> np.ndarray:
         """Without the matrix: a lookup and a sum per document."""
         k = len(self.words)
         z = self.w[0] + ((dense - self.mean) / self.scale) @ self.w[1 + k :]
         if k:
             at = np.minimum(np.searchsorted(self.words, word), k - 1)
             hit = self.words[at] == word
-            z = z + np.bincount(doc[hit], self.w[1 + at[hit]], len(dense))
+            z = z + np.bincount(doc[hit], self.w[1 + at[hit]] * value[hit], len(dense))
         return _sigmoid(z)
 
 
-def _subset(doc: np.ndarray, word: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _subset(doc: np.ndarray, word: np.ndarray, value: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     number = np.full(len(rows), -1)
     number[rows] = np.arange(rows.sum())
     keep = rows[doc]
-    return number[doc[keep]], word[keep]
+    return number[doc[keep]], word[keep], value[keep]
 
 
-def fit_chain(doc: np.ndarray, word: np.ndarray, forms: np.ndarray, labels: dict[str, np.ndarray], fold: np.ndarray) -> list[tuple[str, Linear]]:
+def fit_chain(doc: np.ndarray, word: np.ndarray, value: np.ndarray, forms: np.ndarray, labels: dict[str, np.ndarray], fold: np.ndarray) -> list[tuple[str, Linear]]:
     """One model per category that has both kinds of rows. labels: category -> 1, 0 or -1 (unknown)."""
     chain, dense = [], forms
     for name, y in labels.items():
         known = y >= 0
         if len(np.unique(y[known])) < 2:
             continue
-        fitted = lambda rows, x=dense, t=y: Linear(*_subset(doc, word, rows), x[rows], t[rows].astype(float))
+        fitted = lambda rows, x=dense, t=y: Linear(*_subset(doc, word, value, rows), x[rows], t[rows].astype(float))
         p = np.zeros(len(y))
         for k in range(FOLDS):
             held, rest = fold == k, known & (fold != k)
             if held.any() and len(np.unique(y[rest])) == 2:
-                p[held] = fitted(rest).probability(*_subset(doc, word, held), dense[held])
+                p[held] = fitted(rest).probability(*_subset(doc, word, value, held), dense[held])
         chain.append((name, fitted(known)))
         dense = np.column_stack([dense, p])
     return chain
@@ -141,10 +141,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tupl
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tk.slices(batch):
-                doc, word, forms = features(b.column("text"))
+                doc, word, value, forms = features(b.column("text"))
                 words = tk.lists(pa.array(word.astype(np.int32)), np.bincount(doc, minlength=b.num_rows))
+                values = tk.lists(pa.array(value), np.bincount(doc, minlength=b.num_rows))
                 shape = tk.lists(pa.array(forms.ravel()), np.full(b.num_rows, forms.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(n) for n in names], words, shape], ["doc_id", *names, "words", "forms"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(n) for n in names], words, values, shape], ["doc_id", *names, "words", "values", "forms"])
 
     def fit(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_numpy()
@@ -153,13 +154,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tupl
         lists = table.column("words").combine_chunks()
         n = np.diff(lists.offsets.to_numpy())
         doc, word = np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy().astype(np.int64)
+        value = table.column("values").combine_chunks().flatten().to_numpy()
         forms = table.column("forms").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
         fold = (tk.mix(ids.astype(np.int64).view(tk.U)) % tk.U(FOLDS)).astype(int)
-        chain = fit_chain(doc, word, forms, {k: table.column(f"y_{k}").to_numpy() for k in CHAIN}, fold)
+        chain = fit_chain(doc, word, value, forms, {k: table.column(f"y_{k}").to_numpy() for k in CHAIN}, fold)
         return pa.table({"name": [n for n, _ in chain], **{c: [getattr(m, c).tolist() for _, m in chain] for c in ("words", "w", "mean", "scale")}}, model)
 
     model = pa.schema([("name", pa.string()), ("words", pa.list_(pa.int64())), *((c, pa.list_(pa.float64())) for c in ("w", "mean", "scale"))])
-    got = rows.mapInArrow(extract, f"doc_id long, {', '.join(f'{n} int' for n in names)}, words array<int>, forms array<double>")
+    got = rows.mapInArrow(extract, f"doc_id long, {', '.join(f'{n} int' for n in names)}, words array<int>, values array<double>, forms array<double>")
     got = got.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "name string, words array<long>, w array<double>, mean array<double>, scale array<double>")
     fitted = {r["name"]: r for r in got.collect()}
     chain = []
@@ -176,10 +178,10 @@ def _score(chain: list[tuple[str, Linear]], kept: list[str]) -> Callable[[Iterat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tk.slices(batch):
-                doc, word, dense = features(b.column("text"))
+                doc, word, value, dense = features(b.column("text"))
                 p = dict.fromkeys(CHAIN, np.zeros(b.num_rows))
                 for name, model in chain:
-                    p[name] = model.probability(doc, word, dense)
+                    p[name] = model.probability(doc, word, value, dense)
                     dense = np.column_stack([dense, p[name]])
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *[pa.array(p[k]) for k in CHAIN]], [*kept, *[f"p_{k}" for k in CHAIN]])
 
