@@ -81,34 +81,34 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, block
 
     taken: the words that the mix takes from the row, each time round counted. first_slot: the first slot that
     holds any of it, null if none does. Null texts have size 0, and a null source is a source of its own. Rows that repeat a
-    doc_id are documents of their own (told apart by source, then size). Reruns agree: the order is an MD5's.
+    doc_id are documents of their own. Reruns agree: the order is an MD5's, then by size, and rows alike in both are alike in all.
     """
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(f"({WORD})")), F.lit(0)).cast("long").alias("size"))
-    sized = stored(sized.withColumn("copy", F.row_number().over(W.partitionBy("doc_id").orderBy("source", "size"))), "mix-sizes")
+    sized = stored(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     goal = targets(sized, weights, repeats).withColumn("words", F.round("target").cast("long"))
     goal = goal.withColumn("sid", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
     goal = stored(goal.coalesce(1), "mix-targets")
-    plan = stored(schedule(goal.select("sid", F.ceil(F.col("words") / block).alias("n"))), "mix-slots")
+    plan = schedule(goal.select("sid", F.ceil(F.col("words") / block).alias("n")))
 
     buckets = max(1, sized.count() // BUCKET_ROWS)
     rounds = F.when(F.col("words") > 0, F.sequence(F.lit(0), F.ceil(F.col("words") / F.col("source_size")).cast("int") - 1))
     rows = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).drop(goal["source"])
     rows = rows.withColumn("round", F.explode_outer(rounds))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("round"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "copy"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("round"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = rows.withColumn("key", key).withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32))
     spot = ["sid", "round", "bucket"]
     totals = rows.groupBy(*spot).agg(F.sum("size").alias("t"))
     totals = totals.withColumn("base", F.coalesce(F.sum("t").over(W.partitionBy("sid").orderBy("round", "bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    within = F.sum("size").over(W.partitionBy(*spot).orderBy("key", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+    within = F.sum("size").over(W.partitionBy(*spot).orderBy("key", "size", "row").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
     rows = rows.withColumn("low", within).join(totals.select(*[F.col(c).alias(f"t_{c}") for c in spot], "base"), [F.col("sid") == F.col("t_sid"), F.col("round").eqNullSafe(F.col("t_round")), F.col("bucket").eqNullSafe(F.col("t_bucket"))])
     rows = rows.withColumn("low", F.col("low") + F.col("base")).withColumn("high", F.least(F.col("low") + F.col("size"), "words"))
     pieces = rows.withColumn("block", F.explode_outer(F.when(F.col("high") > F.col("low"), F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block)))))
     pieces = pieces.join(plan, ["sid", "block"], "left")
     part = F.when(F.col("slot").isNotNull(), F.least("high", (F.col("block") + 1) * block) - F.greatest("low", F.col("block") * block))
-    return pieces.groupBy("doc_id", "copy").agg(
+    return pieces.groupBy("doc_id", "row").agg(
         F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
         F.coalesce(F.sum(part), F.lit(0)).alias("taken"), F.min("slot").alias("first_slot"),
-    ).drop("copy")
+    ).drop("row")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
-copies AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY source, size) AS copy FROM sized),
+copies AS (SELECT *, row_number() OVER () AS row FROM sized),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight
@@ -135,10 +135,10 @@ goal AS (
 runs AS (
   SELECT c.*, g.source_size, g.target, CAST(round(g.target) AS BIGINT) AS words, r.round,
          sum(size) OVER (PARTITION BY c.source ORDER BY r.round,
-           md5('{SEED}:' || r.round || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy), size
+           md5('{SEED}:' || r.round || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), size, row
            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high
   FROM copies c JOIN goal g ON c.source IS NOT DISTINCT FROM g.source, range({REPEATS}) r(round))
 SELECT doc_id, size, any_value(source_size) AS source_size, any_value(target) AS target,
        CAST(sum(greatest(0, least(high, words) - (high - size))) AS BIGINT) AS taken
-FROM runs GROUP BY doc_id, copy, size
+FROM runs GROUP BY doc_id, row, size
 """
