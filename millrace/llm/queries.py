@@ -1,12 +1,13 @@
 """The queries of this folder, by name, and their SQL."""
 
-from millrace.llm import decontamination, mixing, pii, sharding, toxicity
+from millrace.llm import decontamination, mixing, pii, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii": pii.op6_pii,
+    "op7_substrings": substrings.op7_substrings,
     "op8_decontamination": decontamination.op8_decontamination,
     "op10_sharding": sharding.op10_sharding,
 }
-ORACLES = {"op1_mixing": mixing.ORACLE, "op10_sharding": sharding.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op7_substrings": substrings.ORACLE, "op10_sharding": sharding.ORACLE}
