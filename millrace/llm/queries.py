@@ -1,9 +1,10 @@
 """The queries of this folder, by name, and their SQL."""
 
-from millrace.llm import decontamination, mixing, pii, sharding, substrings, toxicity
+from millrace.llm import decontamination, media, mixing, pii, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_media": media.op4_media,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii": pii.op6_pii,
     "op7_substrings": substrings.op7_substrings,
