@@ -1,6 +1,6 @@
 """The queries of this folder, by name, and their SQL."""
 
-from millrace.llm import decontamination, media, mixing, pii, sharding, substrings, toxicity
+from millrace.llm import decontamination, media, mixing, pii, scoring, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op7_substrings": substrings.op7_substrings,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op9_scoring": scoring.op9_scoring,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {"op1_mixing": mixing.ORACLE, "op7_substrings": substrings.ORACLE, "op10_sharding": sharding.ORACLE}
