@@ -25,7 +25,7 @@ from millrace.llm import tokens as tk
 from millrace.llm.common import discard, stored, table
 from millrace.llm.substrings import FingerprintIndex
 
-DEPTH = 4
+DEPTH = 5
 BLOCK = 32 << 20
 #: Grams that a task evaluates at once; it goes on to the next group of contexts beyond that.
 AT_ONCE = 1 << 20
