@@ -25,7 +25,7 @@ REPEATS = 3
 BLOCK = 2048
 SEED = "mix"
 #: Rows a bucket of a running total should hold.
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 2048
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> DataFrame:

@@ -1,9 +1,10 @@
 """The queries of this folder, by name, and their SQL."""
 
-from millrace.llm import decontamination, media, mixing, pii, scoring, sharding, substrings, toxicity
+from millrace.llm import decontamination, jaccard, media, mixing, pii, scoring, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op4_media": media.op4_media,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii": pii.op6_pii,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_scoring": scoring.op9_scoring,
     "op10_sharding": sharding.op10_sharding,
 }
-ORACLES = {"op1_mixing": mixing.ORACLE, "op7_substrings": substrings.ORACLE, "op10_sharding": sharding.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op2_jaccard": jaccard.ORACLE, "op7_substrings": substrings.ORACLE, "op10_sharding": sharding.ORACLE}
