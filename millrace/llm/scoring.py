@@ -26,9 +26,9 @@ from millrace.llm.common import discard, stored, table
 from millrace.llm.substrings import FingerprintIndex
 
 DEPTH = 5
-BLOCK = 32 << 20
+BLOCK = 24 << 20
 #: Grams that a task evaluates at once; it goes on to the next group of contexts beyond that.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 WORD, GRAM = 0, 1
 U = tk.U
 
@@ -88,27 +88,25 @@ def mask_of(depth: int) -> np.uint64:
     return U((1 << 8 * (depth + 1)) - 1)
 
 
-def subtree(gram: np.ndarray, n: np.ndarray, depth: int, top: int) -> list[list[Level]]:
-    """levels[d - top][bit] for depths top..depth; gram sorted or not, each once, n its training count (0 allowed)."""
-    levels: list[list[Level]] = []
-    for d in range(depth, top - 1, -1):
+def subtree(gram: np.ndarray, n: np.ndarray, depth: int, top: int) -> Iterator[list[Level]]:
+    """For each bit, its levels top..depth; n: each gram's training count (0 allowed). One bit's levels at a time are in memory."""
+    keys = []
+    for d in range(top, depth + 1):
         key, at = np.unique(gram & mask_of(d), return_inverse=True)
-        count = np.bincount(at, n, len(key)).astype(np.int64)
-        level = [Level(key, count, bit) for bit in range(8)]
-        if levels:
-            for bit in range(8):
-                level[bit].add_children(levels[0][bit], mask_of(d))
-        levels.insert(0, level)
-    return levels
+        keys.append((key, np.bincount(at, n, len(key)).astype(np.int64)))
+    for bit in range(8):
+        levels = [Level(*kept, bit) for kept in keys]
+        for d in range(depth - 1, top - 1, -1):
+            levels[d - top].add_children(levels[d - top + 1], mask_of(d))
+        yield levels
 
 
-def mixed(levels: list[list[Level]], gram: np.ndarray, top: int, depth: int, below: list[np.ndarray] | None = None) -> list[np.ndarray]:
-    """For each bit, the mixture of the estimates from depth `depth` up to depth `top`, given that of the depths below."""
-    out = below
-    for d in range(depth, top - 1, -1):
-        got = [levels[d - top][bit].chance(gram & mask_of(d), bit) for bit in range(8)]
-        out = [p for p, _ in got] if out is None else [w * p + (1 - w) * q for (p, w), q in zip(got, out, strict=True)]
-    return out
+def mixed(levels: list[Level], gram: np.ndarray, bit: int, top: int, below: np.ndarray | None = None) -> np.ndarray:
+    """The mixture of the estimates of depths top, top + 1, .. (one a level), given that of the depths below them."""
+    for d in range(top + len(levels) - 1, top - 1, -1):
+        p, w = levels[d - top].chance(gram & mask_of(d), bit)
+        below = p if below is None else w * p + (1 - w) * below
+    return below
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,13 +205,13 @@ def evaluate(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for gram, n in _parts(batches):
-            for bit, level in enumerate(subtree(gram, n, depth, 2)[0]):
+            for bit, (level, *_) in enumerate(subtree(gram, n, depth, 2)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(level.ids), bit, np.int8)), tk.signed(level.ids & mask_of(1)), pa.array(level.zeros), pa.array(level.ones), pa.array(level.total)], ["bit", "node", "zeros", "ones", "total"])
 
     top = dealt.mapInArrow(roots, "bit byte, node long, zeros double, ones double, total double")
     top = top.groupBy("bit", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("total").alias("total"))
     rows = top.orderBy("bit", "node").toArrow()  # a node for each byte and bits before: 65,280 at most
-    levels: list[list[Level]] = [[], []]
+    levels: list[list[Level]] = []
     column = {c: rows.column(c).to_numpy() for c in rows.column_names}
     for bit in range(8):
         one, at = Level.__new__(Level), column["bit"] == bit
@@ -225,14 +223,15 @@ def evaluate(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         root.zeros, root.ones = np.bincount(to, one.zeros, len(root.ids)), np.bincount(to, one.ones, len(root.ids))
         root.own = log_kt(root.zeros, root.ones)
         root.total, root.weight = weigh(root.own, np.bincount(to, one.total, len(root.ids)))
-        levels[0].append(root), levels[1].append(one)
+        levels.append([root, one])
     shared = spark.sparkContext.broadcast(levels)
 
     def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for gram, n in _parts(batches):
-            p = mixed(subtree(gram, n, depth, 2), gram, 2, depth)
-            p = mixed(shared.value, gram, 0, 1, p)
-            yield pa.RecordBatch.from_arrays([tk.signed(gram), pa.array(sum(np.log10(x) for x in p))], ["key", "log10p"])
+            total = np.zeros(len(gram))
+            for bit, levels in enumerate(subtree(gram, n, depth, 2)):
+                total += np.log10(mixed(shared.value[bit], gram, bit, 0, mixed(levels, gram, bit, 2)))
+            yield pa.RecordBatch.from_arrays([tk.signed(gram), pa.array(total)], ["key", "log10p"])
 
     return dealt.mapInArrow(chances, "key long, log10p double")
 
@@ -265,25 +264,31 @@ def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     columns = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = right.column("kind").to_numpy()
-        order = np.argsort(right.column("key").to_numpy().view(U), kind="stable")
-        keys, values, kind = right.column("key").to_numpy().view(U)[order], right.column("value").to_numpy()[order], kind[order]
-        own = {k: (keys[kind == k], values[kind == k]) for k in (WORD, GRAM)}
+        own = {}
+        for k in (WORD, GRAM):
+            at = right.column("kind").to_numpy() == k
+            keys = right.column("key").to_numpy()[at].view(U)
+            order = np.argsort(keys)
+            own[k] = keys[order], right.column("value").to_numpy()[at][order]
+        del right
         texts = left.combine_chunks()
         pieces = [b for batch in texts.to_batches() for b in tk.slices(batch)]
-        split = [tk.split_words(b.column("text"), lower=True) for b in pieces]
-        hashes = [tk.word_hashes(w) for w in split]
         train = [~b.column("held_out").to_numpy(zero_copy_only=False) for b in pieces]
+        hashes, firsts = [], []
+        for b in pieces:
+            w = tk.split_words(b.column("text"), lower=True)
+            hashes.append(tk.word_hashes(w)), firsts.append(w.first)
+        docs_of = lambda first: np.repeat(np.arange(len(first) - 1), np.diff(first))
         # A word that no other block has isn't sent back: its count is this block's.
-        local, count = counted(np.concatenate(hashes), np.concatenate([t[w.doc()] for t, w in zip(train, split, strict=True)])) if hashes else (np.zeros(0, U), np.zeros(0))
+        local, count = counted(np.concatenate(hashes), np.concatenate([t[docs_of(x)] for t, x in zip(train, firsts, strict=True)])) if hashes else (np.zeros(0, U), np.zeros(0))
         count = count.astype(float)
         count[np.searchsorted(local, own[WORD][0])] = own[WORD][1]
         out: list[list] = [[] for _ in range(8)]
-        for b, w, h in zip(pieces, split, hashes, strict=True):
-            c, doc, n = count[np.searchsorted(local, h)], w.doc(), b.num_rows
-            gram, first = grams(w.data, w.offsets, depth)
+        for b, word_first, h in zip(pieces, firsts, hashes, strict=True):
+            c, doc, n = count[np.searchsorted(local, h)], docs_of(word_first), b.num_rows
+            gram, first = grams(*tk.column_bytes(b.column("text"), lower=True), depth)
             p = own[GRAM][1][np.searchsorted(own[GRAM][0], gram)]
-            tokens = np.diff(w.first) + 1
+            tokens = np.diff(word_first) + 1
             base = np.bincount(doc, np.log10(c + 1), n) + np.log10(ends + 1) - tokens * np.log10(n_all + v_all + 1.0)
             total = np.add.reduceat(p, first[:-1]) if n else np.zeros(0)
             known = np.bincount(doc, c > 0, n).astype(np.int64) + (ends > 0)

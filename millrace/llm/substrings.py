@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens as tk
-from millrace.llm.common import discard, new_path, stored, table
+from millrace.llm.common import discard, new_path, release, stored, table
 
 WINDOW, PART, BATCHES = 35, 20, 2
 
@@ -75,8 +75,9 @@ class FingerprintIndex:
     def write(self, df: DataFrame, key: str = "f") -> DataFrame:
         """df as a table bucketed and sorted by key. It must be dealt out by key already, or be so by this call's shuffle."""
         name, path = f"run_{uuid.uuid4().hex}", new_path(self.spark, "run")
-        df.write.bucketBy(self.buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+        df.write.bucketBy(self.buckets, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
         self.made.append(name)
+        release(self.spark)
         return self.spark.table(name)
 
     def add(self, batch: DataFrame) -> DataFrame:
