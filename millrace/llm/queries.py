@@ -1,10 +1,11 @@
 """The queries of this folder, by name, and their SQL."""
 
-from millrace.llm import decontamination, jaccard, media, mixing, pii, scoring, sharding, substrings, toxicity
+from millrace.llm import decontamination, jaccard, lines, media, mixing, pii, scoring, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_jaccard": jaccard.op2_jaccard,
+    "op3_lines": lines.op3_lines,
     "op4_media": media.op4_media,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii": pii.op6_pii,
