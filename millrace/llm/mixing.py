@@ -111,6 +111,19 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, block
     ).drop("row")
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mix's rows, with docs' columns: each row of docs once for every time round that takes a word of it, first or last.
+
+    The document in which a source's target ends is kept whole. Rows alike in doc_id, source and size come alike.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(f"({WORD})")), F.lit(0)).cast("long")
+    taken = mix(docs.select("doc_id", "source", "text"), **how).where("taken > 0")
+    times = taken.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (size == F.col("_size")))
+    rows = rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents", "doc_id", "source", "text")).drop("first_slot")
 

@@ -1,5 +1,6 @@
 """The queries of this folder, by name, and their SQL."""
 
+import corpus_pipeline
 from millrace.llm import decontamination, jaccard, lines, media, mixing, pii, scoring, sharding, substrings, toxicity
 
 QUERIES = {
@@ -13,5 +14,6 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_scoring": scoring.op9_scoring,
     "op10_sharding": sharding.op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_mixing": mixing.ORACLE, "op2_jaccard": jaccard.ORACLE, "op7_substrings": substrings.ORACLE, "op10_sharding": sharding.ORACLE}
