@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 REAL = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 SPECIAL = r"[+-]?(?:inf|infinity|nan)"
 _PART = rf"(?:{REAL}|{SPECIAL})"
-#: A real part, or both, or an imaginary part alone; the sign between is part of the second number.
-COMPLEX = rf"(?i)^({_PART})?(?:([+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)?)j)?$"
 
 REL_TOL, ABS_TOL = 1e-6, 1e-9
 
@@ -29,8 +27,12 @@ def parse_number(text: Column) -> Column:
     """struct<re, im>, or null where the text isn't a number. A blank before a doubled sign ('1 +-2j') is repaired."""
     t = F.regexp_replace(F.trim(text), r"\s\+-", "-")
     t = F.regexp_replace(t, r"^\((.*)\)$", "$1")
-    t = F.regexp_replace(t, r"\s+(?=[+-])|(?<=[+-])\s+", "")
-    low = F.lower(t)
+    t = F.lower(F.regexp_replace(t, r"\s+(?=[+-])|(?<=[+-])\s+", ""))
+    # An array of one makes the cleaned text a value that the branches share.
+    return F.get(F.transform(F.array(t), _parsed), F.lit(0))
+
+
+def _parsed(low: Column) -> Column:
     both = rf"^({_PART})([+-](?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)?)j$"
     alone = r"^([+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)?)j$"
     unit = lambda s: F.when(s.isin("", "+"), F.lit(1.0)).when(s == "-", F.lit(-1.0)).otherwise(_double(s))

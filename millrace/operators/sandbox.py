@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What submitted code may import, call and touch.
 ALLOWED_IMPORTS = {"math", "cmath", "numpy", "sympy", "fractions", "decimal", "itertools", "functools", "statistics", "typing"}
@@ -196,7 +197,7 @@ def run_solutions(problems: DataFrame, **limits) -> DataFrame:
     return done.select("task_id", "case_index", got.alias("got"), "expected", F.when(~ok, F.coalesce("run.safety_error", F.nullif("run.stderr", F.lit("")), F.lit("failed"))).alias("error"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def safety(code: pd.Series) -> pd.Series:
     """safety_error as a column, once for each distinct text of a batch."""
     known = {c: safety_error(c) for c in code.unique()}

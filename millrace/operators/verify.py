@@ -118,6 +118,6 @@ def rewards(trajectories: DataFrame, problems: DataFrame, **limits) -> DataFrame
     out = j.select(
         "task_id", part(F.when(used, F.lit(TOOL))).alias("tool"), part(F.when(F.col("trajectory").rlike(TRACE), F.lit(META))).alias("meta"),
         part(F.col("execution")).alias("execution"), part(F.when(correct, F.lit(TERMINAL))).alias("terminal"),
-        part(F.when(used & correct & (F.trim(F.coalesce("sympy_exp", F.lit(""))) != ""), -F.least(F.lit(COMPLEXITY_MOST), F.lit(COMPLEXITY) * more))).alias("complexity"),
+        part(F.when(used & correct & (F.trim(F.coalesce("sympy_exp", F.lit(""))) != ""), F.lit(0.0) - F.least(F.lit(COMPLEXITY_MOST), F.lit(COMPLEXITY) * more))).alias("complexity"),
     )
     return out.withColumn("total", F.round(F.col("tool") + F.col("meta") + F.col("execution") + F.col("terminal") + F.col("complexity"), 9))
