@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import zipfile
-from pathlib import Path
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,8 @@ from millrace.schemas import CODE, PREDICTION, PROBLEM
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(p) is not None and len(p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(p)) > 0
+    found = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
 def with_row_number(df: DataFrame) -> DataFrame:
@@ -27,6 +30,16 @@ def normalise(df: DataFrame) -> DataFrame:
     return df.withColumn("domain", F.when(F.lower("domain") != "nan", F.col("domain"))).withColumn("output_type", F.coalesce("output_type", F.lit("unknown")))
 
 
+def _unzipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first JSON file of each archive."""
+    for df in frames:
+        texts = []
+        for content in df["content"]:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                texts.append(z.read(next(n for n in z.namelist() if n.endswith(".json"))).decode())
+        yield pd.DataFrame({"value": texts})
+
+
 def problems(spark: SparkSession, path: str, schema: T.StructType = PROBLEM, missing_ok: bool = False) -> DataFrame:
     """Problems from .jsonl (a row a line, blank lines skipped), .zip of one JSON array, or a JSON array or {"items": [..]}.
 
@@ -38,13 +51,9 @@ def problems(spark: SparkSession, path: str, schema: T.StructType = PROBLEM, mis
         raise FileNotFoundError(path)
     if path.endswith(".jsonl"):
         return with_row_number(normalise(spark.read.schema(schema).json(path)))
-    if path.endswith(".zip"):  # a driver-side step: one archive, one file
-        with zipfile.ZipFile(path) as z:
-            name = next(n for n in z.namelist() if n.endswith(".json"))
-            target = Path(path).with_suffix("") / name
-            if not target.exists():
-                z.extract(name, Path(path).with_suffix(""))
-        path = str(target)
+    if path.endswith(".zip"):
+        rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_unzipped, "value string")
+        return with_row_number(normalise(rows.select(F.explode(F.from_json("value", T.ArrayType(schema))).alias("r")).select("r.*")))
     both = T.StructType([*schema.fields, T.StructField("items", T.ArrayType(schema))])
     df = spark.read.schema(both).option("multiLine", True).json(path)
     rows = df.where("items is null").drop("items").unionByName(df.where("items is not null").select(F.explode("items").alias("r")).select("r.*"))
