@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +43,21 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) - shift
 
 
+#: log_gamma(n + 1/2) and log_gamma(n + 1) of small counts, which most are.
+SMALL = 4096
+HALVES, WHOLES = log_gamma(np.arange(SMALL) + 0.5), log_gamma(np.arange(SMALL) + 1.0)
+
+
+def _gamma_at(n: np.ndarray, known: np.ndarray, more: float) -> np.ndarray:
+    out = known[np.minimum(n, SMALL - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= SMALL)
+    out[large] = log_gamma(n[large] + more)
+    return out
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """The log of the KT probability of any order of so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    return _gamma_at(zeros, HALVES, 0.5) + _gamma_at(ones, HALVES, 0.5) - _gamma_at(zeros + ones, WHOLES, 1.0) - np.log(np.pi)
 
 
 def weigh(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +138,28 @@ def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray
 
 
 def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key once, and how often it occurs in training rows."""
-    everything = np.unique(keys)
-    known, n = np.unique(keys[train], return_counts=True)
-    out = np.zeros(len(everything), np.int64)
-    out[np.searchsorted(everything, known)] = n
-    return everything, out
+    """Each key (below 2**63) once, and how often it occurs in training rows."""
+    both = np.sort((keys << U(1)) | train.astype(U))
+    keys = both >> U(1)
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[new], np.add.reduceat((both & U(1)).astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of several (keys, counts) together."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes, of 63 bits, and where each text's start."""
+    w = tk.split_words(texts, lower=True)
+    return tk.word_hashes(w) >> U(1), w.first
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,36 +176,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gather(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def merged(old: tuple, new: tuple) -> tuple:
-        keys, at = np.unique(np.concatenate([old[0], new[0]]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([old[1], new[1]]), len(keys)).astype(np.int64)
-
     def rows(block: int, kind: int, got: tuple) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(got[0]), 1 << 18):
             keys, n = (x[i : i + (1 << 18)] for x in got)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int8)), tk.signed(keys), pa.array(np.full(len(n), block)), pa.array(n)], ["kind", "key", "block", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing = (np.zeros(0, U), np.zeros(0, np.int64))
-        block, got = None, [nothing, nothing]
+        block, got = None, ([], [])
         for batch in batches:
             for piece in tk.slices(batch):
                 numbers = piece.column("block").to_numpy()
                 for at in np.unique(numbers).tolist():
                     b = piece.filter(pa.array(numbers == at))
                     if at != block:
-                        if block is not None:
-                            for kind in (WORD, GRAM):
-                                yield from rows(block, kind, got[kind])
-                        block, got = at, [nothing, nothing]
+                        for kind in (WORD, GRAM) if block is not None else ():
+                            yield from rows(block, kind, added(got[kind]))
+                        block, got = at, ([], [])
                     train = ~b.column("held_out").to_numpy(zero_copy_only=False)
-                    w = tk.split_words(b.column("text"), lower=True)
-                    got[WORD] = merged(got[WORD], counted(tk.word_hashes(w), train[w.doc()]))
-                    gram, first = grams(w.data, w.offsets, depth)
-                    got[GRAM] = merged(got[GRAM], counted(gram, np.repeat(train, np.diff(first))))
-        if block is not None:
-            for kind in (WORD, GRAM):
-                yield from rows(block, kind, got[kind])
+                    h, first = words_of(b.column("text"))
+                    got[WORD].append(counted(h, np.repeat(train, np.diff(first))))
+                    gram, first = grams(*tk.column_bytes(b.column("text"), lower=True), depth)
+                    got[GRAM].append(counted(gram, np.repeat(train, np.diff(first))))
+        for kind in (WORD, GRAM) if block is not None else ():
+            yield from rows(block, kind, added(got[kind]))
 
     return run
 
@@ -240,7 +262,7 @@ def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Learns from the rows whose crc32(doc_id as text) mod 7 is not 2 (a null doc_id counts as the text null). Words are
-    known by 64 bits of hash. A null text is empty: one end token, one end byte.
+    known by 63 bits of hash. A null text is empty: one end token, one end byte.
     """
     spark = docs.sparkSession
     number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
@@ -267,27 +289,24 @@ def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         own = {}
         for k in (WORD, GRAM):
             at = right.column("kind").to_numpy() == k
-            keys = right.column("key").to_numpy()[at].view(U)
-            order = np.argsort(keys)
-            own[k] = keys[order], right.column("value").to_numpy()[at][order]
+            keys, once = np.unique(right.column("key").to_numpy()[at], return_index=True)  # a block read by two tasks asks twice
+            own[k] = keys, right.column("value").to_numpy()[at][once]
         del right
-        texts = left.combine_chunks()
-        pieces = [b for batch in texts.to_batches() for b in tk.slices(batch)]
-        train = [~b.column("held_out").to_numpy(zero_copy_only=False) for b in pieces]
-        hashes, firsts = [], []
+        pieces = [b for batch in left.combine_chunks().to_batches() for b in tk.slices(batch)]
+        words, held = [], []
         for b in pieces:
-            w = tk.split_words(b.column("text"), lower=True)
-            hashes.append(tk.word_hashes(w)), firsts.append(w.first)
-        docs_of = lambda first: np.repeat(np.arange(len(first) - 1), np.diff(first))
+            words.append(words_of(b.column("text")))
+            held.append(counted(words[-1][0], np.repeat(~b.column("held_out").to_numpy(zero_copy_only=False), np.diff(words[-1][1]))))
         # A word that no other block has isn't sent back: its count is this block's.
-        local, count = counted(np.concatenate(hashes), np.concatenate([t[docs_of(x)] for t, x in zip(train, firsts, strict=True)])) if hashes else (np.zeros(0, U), np.zeros(0))
-        count = count.astype(float)
-        count[np.searchsorted(local, own[WORD][0])] = own[WORD][1]
+        local, count = added(held)
+        local, count = pd.Index(local.view(np.int64)), count.astype(float)
+        count[local.get_indexer(own[WORD][0])] = own[WORD][1]
+        known_grams, chance = pd.Index(own[GRAM][0]), own[GRAM][1]
         out: list[list] = [[] for _ in range(8)]
-        for b, word_first, h in zip(pieces, firsts, hashes, strict=True):
-            c, doc, n = count[np.searchsorted(local, h)], docs_of(word_first), b.num_rows
+        for b, (h, word_first) in zip(pieces, words, strict=True):
+            c, doc, n = count[local.get_indexer(h.view(np.int64))], np.repeat(np.arange(b.num_rows), np.diff(word_first)), b.num_rows
             gram, first = grams(*tk.column_bytes(b.column("text"), lower=True), depth)
-            p = own[GRAM][1][np.searchsorted(own[GRAM][0], gram)]
+            p = chance[known_grams.get_indexer(gram.view(np.int64))]
             tokens = np.diff(word_first) + 1
             base = np.bincount(doc, np.log10(c + 1), n) + np.log10(ends + 1) - tokens * np.log10(n_all + v_all + 1.0)
             total = np.add.reduceat(p, first[:-1]) if n else np.zeros(0)

@@ -22,7 +22,7 @@ LOWER[65:91] += 32
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Texts are handled in slices of about so many bytes, and their words in stretches of SEGMENT bytes.
-SLICE, SEGMENT = 4 << 20, 1 << 20
+SLICE, SEGMENT = 2 << 20, 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
