@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it until df has no such column (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only if that is unset."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):

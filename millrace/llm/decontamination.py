@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import tokens as tk
-from millrace.llm.common import WORD, table
+from millrace.llm.common import WORD, free_name, table
 
 WINDOW, NEEDED, LEAST = 13, 11, 5
 MASKS = ((0, 1, 2, 5, 7, 8), (0, 2, 3, 4, 7, 8))
@@ -132,8 +132,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, into: str = "leaks") -> DataFra
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a leak, with docs' columns."""
-    found = leaks(docs, benchmark, "_leaks")
-    return found.where(F.size("_leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs, "_leaks")
+    return leaks(docs, benchmark, name).where(F.size(name) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, stored, table
+from millrace.llm.common import WORD, free_name, stored, table
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -118,9 +118,11 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """
     size = F.coalesce(F.regexp_count("text", F.lit(f"({WORD})")), F.lit(0)).cast("long")
     taken = mix(docs.select("doc_id", "source", "text"), **how).where("taken > 0")
-    times = taken.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (size == F.col("_size")))
-    rows = rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    key, words, times, time = (free_name(docs, c) for c in ("_key", "_words", "_times", "_time"))
+    rounds = F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int")
+    often = taken.groupBy(F.col("doc_id").alias(key), F.col("size").alias(words)).agg(rounds.alias(times))
+    rows = docs.join(often, F.col("doc_id").eqNullSafe(F.col(key)) & (size == F.col(words)))
+    rows = rows.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

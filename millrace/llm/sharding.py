@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import free_name, table
 
 SHARDS = 16
 SLOTS = 2053
@@ -57,10 +57,11 @@ def shard(docs: DataFrame, key: str = "doc_id", shards: int | list[str] = SHARDS
     """
     names = [f"shard-{i}" for i in range(shards)] if isinstance(shards, int) else shards
     spark = docs.sparkSession
-    owners = spark.createDataFrame(list(enumerate(lookup_table(names, slots))), "`_slot` int, `_shard` int")
-    kept = [c for c in docs.columns if c != into]
-    placed = docs.withColumn("_slot", slot_of(F.col(f"`{key}`"), slots)).join(F.broadcast(owners), "_slot", "left")
-    return placed.select(*[F.col(f"`{c}`") for c in kept], F.col("_shard").alias(into))
+    slot, owner = free_name(docs, "_slot"), free_name(docs, "_shard")
+    owners = spark.createDataFrame(list(enumerate(lookup_table(names, slots))), f"`{slot}` int, `{owner}` int")
+    kept = [c for c in docs.columns if c.lower() != into.lower()]
+    placed = docs.withColumn(slot, slot_of(F.col(f"`{key}`"), slots)).join(F.broadcast(owners), slot, "left")
+    return placed.select(*[F.col(f"`{c}`") for c in kept], F.col(owner).alias(into))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

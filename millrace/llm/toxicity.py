@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import tokens as tk
-from millrace.llm.common import table
+from millrace.llm.common import free_name, table
 
 #: Category -> the label that makes it true.
 CHAIN = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tupl
     return chain
 
 
-def _score(chain: list[tuple[str, Linear]], kept: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _score(chain: list[tuple[str, Linear]], kept: list[str], new: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tk.slices(batch):
@@ -183,27 +183,30 @@ def _score(chain: list[tuple[str, Linear]], kept: list[str]) -> Callable[[Iterat
                 for name, model in chain:
                     p[name] = model.probability(doc, word, value, dense)
                     dense = np.column_stack([dense, p[name]])
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *[pa.array(p[k]) for k in CHAIN]], [*kept, *[f"p_{k}" for k in CHAIN]])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *[pa.array(p[k]) for k in CHAIN]], [*kept, *new])
 
     return run
 
 
-def score(docs: DataFrame, chain: list[tuple[str, Linear]]) -> DataFrame:
-    """docs with p_<category> for each category of CHAIN; 0 for those that couldn't be learned (no labels of both kinds).
+def score(docs: DataFrame, chain: list[tuple[str, Linear]], prefix: str = "p_") -> DataFrame:
+    """docs with <prefix><category> for each category of CHAIN; 0 for those that couldn't be learned (no labels of both kinds).
 
     A null text is scored as an empty one. All rows stay, and columns named like the new ones are replaced.
     """
-    new = [f"p_{k}" for k in CHAIN]
+    new = [f"{prefix}{k}" for k in CHAIN]
     kept = [c for c in docs.columns if c not in new]
     df = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in new]])
-    return df.mapInArrow(_score(chain, kept), schema)
+    return df.mapInArrow(_score(chain, kept, new), schema)
 
 
 def acceptable(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the chain doesn't call toxic, with docs' columns."""
-    scored = score(docs, train(docs, labels))
-    return scored.where(F.col("p_toxic") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = "p_"
+    while any(free_name(docs, f"{prefix}{k}") != f"{prefix}{k}" for k in CHAIN):
+        prefix += "_"
+    scored = score(docs, train(docs, labels), prefix)
+    return scored.where(F.col(f"{prefix}toxic") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
