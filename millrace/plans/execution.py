@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import sandbox, verify
+from millrace.operators import models, publishing, sandbox, scoring, verify
 from millrace.plans.tables import table
 
 GOOD = "def calculate(x_val, y=1.0):\n    return x_val ** 2 + y\n"
@@ -41,9 +41,50 @@ def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.rewards(t, p.drop("code"))
 
 
-QUERIES = {f.__name__: f for f in (sandbox_exec, oracle_verify, curated, rewards)}
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as problems: size^2 + 3 size, with some expressions missing, unreadable or undefined."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    exp = F.when(k % 11 == 0, "").when(k % 11 == 1, "x +* 2").when(k % 11 == 2, "log(x - x)").when(k % 11 == 3, "x**2 + 2*x").otherwise("x^2 + 3*x + sin(0)*sqrt(-x)")
+    case = F.struct(F.create_map(F.lit("x_val"), s.cast("string")).alias("input"), (s * s + 3 * s).cast("string").alias("output"))
+    floor = F.struct(F.create_map(F.lit("x_val"), s.cast("string")).alias("input"), (k % 3).cast("string").alias("output"))
+    return p.select(k.cast("string").alias("task_id"), exp.alias("sympy_exp"), F.array(case, case).alias("test_cases"), F.array(floor, floor).alias("floor_cases"))
+
+
+def symbolic_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.symbolic_check(_parts(spark, sf_dir))
+
+
+def trivial_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parts(spark, sf_dir).select("task_id", F.col("floor_cases").alias("test_cases"))
+    return scoring.summary(scoring.per_problem(models.trivial_floor(rows))).select("n_problems", "problems_passed", "cases_passed")
+
+
+def _gold():
+    return lambda prompt: f"```python\n{GOOD}```"
+
+
+def model_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stub that always answers with the right function."""
+    rows = _problems(spark, sf_dir).withColumn("latex_expression", F.lit("x^2 + 1")).drop("code")
+    return scoring.summary(scoring.per_problem(models.benchmark(rows, _gold))).select("n_problems", "problems_passed", "problem_accuracy")
+
+
+def dataset_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _problems(spark, sf_dir).withColumn("latex_expression", F.col("task_id"))
+    frozen = rows.where("task_id in ('3', '5')")
+    return publishing.validate(rows, rows.where("task_id < '2'"), frozen, 24)
+
+
+QUERIES = {f.__name__: f for f in (sandbox_exec, oracle_verify, curated, rewards, symbolic_truth, trivial_floor, model_benchmark, dataset_checks)}
 #: The wrong and unsafe solutions are known, so the verdicts are too.
 ORACLES = {
+    "symbolic_truth": """SELECT CAST(p_partkey AS VARCHAR) AS task_id, CASE p_partkey % 11 WHEN 0 THEN 'empty' WHEN 1 THEN 'parse error' WHEN 2 THEN 'undefined' ELSE 'evaluated' END AS status,
+        2::BIGINT AS n_cases, CASE WHEN p_partkey % 11 > 3 THEN 2 ELSE 0 END::BIGINT AS n_passed FROM part""",
+    "trivial_floor": "SELECT count(*) AS n_problems, count(*) FILTER (p_partkey % 3 = 0) AS problems_passed, 2 * count(*) FILTER (p_partkey % 3 = 0) AS cases_passed FROM part",
+    "model_benchmark": "SELECT count(*) AS n_problems, count(*) AS problems_passed, 1.0::DOUBLE AS problem_accuracy FROM nation",
+    "dataset_checks": """SELECT 'complete' AS "check", true AS ok, 0::BIGINT AS n_bad UNION ALL SELECT 'uncontaminated', false, 2 UNION ALL SELECT 'hidden', false, count(*) FROM nation WHERE CAST(n_nationkey AS VARCHAR) < '2'
+        UNION ALL SELECT 'unique', true, 0 UNION ALL SELECT 'rows', false, count(*) - 24 FROM nation""",
     "oracle_verify": """SELECT CAST(n_nationkey AS VARCHAR) AS task_id, n_nationkey % 7 <> 6 AND n_nationkey % 5 <> 4 AS accepted,
         CASE WHEN n_nationkey % 7 = 6 THEN 'import of os' WHEN n_nationkey % 5 = 4 THEN 'mismatch with the truth' END AS reason FROM nation""",
     "curated": """SELECT CAST(n_nationkey AS VARCHAR) AS task_id, n_nationkey % 7 <> 6 AND n_nationkey % 5 <> 4 AS accepted,
