@@ -71,4 +71,18 @@ def test_jitter_moves_aliases_together(spark):
 def test_bind(spark):
     df = spark.createDataFrame([(["x_val", "y", "k_value"], {"x": "1", "y": "2", "k": "3"})], "p array<string>, m map<string,string>")
     assert df.select(inputs.bind(F.col("p"), F.col("m")).alias("b")).first().b == {"x_val": "1", "y": "2", "k_value": "3"}
-    assert math.isclose(1, 1)
+
+
+@pytest.mark.parametrize(
+    ("text_", "want"),
+    [
+        ("x**2 + 1", ("evaluated", 10.0, 0.0)), ("sqrt(-x)", ("evaluated", 0.0, 3**0.5)), ("log(x - 3)", ("undefined", None, None)), ("binomial(4, 2) + gcd(12, 18)", ("evaluated", 12.0, 0.0)), ("__import__('os')", ("parse error", None, None)),
+        ("x.y", ("parse error", None, None)), ("[1]", ("parse error", None, None)), ("", ("empty", None, None)), (None, ("empty", None, None)), ("1/(x - 3)", ("undefined", None, None)), ("y", ("undefined", None, None)), ("2 + 3*I", ("evaluated", 2.0, 3.0)),
+    ],
+)
+def test_evaluate(spark, text_, want):
+    from millrace.functions.expressions import evaluate
+
+    df = spark.createDataFrame([(text_, {"x_val": "3"})], "t string, m map<string,string>")
+    v = df.select(evaluate(F.col("t"), F.col("m")).alias("v")).first().v
+    assert v.status == want[0] and (want[1] is None and v.re is None or math.isclose(v.re, want[1], abs_tol=1e-12) and math.isclose(v.im, want[2]))
