@@ -8,13 +8,16 @@ A document's set is that of its distinct `k`-word shingles, kept as 64-bit hashe
 2. A link needs a shared shingle among the rarest n - ceil(percent * n / 100) + 1 of each set, in any one order of all
    shingles. The order puts shingles from crowded hash buckets last, which keeps common passages out. A node is dealt to
    the groups of its rarest shingles, and groups with one node end there.
-3. Each group first links its nodes to its least one (a star, linear in the group). Groups whose nodes are by then all in one
-   component are done. The others become signature trees: nodes sorted by size, joined bottom-up; each tree node
-   holds the OR of the bitmaps below it and their range of sizes, and two tree nodes are
-   entered together only if the largest overlap that their bitmaps and sizes allow can make a link, and they don't lie in one component.
-4. All pairs that survive are verified on the whole sets, and distributed union-find joins the links.
-
-Groups beyond CHUNK nodes are cut into chunks, and the pairs of chunks are trees of their own, so no task holds more than two.
+3. Each group first holds its nodes against its least one (a star, linear in the group). Groups whose nodes are by then all in
+   one component are done.
+4. The others, gathered by their largest component so that a pair meets once or a few times, become signature trees: nodes sorted by size, joined
+   bottom-up; each tree node holds the OR of the bitmaps below it and their range of sizes. Two tree nodes are
+   entered together only if the largest overlap that their bitmaps and sizes allow can make a link, and they don't lie in one
+   component. Nodes that keep a possible partner are fetched with their whole sets, in trees again: pairs are verified at once, and a link joins their components, so that what a
+   tree gives out is a forest: fewer links than it has nodes.
+5. Distributed union-find joins all links.
+
+Trees beyond CHUNK nodes are cut into chunks, and each pair of chunks is a work item of its own, so no task holds more than two.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens as tk
-from millrace.llm.common import components, discard, stored, table
+from millrace.llm.common import components, discard, free_name, stored, table
 
 SHINGLE, PERCENT = 5, 80
-CHUNK, FAN = 8192, 16
+CHUNK, FAN = 4096, 16
 #: Hash buckets whose counts order the shingles.
 BUCKET_BITS = 16
 #: Bits of the filter that keeps documents without candidates from being read again; a full one only saves less.
@@ -184,7 +187,10 @@ class Tree:
         parts = [t.bits for t in below] if below else maps[low:high]
         words = min(len(p) for p in parts)
         self.bits = np.bitwise_or.reduce([fold(p, words) for p in parts], axis=0)
-        self.slack = max(t.slack for t in below) if below else max(int(sizes[i]) - int(np.bitwise_count(maps[i]).sum()) for i in range(low, high))
+        if below and all(len(p) == words for p in parts):
+            self.slack = max(t.slack for t in below)
+        else:  # folding hides bits, so it is counted anew
+            self.slack = max(int(sizes[i]) - int(np.bitwise_count(fold(maps[i], words)).sum()) for i in range(low, high))
         inside = np.unique(labels[low:high]) if not below else np.unique([x for t in below for x in ((t.label,) if t.label is not None else (0, 1))])
         self.label = int(inside[0]) if len(inside) == 1 else None
 
@@ -197,20 +203,39 @@ def grow(sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray) -> Tree:
     return level[0]
 
 
-def traverse(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of members (i < j when the trees overlap) that may link and have different labels."""
+class Forest:
+    """Union-find over labels, within one task."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (p := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(p, p)
+            x = p
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def descend(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], percent: int, done: Callable[[Tree, Tree], bool]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Dual traversal: the pairs of members (places i, j) that sizes and bitmaps let through, leaf pair by leaf pair.
+
+    done(a, b) tells whether a pair of tree nodes needs no look any more.
+    """
     pairs = [(x, y)]
     while pairs:
         a, b = pairs.pop()
-        if a.label is not None and a.label == b.label:
-            continue
-        if percent * a.least > 100 * b.most or percent * b.least > 100 * a.most:
+        if done(a, b) or percent * a.least > 100 * b.most or percent * b.least > 100 * a.most:
             continue
         words = min(len(a.bits), len(b.bits))
-        common = int(np.bitwise_count(fold(a.bits, words) & fold(b.bits, words)).sum())
-        # A member's bits outside the other's OR are shingles that it doesn't share; folding may hide some.
-        loose = max(a.slack, b.slack) + max(0, int(max(a.most, b.most)) - words * 64)
-        most = min(a.most, b.most, common + loose if len(a.bits) == len(b.bits) else max(a.most, b.most))
+        most = min(a.most, b.most)
+        if len(a.bits) == len(b.bits):
+            # A member's bits outside the other's OR are shingles that it doesn't share; slack counts those that share a bit.
+            most = min(most, int(np.bitwise_count(a.bits & b.bits).sum()) + min(a.slack, b.slack))
         if not may_link(a.least, b.least, most, percent):
             continue
         if a.below or b.below:
@@ -221,10 +246,47 @@ def traverse(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], labels
             else:
                 pairs += [(a, t) for t in b.below]
             continue
-        for i in range(a.low, a.high):
-            for j in range(max(b.low, i + 1) if a is b else b.low, b.high):
-                if labels[i] != labels[j] and bound_passes(sizes[i], sizes[j], maps[i], maps[j], percent):
-                    yield i, j
+        left, right = np.arange(a.low, a.high), np.arange(b.low, b.high)
+        p, q = (np.stack([fold(maps[i], words) for i in side]) for side in (left, right))
+        only_p = np.bitwise_count(p[:, None] & ~q[None]).sum(axis=2, dtype=np.int64)
+        only_q = np.bitwise_count(~p[:, None] & q[None]).sum(axis=2, dtype=np.int64)
+        most = np.minimum(sizes[left][:, None] - only_p, sizes[right][None] - only_q)
+        near = may_link(sizes[left][:, None].astype(np.int64), sizes[right][None].astype(np.int64), most, percent)
+        i, j = np.nonzero(np.triu(near, 1) if a is b else near)
+        if len(i):
+            yield left[i], right[j]
+
+
+def traverse(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between members of x and of y, each of which joins two components."""
+    forest = Forest()
+    one = lambda a, b: a.label is not None and b.label is not None and forest.find(a.label) == forest.find(b.label)
+    for left, right in descend(x, y, sizes, maps, percent, one):
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            p, q = int(labels[i]), int(labels[j])
+            if forest.find(p) != forest.find(q) and linked(sets[i], sets[j], percent):
+                forest.join(p, q)
+                yield i, j
+
+
+def survivors(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray, percent: int) -> np.ndarray:
+    """Which members have a possible partner of another label in the other tree."""
+    marked = np.zeros(len(sizes), bool)
+
+    def done(a: Tree, b: Tree) -> bool:
+        same = a.label is not None and a.label == b.label
+        return same or bool(marked[a.low : a.high].all() and marked[b.low : b.high].all())
+
+    for i, j in descend(x, y, sizes, maps, percent, done):
+        other = labels[i] != labels[j]
+        marked[i[other]] = marked[j[other]] = True
+    return marked
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two whole sets link."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def bound_passes(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -235,39 +297,71 @@ def bound_passes(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray, percent: int)
     return bool(may_link(int(n_a), int(n_b), most, percent))
 
 
-def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs that the trees of rows(key, node, n, label, bits) let through.
+def _work(rows: DataFrame) -> DataFrame:
+    """rows(tree, ..) as work items (tree, x, y): each pair of a tree's chunks of CHUNK rows, `mine` telling a row's chunk."""
+    sizes = rows.groupBy("tree").agg(F.count("*").alias("members"))
+    rows = rows.join(sizes, "tree").withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).drop("members", "chunks", "other")
+
+
+def _grown(key: tuple, t: pa.Table, n: np.ndarray, maps: list[np.ndarray]) -> tuple | None:
+    """The trees of a work item's one or two chunks, and its members' places in the table, in the trees' order; None if a chunk is empty."""
+    node, label, mine = (t.column(c).to_numpy() for c in ("node", "label", "mine"))
+    sides = [np.flatnonzero(mine == k) for k in dict.fromkeys(key[1:])]
+    if not all(map(len, sides)):
+        return None
+    order = np.concatenate([side[np.lexsort((node[side], n[side]))] for side in sides])
+    n, maps, label = n[order], [maps[i] for i in order], label[order]
+    cuts = [0, len(sides[0]), len(order)]
+    trees = [_moved(grow(n[i:j], maps[i:j], label[i:j]), i) for i, j in zip(cuts[: len(sides)], cuts[1:], strict=False)]
+    return trees[0], trees[-1], n, maps, label, order
+
+
+def tree_survivors(rows: DataFrame, percent: int) -> DataFrame:
+    """(tree, node, label): the nodes of rows(tree, node, label, n, bits) that sizes and bitmaps leave a possible partner."""
 
-    Rows of a key are numbered by size and cut into chunks of CHUNK; every pair of a key's chunks is one work item.
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        maps = [np.frombuffer(i.as_buffer(), U) for i in t.column("bits").combine_chunks()]
+        got = _grown(key, t, t.column("n").to_numpy().astype(np.int64), maps)
+        kept = np.zeros(0, int)
+        if got:
+            x, y, n, maps, label, order = got
+            kept = order[survivors(x, y, n, maps, label, percent)]
+        return t.select(["tree", "node", "label"]).take(pa.array(kept))
+
+    return _work(rows.select("tree", "node", "label", "n", "bits")).groupBy("tree", "x", "y").applyInArrow(run, "tree long, node long, label long").distinct()
+
+
+def tree_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between nodes of rows(tree, node, label, items), as many as join all of a tree's labels that links can join.
+
+    items: the node's sorted 64-bit shingle hashes.
     """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("members"))
-    rows = rows.join(sizes, "key").withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int"))
-    one = rows.where("chunks = 1").withColumn("x", F.lit(0)).withColumn("y", F.lit(0)).withColumn("mine", F.lit(0))
-    many = rows.where("chunks > 1").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    many = many.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
-    columns = ["key", "x", "y", "mine", "node", "n", "label", "bits"]
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        out: list[tuple[int, int]] = []
-        order = np.lexsort((t.column("node").to_numpy(), t.column("n").to_numpy()))
-        node, n, label, mine = (t.column(c).to_numpy()[order] for c in ("node", "n", "label", "mine"))
-        bits = t.column("bits").to_pylist()
-        maps = [np.frombuffer(bits[i], U) for i in order]
-        if key[1] == key[2]:
-            tree = grow(n, maps, label)
-            out = [(int(node[i]), int(node[j])) for i, j in traverse(tree, tree, n, maps, label, percent)]
-        else:
-            sides = [np.flatnonzero(mine == k) for k in (key[1], key[2])]
-            both = np.concatenate(sides)
-            cut, n, label, node, maps = len(sides[0]), n[both], label[both], node[both], [maps[i] for i in both]
-            if 0 < cut < len(both):
-                left = grow(n[:cut], maps[:cut], label[:cut])
-                right = _moved(grow(n[cut:], maps[cut:], label[cut:]), cut)
-                out = [(int(node[i]), int(node[j])) for i, j in traverse(left, right, n, maps, label, percent)]
+        items = [np.frombuffer(i.as_buffer(), U) for i in t.column("items").combine_chunks()]
+        got = _grown(key, t, np.array([len(i) for i in items], np.int64), [np.frombuffer(bitmap(i), U) for i in items])
+        out = []
+        if got:
+            x, y, n, maps, label, order = got
+            node = t.column("node").to_numpy()[order]
+            out = [(node[i], node[j]) for i, j in traverse(x, y, n, maps, label, [items[i] for i in order], percent)]
         return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
-    return one.select(columns).union(many.select(columns)).groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return _work(rows.select("tree", "node", "label", "items")).groupBy("tree", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def mixed_trees(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(tree, node, label): the nodes of groups(key, node) that hold several components, gathered by their largest one.
+
+    labels(node, component) of the nodes that have links. Two nodes of a group are in one tree. A cluster's groups mostly
+    agree on its largest component, so that its nodes come together once, not once a group.
+    """
+    labelled = groups.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    per = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
+    mixed = per.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.max_by("label", F.struct("c", "label")).alias("tree"))
+    return labelled.join(mixed.where("parts > 1 and c > 2").select("key", "tree"), "key").select("tree", "node", "label").distinct()
 
 
 def _moved(t: Tree, by: int) -> Tree:
@@ -277,26 +371,17 @@ def _moved(t: Tree, by: int) -> Tree:
     return t
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs(a, b) that link, by their whole sets. nodes(node, rid, n, bits), rid a document with that set."""
-    spark = pairs.sparkSession
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True)
-            ok = [bound_passes(x, y, np.frombuffer(p, U), np.frombuffer(q, U), percent) for x, y, p, q in rows]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def sets_of(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, items): the whole sets of wanted(node, rid), rid a document that has the set. One pass over docs.
 
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{percent} * greatest(n_a, n_b) <= 100 * least(n_a, n_b)")
-    near = stored(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(sift, "a long, b long"), "jaccard-near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rid"), "node")
+    A filter of fixed size on rid keeps most other documents from being cut into shingles; a full one would only save less.
+    """
     place = F.pmod(F.xxhash64("rid"), F.lit(FILTER_WORDS * 64))
     marks = wanted.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m"))
     mask = np.zeros(FILTER_WORDS, np.int64)
     for w, m in marks.collect():  # FILTER_WORDS rows at most
         mask[w] = m
-    shared = spark.sparkContext.broadcast(mask)
+    shared = docs.sparkSession.sparkContext.broadcast(mask)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,16 +392,28 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), tk.signed(np.array([digest(s, 1) for s in sets], U)), pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "node", "items"])
 
     read = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS * 64)).alias("p"))
-    sets = read.mapInArrow(arrays, "rid long, node long, items binary").join(wanted, ["rid", "node"], "left_semi").dropDuplicates(["node"])
-    sets = stored(sets.select("node", "items"), "jaccard-sets")
+    found = read.mapInArrow(arrays, "rid long, node long, items binary").join(wanted, ["rid", "node"], "left_semi").dropDuplicates(["node"])
+    return stored(found.select("node", "items"), "jaccard-sets")
+
+
+def star_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs(a, b) that link: sizes and bitmaps sift them, whole sets decide. nodes(node, rid, n, bits)."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True)
+            ok = [bound_passes(x, y, np.frombuffer(p, U), np.frombuffer(q, U), percent) for x, y, p, q in rows]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{percent} * greatest(n_a, n_b) <= 100 * least(n_a, n_b)")
+    near = stored(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(sift, "a long, b long"), "jaccard-near")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rid"), "node")
+    sets = sets_of(wanted, docs, k)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("items_a"), b.column("items_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            ok = [linked(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent) for x, y in zip(b.column("items_a"), b.column("items_b"), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     full = near.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
@@ -340,13 +437,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
 
     kept = stored(groups(prefixes(docs.where("doc_id is not null"), k, percent, shared)), "jaccard-groups")
     stars = kept.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(stars, nodes, docs, k, percent)
+    links = star_links(stars, nodes, docs, k, percent)
     joined = stored(components(links), "jaccard-first")
-
-    labelled = kept.join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("c")).where("l <> m and c > 2").select("key")
-    rest = labelled.join(mixed, "key").select("key", "node", "n", "label").join(nodes.select("node", "bits"), "node")
-    more = verified(stored(tree_pairs(rest, percent), "jaccard-trees"), nodes, docs, k, percent)
+    trees = tree_survivors(mixed_trees(kept, joined).join(nodes.select("node", "n", "bits"), "node"), percent)
+    trees = stored(trees, "jaccard-trees")
+    sets = sets_of(trees.select("node").distinct().join(nodes.select("node", "rid"), "node"), docs, k)
+    more = stored(tree_links(trees.join(sets, "node"), percent), "jaccard-more")
+    discard(kept, joined, trees, sets)
 
     # Rows of one doc_id are one document, which may have several nodes.
     same = rows.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b and doc_id is not null").select("doc_id")
@@ -366,7 +463,8 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     """The rows of docs whose doc_id is their component's, once; texts without words and rows without doc_id stay."""
     found = near_duplicates(docs, k, percent).where("doc_id is not null and component_id = doc_id").select("doc_id").distinct()
     first = W.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    place = free_name(docs, "_place")
+    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*columns).union(docs.where("doc_id is null").select(*columns))
 
