@@ -3,10 +3,10 @@
 Lines are compared without the white space around them and with A-Z in lower case; blank lines stay and are compared with none.
 
 1. Each distinct line gets a one-permutation MinHash of its character shingles, cut into bands. Lines that agree in a band
-   share a group; BANDS bands of ROWS values find a pair of similarity 0.8 with probability 0.997.
+   share a group; BANDS bands of ROWS values find a pair of similarity 0.8 with probability 0.998,
+   and one of 0.3, as unrelated lines of a language have, with 0.04.
 2. A group's lines are held against its first one. Groups that then still hold lines of several components go through
-   signature trees (see jaccard), which propose each pair across components that may reach the threshold, so that no group is
-   too large for all its pairs to be judged.
+   signature trees (see jaccard), which judge every pair across components, so that no group is too large for that.
 3. Pairs are verified by the exact Jaccard similarity of their shingles, and distributed union-find makes components.
 4. Of each component the line that comes first, by doc_id and then place, stays; all other occurrences go.
 """
@@ -26,7 +26,7 @@ from millrace.llm import tokens as tk
 from millrace.llm.common import components, discard, stored, table
 
 SHINGLE, PERCENT = 5, 80
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 16, 5
 U = tk.U
 
 
@@ -139,18 +139,15 @@ def registry(docs: DataFrame) -> DataFrame:
 
 
 def bands(docs: DataFrame) -> DataFrame:
-    """(key, node, n): the band keys of every line; a line that a task has had before is left out. n is its bytes."""
+    """(key, node, n): the band keys of every line, once for each slice that has it. n is its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, U)
         for batch in batches:
             for b in tk.slices(batch):
                 lines = split_lines(b.column("text"))
                 node = line_hashes(lines)[0]
-                _, at = np.unique(node, return_index=True)
-                at = np.sort(at[~np.isin(node[at], seen)])
+                at = np.sort(np.unique(node, return_index=True)[1])
                 lines, node = Lines(lines.data, *(x[at] for x in lines[1:])), node[at]
-                seen = np.concatenate([seen, node])[-500_000:]
                 keys = signatures(lines)
                 size = np.repeat((lines.end - lines.start).astype(np.int32), BANDS)
                 yield pa.RecordBatch.from_arrays([tk.signed(keys.ravel()), tk.signed(np.repeat(node, BANDS)), pa.array(size)], ["key", "node", "n"])
@@ -179,19 +176,18 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "line-links")
 
 
-def bitmaps(texts: DataFrame) -> DataFrame:
-    """(node, n, bits): how many distinct shingles a line has, and their bitmap."""
+def line_sets(texts: DataFrame) -> DataFrame:
+    """(node, items): the hashes of a line's distinct shingles, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, bits = [], []
+            items = []
             for line in b.column("body").to_pylist():
-                s = shingles(line)
-                w = tk.split_words(pa.array(s), space=np.zeros(256, bool))
-                n.append(len(s)), bits.append(jaccard.bitmap(tk.word_hashes(w)))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n, pa.int32()), pa.array(bits, pa.binary())], ["node", "n", "bits"])
+                w = tk.split_words(pa.array(sorted(shingles(line))), space=np.zeros(256, bool))
+                items.append(np.unique(tk.word_hashes(w)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(items, pa.binary())], ["node", "items"])
 
-    return texts.mapInArrow(run, "node long, n int, bits binary")
+    return texts.mapInArrow(run, "node long, items binary")
 
 
 def line_components(docs: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -216,13 +212,11 @@ def line_components(docs: DataFrame, known: DataFrame, percent: int = PERCENT) -
     stars = kept.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     links = similar(stars, texts, percent)
     first = stored(components(links), "line-first")
-    labelled = kept.join(first, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("c")).where("l <> m and c > 2").select("key")
-    rest = stored(labelled.join(mixed, "key").select("key", "node", "label"), "line-rest")
-    maps = stored(bitmaps(texts.join(rest.select("node").distinct(), "node", "left_semi")), "line-maps")
-    more = similar(jaccard.tree_pairs(rest.join(maps, "node"), percent), texts, percent)
+    trees = stored(jaccard.mixed_trees(kept, first), "line-trees")
+    sets = line_sets(texts.join(trees.select("node").distinct(), "node", "left_semi"))
+    more = jaccard.tree_links(trees.join(sets, "node"), percent)
     out = stored(components(links.union(more)), "line-components")
-    discard(kept, texts, first, rest, maps)
+    discard(kept, texts, first, trees)
     return out
 
 

@@ -119,7 +119,13 @@ def test_large_groups_lose_no_link(spark, monkeypatch, chunk):
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
     texts = random_sets(1, 160, 4)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "3" if chunk == 5 else before)  # groups go over batch edges
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    finally:
+        spark.conf.set(batch, before)
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
