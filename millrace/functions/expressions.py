@@ -56,7 +56,7 @@ def compiled(text: str) -> Callable[[dict[str, complex]], complex]:
                 return (lambda env: complex(CONSTANTS[name])) if name in CONSTANTS else (lambda env: env[name])
             case ast.UnaryOp(op=ast.USub(), operand=x):
                 f = build(x)
-                return lambda env: -f(env)
+                return lambda env: 0 - f(env)  # keeps +0j, and with it the branch of roots
             case ast.UnaryOp(op=ast.UAdd(), operand=x):
                 return build(x)
             case ast.BinOp(left=a, op=op, right=b) if type(op) in _BINARY:
