@@ -81,7 +81,7 @@ def test_near_duplicate_links(spark, docs):
     assert got[1, 3] == got[2, 3] == got[8, 3] == 1 and got[3, 0] == 3 and got[4, 0] == 4 and got[None, 3] is None
     assert got[7, 2] == 6  # the rows of id 7 are one document
     kept = jaccard.one_of_each(docs).collect()
-    assert Counter(r.doc_id for r in kept) == Counter([1, 3, 4, 5, 6, 9, 10, 11, None, None])
+    assert Counter(r.doc_id for r in kept) == Counter([1, 3, 4, 5, 6, 9, 11, None, None])  # 9 and 10 share 36 of 40 shingles
 
 
 def random_sets(seed, n, groups):
