@@ -308,7 +308,7 @@ def _work(rows: DataFrame) -> DataFrame:
 def _grown(key: tuple, t: pa.Table, n: np.ndarray, maps: list[np.ndarray]) -> tuple | None:
     """The trees of a work item's one or two chunks, and its members' places in the table, in the trees' order; None if a chunk is empty."""
     node, label, mine = (t.column(c).to_numpy() for c in ("node", "label", "mine"))
-    sides = [np.flatnonzero(mine == k) for k in dict.fromkeys(key[1:])]
+    sides = [np.flatnonzero(mine == k) for k in dict.fromkeys(k.as_py() for k in key[1:])]  # Spark gives Arrow scalars, which equal no number
     if not all(map(len, sides)):
         return None
     order = np.concatenate([side[np.lexsort((node[side], n[side]))] for side in sides])

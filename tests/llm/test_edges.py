@@ -129,6 +129,24 @@ def test_large_groups_lose_no_link(spark, monkeypatch, chunk):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+@pytest.mark.parametrize("chunk", [4096, 1])
+def test_link_that_no_star_finds(spark, monkeypatch, chunk):
+    """Two texts link; in every group that they share, the least node is a one-shingle text, which links to neither."""
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    for salt in range(2000):
+        words = [f"s{salt}w{i}" for i in range(14)]
+        texts = [" ".join(words[i : i + 5]) for i in range(9)] + [" ".join(words), " ".join([*words[:13], "other"])]
+        nodes = tk.signed(np.array([jaccard.digest(s, 1) for s in jaccard.shingle_sets(pa.array(texts), 5)], np.uint64)).to_pylist()
+        if max(nodes[:9]) < min(nodes[9:]):
+            break
+    else:
+        raise AssertionError("no salt")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    assert brute_components(texts) == [*range(10), 9]
+    assert [got[i] for i in range(11)] == [*range(10), 9]
+
+
 def test_tree_alone_finds_every_component():
     texts = random_sets(5, 240, 3)
     sets = jaccard.shingle_sets(pa.array(texts), 5)
