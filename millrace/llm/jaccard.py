@@ -17,6 +17,9 @@ A document's set is that of its distinct `k`-word shingles, kept as 64-bit hashe
    tree gives out is a forest: fewer links than it has nodes.
 5. Distributed union-find joins all links.
 
+That gives components. link_pairs() and link_counts() need every link: they leave no group out for being in one component, prune by
+sizes and bitmaps only, and verify all that is left. Their links can be as many as the pairs of a group.
+
 Trees beyond CHUNK nodes are cut into chunks, and each pair of chunks is a work item of its own, so no task holds more than two.
 """
 
@@ -269,6 +272,14 @@ def traverse(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], labels
                 yield i, j
 
 
+def every_link(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """All links between members of x and of y."""
+    for left, right in descend(x, y, sizes, maps, percent, lambda a, b: False):
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            if linked(sets[i], sets[j], percent):
+                yield i, j
+
+
 def survivors(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray, percent: int) -> np.ndarray:
     """Which members have a possible partner of another label in the other tree."""
     marked = np.zeros(len(sizes), bool)
@@ -333,35 +344,40 @@ def tree_survivors(rows: DataFrame, percent: int) -> DataFrame:
     return _work(rows.select("tree", "node", "label", "n", "bits")).groupBy("tree", "x", "y").applyInArrow(run, "tree long, node long, label long").distinct()
 
 
-def tree_links(rows: DataFrame, percent: int) -> DataFrame:
+def tree_links(rows: DataFrame, percent: int, whole: bool = False) -> DataFrame:
     """(a, b): links between nodes of rows(tree, node, label, items), as many as join all of a tree's labels that links can join.
 
-    items: the node's sorted 64-bit shingle hashes.
+    whole: all links instead. items: the node's sorted 64-bit shingle hashes.
     """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         items = [np.frombuffer(i.as_buffer(), U) for i in t.column("items").combine_chunks()]
         got = _grown(key, t, np.array([len(i) for i in items], np.int64), [np.frombuffer(bitmap(i), U) for i in items])
-        out = []
+        a = b = np.zeros(0, np.int64)
         if got:
             x, y, n, maps, label, order = got
             node = t.column("node").to_numpy()[order]
-            out = [(node[i], node[j]) for i, j in traverse(x, y, n, maps, label, [items[i] for i in order], percent)]
-        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
+            sets = [items[i] for i in order]
+            pairs = every_link(x, y, n, maps, sets, percent) if whole else traverse(x, y, n, maps, label, sets, percent)
+            i, j = np.fromiter(pairs, np.dtype((np.int64, 2))).T
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        return pa.table({"a": a, "b": b})
 
     return _work(rows.select("tree", "node", "label", "items")).groupBy("tree", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def mixed_trees(groups: DataFrame, labels: DataFrame) -> DataFrame:
+def mixed_trees(groups: DataFrame, labels: DataFrame, whole: bool = False) -> DataFrame:
     """(tree, node, label): the nodes of groups(key, node) that hold several components, gathered by their largest one.
 
+    whole: the nodes of all groups of more than two, each its own label, so that nothing is left out for being in one component.
     labels(node, component) of the nodes that have links. Two nodes of a group are in one tree. A cluster's groups mostly
     agree on its largest component, so that its nodes come together once, not once a group.
     """
     labelled = groups.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     per = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = per.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.max_by("label", F.struct("c", "label")).alias("tree"))
-    return labelled.join(mixed.where("parts > 1 and c > 2").select("key", "tree"), "key").select("tree", "node", "label").distinct()
+    wanted = mixed.where("c > 2" if whole else "parts > 1 and c > 2").select("key", "tree")
+    return labelled.join(wanted, "key").select("tree", "node", F.col("node" if whole else "label").alias("label")).distinct()
 
 
 def _moved(t: Tree, by: int) -> Tree:
@@ -392,7 +408,8 @@ def sets_of(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), tk.signed(np.array([digest(s, 1) for s in sets], U)), pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "node", "items"])
 
     read = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS * 64)).alias("p"))
-    found = read.mapInArrow(arrays, "rid long, node long, items binary").join(wanted, ["rid", "node"], "left_semi").dropDuplicates(["node"])
+    # Joined by node alone, so that dropDuplicates needn't deal the sets out again.
+    found = read.mapInArrow(arrays, "rid long, node long, items binary").join(wanted.select("node", F.col("rid").alias("of")), "node").where("rid = of").dropDuplicates(["node"])
     return stored(found.select("node", "items"), "jaccard-sets")
 
 
@@ -422,13 +439,8 @@ def star_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perc
     return links
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id (the least doc_id that links lead to).
-
-    A text without words (null, empty, blank) has no shingles and no links. Rows that share a doc_id are one document: what one links
-    to, all do. A row without a doc_id has no links and component null.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def joined(docs: DataFrame, k: int, percent: int, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows(doc_id, n, node, ..) of docs, nodes(node, rid, n, bits), and links(a, b) between nodes: all if whole, else enough to join components."""
     found = stored(profile(docs, k), "jaccard-profile")
     rows = found.where("n is not null").select("doc_id", "n", "node", "digest", "bits")
     shared = docs.sparkSession.sparkContext.broadcast(bucket_order(found.where("counts is not null").select("counts")))
@@ -438,27 +450,60 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     kept = stored(groups(prefixes(docs.where("doc_id is not null"), k, percent, shared)), "jaccard-groups")
     stars = kept.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = star_links(stars, nodes, docs, k, percent)
-    joined = stored(components(links), "jaccard-first")
-    trees = tree_survivors(mixed_trees(kept, joined).join(nodes.select("node", "n", "bits"), "node"), percent)
+    first = stored(components(links), "jaccard-first")
+    trees = tree_survivors(mixed_trees(kept, first, whole).join(nodes.select("node", "n", "bits"), "node"), percent)
     trees = stored(trees, "jaccard-trees")
+    discard(kept, first)
     sets = sets_of(trees.select("node").distinct().join(nodes.select("node", "rid"), "node"), docs, k)
-    more = stored(tree_links(trees.join(sets, "node"), percent), "jaccard-more")
-    discard(kept, joined, trees, sets)
+    more = stored(tree_links(trees.join(sets, "node"), percent, whole), "jaccard-more")
+    discard(trees, sets)
+    every = links.union(more)
+    return rows, nodes, every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if whole else every
 
+
+def labelled(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, node, component_id): a row per row of joined()'s rows."""
     # Rows of one doc_id are one document, which may have several nodes.
     same = rows.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b and doc_id is not null").select("doc_id")
     same = rows.where("n > 0").join(same, "doc_id").select("doc_id", F.col("node").alias("b"))
     same = same.join(same.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").select("a", "b").where("a <> b")
-    parts = components(links.union(more).union(same))
+    parts = components(links.union(same))
     least = parts.join(nodes.select("node", "rid"), "node").groupBy("component").agg(F.min("rid").alias("least"))
     final = parts.join(least, "component").select("node", "least")
     label = nodes.groupBy("node").agg(F.min("rid").alias("rid")).join(final, "node", "left").select("node", F.coalesce("least", "rid").alias("component_id"))
     return (
         rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(label, "node", "left")
-        .select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "n_shingles", "node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id (the least doc_id that links lead to).
+
+    A text without words (null, empty, blank) has no shingles and no links. Rows that share a doc_id are one document: what one links
+    to, all do. A row without a doc_id has no links and component null.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return labelled(*joined(docs, k, percent)).drop("node")
+
+
+def link_pairs(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_a, doc_b, node_a, node_b): every link between different shingle sets once, each set by its digest and the least doc_id that has it."""
+    _, nodes, links = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent, whole=True)
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("rid").alias(f"doc_{c}"))
+    return links.join(side("a"), "a").join(side("b"), "b").select("doc_a", "doc_b", F.col("a").alias("node_a"), F.col("b").alias("node_b"))
+
+
+def link_counts(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """near_duplicates() from the whole join, with n_links: how many other shingle sets in the table the row's own links to."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, nodes, links = joined(docs, k, percent, whole=True)
+    links = stored(links, "jaccard-whole")
+    count = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("found"))
+    done = labelled(rows, nodes, links).join(count, "node", "left")
+    return done.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("found", F.lit(0))).alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose doc_id is their component's, once; texts without words and rows without doc_id stay."""
     found = near_duplicates(docs, k, percent).where("doc_id is not null and component_id = doc_id").select("doc_id").distinct()
@@ -473,6 +518,10 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 ORACLE = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
@@ -487,3 +536,10 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM reach r
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = w.doc_id) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id
 """
+
+ORACLE_LINKS = ORACLE.rsplit("SELECT w.doc_id", 1)[0].replace(
+    "both_ways AS", "class AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY t) AS c FROM s GROUP BY doc_id),\nboth_ways AS"
+) + """SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = w.doc_id) AS component_id, coalesce(found.n, 0) AS n_links
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+LEFT JOIN (SELECT l.a, count(DISTINCT y.c) AS n FROM both_ways l JOIN class x ON x.doc_id = l.a JOIN class y ON y.doc_id = l.b WHERE x.c <> y.c GROUP BY l.a) found ON found.a = w.doc_id
+"""

@@ -6,6 +6,7 @@ from millrace.llm import decontamination, jaccard, lines, media, mixing, pii, sc
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_jaccard": jaccard.op2_jaccard,
+    "op2_links": jaccard.op2_links,
     "op3_lines": lines.op3_lines,
     "op4_media": media.op4_media,
     "op5_toxicity": toxicity.op5_toxicity,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_mixing": mixing.ORACLE, "op2_jaccard": jaccard.ORACLE, "op7_substrings": substrings.ORACLE, "op10_sharding": sharding.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op2_jaccard": jaccard.ORACLE, "op2_links": jaccard.ORACLE_LINKS, "op7_substrings": substrings.ORACLE, "op10_sharding": sharding.ORACLE}

@@ -147,6 +147,24 @@ def test_link_that_no_star_finds(spark, monkeypatch, chunk):
     assert [got[i] for i in range(11)] == [*range(10), 9]
 
 
+@pytest.mark.parametrize("chunk", [4096, 5])
+def test_every_link_is_given_out(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    texts = random_sets(2, 48, 2)
+    texts += [" ".join([*(f"v{i}" for i in range(30)), f"end{j}"]) for j in range(20)] + texts[:2]  # all link to each other; copies
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.split() for t in texts)]
+    first = {s: i for i, s in reversed(list(enumerate(sets)))}
+    near = {(a, b) for a, b in combinations(sorted(first.values()), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    count = Counter(x for p in near for x in p)
+    assert len(near) > 2 * len(first)  # far from a forest
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (99, "")], "doc_id long, text string").repartition(3)
+    got = [tuple(sorted((r.doc_a, r.doc_b))) for r in jaccard.link_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == near
+    rows = {r.doc_id: r for r in jaccard.link_counts(df).collect()}
+    assert [rows[i].n_links for i in range(len(texts))] == [count[first[s]] for s in sets] and rows[None].n_links == rows[99].n_links == 0
+    assert [rows[i].component_id for i in range(len(texts))] == brute_components(texts)
+
+
 def test_tree_alone_finds_every_component():
     texts = random_sets(5, 240, 3)
     sets = jaccard.shingle_sets(pa.array(texts), 5)
