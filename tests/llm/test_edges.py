@@ -217,6 +217,16 @@ def test_mix_reaches_targets(spark):
     assert same(mixing.mix(df.repartition(7), block=16)) == same(mixing.mix(df, block=16))
 
 
+def test_mixed_keeps_texts_without_words(spark):
+    """Source a (weight 5) is taken whole, b (2) is cut, c has no words at all."""
+    rows = [(1, "w " * 10, "a"), (2, "", "a"), (3, None, "a"), (None, " ", "a"), (4, "w " * 100, "b"), (5, "", "b"), (None, "", "b"), (6, "\n", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {r.doc_id: (r.target, r.source_size) for r in mixing.mix(df).collect() if r.doc_id}
+    assert target[2][0] >= target[2][1] and target[5][0] < target[5][1] and target[6] == (0, 0)
+    got = Counter((r.doc_id, r.source) for r in mixing.mixed(df).collect() if not (r.text or "").strip())
+    assert got == Counter([(2, "a"), (3, "a"), (None, "a"), (6, "c")])
+
+
 def test_masks_cover_two_substitutions():
     width = max(m[-1] for m in decontamination.MASKS) + 1
     for bad in combinations(range(decontamination.WINDOW), 2):
