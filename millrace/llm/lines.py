@@ -18,7 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard
@@ -126,16 +126,17 @@ def signatures(lines: Lines) -> np.ndarray:
 
 
 def registry(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, node, node2): every line that isn't blank, with 128 bits of hash."""
+    """(doc_id, row, line, node, node2): every line of docs(doc_id, row, text) that isn't blank, with 128 bits of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tk.slices(batch):
                 lines = split_lines(b.column("text"))
                 node, node2 = line_hashes(lines)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), tk.signed(node), tk.signed(node2)], ["doc_id", "line", "node", "node2"])
+                doc_id, row = (b.column(c).take(pa.array(lines.doc)) for c in ("doc_id", "row"))
+                yield pa.RecordBatch.from_arrays([doc_id, row, pa.array(lines.number.astype(np.int32)), tk.signed(node), tk.signed(node2)], ["doc_id", "row", "line", "node", "node2"])
 
-    return docs.mapInArrow(run, "doc_id long, line int, node long, node2 long")
+    return docs.mapInArrow(run, "doc_id long, row string, line int, node long, node2 long")
 
 
 def bands(docs: DataFrame) -> DataFrame:
@@ -190,11 +191,16 @@ def line_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, items binary")
 
 
+def same_row() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("id")) & F.col("row").eqNullSafe(F.col("id_row"))
+
+
 def line_components(docs: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the lines that are similar to another one. known: registry(docs)."""
     kept = stored(jaccard.groups(bands(docs)), "line-groups")
-    wanted = kept.select("node").distinct().join(known.groupBy("node").agg(F.min_by("doc_id", F.struct("doc_id", "line")).alias("doc_id")), "node").where("doc_id is not null")
-    wanted = stored(wanted.groupBy("doc_id").agg(F.collect_list("node").alias("nodes")), "line-wanted")
+    place = known.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("at"))
+    wanted = kept.select("node").distinct().join(place, "node").select("at.doc_id", "at.row", "node")
+    wanted = stored(wanted.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("id_row")).agg(F.collect_list("node").alias("nodes")), "line-wanted")
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +213,7 @@ def line_components(docs: DataFrame, known: DataFrame, percent: int = PERCENT) -
                 out = [data[s:e].decode() for s, e in zip(lines.start[pick].tolist(), lines.end[pick].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([tk.signed(node[pick]), pa.array(out, pa.string())], ["node", "body"])
 
-    texts = docs.join(wanted, "doc_id").select("text", "nodes").mapInArrow(bodies, "node long, body string").dropDuplicates(["node"])
+    texts = docs.join(wanted, same_row()).select("text", "nodes").mapInArrow(bodies, "node long, body string").dropDuplicates(["node"])
     texts = stored(texts, "line-texts")
     stars = kept.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     links = similar(stars, texts, percent)
@@ -226,14 +232,15 @@ def unique_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     A null text is empty. n_lines counts blank lines too. Rows that share a doc_id count as one place each line number: rows
     that are alike share their lines' fate. A row without a doc_id comes first in order.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Rows without a doc_id are told apart by their text: those with the same text share their lines' fate.
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.sha2("text", 256)).alias("row"), "text")
     known = stored(registry(docs), "line-registry")
     same = line_components(docs, known, percent)
     # A line's class: its component, or itself by 128 bits.
-    tagged = known.join(same, "node", "left").select("doc_id", "line", "node", F.coalesce("component", "node").alias("c1"), F.when(F.col("component").isNull(), F.col("node2")).otherwise(0).alias("c2"))
+    tagged = known.join(same, "node", "left").select("doc_id", "row", "line", "node", F.coalesce("component", "node").alias("c1"), F.when(F.col("component").isNull(), F.col("node2")).otherwise(0).alias("c2"))
     first = tagged.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     gone = tagged.join(first, ["c1", "c2"]).where(~F.struct("doc_id", "line").eqNullSafe(F.col("first")))
-    gone = gone.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("line").alias("lines"), F.collect_list("node").alias("nodes"))
+    gone = gone.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("id_row")).agg(F.collect_list("line").alias("lines"), F.collect_list("node").alias("nodes"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +259,7 @@ def unique_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 n, removed, kept = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_removed", "kept"])
 
-    done = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "lines", "nodes")
+    done = docs.join(gone, same_row(), "left").select("doc_id", "text", "lines", "nodes")
     return done.mapInArrow(remove, "doc_id long, n_lines long, n_removed long, kept string")
 
 

@@ -227,6 +227,14 @@ def test_mixed_keeps_texts_without_words(spark):
     assert got == Counter([(2, "a"), (3, "a"), (None, "a"), (6, "c")])
 
 
+def test_lines_of_rows_without_id(spark):
+    one, two = "the common line that also stands in a row with no id at all", "a line that only rows with no id have, and one that is like it"
+    rows = [(None, one + "\n" + two), (None, "another row"), (1, one), (2, one + "s"), (3, two + "s"), (4, "none of these")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {(r.doc_id, r.kept): (r.n_lines, r.n_removed) for r in lines.unique_lines(df).collect()}
+    assert got == {(None, rows[0][1]): (2, 0), (None, "another row"): (1, 0), (1, ""): (1, 1), (2, ""): (1, 1), (3, ""): (1, 1), (4, "none of these"): (1, 0)}
+
+
 def test_masks_cover_two_substitutions():
     width = max(m[-1] for m in decontamination.MASKS) + 1
     for bad in combinations(range(decontamination.WINDOW), 2):
