@@ -1,8 +1,9 @@
 """Media columns: interleaved documents as ordered structs of text and media references.
 
 parts() parses HTML into one row per part, in reading order; a media part names its payload by digest and
-carries its caption. A store keeps each payload once, under its SHA-256, as a lossless 8-bit greyscale PNG of 192 samples
-a row. resolve() joins parts and store by digest, and sequences() puts a page's parts back in order.
+carries its caption. A store keeps payloads under their SHA-256, each once a writing task, as lossless 8-bit greyscale PNGs of
+192 samples a row. features() reads the stored bytes back, one row a digest; resolve() joins parts and features by digest, and
+sequences() puts a page's parts back in order.
 """
 
 from __future__ import annotations
@@ -145,9 +146,10 @@ def padded(text: Column) -> Column:
 
 
 def store(payloads: DataFrame) -> DataFrame:
-    """(digest, media): each payload of payloads(payload) once, encoded, written to the shared folder.
+    """(digest, media): the payloads of payloads(payload), encoded straight into the shared folder, without a shuffle.
 
-    Encoding comes before the shuffle, which then moves compressed media, one a digest and task.
+    A task writes a digest once (copies that lie further apart than 100,000 payloads again); tasks that meet the same payload
+    each write it, with the same bytes. features() keeps one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +169,7 @@ def store(payloads: DataFrame) -> DataFrame:
                     digests, media = [], []
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
 
-    return stored(payloads.select("payload").mapInArrow(run, "digest string, media binary").dropDuplicates(["digest"]), "media")
+    return stored(payloads.select("payload").mapInArrow(run, "digest string, media binary"), "media")
 
 
 def read_back(media: DataFrame) -> DataFrame:
@@ -197,6 +199,11 @@ def read_back(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def features(media: DataFrame) -> DataFrame:
+    """read_back() of media(digest, media), one row a digest: copies of a payload have the same stored bytes, so any of their rows will do."""
+    return read_back(media).dropDuplicates(["digest"])
+
+
 def resolve(found: DataFrame, media: DataFrame) -> DataFrame:
     """parts with the columns of media (one row a digest) beside them; parts without a payload keep nulls.
 
@@ -219,8 +226,7 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length(F.coalesce("text", F.lit("")))
     html = F.concat(F.lit('<article><figure><img alt="text" src="sha256:'), F.sha2(payload, 256), F.lit('"><figcaption>'), size.cast("string"), F.lit("</figcaption></figure></article>"))
     found = parts(docs.select(F.col("doc_id").alias("page_id"), html.alias("html")))
-    features = read_back(store(docs.select(payload.alias("payload"))))
-    done = resolve(found.where("kind = 'media'"), features)
+    done = resolve(found.where("kind = 'media'"), features(store(docs.select(payload.alias("payload")))))
     return done.select(
         F.col("page_id").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256",
         "tail_crc32", "media_bytes", "media_sha256", "feature",

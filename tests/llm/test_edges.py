@@ -21,7 +21,7 @@ ROWS = [
 OPERATORS = {
     "mix": mixing.mix, "near_duplicates": jaccard.near_duplicates, "unique_lines": lines.unique_lines, "personal_data": pii.personal_data, "repeats": substrings.repeats,
     "scores": lambda d: scoring.scores(d, 3), "shard": sharding.shard,
-    "media": lambda d: media.resolve(media.parts(d.selectExpr("doc_id page_id", "text html")), media.read_back(media.store(d.select(media.padded(F.col("text")).alias("payload"))))),
+    "media": lambda d: media.resolve(media.parts(d.selectExpr("doc_id page_id", "text html")), media.features(media.store(d.select(media.padded(F.col("text")).alias("payload"))))),
 }
 ROW_FOR_ROW = {"mix", "near_duplicates", "unique_lines", "personal_data", "repeats", "scores", "shard"}
 
@@ -282,6 +282,14 @@ def test_html_sequences(spark):
     assert set(rows) == {1}
 
 
+def test_media_query_on_odd_rows(spark, docs, tmp_path):
+    """Repeated and missing ids, null texts, copies in several tasks: a row a row, equal texts with equal values."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = media.op4_media(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_bytes) for r in rows) == Counter((r[0], len((r[1] or "").encode())) for r in ROWS)
+    assert len({r[1:] for r in rows}) == len({r[1] or "" for r in ROWS}) and all(r.media_sha256 for r in rows)
+
+
 def test_words_and_hashes():
     texts = ["Ab  c\td", None, "", "é x", "  zz", "ab c d", "x" * 3_000_000 + " y"]
     w = tk.split_words(pa.array(texts), lower=True)
