@@ -7,20 +7,19 @@ A document's set is that of its distinct `k`-word shingles, kept as 64-bit hashe
    bits or more). Documents with equal digests are one node, so copies cost nothing further.
 2. A link needs a shared shingle among the rarest n - ceil(percent * n / 100) + 1 of each set, in any one order of all
    shingles. The order puts shingles from crowded hash buckets last, which keeps common passages out. A node is dealt to
-   the groups of its rarest shingles, and groups with one node end there.
-3. Each group first holds its nodes against its least one (a star, linear in the group). Groups whose nodes are by then all in
-   one component are done.
-4. The others, gathered by their largest component so that a pair meets once or a few times, become signature trees: nodes sorted by size, joined
+   the groups of its rarest shingles. A shingle's place in that order bounds the overlap of a pair that meets there first, and so the
+   sizes of the partners that it can bring; groups are cut where sizes leave no pair, and groups with one node end there.
+3. All nodes that meet in groups with the same least member become one signature tree: nodes sorted by size, joined
    bottom-up; each tree node holds the OR of the bitmaps below it and their range of sizes. Two tree nodes are
-   entered together only if the largest overlap that their bitmaps and sizes allow can make a link, and they don't lie in one
-   component. Nodes that keep a possible partner are fetched with their whole sets, in trees again: pairs are verified at once, and a link joins their components, so that what a
-   tree gives out is a forest: fewer links than it has nodes.
+   entered together only if the largest overlap that their bitmaps and sizes allow can make a link.
+4. Nodes that keep a possible partner are fetched with their whole sets, in trees again. Pairs that the trees let through are verified at
+   once; one that meets in several trees is judged in the first one only. A tree gives out each node's number of links, and as many links as
+   join its components.
 5. Distributed union-find joins all links.
 
-That gives components. link_pairs() and link_counts() need every link: they leave no group out for being in one component, prune by
-sizes and bitmaps only, and verify all that is left. Their links can be as many as the pairs of a group.
-
-Trees beyond CHUNK nodes are cut into chunks, and each pair of chunks is a work item of its own, so no task holds more than two.
+link_pairs() gives out every link instead. Their number can be that of the pairs of a group; all else is linear in rows and in the
+nodes' trees. Trees beyond CHUNK nodes or CHUNK_ITEMS shingles are cut into chunks, and each pair of chunks is a work item of its own,
+so no task holds more than two.
 """
 
 from __future__ import annotations
@@ -37,13 +36,16 @@ from millrace.llm import tokens as tk
 from millrace.llm.common import components, discard, free_name, stored, table
 
 SHINGLE, PERCENT = 5, 80
-CHUNK, FAN = 4096, 16
+#: A chunk of a tree holds about so many nodes, and so many shingles, at most.
+CHUNK, CHUNK_ITEMS, FAN = 4096, 1 << 21, 16
 #: Hash buckets whose counts order the shingles.
-BUCKET_BITS = 16
+BUCKET_BITS = 18
 #: Bits of the filter that keeps documents without candidates from being read again; a full one only saves less.
 FILTER_WORDS = 1 << 16
 U = tk.U
 LOW = U((1 << (64 - BUCKET_BITS)) - 1)
+#: Above every set size.
+BIG = 1 << 31
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -77,11 +79,11 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "node", "digest", "bits", "counts"]
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        total = np.zeros(1 << BUCKET_BITS, np.int32)  # a task reads far fewer than 2**31 shingles
         for batch in batches:
             for b in tk.slices(batch):
                 sets = shingle_sets(b.column("text"), k)
-                total += np.bincount((np.concatenate(sets) >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
+                total += np.bincount((np.concatenate(sets) >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total)).astype(np.int32)
                 sums = [tk.signed(np.array([digest(s, salt) for s in sets], U)) for salt in (1, 2)]
                 bits = pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *sums, bits, pa.nulls(b.num_rows, pa.binary())], names)
@@ -93,14 +95,17 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
 def bucket_order(counts: DataFrame) -> np.ndarray:
     """The rank of each hash bucket, the least crowded first, from counts(counts). Its size is fixed."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for b in batches:
-            for x in b.column("counts"):
-                total += np.frombuffer(x.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+    def add(kind: type) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 << BUCKET_BITS, np.int64)
+            for b in batches:
+                for x in b.column("counts"):
+                    total += np.frombuffer(x.as_buffer(), kind)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+        return run
 
-    row = counts.mapInArrow(add, "counts binary").repartition(1).mapInArrow(add, "counts binary").first()
+    row = counts.mapInArrow(add(np.int32), "counts binary").repartition(1).mapInArrow(add(np.int64), "counts binary").first()
     rank = np.empty(1 << BUCKET_BITS, U)
     rank[np.argsort(np.frombuffer(row[0], np.int64), kind="stable")] = np.arange(1 << BUCKET_BITS, dtype=U)
     return rank
@@ -112,13 +117,16 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
-    """(key, node, n): each set's rarest shingles, as many as a link needs one of. Copies in one task are left out."""
+    """(key, node, n, most): each set's rarest shingles, as many as a link needs one of. Copies in one task are left out.
+
+    most: the largest set that can link to this one if this is the first shingle, in order, that they share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = shared.value, set()
         for batch in batches:
             for b in tk.slices(batch):
-                keys, nodes, sizes = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
+                keys, nodes, sizes, most = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for s in shingle_sets(b.column("text"), k):
                     node = digest(s, 1)
                     if len(s) and node not in seen:
@@ -127,48 +135,54 @@ def prefixes(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
                         seen.add(node)
                         o = (rank[(s >> U(64 - BUCKET_BITS)).astype(np.int64)] << U(64 - BUCKET_BITS)) | (s & LOW)
                         p = len(s) - int(needed(len(s), percent)) + 1
-                        keys.append(np.partition(o, p - 1)[:p])
+                        keys.append(np.sort(np.partition(o, p - 1)[:p]))
                         nodes.append(np.full(p, node)), sizes.append(np.full(p, len(s)))
-                yield pa.RecordBatch.from_arrays([tk.signed(np.concatenate(keys)), tk.signed(np.concatenate(nodes)), pa.array(np.concatenate(sizes).astype(np.int32))], ["key", "node", "n"])
+                        most.append((100 + percent) * (len(s) - np.arange(p)) // percent - len(s))
+                columns = [tk.signed(np.concatenate(keys)), tk.signed(np.concatenate(nodes)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (sizes, most))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "n", "most"])
 
-    return docs.mapInArrow(run, "key long, node long, n int")
+    return docs.mapInArrow(run, "key long, node long, n int, most int")
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """(key, node, n, hub) of the groups of rows(key, node, n) that have two nodes or more; hub: the group's least node.
+    """(tree, node, n) of the groups of rows(key, node, n, most) that can hold a link; tree: the group's first node.
 
-    Rows come sorted by key, then node, and stream through: a group's state is its first row.
+    Rows come sorted by key, then size, and stream through. A group is cut before a row that no earlier one allows as a partner. Rows
+    that allow no earlier one go too, and what then stands alone. A cut group's state is its first row and its reach.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the previous batch's last group: key, hub, its last node, and the hub's row while it is still alone
+        last = None  # the previous batch's last cut group: key, its first node and size, its reach, its last node, and whether the first node is still alone
         for b in batches:
             if not b.num_rows:
                 continue
-            key, node, n = (b.column(c).to_numpy() for c in ("key", "node", "n"))
+            key, node, n, most = (b.column(c).to_numpy() for c in ("key", "node", "n", "most"))
+            again = np.concatenate([[last is not None and key[0] == last[0] and node[0] == last[4]], (key[1:] == key[:-1]) & (node[1:] == node[:-1])])
+            if again.any():
+                key, node, n, most = (x[~again] for x in (key, node, n, most))
+                if not len(key):
+                    continue
             start = np.concatenate([[last is None or key[0] != last[0]], key[1:] != key[:-1]])
-            again = np.concatenate([[last is not None and key[0] == last[0] and node[0] == last[2]], (key[1:] == key[:-1]) & (node[1:] == node[:-1])])
-            group = np.cumsum(start)  # 0 goes on with the last batch's group
+            group = np.cumsum(start).astype(np.int64)  # 0 goes on with the last batch's group
+            reach = np.maximum.accumulate(np.concatenate([[-1 if last is None else last[3]], group * BIG + most]))
+            start |= n > reach[:-1] - group * BIG
+            part = np.cumsum(start)
             at = np.flatnonzero(start)
-            hub = np.concatenate([[0 if last is None else last[1]], node[at]])[group]
-            new = ~again
-            size = np.bincount(group, new, len(at) + 1).astype(int)
-            size[0] += 0 if last is None else (1 if last[3] is not None else 2)
-            keep = new & (size[group] > 1)
-            # A group that may go on into the next batch: hold its first row back while it is alone.
-            held = None
-            if size[group[-1]] == 1:
-                held = last[3] if group[-1] == 0 else int(n[at[-1]])
-            before = ([], [], [], [])
-            if last is not None and last[3] is not None and size[0] > 1:
-                before = ([last[0]], [last[1]], [last[3]], [last[1]])
-            last = (key[-1], hub[-1], node[-1], held)
-            columns = [np.concatenate([np.array(x, y.dtype), y[keep]]) for x, y in zip(before, (key, node, n, hub), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "hub"])
+            first, least = np.concatenate([[0 if last is None else last[1]], node[at]])[part], np.concatenate([[0 if last is None else last[2]], n[at]])[part]
+            able = start | (most >= least)
+            size = np.bincount(part, able, len(at) + 1)
+            size[0] += 0 if last is None else 2 - last[5]
+            alone = bool(size[part[-1]] == 1)
+            keep = able & (size[part] > 1)
+            before = ([], [], [])
+            if last is not None and last[5] and size[0] > 1:
+                before = ([last[1]], [last[1]], [last[2]])
+            last = (key[-1], first[-1], least[-1], int(reach[-1] - group[-1] * BIG), node[-1], alone)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(x, y.dtype), y[keep]])) for x, y in zip(before, (first, node, n), strict=True)], ["tree", "node", "n"])
 
     spark = rows.sparkSession
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, "key long, node long, n int, hub long")
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "n", "node")
+    return dealt.mapInArrow(run, "tree long, node long, n int")
 
 
 def fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -184,7 +198,7 @@ def may_link(n_a, n_b, most, percent: int) -> np.ndarray:
 class Tree:
     """A signature-tree node: the members at [low, high), their sizes, their OR, and how far sizes exceed set bits."""
 
-    def __init__(self, low: int, high: int, below: list[Tree], sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray):
+    def __init__(self, low: int, high: int, below: list[Tree], sizes: np.ndarray, maps: list[np.ndarray]):
         self.low, self.high, self.below = low, high, below
         self.least, self.most = int(sizes[low]), int(sizes[high - 1])
         parts = [t.bits for t in below] if below else maps[low:high]
@@ -194,34 +208,24 @@ class Tree:
             self.slack = max(t.slack for t in below)
         else:  # folding hides bits, so it is counted anew
             self.slack = max(int(sizes[i]) - int(np.bitwise_count(fold(maps[i], words)).sum()) for i in range(low, high))
-        inside = np.unique(labels[low:high]) if not below else np.unique([x for t in below for x in ((t.label,) if t.label is not None else (0, 1))])
-        self.label = int(inside[0]) if len(inside) == 1 else None
 
 
-def grow(sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray) -> Tree:
-    """A tree over members sorted by size."""
-    level = [Tree(i, min(i + FAN, len(sizes)), [], sizes, maps, labels) for i in range(0, len(sizes), FAN)]
+def grow(low: int, high: int, sizes: np.ndarray, maps: list[np.ndarray]) -> Tree:
+    """A tree over the members [low, high), which are sorted by size."""
+    level = [Tree(i, min(i + FAN, high), [], sizes, maps) for i in range(low, high, FAN)]
     while len(level) > 1:
-        level = [Tree(c[0].low, c[-1].high, c, sizes, maps, labels) for c in (level[i : i + FAN] for i in range(0, len(level), FAN))]
+        level = [Tree(c[0].low, c[-1].high, c, sizes, maps) for c in (level[i : i + FAN] for i in range(0, len(level), FAN))]
     return level[0]
 
 
-class Forest:
-    """Union-find over labels, within one task."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        while (p := self.parent.get(x, x)) != x:
-            self.parent[x] = self.parent.get(p, p)
-            x = p
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.parent[max(x, y)] = min(x, y)
-        return x != y
+def let_through(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of members (left x right) may link: each bit that only one has is at least one shingle that only it has."""
+    words = min(len(maps[i]) for side in (left, right) for i in side)
+    p, q = (np.stack([fold(maps[i], words) for i in side]) for side in (left, right))
+    only_p = np.bitwise_count(p[:, None] & ~q[None]).sum(axis=2, dtype=np.int64)
+    only_q = np.bitwise_count(~p[:, None] & q[None]).sum(axis=2, dtype=np.int64)
+    a, b = sizes[left][:, None], sizes[right][None]
+    return may_link(a, b, np.minimum(np.minimum(a - only_p, b - only_q), np.minimum(a, b)), percent)
 
 
 def descend(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], percent: int, done: Callable[[Tree, Tree], bool]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -234,9 +238,8 @@ def descend(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], percent
         a, b = pairs.pop()
         if done(a, b) or percent * a.least > 100 * b.most or percent * b.least > 100 * a.most:
             continue
-        words = min(len(a.bits), len(b.bits))
         most = min(a.most, b.most)
-        if len(a.bits) == len(b.bits):
+        if len(a.bits) == len(b.bits) and a is not b:
             # A member's bits outside the other's OR are shingles that it doesn't share; slack counts those that share a bit.
             most = min(most, int(np.bitwise_count(a.bits & b.bits).sum()) + min(a.slack, b.slack))
         if not may_link(a.least, b.least, most, percent):
@@ -250,47 +253,17 @@ def descend(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], percent
                 pairs += [(a, t) for t in b.below]
             continue
         left, right = np.arange(a.low, a.high), np.arange(b.low, b.high)
-        p, q = (np.stack([fold(maps[i], words) for i in side]) for side in (left, right))
-        only_p = np.bitwise_count(p[:, None] & ~q[None]).sum(axis=2, dtype=np.int64)
-        only_q = np.bitwise_count(~p[:, None] & q[None]).sum(axis=2, dtype=np.int64)
-        most = np.minimum(sizes[left][:, None] - only_p, sizes[right][None] - only_q)
-        near = may_link(sizes[left][:, None].astype(np.int64), sizes[right][None].astype(np.int64), most, percent)
+        near = let_through(left, right, sizes, maps, percent)
         i, j = np.nonzero(np.triu(near, 1) if a is b else near)
         if len(i):
             yield left[i], right[j]
 
 
-def traverse(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Links between members of x and of y, each of which joins two components."""
-    forest = Forest()
-    one = lambda a, b: a.label is not None and b.label is not None and forest.find(a.label) == forest.find(b.label)
-    for left, right in descend(x, y, sizes, maps, percent, one):
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            p, q = int(labels[i]), int(labels[j])
-            if forest.find(p) != forest.find(q) and linked(sets[i], sets[j], percent):
-                forest.join(p, q)
-                yield i, j
-
-
-def every_link(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """All links between members of x and of y."""
-    for left, right in descend(x, y, sizes, maps, percent, lambda a, b: False):
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            if linked(sets[i], sets[j], percent):
-                yield i, j
-
-
-def survivors(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray, percent: int) -> np.ndarray:
-    """Which members have a possible partner of another label in the other tree."""
+def survivors(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which members have a possible partner in the other tree."""
     marked = np.zeros(len(sizes), bool)
-
-    def done(a: Tree, b: Tree) -> bool:
-        same = a.label is not None and a.label == b.label
-        return same or bool(marked[a.low : a.high].all() and marked[b.low : b.high].all())
-
-    for i, j in descend(x, y, sizes, maps, percent, done):
-        other = labels[i] != labels[j]
-        marked[i[other]] = marked[j[other]] = True
+    for i, j in descend(x, y, sizes, maps, percent, lambda a, b: bool(marked[a.low : a.high].all() and marked[b.low : b.high].all())):
+        marked[i] = marked[j] = True
     return marked
 
 
@@ -300,91 +273,165 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def bound_passes(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two members may link: each bit that only one has is at least one shingle that only it has."""
-    words = min(len(a), len(b))
-    a, b = fold(a, words), fold(b, words)
-    most = min(int(n_a) - int(np.bitwise_count(a & ~b).sum()), int(n_b) - int(np.bitwise_count(b & ~a).sum()))
-    return bool(may_link(int(n_a), int(n_b), most, percent))
+def verified(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the pairs of members link, by their whole sets."""
+    members, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    size = np.array([len(sets[i]) for i in members])
+    if len(left) < 6 or size.sum() > 100_000:
+        return np.array([linked(sets[i], sets[j], percent) for i, j in zip(left.tolist(), right.tolist(), strict=True)], bool)
+    items, place = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
+    has = np.zeros((len(members), len(items)), np.float32)
+    has[np.repeat(np.arange(len(members)), size), place] = 1
+    i, j = at[: len(left)], at[len(left) :]
+    both = (has @ has.T)[i, j].astype(np.int64)
+    return 100 * both >= percent * (size[i] + size[j] - both)
+
 
+class Judge:
+    """Verifies a work item's pairs. trees: each member's trees, of which a pair is judged in the least that both have (None: in this one).
 
-def _work(rows: DataFrame) -> DataFrame:
-    """rows(tree, ..) as work items (tree, x, y): each pair of a tree's chunks of CHUNK rows, `mine` telling a row's chunk."""
-    sizes = rows.groupBy("tree").agg(F.count("*").alias("members"))
-    rows = rows.join(sizes, "tree").withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int"))
+    links: as many as join what links join, or all if `every`; found: each member's links, counted if `whole`. Else pairs
+    in one component need no look.
+    """
+
+    def __init__(self, tree: int, trees: list[frozenset] | None, sets: list[np.ndarray], percent: int, whole: bool, every: bool):
+        self.tree, self.sets, self.percent, self.whole, self.every = tree, sets, percent, whole, every
+        self.root, self.found, self.links = np.arange(len(sets)), np.zeros(len(sets), np.int64), []
+        kinds: dict[frozenset, int] = {}
+        self.kind = np.array([kinds.setdefault(t, len(kinds)) for t in trees]) if trees else None
+        self.kinds, self.mine = list(kinds), {}
+
+    def done(self, a: Tree, b: Tree) -> bool:
+        if self.whole:
+            return False
+        x, y, r = self.root[a.low : a.high], self.root[b.low : b.high], self.root[a.low]
+        return bool((x == r).all() and (y == r).all())
+
+    def is_mine(self, code: int) -> bool:
+        if code not in self.mine:
+            p, q = divmod(code, len(self.kinds))
+            self.mine[code] = min(self.kinds[p] & self.kinds[q]) == self.tree
+        return self.mine[code]
+
+    def take(self, left: np.ndarray, right: np.ndarray) -> None:
+        ok = np.ones(len(left), bool) if self.whole else self.root[left] != self.root[right]
+        if self.kind is not None:
+            code, at = np.unique(self.kind[left] * len(self.kinds) + self.kind[right], return_inverse=True)
+            ok &= np.array([self.is_mine(c) for c in code.tolist()])[at]
+        left, right = left[ok], right[ok]
+        ok = verified(left, right, self.sets, self.percent) if len(left) else ok[:0]
+        left, right = left[ok], right[ok]
+        if self.whole:
+            np.add.at(self.found, np.concatenate([left, right]), 1)
+        if self.every:
+            self.links += zip(left.tolist(), right.tolist(), strict=True)
+            return
+        for at in np.flatnonzero(self.root[left] != self.root[right]).tolist():
+            i, j = int(left[at]), int(right[at])
+            p, q = self.root[i], self.root[j]
+            if p != q:
+                self.root[self.root == max(p, q)] = min(p, q)
+                self.links.append((i, j))
+
+
+def work_items(rows: DataFrame) -> DataFrame:
+    """rows(tree, node, n) as work items (.., x, y, mine): each pair of a tree's chunks, `mine` telling a row's chunk. Trees of one node are left out."""
+    sizes = rows.groupBy("tree").agg(F.count("*").alias("members"), F.sum("n").alias("items")).where("members > 1")
+    chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("items") / CHUNK_ITEMS)).cast("int")
+    rows = rows.join(sizes.select("tree", chunks.alias("chunks")), "tree")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return rows.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).drop("members", "chunks", "other")
+    return rows.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).drop("chunks", "other")
+
 
+def per_item(rows: DataFrame, run: Callable[[int, int, int, dict], pa.RecordBatch | None], columns: list[str], schema: str) -> DataFrame:
+    """run(tree, x, y, columns) for each work item of rows(tree, x, y, ..): the columns as Arrow arrays. Items stream by; one is held at a time."""
 
-def _grown(key: tuple, t: pa.Table, n: np.ndarray, maps: list[np.ndarray]) -> tuple | None:
-    """The trees of a work item's one or two chunks, and its members' places in the table, in the trees' order; None if a chunk is empty."""
-    node, label, mine = (t.column(c).to_numpy() for c in ("node", "label", "mine"))
-    sides = [np.flatnonzero(mine == k) for k in dict.fromkeys(k.as_py() for k in key[1:])]  # Spark gives Arrow scalars, which equal no number
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tree, x, y = (b.column(c).to_numpy() for c in ("tree", "x", "y"))
+            cut = np.flatnonzero((tree[1:] != tree[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(tree)], strict=True):
+                key = int(tree[i]), int(x[i]), int(y[i])
+                if key != last and held:
+                    yield from said(last, held)
+                    held = []
+                held.append(b.slice(i, j - i))
+                last = key
+        if held:
+            yield from said(last, held)
+
+    def said(key: tuple, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        if table.num_rows > 1 and (got := run(*key, {c: table.column(c) for c in columns})) is not None:
+            yield got
+
+    keys = ["tree", "x", "y"]
+    dealt = rows.select(*keys, *columns).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(whole, schema)
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(i.as_buffer(), U) for i in column]
+
+
+def grown(x: int, y: int, mine: np.ndarray, node: np.ndarray, n: np.ndarray, maps: list[np.ndarray]) -> tuple | None:
+    """The trees of a work item's one or two chunks, and its members' places, in the trees' order; None if a chunk is empty."""
+    sides = [np.flatnonzero(mine == k) for k in dict.fromkeys((x, y))]
     if not all(map(len, sides)):
         return None
     order = np.concatenate([side[np.lexsort((node[side], n[side]))] for side in sides])
-    n, maps, label = n[order], [maps[i] for i in order], label[order]
-    cuts = [0, len(sides[0]), len(order)]
-    trees = [_moved(grow(n[i:j], maps[i:j], label[i:j]), i) for i, j in zip(cuts[: len(sides)], cuts[1:], strict=False)]
-    return trees[0], trees[-1], n, maps, label, order
+    n, maps = n[order], [maps[i] for i in order]
+    trees = [grow(0, len(sides[0]), n, maps)]
+    if len(sides) > 1:
+        trees.append(grow(len(sides[0]), len(order), n, maps))
+    return trees[0], trees[-1], n, maps, order
 
 
 def tree_survivors(rows: DataFrame, percent: int) -> DataFrame:
-    """(tree, node, label): the nodes of rows(tree, node, label, n, bits) that sizes and bitmaps leave a possible partner."""
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        maps = [np.frombuffer(i.as_buffer(), U) for i in t.column("bits").combine_chunks()]
-        got = _grown(key, t, t.column("n").to_numpy().astype(np.int64), maps)
-        kept = np.zeros(0, int)
-        if got:
-            x, y, n, maps, label, order = got
-            kept = order[survivors(x, y, n, maps, label, percent)]
-        return t.select(["tree", "node", "label"]).take(pa.array(kept))
-
-    return _work(rows.select("tree", "node", "label", "n", "bits")).groupBy("tree", "x", "y").applyInArrow(run, "tree long, node long, label long").distinct()
+    """(tree, node, n): the nodes of the work items rows(tree, x, y, mine, node, n, bits) that sizes and bitmaps leave a possible partner."""
 
+    def run(tree: int, x: int, y: int, c: dict) -> pa.RecordBatch | None:
+        node, n = c["node"].to_numpy(), c["n"].to_numpy()
+        if got := grown(x, y, c["mine"].to_numpy(), node, n.astype(np.int64), _arrays(c["bits"])):
+            *trees, sizes, maps, order = got
+            kept = order[survivors(*trees, sizes, maps, percent)]
+            if len(kept):
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), tree)), pa.array(node[kept]), pa.array(n[kept])], ["tree", "node", "n"])
 
-def tree_links(rows: DataFrame, percent: int, whole: bool = False) -> DataFrame:
-    """(a, b): links between nodes of rows(tree, node, label, items), as many as join all of a tree's labels that links can join.
+    return per_item(rows, run, ["mine", "node", "n", "bits"], "tree long, node long, n int").distinct()
 
-    whole: all links instead. items: the node's sorted 64-bit shingle hashes.
-    """
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        items = [np.frombuffer(i.as_buffer(), U) for i in t.column("items").combine_chunks()]
-        got = _grown(key, t, np.array([len(i) for i in items], np.int64), [np.frombuffer(bitmap(i), U) for i in items])
-        a = b = np.zeros(0, np.int64)
-        if got:
-            x, y, n, maps, label, order = got
-            node = t.column("node").to_numpy()[order]
-            sets = [items[i] for i in order]
-            pairs = every_link(x, y, n, maps, sets, percent) if whole else traverse(x, y, n, maps, label, sets, percent)
-            i, j = np.fromiter(pairs, np.dtype((np.int64, 2))).T
-            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        return pa.table({"a": a, "b": b})
-
-    return _work(rows.select("tree", "node", "label", "items")).groupBy("tree", "x", "y").applyInArrow(run, "a long, b long")
 
+def tree_links(rows: DataFrame, percent: int, whole: bool = False, every: bool = False, sets_from: Callable[[pa.Array], list[np.ndarray]] = _arrays) -> DataFrame:
+    """(a, b, node, found): links (a, b) between nodes of the work items rows(tree, x, y, mine, node, trees, items), and nodes with the links found there.
 
-def mixed_trees(groups: DataFrame, labels: DataFrame, whole: bool = False) -> DataFrame:
-    """(tree, node, label): the nodes of groups(key, node) that hold several components, gathered by their largest one.
-
-    whole: the nodes of all groups of more than two, each its own label, so that nothing is left out for being in one component.
-    labels(node, component) of the nodes that have links. Two nodes of a group are in one tree. A cluster's groups mostly
-    agree on its largest component, so that its nodes come together once, not once a group.
+    items: what sets_from() makes each node's sorted 64-bit shingle hashes of. trees (all of the node's trees) only matters if whole. Links
+    are as many as join a work item's components, or all if every; nodes' links are counted if whole.
     """
-    labelled = groups.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    per = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.max_by("label", F.struct("c", "label")).alias("tree"))
-    wanted = mixed.where("c > 2" if whole else "parts > 1 and c > 2").select("key", "tree")
-    return labelled.join(wanted, "key").select("tree", "node", F.col("node" if whole else "label").alias("label")).distinct()
-
 
-def _moved(t: Tree, by: int) -> Tree:
-    t.low, t.high = t.low + by, t.high + by
-    for s in t.below:
-        _moved(s, by)
-    return t
+    def run(tree: int, x: int, y: int, c: dict) -> pa.RecordBatch | None:
+        node, sets = c["node"].to_numpy(), sets_from(c["items"])
+        got = grown(x, y, c["mine"].to_numpy(), node, np.array([len(i) for i in sets], np.int64), [np.frombuffer(bitmap(i), U) for i in sets])
+        if not got:
+            return None
+        *trees, sizes, maps, order = got
+        of = [frozenset(t) for t in c["trees"].take(pa.array(order)).to_pylist()] if whole else None
+        judge = Judge(tree, of, [sets[i] for i in order], percent, whole, every)
+        for left, right in descend(*trees, sizes, maps, percent, judge.done):
+            judge.take(left, right)
+        some = np.flatnonzero(judge.found)
+        i, j = np.array(judge.links, np.int64).reshape(-1, 2).T
+        node = node[order]
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        if len(a) + len(some):
+            none = lambda k: pa.nulls(k, pa.int64())
+            columns = [[pa.array(a), none(len(some))], [pa.array(b), none(len(some))], [none(len(a)), pa.array(node[some])], [none(len(a)), pa.array(judge.found[some])]]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "node", "found"])
+
+    columns = ["mine", "node", *["trees"] * whole, "items"]
+    return per_item(rows, run, columns, "a long, b long, node long, found long")
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -413,56 +460,33 @@ def sets_of(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return stored(found.select("node", "items"), "jaccard-sets")
 
 
-def star_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs(a, b) that link: sizes and bitmaps sift them, whole sets decide. nodes(node, rid, n, bits)."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True)
-            ok = [bound_passes(x, y, np.frombuffer(p, U), np.frombuffer(q, U), percent) for x, y, p, q in rows]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{percent} * greatest(n_a, n_b) <= 100 * least(n_a, n_b)")
-    near = stored(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(sift, "a long, b long"), "jaccard-near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rid"), "node")
-    sets = sets_of(wanted, docs, k)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [linked(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent) for x, y in zip(b.column("items_a"), b.column("items_b"), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    full = near.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
-    links = stored(full.select("a", "b", "items_a", "items_b").mapInArrow(compare, "a long, b long"), "jaccard-links")
-    discard(near, sets)
-    return links
-
+def joined(docs: DataFrame, k: int, percent: int, whole: bool = True, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """rows(doc_id, n, node, ..) of docs, nodes(node, rid, n, bits), links(a, b) between nodes, and counts(node, found) of each node's links.
 
-def joined(docs: DataFrame, k: int, percent: int, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows(doc_id, n, node, ..) of docs, nodes(node, rid, n, bits), and links(a, b) between nodes: all if whole, else enough to join components."""
+    Links are enough to join components, or all if every; counts are whole if `whole`, else empty.
+    """
     found = stored(profile(docs, k), "jaccard-profile")
     rows = found.where("n is not null").select("doc_id", "n", "node", "digest", "bits")
     shared = docs.sparkSession.sparkContext.broadcast(bucket_order(found.where("counts is not null").select("counts")))
     nodes = rows.where("n > 0 and doc_id is not null").groupBy("node", "digest").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = stored(nodes.drop("digest"), "jaccard-nodes")
 
-    kept = stored(groups(prefixes(docs.where("doc_id is not null"), k, percent, shared)), "jaccard-groups")
-    stars = kept.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = star_links(stars, nodes, docs, k, percent)
-    first = stored(components(links), "jaccard-first")
-    trees = tree_survivors(mixed_trees(kept, first, whole).join(nodes.select("node", "n", "bits"), "node"), percent)
+    met = groups(prefixes(docs.where("doc_id is not null"), k, percent, shared)).groupBy("tree", "node").agg(F.first("n").alias("n"))
+    met = stored(met, "jaccard-groups")
+    trees = tree_survivors(work_items(met).join(nodes.select("node", "bits"), "node"), percent)
     trees = stored(trees, "jaccard-trees")
-    discard(kept, first)
+    discard(met)
     sets = sets_of(trees.select("node").distinct().join(nodes.select("node", "rid"), "node"), docs, k)
-    more = stored(tree_links(trees.join(sets, "node"), percent, whole), "jaccard-more")
+    if whole:  # a node's trees are fewer than its set's shingles
+        sets = sets.join(trees.groupBy("node").agg(F.collect_set("tree").alias("trees")), "node")
+    links = stored(tree_links(work_items(trees).join(sets, "node"), percent, whole, every), "jaccard-links")
     discard(trees, sets)
-    every = links.union(more)
-    return rows, nodes, every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if whole else every
+    counts = links.where("node is not null").groupBy("node").agg(F.sum("found").alias("found"))
+    return rows, nodes, links.where("a is not null").select("a", "b"), counts
 
 
-def labelled(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id): a row per row of joined()'s rows."""
+def labelled(rows: DataFrame, nodes: DataFrame, links: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): a row per row of joined()'s rows."""
     # Rows of one doc_id are one document, which may have several nodes.
     same = rows.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b and doc_id is not null").select("doc_id")
     same = rows.where("n > 0").join(same, "doc_id").select("doc_id", F.col("node").alias("b"))
@@ -470,43 +494,40 @@ def labelled(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     parts = components(links.union(same))
     least = parts.join(nodes.select("node", "rid"), "node").groupBy("component").agg(F.min("rid").alias("least"))
     final = parts.join(least, "component").select("node", "least")
-    label = nodes.groupBy("node").agg(F.min("rid").alias("rid")).join(final, "node", "left").select("node", F.coalesce("least", "rid").alias("component_id"))
-    return (
-        rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(label, "node", "left")
-        .select("doc_id", "n_shingles", "node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    label = nodes.groupBy("node").agg(F.min("rid").alias("rid")).join(final, "node", "left").join(counts, "node", "left")
+    # Stored, so that nothing above the join with rows keeps a group of copies from being split.
+    label = stored(label.select("node", F.coalesce("least", "rid").alias("component_id"), F.coalesce("found", F.lit(0)).alias("n_links")), "jaccard-labels")
+    own = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    return rows.select("doc_id", "n", "node").join(label, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(own, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
     )
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id (the least doc_id that links lead to).
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id (the least doc_id that links lead to), n_links.
 
-    A text without words (null, empty, blank) has no shingles and no links. Rows that share a doc_id are one document: what one links
-    to, all do. A row without a doc_id has no links and component null.
+    n_links: how many other shingle sets in the table the row's own set links to. A text without words (null, empty, blank) has no shingles and no
+    links. Rows that share a doc_id are one document: what one links to, all do; each row's n_links is that of its own text. A row without a doc_id has no links and component null.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return labelled(*joined(docs, k, percent)).drop("node")
+    return labelled(*joined(docs, k, percent))
 
 
 def link_pairs(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_a, doc_b, node_a, node_b): every link between different shingle sets once, each set by its digest and the least doc_id that has it."""
-    _, nodes, links = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent, whole=True)
+    _, nodes, links, _ = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent, every=True)
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("rid").alias(f"doc_{c}"))
     return links.join(side("a"), "a").join(side("b"), "b").select("doc_a", "doc_b", F.col("a").alias("node_a"), F.col("b").alias("node_b"))
 
 
-def link_counts(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """near_duplicates() from the whole join, with n_links: how many other shingle sets in the table the row's own links to."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, nodes, links = joined(docs, k, percent, whole=True)
-    links = stored(links, "jaccard-whole")
-    count = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("found"))
-    done = labelled(rows, nodes, links).join(count, "node", "left")
-    return done.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("found", F.lit(0))).alias("n_links"))
-
-
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is their component's, once; texts without words and rows without doc_id stay."""
-    found = near_duplicates(docs, k, percent).where("doc_id is not null and component_id = doc_id").select("doc_id").distinct()
+    """The rows of docs whose doc_id is their component's, once; texts without words and rows without doc_id stay.
+
+    Only components matter here, so that pairs already in one are left alone.
+    """
+    rows, nodes, links, counts = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent, whole=False)
+    found = labelled(rows, nodes, links, counts).where("doc_id is not null and component_id = doc_id").select("doc_id").distinct()
     first = W.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
     place = free_name(docs, "_place")
     kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
@@ -518,10 +539,6 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_counts(table(spark, sf_dir, "documents", "doc_id", "text"))
-
-
 ORACLE = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
@@ -531,15 +548,10 @@ s AS (
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 inter AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM inter JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= {PERCENT} * (na.n + nb.n - i)),
+class AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY t) AS c FROM s GROUP BY doc_id),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = w.doc_id) AS component_id
-FROM w LEFT JOIN n ON n.doc_id = w.doc_id
-"""
-
-ORACLE_LINKS = ORACLE.rsplit("SELECT w.doc_id", 1)[0].replace(
-    "both_ways AS", "class AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY t) AS c FROM s GROUP BY doc_id),\nboth_ways AS"
-) + """SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = w.doc_id) AS component_id, coalesce(found.n, 0) AS n_links
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = w.doc_id) AS component_id, coalesce(found.n, 0) AS n_links
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id
 LEFT JOIN (SELECT l.a, count(DISTINCT y.c) AS n FROM both_ways l JOIN class x ON x.doc_id = l.a JOIN class y ON y.doc_id = l.b WHERE x.c <> y.c GROUP BY l.a) found ON found.a = w.doc_id
 """

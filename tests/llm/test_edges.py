@@ -160,23 +160,55 @@ def test_every_link_is_given_out(spark, monkeypatch, chunk):
     df = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (99, "")], "doc_id long, text string").repartition(3)
     got = [tuple(sorted((r.doc_a, r.doc_b))) for r in jaccard.link_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == near
-    rows = {r.doc_id: r for r in jaccard.link_counts(df).collect()}
+    rows = {r.doc_id: r for r in jaccard.near_duplicates(df).collect()}
     assert [rows[i].n_links for i in range(len(texts))] == [count[first[s]] for s in sets] and rows[None].n_links == rows[99].n_links == 0
     assert [rows[i].component_id for i in range(len(texts))] == brute_components(texts)
+    kept = {r.doc_id for r in jaccard.one_of_each(df.where("doc_id < 99")).collect()}
+    assert kept == set(brute_components(texts))
 
 
-def test_tree_alone_finds_every_component():
-    texts = random_sets(5, 240, 3)
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_trees_through_spark(spark, monkeypatch, chunk):
+    """One tree of texts that partly link, over Spark: survivors lose no link, links join all components, counts are whole."""
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    texts = list(dict.fromkeys(random_sets(7, 160, 4)))
     sets = jaccard.shingle_sets(pa.array(texts), 5)
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sets = [sets[i] for i in order]
-    n, maps = np.array([len(s) for s in sets]), [np.frombuffer(jaccard.bitmap(s), np.uint64) for s in sets]
-    tree = jaccard.grow(n, maps, np.arange(len(sets)))
-    forest = jaccard.Forest()
-    links = list(jaccard.traverse(tree, tree, n, maps, np.arange(len(sets)), sets, 80))
-    assert all(forest.join(i, j) for i, j in links)
-    want = brute_components([texts[i] for i in order])
-    assert [forest.find(i) for i in range(len(sets))] == want
+    near = {(i, j) for i, j in combinations(range(len(sets)), 2) if jaccard.linked(sets[i], sets[j], 80)}
+    rows = [(0, i, len(s), jaccard.bitmap(s), s.tobytes(), [0, 9]) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "tree long, node long, n int, bits binary, items binary, trees array<long>").repartition(3)
+    kept = {r.node for r in jaccard.tree_survivors(jaccard.work_items(df), 80).collect()}
+    assert kept >= {x for p in near for x in p}
+    for whole, every in ((True, True), (True, False), (False, False)):
+        out = jaccard.tree_links(jaccard.work_items(df.where(F.col("node").isin(kept))), 80, whole, every).collect()
+        links = [(r.a, r.b) for r in out if r.a is not None]
+        assert set(links) <= near and len(links) == len(set(links)) and (not every or set(links) == near)
+        parent = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert [parent.get(i, i) for i in range(len(texts))] == brute_components(texts)
+        count = Counter()
+        for r in out:
+            count.update({r.node: r.found or 0})
+        assert not whole or all(count[i] == sum(i in p for p in near) for i in range(len(texts)))
+    other = df.withColumn("tree", F.lit(9)).where(F.col("node").isin(kept))  # pairs of trees 0 and 9 are judged in tree 0
+    assert jaccard.tree_links(jaccard.work_items(other), 80, True).count() == 0
+
+
+def test_groups_keep_all_pairs_that_sizes_allow(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(12)), i, int(n), int(n * rng.uniform(0.7, 1.25))) for i, n in enumerate(rng.integers(5, 60, 300))]
+    rows += [(99, 7, 10, 12), (99, 7, 10, 12), (98, 1001, 10, 12), (98, 1002, 13, 16), (97, 1003, 10, 12), (97, 1004, 12, 9)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(k, i, j) for k, i, n, most in rows for q, j, m, far in rows if k == q and i != j and m <= most and n <= far}
+    for size in ("10000", "3", "1"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = jaccard.groups(spark.createDataFrame(rows, "key long, node long, n int, most int")).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        trees = {}
+        for r in got:
+            trees.setdefault(r.node, set()).add(r.tree)
+        assert all(trees[i] & trees[j] for _, i, j in want)
+        assert all(i < 1000 for i in trees)
 
 
 def test_components(spark):
