@@ -6,11 +6,14 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words of 64 bits of a filter that spares texts without candidates a second look; a full one only saves less.
+FILTER_WORDS = 1 << 17
 _own_folder: list[str] = []
 
 
@@ -66,6 +69,21 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def bit_filter(df: DataFrame, number: Column) -> np.ndarray:
+    """A filter of fixed size (1 MiB) that passes() lets df's numbers through, and few others while it isn't full."""
+    place = F.pmod(number, F.lit(FILTER_WORDS * 64))
+    marks = df.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m"))
+    rows = marks.toArrow()  # FILTER_WORDS rows at most
+    mask = np.zeros(FILTER_WORDS, np.int64)
+    mask[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
+    return mask
+
+
+def passes(mask: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    p = np.mod(numbers.view(np.int64), FILTER_WORDS * 64)
+    return (mask[p >> 6] >> (p & 63)) & 1 == 1
+
+
 def components(links: DataFrame) -> DataFrame:
     """Distributed union-find over links(a, b): (node, component), component the least node of the connected part.
 

@@ -33,15 +33,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens as tk
-from millrace.llm.common import components, discard, free_name, stored, table
+from millrace.llm.common import bit_filter, components, discard, free_name, passes, stored, table
 
 SHINGLE, PERCENT = 5, 80
 #: A chunk of a tree holds about so many nodes, and so many shingles, at most.
 CHUNK, CHUNK_ITEMS, FAN = 4096, 1 << 21, 16
 #: Hash buckets whose counts order the shingles.
 BUCKET_BITS = 18
-#: Bits of the filter that keeps documents without candidates from being read again; a full one only saves less.
-FILTER_WORDS = 1 << 16
 U = tk.U
 LOW = U((1 << (64 - BUCKET_BITS)) - 1)
 #: Above every set size.
@@ -144,9 +142,11 @@ def prefixes(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
     return docs.mapInArrow(run, "key long, node long, n int, most int")
 
 
-def groups(rows: DataFrame) -> DataFrame:
+def groups(rows: DataFrame, percent: int | None = None) -> DataFrame:
     """(tree, node, n) of the groups of rows(key, node, n, most) that can hold a link; tree: the group's first node.
 
+    With percent, most follows from n alone and rows come without it.
+
     Rows come sorted by key, then size, and stream through. A group is cut before a row that no earlier one allows as a partner. Rows
     that allow no earlier one go too, and what then stands alone. A cut group's state is its first row and its reach.
     """
@@ -182,7 +182,9 @@ def groups(rows: DataFrame) -> DataFrame:
 
     spark = rows.sparkSession
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "n", "node")
-    return dealt.mapInArrow(run, "tree long, node long, n int")
+    if percent is not None:
+        dealt = dealt.withColumn("most", F.floor(F.col("n") * 100 / percent).cast("int"))
+    return dealt.select("key", "node", "n", "most").mapInArrow(run, "tree long, node long, n int")
 
 
 def fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -259,14 +261,6 @@ def descend(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], percent
             yield left[i], right[j]
 
 
-def survivors(x: Tree, y: Tree, sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which members have a possible partner in the other tree."""
-    marked = np.zeros(len(sizes), bool)
-    for i, j in descend(x, y, sizes, maps, percent, lambda a, b: bool(marked[a.low : a.high].all() and marked[b.low : b.high].all())):
-        marked[i] = marked[j] = True
-    return marked
-
-
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two whole sets link."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -294,18 +288,17 @@ class Judge:
     in one component need no look.
     """
 
-    def __init__(self, tree: int, trees: list[frozenset] | None, sets: list[np.ndarray], percent: int, whole: bool, every: bool):
-        self.tree, self.sets, self.percent, self.whole, self.every = tree, sets, percent, whole, every
-        self.root, self.found, self.links = np.arange(len(sets)), np.zeros(len(sets), np.int64), []
+    def __init__(self, tree: int, percent: int, whole: bool, every: bool):
+        self.tree, self.percent, self.whole, self.every = tree, percent, whole, every
+
+    def look_at(self, sets: list[np.ndarray], trees: list[frozenset] | None) -> None:
+        self.sets, self.root, self.found, self.links = sets, np.arange(len(sets)), np.zeros(len(sets), np.int64), []
         kinds: dict[frozenset, int] = {}
         self.kind = np.array([kinds.setdefault(t, len(kinds)) for t in trees]) if trees else None
         self.kinds, self.mine = list(kinds), {}
 
-    def done(self, a: Tree, b: Tree) -> bool:
-        if self.whole:
-            return False
-        x, y, r = self.root[a.low : a.high], self.root[b.low : b.high], self.root[a.low]
-        return bool((x == r).all() and (y == r).all())
+    def done(self, i: int, j: int, p: int, q: int) -> bool:
+        return not self.whole and bool((self.root[i:j] == self.root[i]).all() and (self.root[p:q] == self.root[i]).all())
 
     def is_mine(self, code: int) -> bool:
         if code not in self.mine:
@@ -343,8 +336,11 @@ def work_items(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).drop("chunks", "other")
 
 
-def per_item(rows: DataFrame, run: Callable[[int, int, int, dict], pa.RecordBatch | None], columns: list[str], schema: str) -> DataFrame:
-    """run(tree, x, y, columns) for each work item of rows(tree, x, y, ..): the columns as Arrow arrays. Items stream by; one is held at a time."""
+def per_item(rows: DataFrame, run: Callable[..., pa.RecordBatch | None], columns: dict[str, Callable[[pa.Array], list | np.ndarray]], schema: str) -> DataFrame:
+    """run(tree, x, y, *columns) for each work item of rows(tree, x, y, ..) of two rows or more. Items stream by; one is held at a time.
+
+    columns: by name, what makes a list or array of an Arrow column; it is called a batch at a time.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -352,20 +348,21 @@ def per_item(rows: DataFrame, run: Callable[[int, int, int, dict], pa.RecordBatc
             if not b.num_rows:
                 continue
             tree, x, y = (b.column(c).to_numpy() for c in ("tree", "x", "y"))
+            made = [f(b.column(c)) for c, f in columns.items()]
             cut = np.flatnonzero((tree[1:] != tree[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
             for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(tree)], strict=True):
                 key = int(tree[i]), int(x[i]), int(y[i])
                 if key != last and held:
                     yield from said(last, held)
                     held = []
-                held.append(b.slice(i, j - i))
+                held.append([m[i:j] for m in made])
                 last = key
         if held:
             yield from said(last, held)
 
-    def said(key: tuple, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        if table.num_rows > 1 and (got := run(*key, {c: table.column(c) for c in columns})) is not None:
+    def said(key: tuple, held: list) -> Iterator[pa.RecordBatch]:
+        parts = held[0] if len(held) == 1 else [np.concatenate(m) if isinstance(m[0], np.ndarray) else [v for part in m for v in part] for m in zip(*held, strict=True)]
+        if len(parts[0]) > 1 and (got := run(*key, *parts)) is not None:
             yield got
 
     keys = ["tree", "x", "y"]
@@ -373,53 +370,66 @@ def per_item(rows: DataFrame, run: Callable[[int, int, int, dict], pa.RecordBatc
     return dealt.mapInArrow(whole, schema)
 
 
-def _arrays(column: pa.Array) -> list[np.ndarray]:
+def numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy()
+
+
+def arrays(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(i.as_buffer(), U) for i in column]
 
 
-def grown(x: int, y: int, mine: np.ndarray, node: np.ndarray, n: np.ndarray, maps: list[np.ndarray]) -> tuple | None:
-    """The trees of a work item's one or two chunks, and its members' places, in the trees' order; None if a chunk is empty."""
+def tree_sets(column: pa.Array) -> list[frozenset]:
+    return [frozenset(x) for x in column.to_pylist()]
+
+
+def candidates(x: int, y: int, mine: np.ndarray, node: np.ndarray, n: np.ndarray, maps: list[np.ndarray], percent: int, done: Callable[[int, int, int, int], bool]) -> tuple[np.ndarray, Iterator]:
+    """A work item's members (places) in their trees' order, and the pairs of places in that order that may link, some at a time.
+
+    done(i, j, p, q) tells whether members [i, j) and [p, q) need no look at each other any more.
+    """
     sides = [np.flatnonzero(mine == k) for k in dict.fromkeys((x, y))]
-    if not all(map(len, sides)):
-        return None
     order = np.concatenate([side[np.lexsort((node[side], n[side]))] for side in sides])
     n, maps = n[order], [maps[i] for i in order]
+    if len(order) <= FAN and len(sides) == 1:
+        every = np.arange(len(order))
+        near = np.nonzero(np.triu(let_through(every, every, n, maps, percent), 1))
+        return order, iter([near] if len(near[0]) else [])
+    if not all(map(len, sides)):
+        return order, iter([])
     trees = [grow(0, len(sides[0]), n, maps)]
     if len(sides) > 1:
         trees.append(grow(len(sides[0]), len(order), n, maps))
-    return trees[0], trees[-1], n, maps, order
+    return order, descend(trees[0], trees[-1], n, maps, percent, lambda a, b: done(a.low, a.high, b.low, b.high))
 
 
 def tree_survivors(rows: DataFrame, percent: int) -> DataFrame:
     """(tree, node, n): the nodes of the work items rows(tree, x, y, mine, node, n, bits) that sizes and bitmaps leave a possible partner."""
 
-    def run(tree: int, x: int, y: int, c: dict) -> pa.RecordBatch | None:
-        node, n = c["node"].to_numpy(), c["n"].to_numpy()
-        if got := grown(x, y, c["mine"].to_numpy(), node, n.astype(np.int64), _arrays(c["bits"])):
-            *trees, sizes, maps, order = got
-            kept = order[survivors(*trees, sizes, maps, percent)]
-            if len(kept):
-                return pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), tree)), pa.array(node[kept]), pa.array(n[kept])], ["tree", "node", "n"])
+    def run(tree: int, x: int, y: int, mine: np.ndarray, node: np.ndarray, n: np.ndarray, maps: list) -> pa.RecordBatch | None:
+        marked = np.zeros(len(node), bool)
+        order, pairs = candidates(x, y, mine, node, n.astype(np.int64), maps, percent, lambda i, j, p, q: bool(marked[i:j].all() and marked[p:q].all()))
+        for i, j in pairs:
+            marked[i] = marked[j] = True
+        kept = order[marked]
+        if len(kept):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), tree)), pa.array(node[kept]), pa.array(n[kept])], ["tree", "node", "n"])
 
-    return per_item(rows, run, ["mine", "node", "n", "bits"], "tree long, node long, n int").distinct()
+    return per_item(rows, run, {"mine": numbers, "node": numbers, "n": numbers, "bits": arrays}, "tree long, node long, n int").distinct()
 
 
-def tree_links(rows: DataFrame, percent: int, whole: bool = False, every: bool = False, sets_from: Callable[[pa.Array], list[np.ndarray]] = _arrays) -> DataFrame:
+def tree_links(rows: DataFrame, percent: int, whole: bool = False, every: bool = False, sets_from: Callable[[pa.Array], list[np.ndarray]] = arrays) -> DataFrame:
     """(a, b, node, found): links (a, b) between nodes of the work items rows(tree, x, y, mine, node, trees, items), and nodes with the links found there.
 
     items: what sets_from() makes each node's sorted 64-bit shingle hashes of. trees (all of the node's trees) only matters if whole. Links
     are as many as join a work item's components, or all if every; nodes' links are counted if whole.
     """
 
-    def run(tree: int, x: int, y: int, c: dict) -> pa.RecordBatch | None:
-        node, sets = c["node"].to_numpy(), sets_from(c["items"])
-        got = grown(x, y, c["mine"].to_numpy(), node, np.array([len(i) for i in sets], np.int64), [np.frombuffer(bitmap(i), U) for i in sets])
-        if not got:
-            return None
-        *trees, sizes, maps, order = got
-        of = [frozenset(t) for t in c["trees"].take(pa.array(order)).to_pylist()] if whole else None
-        judge = Judge(tree, of, [sets[i] for i in order], percent, whole, every)
-        for left, right in descend(*trees, sizes, maps, percent, judge.done):
+    def run(tree: int, x: int, y: int, mine: np.ndarray, node: np.ndarray, sets: list, trees: list | None = None) -> pa.RecordBatch | None:
+        maps = [np.frombuffer(bitmap(i), U) for i in sets]
+        judge = Judge(tree, percent, whole, every)
+        order, pairs = candidates(x, y, mine, node, np.array([len(i) for i in sets], np.int64), maps, percent, judge.done)
+        judge.look_at([sets[i] for i in order], [trees[i] for i in order] if trees else None)
+        for left, right in pairs:
             judge.take(left, right)
         some = np.flatnonzero(judge.found)
         i, j = np.array(judge.links, np.int64).reshape(-1, 2).T
@@ -430,7 +440,7 @@ def tree_links(rows: DataFrame, percent: int, whole: bool = False, every: bool =
             columns = [[pa.array(a), none(len(some))], [pa.array(b), none(len(some))], [none(len(a)), pa.array(node[some])], [none(len(a)), pa.array(judge.found[some])]]
             return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "node", "found"])
 
-    columns = ["mine", "node", *["trees"] * whole, "items"]
+    columns = {"mine": numbers, "node": numbers, "items": sets_from} | ({"trees": tree_sets} if whole else {})
     return per_item(rows, run, columns, "a long, b long, node long, found long")
 
 
@@ -439,24 +449,17 @@ def sets_of(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     A filter of fixed size on rid keeps most other documents from being cut into shingles; a full one would only save less.
     """
-    place = F.pmod(F.xxhash64("rid"), F.lit(FILTER_WORDS * 64))
-    marks = wanted.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m"))
-    mask = np.zeros(FILTER_WORDS, np.int64)
-    for w, m in marks.collect():  # FILTER_WORDS rows at most
-        mask[w] = m
-    shared = docs.sparkSession.sparkContext.broadcast(mask)
-
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, F.xxhash64("rid")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column("p").to_numpy()
-            batch = batch.filter(pa.array((shared.value[p >> 6] >> (p & 63)) & 1 == 1))
-            for b in tk.slices(batch):
+            for b in tk.slices(batch.filter(pa.array(passes(shared.value, batch.column("h").to_numpy())))):
                 sets = shingle_sets(b.column("text"), k)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), tk.signed(np.array([digest(s, 1) for s in sets], U)), pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "node", "items"])
 
-    read = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS * 64)).alias("p"))
+    read = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
     # Joined by node alone, so that dropDuplicates needn't deal the sets out again.
-    found = read.mapInArrow(arrays, "rid long, node long, items binary").join(wanted.select("node", F.col("rid").alias("of")), "node").where("rid = of").dropDuplicates(["node"])
+    found = read.mapInArrow(run, "rid long, node long, items binary").join(wanted.select("node", F.col("rid").alias("of")), "node").where("rid = of").dropDuplicates(["node"])
     return stored(found.select("node", "items"), "jaccard-sets")
 
 

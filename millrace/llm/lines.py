@@ -3,12 +3,12 @@
 Lines are compared without the white space around them and with A-Z in lower case; blank lines stay and are compared with none.
 
 1. Each distinct line gets a one-permutation MinHash of its character shingles, cut into bands. Lines that agree in a band
-   share a group; BANDS bands of ROWS values find a pair of similarity 0.8 with probability 0.998,
-   and one of 0.3, as unrelated lines of a language have, with 0.04.
-2. A group's lines are held against its first one. Groups that then still hold lines of several components go through
-   signature trees (see jaccard), which judge every pair across components, so that no group is too large for that.
-3. Pairs are verified by the exact Jaccard similarity of their shingles, and distributed union-find makes components.
-4. Of each component the line that comes first, by doc_id and then place, stays; all other occurrences go.
+   share a group; BANDS bands of ROWS values find a pair of similarity 0.8 with probability 0.986, if bins were independent, and
+   one of 0.3, as unrelated lines of a language have, with 0.01.
+2. Groups are cut where the numbers of distinct shingles leave no similar pair. Lines that meet in groups with the same least member become one
+   signature tree (see jaccard), so that no group is too large for a task.
+3. Pairs that the trees let through are verified by the exact Jaccard similarity of their shingles, and distributed union-find makes components.
+4. Of each component the line that comes first, by doc_id, then place, then text, stays; all other occurrences go.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm import jaccard
 from millrace.llm import tokens as tk
-from millrace.llm.common import components, discard, stored, table
+from millrace.llm.common import bit_filter, components, discard, passes, stored, table
 
 SHINGLE, PERCENT = 5, 80
-BANDS, ROWS = 16, 5
+BANDS, ROWS = 14, 6
 U = tk.U
+#: A shingle's hash below the number of its line, in one 64-bit integer; a stretch has fewer lines than the rest can tell apart.
+HASH_BITS = U(50)
+LINES_AT_ONCE = 1 << 14
 
 
 class Lines(NamedTuple):
@@ -65,7 +68,7 @@ def segments(lines: Lines) -> Iterator[tuple[int, int]]:
     """Stretches of lines of about tk.SEGMENT bytes."""
     i = 0
     while i < len(lines.start):
-        j = max(i + 1, int(np.searchsorted(lines.end, lines.start[i] + tk.SEGMENT)))
+        j = min(i + LINES_AT_ONCE, max(i + 1, int(np.searchsorted(lines.end, lines.start[i] + tk.SEGMENT))))
         yield i, j
         i = j
 
@@ -88,41 +91,46 @@ def line_hashes(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     return tk.mix(out), tk.mix(out * U(0xD1342543DE82EF95) + U(1))
 
 
-def signatures(lines: Lines) -> np.ndarray:
-    """The band keys of each line, a row a line."""
-    bins = BANDS * ROWS
-    out = np.empty((len(lines.start), BANDS), U)
-    weight = tk.mix(np.arange(1, ROWS + 1, dtype=U)) | U(1)
+def line_shingles(lines: Lines) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(i, j, found) stretch by stretch: the distinct shingle hashes of lines [i, j), sorted, each below its line's number less i."""
     for i, j in segments(lines):
         at, n = lines.start[i], j - i
         data = lines.data[at : lines.end[j - 1]]
         total, down = _prefix(data)
         s, e = lines.start[i:j] - at, lines.end[i:j] - at
-        chars = np.flatnonzero((data & 0xC0) != 0x80)
-        line = np.searchsorted(s, chars, "right") - 1
-        inside = chars < e[line]
-        chars, line = chars[inside], line[inside]
-        last = np.searchsorted(line, np.arange(n), "right")  # behind each line's last character
-        first = np.concatenate([[0], last[:-1]])
-        k = np.arange(len(chars)) + SHINGLE
-        ok = (k <= last[line]) | ((last - first)[line] < SHINGLE) & (k == first[line] + SHINGLE)
-        stop = np.where(k < last[line], np.append(chars, np.zeros(SHINGLE, int))[k], e[line])[ok]
-        begin, line = chars[ok], line[ok]
-        h = tk.mix((total[stop] - total[begin]) * down[begin])
-        least = np.full(n * bins, np.iinfo(np.uint64).max, U)
-        np.minimum.at(least, line * bins + (((h >> U(32)) * U(bins)) >> U(32)).astype(np.int64), tk.mix(h) >> U(1))
-        least = least.reshape(n, bins)
-        full, final = least != np.iinfo(np.uint64).max, least.copy()
-        empty = ~full
-        for step in range(1, bins):  # an empty bin borrows from the next full one
-            if not empty.any():
-                break
-            able = empty & np.roll(full, -step, axis=1)
-            final[able] = (np.roll(least, -step, axis=1) + U(step * int(tk.BASE) % 2**64))[able]
-            empty &= ~able
+        chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        low, high = np.searchsorted(chars, s), np.searchsorted(chars, e)
+        m = np.maximum(1, high - low - SHINGLE + 1)  # a shorter line is one shingle
+        line = np.repeat(np.arange(n), m)
+        k = np.arange(len(line)) + np.repeat(low - np.cumsum(m) + m, m)
+        begin, stop = chars[k], chars[np.minimum(k + SHINGLE, np.repeat(high, m))]
+        found = tk.mix((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(U))
+        found >>= U(64) - HASH_BITS
+        found |= line.astype(U) << HASH_BITS
+        found.sort()
+        yield i, j, found[np.concatenate([[True], found[1:] != found[:-1]])]
+
+
+def signatures(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of each line, a row a line, and its number of distinct shingles."""
+    bins = BANDS * ROWS
+    out, size = np.empty((len(lines.start), BANDS), U), np.empty(len(lines.start), np.int32)
+    weight = tk.mix(np.arange(1, ROWS + 1, dtype=U)) | U(1)
+    for i, j, found in line_shingles(lines):
+        line, h = (found >> HASH_BITS).astype(np.int64), found & U((1 << int(HASH_BITS)) - 1)
+        size[i:j] = np.bincount(line, minlength=j - i)
+        cell = line * bins + (((h >> (HASH_BITS - U(32))) * U(bins)) >> U(32)).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))  # a bin's least hash comes first
+        least, full = np.zeros((j - i) * bins, U), np.zeros((j - i) * bins, bool)
+        least[cell[new]], full[cell[new]] = tk.mix(h[new]), True
+        # An empty bin borrows from the next full one, round the end.
+        place = np.where(full.reshape(-1, bins), np.arange(bins), 2 * bins)
+        place = np.concatenate([place, place + bins], axis=1)
+        place = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :bins]
+        final = np.take_along_axis(least.reshape(-1, bins), place % bins, axis=1) + (place - np.arange(bins)).astype(U) * tk.BASE
         for b in range(BANDS):
             out[i:j, b] = tk.mix((final[:, b * ROWS : (b + 1) * ROWS] * weight).sum(axis=1, dtype=U) + U(b))
-    return out
+    return out, size
 
 
 def registry(docs: DataFrame) -> DataFrame:
@@ -136,130 +144,117 @@ def registry(docs: DataFrame) -> DataFrame:
                 doc_id, row = (b.column(c).take(pa.array(lines.doc)) for c in ("doc_id", "row"))
                 yield pa.RecordBatch.from_arrays([doc_id, row, pa.array(lines.number.astype(np.int32)), tk.signed(node), tk.signed(node2)], ["doc_id", "row", "line", "node", "node2"])
 
-    return docs.mapInArrow(run, "doc_id long, row string, line int, node long, node2 long")
+    return docs.mapInArrow(run, "doc_id long, row long, line int, node long, node2 long")
+
+
+def _once(lines: Lines, node: np.ndarray, seen: set[int]) -> tuple[Lines, np.ndarray]:
+    """The lines whose node comes here for the first time and isn't in seen, which they are added to."""
+    at = np.sort(np.unique(node, return_index=True)[1])
+    at = at[np.array([x not in seen for x in node[at].tolist()], bool)]
+    if len(seen) > 200_000:
+        seen.clear()
+    seen.update(node[at].tolist())
+    return Lines(lines.data, *(x[at] for x in lines[1:])), node[at]
 
 
 def bands(docs: DataFrame) -> DataFrame:
-    """(key, node, n): the band keys of every line, once for each slice that has it. n is its bytes."""
+    """(key, node, n): the band keys of every line, mostly once a task. n: its distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for b in tk.slices(batch):
                 lines = split_lines(b.column("text"))
-                node = line_hashes(lines)[0]
-                at = np.sort(np.unique(node, return_index=True)[1])
-                lines, node = Lines(lines.data, *(x[at] for x in lines[1:])), node[at]
-                keys = signatures(lines)
-                size = np.repeat((lines.end - lines.start).astype(np.int32), BANDS)
-                yield pa.RecordBatch.from_arrays([tk.signed(keys.ravel()), tk.signed(np.repeat(node, BANDS)), pa.array(size)], ["key", "node", "n"])
+                lines, node = _once(lines, line_hashes(lines)[0], seen)
+                keys, size = signatures(lines)
+                yield pa.RecordBatch.from_arrays([tk.signed(keys.ravel()), tk.signed(np.repeat(node, BANDS)), pa.array(np.repeat(size, BANDS))], ["key", "node", "n"])
 
-    return docs.mapInArrow(run, "key long, node long, n int")
+    return docs.select("text").mapInArrow(run, "key long, node long, n int")
 
 
-def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+def bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, items): the texts of the lines of wanted(node), each once. One pass over docs; only wanted lines leave it, and a few more."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, F.col("node")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for b in tk.slices(batch):
+                lines = split_lines(b.column("text"))
+                node = line_hashes(lines)[0]
+                able = passes(shared.value, node)
+                lines, node = _once(Lines(lines.data, *(x[able] for x in lines[1:])), node[able], seen)
+                data = lines.data.tobytes()
+                out = [data[s:e] for s, e in zip(lines.start.tolist(), lines.end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([tk.signed(node), pa.array(out, pa.binary())], ["node", "items"])
 
-def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) whose lines, in texts(node, body), are similar enough."""
+    found = docs.select("text").mapInArrow(run, "node long, items binary").dropDuplicates(["node"])
+    return found.join(wanted.select("node"), "node", "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True):
-                x, y = shingles(x), shingles(y)
-                both = len(x & y)
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("body").alias(f"text_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "line-links")
+def shingles(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def line_sets(texts: DataFrame) -> DataFrame:
-    """(node, items): the hashes of a line's distinct shingles, sorted."""
+def body_sets(column: pa.Array) -> list[np.ndarray]:
+    """The shingle hashes of each line, sorted; their high bits are low, for jaccard.bitmap()."""
+    texts = column.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    nothing = np.zeros(len(texts), np.int64)
+    out: list[np.ndarray] = []
+    for i, j, found in line_shingles(Lines(data, nothing, nothing, offsets[:-1], offsets[1:])):
+        cuts = np.searchsorted(found, np.arange(1, j - i, dtype=U) << HASH_BITS)
+        out += np.split(found & U((1 << int(HASH_BITS)) - 1), cuts)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            items = []
-            for line in b.column("body").to_pylist():
-                w = tk.split_words(pa.array(sorted(shingles(line))), space=np.zeros(256, bool))
-                items.append(np.unique(tk.word_hashes(w)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(items, pa.binary())], ["node", "items"])
 
-    return texts.mapInArrow(run, "node long, items binary")
+def line_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of the lines of docs(text) that are similar to another one."""
+    met = stored(jaccard.groups(bands(docs), percent).groupBy("tree", "node").agg(F.first("n").alias("n")), "line-groups")
+    items = jaccard.work_items(met)
+    texts = stored(bodies(docs, met.select("node").distinct()), "line-texts")
+    links = jaccard.tree_links(items.join(texts, "node"), percent, sets_from=body_sets)
+    out = stored(components(links.where("a is not null").select("a", "b")), "line-components")
+    discard(met, texts)
+    return out
 
 
 def same_row() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("id")) & F.col("row").eqNullSafe(F.col("id_row"))
 
 
-def line_components(docs: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of the lines that are similar to another one. known: registry(docs)."""
-    kept = stored(jaccard.groups(bands(docs)), "line-groups")
-    place = known.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("at"))
-    wanted = kept.select("node").distinct().join(place, "node").select("at.doc_id", "at.row", "node")
-    wanted = stored(wanted.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("id_row")).agg(F.collect_list("node").alias("nodes")), "line-wanted")
-
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in tk.slices(batch):
-                lines = split_lines(b.column("text"))
-                node = line_hashes(lines)[0]
-                mine = b.column("nodes")
-                pick = np.isin(node, mine.flatten().to_numpy(zero_copy_only=False).view(U))
-                data = lines.data.tobytes()
-                out = [data[s:e].decode() for s, e in zip(lines.start[pick].tolist(), lines.end[pick].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([tk.signed(node[pick]), pa.array(out, pa.string())], ["node", "body"])
-
-    texts = docs.join(wanted, same_row()).select("text", "nodes").mapInArrow(bodies, "node long, body string").dropDuplicates(["node"])
-    texts = stored(texts, "line-texts")
-    stars = kept.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    links = similar(stars, texts, percent)
-    first = stored(components(links), "line-first")
-    trees = stored(jaccard.mixed_trees(kept, first), "line-trees")
-    sets = line_sets(texts.join(trees.select("node").distinct(), "node", "left_semi"))
-    more = jaccard.tree_links(trees.join(sets, "node"), percent)
-    out = stored(components(links.union(more)), "line-components")
-    discard(kept, texts, first, trees)
-    return out
-
-
 def unique_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_lines, n_removed, kept (the lines left, with their line breaks between).
 
-    A null text is empty. n_lines counts blank lines too. Rows that share a doc_id count as one place each line number: rows
-    that are alike share their lines' fate. A row without a doc_id comes first in order.
+    A null text is empty. n_lines counts blank lines too. Rows that are alike in doc_id and text are one place: they
+    share their lines' fate. Rows of one doc_id with different texts come in the order of the texts' hashes, line number first. A row without a doc_id
+    comes first of all. Texts of any length are cut in slices.
     """
-    # Rows without a doc_id are told apart by their text: those with the same text share their lines' fate.
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.sha2("text", 256)).alias("row"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     known = stored(registry(docs), "line-registry")
-    same = line_components(docs, known, percent)
+    same = line_components(docs, percent)
     # A line's class: its component, or itself by 128 bits.
     tagged = known.join(same, "node", "left").select("doc_id", "row", "line", "node", F.coalesce("component", "node").alias("c1"), F.when(F.col("component").isNull(), F.col("node2")).otherwise(0).alias("c2"))
-    first = tagged.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = tagged.join(first, ["c1", "c2"]).where(~F.struct("doc_id", "line").eqNullSafe(F.col("first")))
-    gone = gone.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("id_row")).agg(F.collect_list("line").alias("lines"), F.collect_list("node").alias("nodes"))
+    place = F.struct("doc_id", "line", "row")
+    first = tagged.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    gone = tagged.join(first, ["c1", "c2"]).where(~place.eqNullSafe(F.col("first")))
+    # Rows that are alike give each line more than once; a set has it once, so that it is no longer than a text.
+    gone = gone.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("id_row")).agg(F.collect_set("line").alias("gone"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tk.slices(batch):
-                lines = split_lines(b.column("text"))
-                node = line_hashes(lines)[0].view(np.int64)
-                drop: list[set] = [set(zip(x or (), y or (), strict=True)) for x, y in zip(b.column("lines").to_pylist(), b.column("nodes").to_pylist(), strict=True)]
-                off: list[set] = [set() for _ in drop]
-                for d, line, h in zip(lines.doc.tolist(), lines.number.tolist(), node.tolist(), strict=True):
-                    if drop[d] and (line, h) in drop[d]:
-                        off[d].add(line)
                 rows = []
-                for text, bad in zip(b.column("text").to_pylist(), off, strict=True):
+                for text, bad in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
                     every = (text or "").split("\n")
-                    rows.append((len(every), len(bad), "\n".join(x for i, x in enumerate(every) if i not in bad)))
+                    bad = set(bad or ())
+                    left = [x for i, x in enumerate(every) if i not in bad]
+                    rows.append((len(every), len(every) - len(left), "\n".join(left)))
                 n, removed, kept = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_removed", "kept"])
 
-    done = docs.join(gone, same_row(), "left").select("doc_id", "text", "lines", "nodes")
+    done = docs.join(gone, same_row(), "left").select("doc_id", "text", "gone")
     return done.mapInArrow(remove, "doc_id long, n_lines long, n_removed long, kept string")
 
 

@@ -267,6 +267,57 @@ def test_lines_of_rows_without_id(spark):
     assert got == {(None, rows[0][1]): (2, 0), (None, "another row"): (1, 0), (1, ""): (1, 1), (2, ""): (1, 1), (3, ""): (1, 1), (4, "none of these"): (1, 0)}
 
 
+def near_lines(rng, n):
+    """n pairs of lines whose 5-character shingles are 0.8 to 0.9 alike, and as many lines without a partner."""
+    pairs = []
+    while len(pairs) < n:
+        a = "".join(rng.choice(list("abcdefghij klmno"), rng.integers(60, 300)))
+        b = list(a)
+        for _ in range(rng.integers(1, 8)):
+            b[rng.integers(len(b))] = str(rng.integers(10))
+        b = "".join(b)
+        x, y = lines.shingles(a.strip()), lines.shingles(b.strip())
+        if 0.8 <= len(x & y) / len(x | y) <= 0.9:
+            pairs.append((a.strip(), b.strip()))
+    return pairs
+
+
+def test_line_recall(spark):
+    """At least 0.9 of the pairs at 0.8 to 0.9 are found; nothing else goes."""
+    pairs = near_lines(np.random.default_rng(5), 400)
+    rows = [(i, a) for i, (a, _) in enumerate(pairs)] + [(1000 + i, "own " + b) for i, (_, b) in enumerate(pairs)] + [(2000 + i, b) for i, (_, b) in enumerate(pairs)]
+    got = {r.doc_id: r.n_removed for r in lines.unique_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[2000 + i] for i in range(400)) >= 0.95 * 400 and not any(got[i] for i in range(400))
+
+
+@pytest.mark.parametrize("chunk", [4096, 5])
+def test_crowded_lines_by_brute_force(spark, monkeypatch, chunk):
+    """Large groups of near lines with a hub that is like few of them: all components are found."""
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rng = np.random.default_rng(8)
+    base = ["".join(rng.choice(list("abcdefghijklmnop "), 90)).strip() for _ in range(3)]
+    texts = []
+    for i in range(150):
+        x = list(base[i % 3])
+        for _ in range(rng.integers(0, 4)):
+            x[rng.integers(len(x))] = "XYZ"[rng.integers(3)].lower()
+        texts.append("".join(x).strip())
+    sets = [lines.shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    got = {r.doc_id: r.n_removed for r in lines.unique_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert [got[i] for i in range(len(texts))] == [int(find(i) != i) for i in range(len(texts))]
+
+
 def test_masks_cover_two_substitutions():
     width = max(m[-1] for m in decontamination.MASKS) + 1
     for bad in combinations(range(decontamination.WINDOW), 2):
