@@ -8,8 +8,9 @@ training data left on them. The text is taken in lower case (A-Z), as UTF-8, sta
 
 How it runs: documents are cut into blocks of BLOCK bytes. A block sends each of its distinct words and (depth + 1)-grams of
 bytes once, with its training count. Counts are added up by key; the tree is evaluated from its leaves to
-depth 2 in parts dealt out by the last two context bytes, and its top (65,535 nodes at most) on the driver. Each block
-then gets back the totals of its words and the log-probabilities of its grams and scores its documents.
+depth 3 in parts dealt out by the last two context bytes and cut at the third, its nodes of depth 2 are sums of those, and its top
+(65,535 nodes at most) is evaluated on the driver. Each block then gets back the totals of its words and the log-probabilities of its
+grams, sorted, and behind them its documents, which it scores as they stream by.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ DEPTH = 5
 BLOCK = 24 << 20
 #: Grams that a task evaluates at once; it goes on to the next group of contexts beyond that.
 AT_ONCE = 1 << 18
-WORD, GRAM = 0, 1
+WORD, GRAM, TEXT = 0, 1, 2
 U = tk.U
 
 
@@ -203,66 +204,146 @@ def _gather(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(gram, n) of rows sorted by their last two context bytes, AT_ONCE or more at a time, never parting such a group."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of rows sorted by part, AT_ONCE rows or more at a time, never cutting a part. A gram's part has 2**24 grams at most."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+
+    def said(rows: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        t = pa.Table.from_batches(rows)
+        return {c: t.column(c).to_numpy() for c in t.column_names}
+
     for b in batches:
-        held.append((b.column("key").to_numpy().view(U), b.column("n").to_numpy()))
-        if sum(len(k) for k, _ in held) > AT_ONCE:
-            gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            two = (gram >> U(8)) & U(0xFFFF)
-            cut = int(np.flatnonzero(two == two[-1])[0])
-            if cut:
-                yield gram[:cut], n[:cut]
-            held = [(gram[cut:], n[cut:])]
+        if not b.num_rows:
+            continue
+        part = b.column("part").to_numpy()
+        cut = int(np.searchsorted(part, part[-1]))  # where the last part starts
+        if size + cut > AT_ONCE and (cut or part[0] != last):
+            yield said([*held, b.slice(0, cut)])
+            held, size = [], 0
+            b = b.slice(cut)
+        held.append(b)
+        size, last = size + b.num_rows, part[-1]
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield said(held)
+
+
+def _node(zeros: np.ndarray, ones: np.ndarray, ids: np.ndarray, below: np.ndarray) -> Level:
+    """A level from its counts and the log of what its children say."""
+    level = Level.__new__(Level)
+    level.ids, level.zeros, level.ones, level.own = ids, zeros, ones, log_kt(zeros, ones)
+    level.total, level.weight = weigh(level.own, below)
+    return level
 
 
 def evaluate(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, log10p) of counts(key, n): the log-probability of each gram's last byte after the others."""
+    """(key, log10p) of counts(key, n): the log-probability of each gram's last byte after the others. depth is 3 or more."""
     spark = counts.sparkSession
-    two = F.shiftright("key", 8).bitwiseAND(0xFFFF)
-    dealt = counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), two).sortWithinPartitions(two)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A part: the last two context bytes, a bit (0: nodes, which come first; 1: grams), the third last byte.
+    two = F.shiftright("part", 9)
+    of_key = F.shiftright("key", 8).bitwiseAND(0xFFFF) * 512
+    counts = counts.select((of_key + 256 + F.shiftright("key", 24).bitwiseAND(0xFF)).alias("part"), "key", "n")
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, n in _parts(batches):
-            for bit, (level, *_) in enumerate(subtree(gram, n, depth, 2)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(level.ids), bit, np.int8)), tk.signed(level.ids & mask_of(1)), pa.array(level.zeros), pa.array(level.ones), pa.array(level.total)], ["bit", "node", "zeros", "ones", "total"])
-
-    top = dealt.mapInArrow(roots, "bit byte, node long, zeros double, ones double, total double")
-    top = top.groupBy("bit", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("total").alias("total"))
-    rows = top.orderBy("bit", "node").toArrow()  # a node for each byte and bits before: 65,280 at most
+        for t in _parts(batches):
+            for bit, (level, *_) in enumerate(subtree(t["key"].view(U), t["n"], depth, 3)):
+                ids, at = np.unique(level.ids & mask_of(2), return_inverse=True)
+                sums = [np.bincount(at, x, len(ids)) for x in (level.zeros, level.ones, level.total)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bit, np.int8)), tk.signed(ids), *map(pa.array, sums)], ["bit", "key", "zeros", "ones", "total"])
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            level = _node(*(b.column(c).to_numpy() for c in ("zeros", "ones")), b.column("key").to_numpy(), b.column("total").to_numpy())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("bit", "key", "zeros", "ones")), pa.array(level.total), pa.array(level.weight)], ["bit", "key", "zeros", "ones", "total", "weight"])
+
+    found = counts.repartition(partitions, two).sortWithinPartitions("part").mapInArrow(roots, "bit byte, key long, zeros double, ones double, total double")
+    sums = lambda df: df.groupBy("bit", "key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "total")])
+    nodes = stored(sums(found).mapInArrow(weighed, "bit byte, key long, zeros double, ones double, total double, weight double"), "score-nodes")
+    rows = sums(nodes.withColumn("key", F.col("key").bitwiseAND(int(mask_of(1))))).orderBy("bit", "key").toArrow()  # a node for each byte and bits before: 65,280 at most
     levels: list[list[Level]] = []
     column = {c: rows.column(c).to_numpy() for c in rows.column_names}
     for bit in range(8):
-        one, at = Level.__new__(Level), column["bit"] == bit
-        one.ids, one.zeros, one.ones = column["node"][at].view(U), column["zeros"][at], column["ones"][at]
-        one.own = log_kt(one.zeros, one.ones)
-        one.total, one.weight = weigh(one.own, column["total"][at])
-        root = Level.__new__(Level)
-        root.ids, to = np.unique(one.ids & mask_of(0), return_inverse=True)
-        root.zeros, root.ones = np.bincount(to, one.zeros, len(root.ids)), np.bincount(to, one.ones, len(root.ids))
-        root.own = log_kt(root.zeros, root.ones)
-        root.total, root.weight = weigh(root.own, np.bincount(to, one.total, len(root.ids)))
-        levels.append([root, one])
+        at = column["bit"] == bit
+        one = _node(column["zeros"][at], column["ones"][at], column["key"][at].view(U), column["total"][at])
+        ids, to = np.unique(one.ids & mask_of(0), return_inverse=True)
+        levels.append([_node(np.bincount(to, one.zeros, len(ids)), np.bincount(to, one.ones, len(ids)), ids, np.bincount(to, one.total, len(ids))), one])
     shared = spark.sparkContext.broadcast(levels)
 
     def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, n in _parts(batches):
+        names = ["bit", "key", "zeros", "ones", "weight"]
+        kept = None  # the nodes of the last two context bytes so far: 255 rows
+        for t in _parts(batches):
+            is_node = t["part"] & 256 == 0
+            mine = {c: t[c][is_node] if kept is None else np.concatenate([kept[c], t[c][is_node]]) for c in [*names, "part"]}
+            last = mine["part"] >> 9 == t["part"][-1] >> 9
+            kept = {c: x[last] for c, x in mine.items()}
+            gram, n = t["key"][~is_node].view(U), t["n"][~is_node]
+            if not len(gram):
+                continue
             total = np.zeros(len(gram))
-            for bit, levels in enumerate(subtree(gram, n, depth, 2)):
-                total += np.log10(mixed(shared.value[bit], gram, bit, 0, mixed(levels, gram, bit, 2)))
+            for bit, levels in enumerate(subtree(gram, n, depth, 3)):
+                at = np.flatnonzero(mine["bit"] == bit)
+                at = at[np.argsort(mine["key"][at])]
+                level = Level.__new__(Level)
+                level.ids, level.zeros, level.ones, level.weight = mine["key"][at].view(U), *(mine[c][at] for c in ("zeros", "ones", "weight"))
+                total += np.log10(mixed([*shared.value[bit], level], gram, bit, 0, mixed(levels, gram, bit, 3)))
             yield pa.RecordBatch.from_arrays([tk.signed(gram), pa.array(total)], ["key", "log10p"])
 
+    none = lambda *names: [F.lit(0.0).alias(c) for c in names]
+    grams_in = counts.select("part", F.lit(0).cast("byte").alias("bit"), "key", "n", *none("zeros", "ones", "weight"))
+    nodes_in = nodes.select(of_key.alias("part"), "bit", "key", F.lit(0).cast("long").alias("n"), "zeros", "ones", "weight")
+    dealt = grams_in.union(nodes_in).repartition(partitions, two).sortWithinPartitions("part")
     return dealt.mapInArrow(chances, "key long, log10p double")
 
 
+def _scored(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores the texts of rows sorted by block and kind: a block's words with their totals, its grams with their chances, its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, answers, known = None, {WORD: [], GRAM: []}, {}
+        for batch in batches:
+            numbers = batch.column("block").to_numpy()
+            for of in dict.fromkeys(numbers.tolist()):
+                at = np.flatnonzero(numbers == of)
+                rows = batch.slice(at[0], len(at))
+                if of != block:
+                    block, answers, known = of, {WORD: [], GRAM: []}, {}
+                kind = rows.column("kind").to_numpy()
+                for k in (WORD, GRAM):
+                    i, j = np.searchsorted(kind, [k, k + 1])
+                    if j > i:
+                        answers[k].append((rows.column("key").to_numpy()[i:j], rows.column("value").to_numpy()[i:j]))
+                texts = rows.slice(int(np.searchsorted(kind, TEXT)))
+                if texts.num_rows and not known:
+                    for k, got in answers.items():
+                        keys, values = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0))
+                        new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]  # a block read by two tasks asks twice
+                        known[k] = pd.Index(keys[new]), values[new]
+                    answers = {WORD: [], GRAM: []}
+                for b in tk.slices(texts):
+                    yield _score(b, depth, *known[WORD], *known[GRAM])
+
+    return run
+
+
+def _score(b: pa.RecordBatch, depth: int, words: pd.Index, count: np.ndarray, known_grams: pd.Index, chance: np.ndarray) -> pa.RecordBatch:
+    """(doc_id, held_out, n_tokens, known, logs, score, bits_per_byte) of some texts; known and logs are of words, without the end token."""
+    n = b.num_rows
+    h, first = words_of(b.column("text"))
+    c = count[words.get_indexer(h.view(np.int64))]
+    doc = np.repeat(np.arange(n), np.diff(first))
+    gram, start = grams(*tk.column_bytes(b.column("text"), lower=True), depth)
+    total = np.add.reduceat(chance[known_grams.get_indexer(gram.view(np.int64))], start[:-1])
+    columns = [np.diff(first) + 1, np.bincount(doc, c > 0, n).astype(np.int64), np.bincount(doc, np.log10(c + 1), n), total, -total / np.log10(2) / np.diff(start)]
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *map(pa.array, columns)], ["doc_id", "held_out", "n_tokens", "known", "logs", "score", "bits_per_byte"])
+
+
 def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Learns from the rows whose crc32(doc_id as text) mod 7 is not 2 (a null doc_id counts as the text null). Words are
-    known by 63 bits of hash. A null text is empty: one end token, one end byte.
+    known by 63 bits of hash. A null text is empty: one end token, one end byte. A text of any length is scored whole; repeated rows each count.
     """
     spark = docs.sparkSession
     number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
@@ -273,52 +354,25 @@ def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     keeper = FingerprintIndex(spark)  # for its bucketed tables
     sent = blocks.mapInArrow(_gather(depth), "kind byte, key long, block long, n long")
     sent = keeper.write(sent.repartition(keeper.buckets, "key"), "key")
-    totals = sent.where(f"kind = {WORD}").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"))
+    totals = sent.where(f"kind = {WORD}").groupBy("key").agg(F.sum("n").alias("n"))
     words, kinds = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     n_all, v_all = words + ends, kinds + (ends > 0)
 
     chances = evaluate(sent.where(f"kind = {GRAM}").groupBy("key").agg(F.sum("n").alias("n")), depth)
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("held_out", "boolean"), ("text", "string"))]
     answers = (
-        sent.where(f"kind = {WORD}").join(totals.where("blocks > 1").select("key", F.col("n").cast("double").alias("value")), "key")
-        .select("block", "kind", "key", "value")
-        .union(sent.where(f"kind = {GRAM}").join(chances.hint("merge"), "key").select("block", "kind", "key", F.col("log10p")))
+        sent.where(f"kind = {WORD}").join(totals.select("key", F.col("n").cast("double").alias("value")), "key").select("block", "kind", "key", "value", *nothing)
+        .union(sent.where(f"kind = {GRAM}").join(chances.hint("merge"), "key").select("block", "kind", "key", "log10p", *nothing))
+        .union(blocks.select("block", F.lit(TEXT).cast("byte"), F.lit(0).cast("long"), F.lit(0.0), "doc_id", "held_out", "text"))
     )
-    columns = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-
-    def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        own = {}
-        for k in (WORD, GRAM):
-            at = right.column("kind").to_numpy() == k
-            keys, once = np.unique(right.column("key").to_numpy()[at], return_index=True)  # a block read by two tasks asks twice
-            own[k] = keys, right.column("value").to_numpy()[at][once]
-        del right
-        pieces = [b for batch in left.combine_chunks().to_batches() for b in tk.slices(batch)]
-        words, held = [], []
-        for b in pieces:
-            words.append(words_of(b.column("text")))
-            held.append(counted(words[-1][0], np.repeat(~b.column("held_out").to_numpy(zero_copy_only=False), np.diff(words[-1][1]))))
-        # A word that no other block has isn't sent back: its count is this block's.
-        local, count = added(held)
-        local, count = pd.Index(local.view(np.int64)), count.astype(float)
-        count[local.get_indexer(own[WORD][0])] = own[WORD][1]
-        known_grams, chance = pd.Index(own[GRAM][0]), own[GRAM][1]
-        out: list[list] = [[] for _ in range(8)]
-        for b, (h, word_first) in zip(pieces, words, strict=True):
-            c, doc, n = count[local.get_indexer(h.view(np.int64))], np.repeat(np.arange(b.num_rows), np.diff(word_first)), b.num_rows
-            gram, first = grams(*tk.column_bytes(b.column("text"), lower=True), depth)
-            p = chance[known_grams.get_indexer(gram.view(np.int64))]
-            tokens = np.diff(word_first) + 1
-            base = np.bincount(doc, np.log10(c + 1), n) + np.log10(ends + 1) - tokens * np.log10(n_all + v_all + 1.0)
-            total = np.add.reduceat(p, first[:-1]) if n else np.zeros(0)
-            known = np.bincount(doc, c > 0, n).astype(np.int64) + (ends > 0)
-            bits = -total / np.log10(2) / np.diff(first)
-            for k, x in enumerate((b.column("doc_id"), b.column("held_out"), pa.array(tokens), pa.array(known), pa.array(np.full(n, n_all)), pa.array(base), pa.array(total), pa.array(bits))):
-                out[k].append(x)
-        names = [c.split()[0] for c in columns.split(", ")]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        return pa.table([pa.chunked_array(x, t) for x, t in zip(out, types, strict=True)], names)
-
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, columns)
+    dealt = answers.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", "kind", "key")
+    found = dealt.mapInArrow(_scored(depth), "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, bits_per_byte double")
+    base = F.col("logs") + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(n_all + v_all + 1.0)))
+    done = found.select("doc_id", "held_out", "n_tokens", (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "bits_per_byte")
+    done = stored(done, "scores")
+    keeper.forget()
+    discard(blocks, sent)
+    return done
 
 
 def op9_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
