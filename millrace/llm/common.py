@@ -5,8 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,17 @@ def passes(mask: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (mask[p >> 6] >> (p & 63)) & 1 == 1
 
 
+def maybe(spark: SparkSession, mask: np.ndarray) -> Callable[[Column], Column]:
+    """passes() as a column function, which sends nothing but the numbers to Python."""
+    shared = spark.sparkContext.broadcast(mask)
+
+    @F.pandas_udf("boolean")
+    def run(numbers: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, numbers.to_numpy(np.int64)))
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """Distributed union-find over links(a, b): (node, component), component the least node of the connected part.
 

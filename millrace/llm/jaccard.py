@@ -425,6 +425,10 @@ def tree_links(rows: DataFrame, percent: int, whole: bool = False, every: bool =
     """
 
     def run(tree: int, x: int, y: int, mine: np.ndarray, node: np.ndarray, sets: list, trees: list | None = None) -> pa.RecordBatch | None:
+        if len(sets) == 2:  # no tree to speak of
+            if mine[0] == mine[1] == x != y or mine[0] == mine[1] == y != x or whole and min(trees[0] & trees[1]) != tree or not linked(*sets, percent):
+                return None
+            return said(np.sort(node)[:1], np.sort(node)[1:], node[: 2 * whole], np.ones(2 * whole, np.int64))
         maps = [np.frombuffer(bitmap(i), U) for i in sets]
         judge = Judge(tree, percent, whole, every)
         order, pairs = candidates(x, y, mine, node, np.array([len(i) for i in sets], np.int64), maps, percent, judge.done)
@@ -434,11 +438,14 @@ def tree_links(rows: DataFrame, percent: int, whole: bool = False, every: bool =
         some = np.flatnonzero(judge.found)
         i, j = np.array(judge.links, np.int64).reshape(-1, 2).T
         node = node[order]
-        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        if len(a) + len(some):
-            none = lambda k: pa.nulls(k, pa.int64())
-            columns = [[pa.array(a), none(len(some))], [pa.array(b), none(len(some))], [none(len(a)), pa.array(node[some])], [none(len(a)), pa.array(judge.found[some])]]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "node", "found"])
+        return said(np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), node[some], judge.found[some])
+
+    def said(a: np.ndarray, b: np.ndarray, node: np.ndarray, found: np.ndarray) -> pa.RecordBatch | None:
+        if not len(a) + len(node):
+            return None
+        none = lambda k: pa.nulls(k, pa.int64())
+        columns = [[pa.array(a), none(len(node))], [pa.array(b), none(len(node))], [none(len(a)), pa.array(node)], [none(len(a)), pa.array(found)]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "node", "found"])
 
     columns = {"mine": numbers, "node": numbers, "items": sets_from} | ({"trees": tree_sets} if whole else {})
     return per_item(rows, run, columns, "a long, b long, node long, found long")

@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, clashing column names; and the parts of the methods."""
 
+import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -20,10 +22,10 @@ ROWS = [
 ]
 OPERATORS = {
     "mix": mixing.mix, "near_duplicates": jaccard.near_duplicates, "unique_lines": lines.unique_lines, "personal_data": pii.personal_data, "repeats": substrings.repeats,
-    "scores": lambda d: scoring.scores(d, 3), "shard": sharding.shard,
+    "scores": lambda d: scoring.scores(d, 3), "shard": sharding.shard, "leaks": lambda d: decontamination.leaks(d, d.selectExpr("doc_id item_id", "text")),
     "media": lambda d: media.resolve(media.parts(d.selectExpr("doc_id page_id", "text html")), media.features(media.store(d.select(media.padded(F.col("text")).alias("payload"))))),
 }
-ROW_FOR_ROW = {"mix", "near_duplicates", "unique_lines", "personal_data", "repeats", "scores", "shard"}
+ROW_FOR_ROW = {"mix", "near_duplicates", "unique_lines", "personal_data", "repeats", "scores", "shard", "leaks"}
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +49,7 @@ def test_empty_table(docs, name):
     assert OPERATORS[name](docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(ROW_FOR_ROW - {"shard"}))
+@pytest.mark.parametrize("name", sorted(ROW_FOR_ROW - {"shard", "leaks"}))
 def test_other_columns_do_not_matter(docs, name):
     odd = docs.withColumns({c: F.lit("z") for c in ("size", "node", "key", "n", "row", "f", "block", "id", "component", "label", "words", "kept", "_n")})
     assert same(OPERATORS[name](odd)) == same(OPERATORS[name](docs))
@@ -324,17 +326,62 @@ def test_masks_cover_two_substitutions():
         assert any(not set(bad) & {o + p for p in m} for m in decontamination.MASKS for o in range(decontamination.WINDOW - width + 1)), bad
 
 
-def test_substituted_leaks(spark, monkeypatch):
+def test_substituted_leaks(spark):
     item = [f"item{i}" for i in range(20)]
     def swap(*at):
         return " ".join("zzz" if i in at else w for i, w in enumerate(item))
     rows = [(0, f"x {swap()} y"), (1, f"x y {swap(3, 9, 15)}"), (2, swap(0, 3, 6, 9, 12, 15, 18)), (3, " ".join(item[:12])), (4, " ".join(item[3:17]).upper()), (5, "one two three four five six"), (6, "one two three four five sux")]
+    rows += [(7, "Yes\tNO"), (8, "yes no maybe"), (9, "x a1 a2 a3 zzz a5 a6 a7 y"), (10, "a1 a2 zzz a4 zzz a6 a7"), (11, " ".join(["ha"] * 400)), (12, None), (13, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, "one two three four five six"), (3, "a b"), (4, " ".join(item))], "item_id long, text string")
-    for block in (500_000, 8):
-        monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
-        got = {r.doc_id: sorted(x.item_id for x in r.leaks) for r in decontamination.leaks(docs, bench).collect()}
-        assert got == {0: [1, 4], 1: [1, 4], 2: [], 3: [], 4: [1, 4], 5: [2], 6: []}
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "one two three four five six"), (3, "yes no"), (4, " ".join(item)), (5, "a1 a2 a3 a4 a5 a6 a7"), (6, " ".join(["ha"] * 30)), (7, None), (8, " "), (None, "x")], "item_id long, text string")
+    found = {r.doc_id: r.leaks for r in decontamination.leaks(docs, bench).collect()}
+    assert {k: sorted(x.item_id for x in v) for k, v in found.items()} == {0: [1, 4], 1: [1, 4], 2: [], 3: [], 4: [1, 4], 5: [2], 6: [], 7: [3], 8: [], 9: [5], 10: [], 11: [6], 12: [], 13: []}
+    assert [(x.word, x.item_word, x.matched, x.compared) for x in found[0]] == [(1, 0, 13, 13)] * 2 and [(x.word, x.item_word, x.matched, x.compared) for x in found[9]] == [(1, 0, 6, 7)]
+    assert {r.doc_id for r in decontamination.clean(docs, bench).collect()} == {2, 3, 6, 8, 10, 12, 13}
+
+
+def test_leaks_by_brute_force(spark):
+    """Both sides: every text that holds an item is found, with each item, and no other."""
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{rng.integers(60)}"
+    items = [[word() for _ in range(n)] for n in (*range(1, 30), 13, 13, 14, 40)]
+    texts = []
+    for k in range(300):
+        x = list(items[k % len(items)])
+        x = x[rng.integers(0, max(1, len(x) - 12)) :] if rng.random() < 0.3 else x
+        for _ in range(rng.integers(0, 5)):
+            x[rng.integers(len(x))] = word()
+        texts.append(" ".join([word() for _ in range(rng.integers(0, 12) if rng.random() < 0.8 else 0)] + x + [word() for _ in range(rng.integers(0, 12) if rng.random() < 0.8 else 0)]))
+
+    def holds(text, item):
+        x, n = text.split(), len(item)
+        if n < 5:
+            return x == item
+        size = min(n, 13)
+        need = 11 if size == 13 else size - (size >= 7)
+        return any(sum(map(str.__eq__, x[i : i + size], item[j : j + size])) >= need for i in range(len(x) - size + 1) for j in range(n - size + 1))
+
+    want = {k: [i for i, item in enumerate(items) if holds(t, item)] for k, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {r.doc_id: sorted(x.item_id for x in r.leaks) for r in decontamination.leaks(docs, bench).collect()} == want
+    assert {r.doc_id for r in decontamination.clean(docs, bench).collect()} == {k for k, v in want.items() if not v}
+    assert 50 < sum(map(bool, want.values())) < 290
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "a" * 1_000_000 + "@", "a@" * 300_000, "1." * 500_000, "+1" * 300_000, "+" + "(" * 1_000_000, "0" * 500_000 + ".1.1.1", "4 " * 500_000, "AB12" * 250_000])
+def test_pii_takes_linear_time(text):
+    start = time.time()
+    pii.find(text)
+    assert time.time() - start < 8
+
+
+def test_emails_like_the_plain_pattern():
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    rng = np.random.default_rng(4)
+    for _ in range(20_000):
+        t = "".join(rng.choice(list("ab1.@_- é"), rng.integers(0, 24)))
+        assert list(pii.emails(t)) == [m.span() for m in plain.finditer(t)], t
 
 
 def test_incremental_index(spark):
