@@ -426,7 +426,7 @@ def tree_links(rows: DataFrame, percent: int, whole: bool = False, every: bool =
 
     def run(tree: int, x: int, y: int, mine: np.ndarray, node: np.ndarray, sets: list, trees: list | None = None) -> pa.RecordBatch | None:
         if len(sets) == 2:  # no tree to speak of
-            if mine[0] == mine[1] == x != y or mine[0] == mine[1] == y != x or whole and min(trees[0] & trees[1]) != tree or not linked(*sets, percent):
+            if (x != y and mine[0] == mine[1]) or (whole and min(trees[0] & trees[1]) != tree) or not linked(*sets, percent):
                 return None
             return said(np.sort(node)[:1], np.sort(node)[1:], node[: 2 * whole], np.ones(2 * whole, np.int64))
         maps = [np.frombuffer(bitmap(i), U) for i in sets]
