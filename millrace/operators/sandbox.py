@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# What submitted code may import, call and touch.
-ALLOWED_IMPORTS = {"math", "cmath", "numpy", "sympy", "fractions", "decimal", "itertools", "functools", "statistics", "typing"}
-DENIED_CALLS = {"open", "exec", "eval", "compile", "__import__", "input", "globals", "locals", "vars", "getattr", "setattr", "delattr", "breakpoint", "exit"}
-DENIED_ATTRIBUTES = {"system", "popen", "spawn", "fork"}
-ALLOWED_DUNDERS = {"__name__", "__init__"}
+# What submitted code may import, must not call, and which names with two underscores it may use.
+ALLOWED_IMPORTS = {"sympy", "numpy", "math", "cmath", "itertools", "functools", "collections", "fractions", "statistics", "decimal"}
+DENIED_CALLS = {"eval", "exec", "open", "compile", "__import__", "input", "breakpoint", "globals", "locals", "vars", "memoryview", "help", "exit", "quit"}
+DENIED_METHODS = {"system", "popen", "subprocess", "connect"}
+ALLOWED_DUNDERS = {"__name__", "__file__"}
 
 
 def safety_error(code: str | None) -> str | None:
@@ -45,10 +45,10 @@ def safety_error(code: str | None) -> str | None:
             case ast.ImportFrom():
                 if node.level or (node.module or "").split(".")[0] not in ALLOWED_IMPORTS:
                     return f"import from {'.' * node.level}{node.module or ''}"
-            case ast.Name() if node.id in DENIED_CALLS:
-                return f"use of {node.id}"
-            case ast.Attribute() if node.attr in DENIED_ATTRIBUTES:
-                return f"use of .{node.attr}"
+            case ast.Call(func=ast.Name(id=name)) if name in DENIED_CALLS:
+                return f"use of {name}"
+            case ast.Call(func=ast.Attribute(attr=name)) if name in DENIED_METHODS:
+                return f"use of .{name}"
         name = getattr(node, "attr", None) or getattr(node, "id", None)
         if isinstance(name, str) and name.startswith("__") and name not in ALLOWED_DUNDERS:
             return f"use of {name}"

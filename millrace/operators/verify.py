@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.expressions import evaluate
 from millrace.functions.inputs import sample_points
-from millrace.functions.numbers import operation_count, parse_number
+from millrace.functions.numbers import operation_count, outputs_match, parse_number
 from millrace.functions.text import execute_blocks, final_answer
 from millrace.operators import sandbox
 from millrace.operators.scoring import per_problem, score_cases, summary
@@ -21,23 +22,46 @@ def complex_close(a: Column, b: Column, rel_tol: float = REL_TOL, abs_tol: float
     return (a == b) | (gap <= F.greatest(F.lit(rel_tol) * F.greatest(size(a), size(b)), F.lit(abs_tol)))
 
 
+def _column(df: DataFrame, name: str) -> Column:
+    return F.coalesce(name, F.lit("")) if name in df.columns else F.lit("")
+
+
 def numeric_check(problems: DataFrame, n: int = POINTS, seed: str = "0", **limits) -> DataFrame:
-    """(task_id, numeric_ok, n_defined): code against truth_code at n jittered points.
+    """(task_id, numeric_ok, n_defined, why): code against the truth at n jittered points.
 
-    problems(task_id, code, truth_code, test_cases). Points at which the truth is undefined are skipped; if all are, the
-    check passes with n_defined 0.
+    problems(task_id, code, test_cases, and truth_code or sympy_exp or both). The truth is truth_code's result where there is one, else the value
+    of sympy_exp. Points at which the truth has no finite value are skipped; if all are, the check passes with n_defined 0. It fails if
+    there is no truth (or none that can be read), if either code fails at any point, and at the first output that is unreadable or off.
     """
-    points = sample_points(problems, n, seed).join(problems.select("task_id", "code", "truth_code"), "task_id")
-    both = points.select("task_id", "point", "input", F.explode(F.map_from_arrays(F.array(F.lit("got"), F.lit("truth")), F.array("code", "truth_code"))).alias("side", "code"))
+    p = problems.select("task_id", "test_cases", "code", _column(problems, "truth_code").alias("truth_code"), _column(problems, "sympy_exp").alias("sympy_exp"))
+    coded = F.trim("truth_code") != ""
+    points = sample_points(p, n, seed).join(p.drop("test_cases"), "task_id")
+    side = lambda name, code: F.struct(F.lit(name).alias("side"), F.col(code).alias("code"))
+    sides = F.explode(F.when(coded, F.array(side("got", "code"), side("truth", "truth_code"))).otherwise(F.array(side("got", "code")))).alias("s")
+    both = points.select("task_id", "point", "input", coded.alias("coded"), "sympy_exp", sides).select("task_id", "point", "input", "coded", "sympy_exp", "s.side", "s.code")
     done = sandbox.execute(both, **limits)
-    value = F.when((F.col("run.exit_code") == 0) & F.col("run.safety_error").isNull(), F.col("run.stdout"))
-    wide = done.groupBy("task_id", "point").agg(F.max(F.when(F.col("side") == "got", value)).alias("got"), F.max(F.when(F.col("side") == "truth", value)).alias("truth"))
-    t, g = parse_number(F.col("truth")), parse_number(F.col("got"))
-    finite = lambda z: z.isNotNull() & ~F.isnan(z["re"]) & ~F.isnan(z["im"]) & (F.abs(z["re"]) != float("inf")) & (F.abs(z["im"]) != float("inf"))
-    defined = F.coalesce(finite(t), F.lit(False))
-    ok = ~defined | F.coalesce(complex_close(g, t), F.lit(False))
-    checked = wide.groupBy("task_id").agg(F.bool_and(ok).alias("numeric_ok"), F.count_if(defined).alias("n_defined"))
-    return problems.select("task_id").join(checked, "task_id", "left").select("task_id", F.coalesce("numeric_ok", F.lit(True)).alias("numeric_ok"), F.coalesce("n_defined", F.lit(0)).alias("n_defined"))
+    ran = (F.col("run.exit_code") == 0) & F.col("run.safety_error").isNull() & ~F.col("run.timed_out")
+    of = lambda name: F.max(F.when((F.col("side") == name) & ran, F.col("run.stdout"))).alias(name)
+    wide = done.groupBy("task_id", "point").agg(of("got"), of("truth"), *[F.any_value(c).alias(c) for c in ("coded", "sympy_exp", "input")])
+    wide = wide.withColumn("e", evaluate(F.when(~F.col("coded"), F.col("sympy_exp")), F.col("input")))
+    t = F.when(F.col("coded"), parse_number(F.col("truth"))).otherwise(F.when(F.col("e.status") == "evaluated", F.struct("e.re", "e.im")))
+    g = parse_number(F.col("got"))
+    finite = t.isNotNull() & ~F.isnan(t["re"]) & ~F.isnan(t["im"]) & (F.abs(t["re"]) != float("inf")) & (F.abs(t["im"]) != float("inf"))
+    defined = F.coalesce(finite, F.lit(False))
+    at = lambda rank, why: F.struct(F.lit(rank).alias("rank"), F.lit(why).alias("why"))
+    fault = (
+        F.when(F.col("coded") & F.col("truth").isNull(), at(0, "truth code failed to run"))
+        .when(~F.col("coded") & F.col("e.status").isin("empty", "parse error"), at(1, "no truth to compare with"))
+        .when(F.col("got").isNull(), at(2, "candidate failed to run"))
+        .when(defined & g.isNull(), at(3, "output is no number"))
+        .when(defined & ~F.coalesce(complex_close(g, t), F.lit(False)), at(3, "mismatch with the truth"))
+    )
+    worst = F.min(F.when(fault.isNotNull(), F.struct(fault["rank"].alias("rank"), "point", fault["why"].alias("why"))))
+    checked = wide.groupBy("task_id").agg(worst.alias("worst"), F.count_if(defined).alias("n_defined"))
+    # Without cases there are no points; a truth is needed all the same.
+    bare = F.when(~coded & (evaluate(F.col("sympy_exp"), F.create_map().cast("map<string,string>"))["status"].isin("empty", "parse error")), F.lit("no truth to compare with"))
+    out = p.select("task_id", bare.alias("bare")).join(checked, "task_id", "left").withColumn("why", F.coalesce("worst.why", F.when(F.col("n_defined").isNull(), F.col("bare"))))
+    return out.select("task_id", F.col("why").isNull().alias("numeric_ok"), F.coalesce("n_defined", F.lit(0)).alias("n_defined"), "why")
 
 
 def oracle_verify(problems: DataFrame, **how) -> DataFrame:
@@ -45,8 +69,15 @@ def oracle_verify(problems: DataFrame, **how) -> DataFrame:
     checked = problems.withColumn("_bad", F.when(F.trim(F.coalesce("code", F.lit(""))) == "", "empty solution").when(~F.contains("code", F.lit("def ")), "no function").otherwise(sandbox.safety("code")))
     good = numeric_check(checked.where("_bad is null").drop("_bad"), **how)
     out = checked.select("task_id", "_bad").join(good, "task_id", "left")
-    reasons = F.array_compact(F.array(F.col("_bad"), F.when(~F.col("numeric_ok"), F.lit("mismatch with the truth"))))
-    return out.select("task_id", (F.size(reasons) == 0).alias("accepted"), F.nullif(F.array_join(reasons, "; "), F.lit("")).alias("reason"))
+    reason = F.coalesce("_bad", "why")
+    return out.select("task_id", reason.isNull().alias("accepted"), reason.alias("reason"))
+
+
+def verify_generated(problems: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) rows of generated problems(task_id, solution, ..); rejected ones with their reason."""
+    verdicts = oracle_verify(problems.withColumn("code", F.col("solution")), **how)
+    both = problems.join(verdicts, "task_id")
+    return both.where("accepted").drop("accepted", "reason"), both.where("not accepted").drop("accepted")
 
 
 def gold_check(problems: DataFrame, least: float = 0.99, **limits) -> DataFrame:
@@ -57,19 +88,17 @@ def gold_check(problems: DataFrame, least: float = 0.99, **limits) -> DataFrame:
 
 
 def curate(rows: DataFrame, **how) -> DataFrame:
-    """rows(task_id, solution, truth_code, test_cases) with accepted and reason, by the first branch that applies:
+    """rows(task_id, solution, truth_code, sympy_exp, test_cases) with accepted and reason, by the first branch that applies:
 
-    no solution; checked against a truth; compiled only, as there are no cases; run on all cases; all given outputs match.
+    no solution; checked against a truth, code or expression; compiled only, as there are no cases; run on all cases; all given outputs match.
     """
     base = rows.withColumn("code", F.coalesce("solution", F.lit("")))
     blank = F.trim("code") == ""
-    with_truth = base.where(~blank & (F.trim(F.coalesce("truth_code", F.lit(""))) != ""))
-    truth = oracle_verify(with_truth, **how)
-    rest = base.where(~blank & (F.trim(F.coalesce("truth_code", F.lit(""))) == ""))
+    true = (F.trim(_column(rows, "truth_code")) != "") | (F.trim(_column(rows, "sympy_exp")) != "")
+    truth = oracle_verify(base.where(~blank & true), **how)
+    rest = base.where(~blank & ~true)
     bare = rest.where(F.size("test_cases") <= 0).withColumn("reason", sandbox.safety("code")).select("task_id", F.col("reason").isNull().alias("accepted"), "reason")
     ran = sandbox.run_solutions(rest.where(F.size("test_cases") > 0))
-    from millrace.functions.numbers import outputs_match
-
     wrong = F.col("expected").isNotNull() & ~outputs_match(F.col("got"), F.col("expected"))
     cases = ran.groupBy("task_id").agg(F.min(F.when(F.col("error").isNotNull(), F.concat(F.lit("error: "), F.col("error")))).alias("e"), F.bool_or(wrong).alias("w"))
     cases = cases.select("task_id", (F.col("e").isNull() & ~F.col("w")).alias("accepted"), F.when(F.col("e").isNotNull(), F.col("e")).when(F.col("w"), "mismatch with a case").alias("reason"))
@@ -101,8 +130,6 @@ def rewards(trajectories: DataFrame, problems: DataFrame, **limits) -> DataFrame
     runs = t.where("_known and size(blocks) > 0").select("task_id", F.posexplode("blocks").alias("block", "code"), "test_cases")
     cases = runs.select("task_id", "block", "code", F.posexplode("test_cases").alias("case_index", "c"))
     done = sandbox.execute(cases.select("task_id", "block", "case_index", F.col("c.output").alias("expected"), "code", F.col("c.input").alias("input")), **limits)
-    from millrace.functions.numbers import outputs_match
-
     ok = (F.col("run.exit_code") == 0) & F.col("run.safety_error").isNull()
     right = ok & F.col("expected").isNotNull() & outputs_match(F.when(ok, F.col("run.stdout")), F.col("expected"))
     per_block = done.groupBy("task_id", "block").agg(F.bool_and(ok).alias("ok"), F.bool_and(right).alias("right"))

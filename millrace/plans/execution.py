@@ -11,15 +11,23 @@ from millrace.plans.tables import table
 GOOD = "def calculate(x_val, y=1.0):\n    return x_val ** 2 + y\n"
 BAD = "def calculate(x_val, y=1.0):\n    return x_val ** 2 - y\n"
 UNSAFE = "import os\ndef calculate(x_val):\n    return os.getpid()\n"
+FAILS = "def calculate(x_val):\n    return x_val / 0\n"
+LONG = "def calculate(x_val, y=1.0):\n    return x_val ** 2 + y + 0 - 0 + 0\n"
 
 
 def _problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A problem a nation: two cases of x^2 + 1; every fifth solution is wrong, every seventh unsafe."""
-    n = table(spark, sf_dir, "nation", "n_nationkey")
-    k = F.col("n_nationkey")
+    """A problem a supplier: two cases of x^2 + 1, with good, wrong, unsafe, failing and empty solutions.
+
+    The truth is code, an expression or both; it is missing, unreadable or nowhere defined for some.
+    """
+    k = F.col("k")
+    s = table(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").cast("int").alias("k"))
     case = lambda v: F.struct(F.create_map(F.lit("x"), v.cast("string")).alias("input"), (v * v + 1).cast("double").cast("string").alias("output"))
-    code = F.when(k % 7 == 6, UNSAFE).when(k % 5 == 4, BAD).otherwise(GOOD)
-    return n.select(k.cast("string").alias("task_id"), code.alias("code"), code.alias("solution"), F.lit(GOOD).alias("truth_code"), F.lit("x**2+1").alias("sympy_exp"), F.array(case(k), case(k + 1)).alias("test_cases"))
+    code = F.when(k % 7 == 6, UNSAFE).when(k % 5 == 4, BAD).when(k % 11 == 7, FAILS).when(k % 17 == 3, "").otherwise(GOOD)
+    none = (k % 13).isin(5, 6, 8)
+    truth = F.when(none | (k % 3 == 1), "").when(k % 19 == 2, FAILS).otherwise(GOOD)
+    exp = F.when(k % 13 == 5, "").when(k % 13 == 6, "x +* 2").when(k % 13 == 8, "log(x - x)").when(k % 3 == 0, "").otherwise("x**2 + 1")
+    return s.select("k", k.cast("string").alias("task_id"), code.alias("code"), code.alias("solution"), truth.alias("truth_code"), exp.alias("sympy_exp"), F.array(case(k), case(k + 1)).alias("test_cases"))
 
 
 def sandbox_exec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,14 +39,17 @@ def oracle_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _problems(spark, sf_dir).withColumn("truth_code", F.when(F.col("task_id").cast("int") % 2 == 0, F.col("truth_code"))).drop("code")
-    return verify.curate(rows, n=2).select("task_id", "accepted", "reason")
+    return verify.curate(_problems(spark, sf_dir).drop("code"), n=2).select("task_id", "accepted", "reason")
 
 
 def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _problems(spark, sf_dir)
-    t = p.select("task_id", F.concat(F.lit("try <execute>\n"), F.col("code"), F.lit("</execute>")).alias("trajectory"))
-    return verify.rewards(t, p.drop("code"))
+    """One block; two blocks, of which the last counts; a final answer only; a longer block under a trace."""
+    p, k = _problems(spark, sf_dir).withColumn("solution", F.lit(GOOD)), F.col("k")
+    block = lambda c: F.concat(F.lit("try <execute>\n"), c, F.lit("</execute>"))
+    answer = F.concat(F.lit("so <final_answer>"), (k * k + (k % 8 == 2).cast("int")).cast("string"), F.lit("</final_answer>"))
+    said = F.when(k % 4 == 0, block(F.col("code"))).when(k % 4 == 1, F.concat(block(F.lit(BAD)), block(F.col("code")))).when(k % 4 == 2, answer)
+    t = p.select(F.when(k % 23 == 9, "nobody").otherwise(F.col("task_id")).alias("task_id"), said.alias("trajectory"), "code")
+    return verify.rewards(t.select("task_id", F.coalesce("trajectory", F.concat(F.lit("Traceback: "), block(F.lit(LONG)))).alias("trajectory")), p.drop("code", "k"))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,26 +84,39 @@ def model_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _problems(spark, sf_dir).withColumn("latex_expression", F.col("task_id"))
     frozen = rows.where("task_id in ('3', '5')")
-    return publishing.validate(rows, rows.where("task_id < '2'"), frozen, 24)
+    return publishing.validate(rows.drop("k"), rows.where("task_id < '2'").drop("k"), frozen.drop("k"), 24)
 
 
+_VIEW = """WITH p AS (SELECT s_suppkey AS k FROM supplier),
+  q AS (SELECT k, CASE WHEN k % 7 = 6 THEN 'unsafe' WHEN k % 5 = 4 THEN 'bad' WHEN k % 11 = 7 THEN 'fails' WHEN k % 17 = 3 THEN 'empty' ELSE 'good' END AS code,
+    k % 13 NOT IN (5, 6, 8) AND k % 3 <> 1 AS coded, k % 19 = 2 AS truth_fails, k % 13 = 5 AS bare, k % 13 = 6 AS unreadable, k % 13 = 8 AS nowhere FROM p)"""
+_ORACLE_REASON = """CASE WHEN code = 'empty' THEN 'empty solution' WHEN code = 'unsafe' THEN 'import of os' WHEN coded AND truth_fails THEN 'truth code failed to run'
+    WHEN bare OR unreadable THEN 'no truth to compare with' WHEN code = 'fails' THEN 'candidate failed to run' WHEN nowhere THEN NULL WHEN code = 'bad' THEN 'mismatch with the truth' END"""
 QUERIES = {f.__name__: f for f in (sandbox_exec, oracle_verify, curated, rewards, symbolic_truth, trivial_floor, model_benchmark, dataset_checks)}
 #: The wrong and unsafe solutions are known, so the verdicts are too.
 ORACLES = {
     "symbolic_truth": """SELECT CAST(p_partkey AS VARCHAR) AS task_id, CASE p_partkey % 11 WHEN 0 THEN 'empty' WHEN 1 THEN 'parse error' WHEN 2 THEN 'undefined' ELSE 'evaluated' END AS status,
         2::BIGINT AS n_cases, CASE WHEN p_partkey % 11 > 3 THEN 2 ELSE 0 END::BIGINT AS n_passed FROM part""",
     "trivial_floor": "SELECT count(*) AS n_problems, count(*) FILTER (p_partkey % 3 = 0) AS problems_passed, 2 * count(*) FILTER (p_partkey % 3 = 0) AS cases_passed FROM part",
-    "model_benchmark": "SELECT count(*) AS n_problems, count(*) AS problems_passed, 1.0::DOUBLE AS problem_accuracy FROM nation",
-    "dataset_checks": """SELECT 'complete' AS "check", true AS ok, 0::BIGINT AS n_bad UNION ALL SELECT 'uncontaminated', false, 2 UNION ALL SELECT 'hidden', false, count(*) FROM nation WHERE CAST(n_nationkey AS VARCHAR) < '2'
-        UNION ALL SELECT 'unique', true, 0 UNION ALL SELECT 'rows', false, count(*) - 24 FROM nation""",
-    "oracle_verify": """SELECT CAST(n_nationkey AS VARCHAR) AS task_id, n_nationkey % 7 <> 6 AND n_nationkey % 5 <> 4 AS accepted,
-        CASE WHEN n_nationkey % 7 = 6 THEN 'import of os' WHEN n_nationkey % 5 = 4 THEN 'mismatch with the truth' END AS reason FROM nation""",
-    "curated": """SELECT CAST(n_nationkey AS VARCHAR) AS task_id, n_nationkey % 7 <> 6 AND n_nationkey % 5 <> 4 AS accepted,
-        CASE WHEN n_nationkey % 7 = 6 THEN CASE n_nationkey % 2 WHEN 0 THEN '' ELSE 'error: ' END || 'import of os'
-        WHEN n_nationkey % 5 = 4 THEN CASE n_nationkey % 2 WHEN 0 THEN 'mismatch with the truth' ELSE 'mismatch with a case' END END AS reason FROM nation""",
-    "rewards": """WITH r AS (SELECT CAST(n_nationkey AS VARCHAR) AS task_id, n_nationkey % 7 <> 6 AS ran, n_nationkey % 5 <> 4 AS good FROM nation)
-        SELECT task_id, 0.1::DOUBLE AS tool, 0.0::DOUBLE AS meta, CASE WHEN ran THEN 1.0 ELSE -0.25 END::DOUBLE AS execution, CASE WHEN ran AND good THEN 2.0 ELSE 0.0 END::DOUBLE AS terminal,
-        0.0::DOUBLE AS complexity, CASE WHEN NOT ran THEN -0.15 WHEN good THEN 3.1 ELSE 1.1 END::DOUBLE AS total FROM r""",
-    "sandbox_exec": """SELECT CAST(n_nationkey AS VARCHAR) AS task_id, CAST(i AS INT) AS case_index, CASE WHEN n_nationkey % 7 <> 6 THEN CAST(CAST(power(n_nationkey + i, 2) + CASE WHEN n_nationkey % 5 = 4 THEN -1 ELSE 1 END AS DOUBLE) AS VARCHAR) END AS got,
-        CAST(CAST(power(n_nationkey + i, 2) + 1 AS DOUBLE) AS VARCHAR) AS expected, CASE WHEN n_nationkey % 7 = 6 THEN 'import of os' END AS error FROM nation, range(2) r(i)""",
+    "model_benchmark": "SELECT count(*) AS n_problems, count(*) AS problems_passed, 1.0::DOUBLE AS problem_accuracy FROM supplier",
+    "dataset_checks": """SELECT 'complete' AS "check", true AS ok, 0::BIGINT AS n_bad UNION ALL SELECT 'uncontaminated', false, 2 UNION ALL SELECT 'hidden', false, count(*) FROM supplier WHERE CAST(s_suppkey AS VARCHAR) < '2'
+        UNION ALL SELECT 'unique', true, 0 UNION ALL SELECT 'rows', false, count(*) - 24 FROM supplier""",
+    "oracle_verify": f"""{_VIEW}
+        SELECT CAST(k AS VARCHAR) AS task_id, reason IS NULL AS accepted, reason FROM (SELECT k, {_ORACLE_REASON} AS reason FROM q) r""",
+    "curated": f"""{_VIEW}
+        SELECT CAST(k AS VARCHAR) AS task_id, reason IS NULL AS accepted, reason FROM (SELECT k, CASE WHEN NOT bare THEN {_ORACLE_REASON}
+          ELSE CASE code WHEN 'empty' THEN 'empty solution' WHEN 'unsafe' THEN 'error: import of os' WHEN 'fails' THEN 'error: ZeroDivisionError: division by zero' WHEN 'bad' THEN 'mismatch with a case' END END AS reason FROM q) r""",
+    "rewards": f"""{_VIEW},
+        r AS (SELECT CASE WHEN k % 23 = 9 THEN 'nobody' ELSE CAST(k AS VARCHAR) END AS task_id, k % 23 <> 9 AS known, k % 4 AS kind, k, code, code IN ('good', 'bad') AS ran,
+          k % 4 <> 2 AND (k % 4 <> 0 OR code <> 'empty') OR k % 4 = 1 AS used, NOT (k % 13 = 5 OR k % 13 NOT IN (6, 8) AND k % 3 = 0) AS has_exp FROM q),
+        s AS (SELECT *, CASE WHEN NOT known THEN 0.0 WHEN kind = 2 THEN 0.0 WHEN kind = 3 THEN 1.0 WHEN kind = 1 THEN 1.0 + CASE WHEN ran THEN 1.0 ELSE -0.25 END WHEN ran THEN 1.0 ELSE -0.25 END::DOUBLE AS execution,
+          known AND CASE kind WHEN 2 THEN k % 8 = 2 WHEN 3 THEN true ELSE code = 'good' END AS correct FROM r)
+        SELECT task_id, CASE WHEN known AND kind <> 2 THEN 0.1 ELSE 0.0 END::DOUBLE AS tool, CASE WHEN known AND kind = 3 THEN 0.2 ELSE 0.0 END::DOUBLE AS meta, execution,
+          CASE WHEN correct THEN 2.0 ELSE 0.0 END::DOUBLE AS terminal, CASE WHEN correct AND kind = 3 AND has_exp THEN -0.03 ELSE 0.0 END::DOUBLE AS complexity,
+          round(CASE WHEN known AND kind <> 2 THEN 0.1 ELSE 0.0 END + CASE WHEN known AND kind = 3 THEN 0.2 ELSE 0.0 END + execution + CASE WHEN correct THEN 2.0 ELSE 0.0 END
+            + CASE WHEN correct AND kind = 3 AND has_exp THEN -0.03 ELSE 0.0 END, 9)::DOUBLE AS total FROM s""",
+    "sandbox_exec": f"""{_VIEW}
+        SELECT CAST(k AS VARCHAR) AS task_id, CAST(i AS INT) AS case_index, CASE code WHEN 'good' THEN CAST(CAST(power(k + i, 2) + 1 AS DOUBLE) AS VARCHAR) WHEN 'bad' THEN CAST(CAST(power(k + i, 2) - 1 AS DOUBLE) AS VARCHAR) END AS got,
+          CAST(CAST(power(k + i, 2) + 1 AS DOUBLE) AS VARCHAR) AS expected,
+          CASE code WHEN 'unsafe' THEN 'import of os' WHEN 'empty' THEN 'no code' WHEN 'fails' THEN 'ZeroDivisionError: division by zero' END AS error FROM q, range(2) r(i)""",
 }

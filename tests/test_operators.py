@@ -63,12 +63,12 @@ def test_contamination(spark):
     assert sorted(tuple(r) for r in contamination.substring_hits(docs, needles).collect()) == [(1, 1), (1, 2), (2, 2)]
 
 
-@pytest.mark.parametrize("code", ["import os", "from subprocess import run", "open('x')", "eval('1')", "().__class__", "from . import x", "def f(:"])
+@pytest.mark.parametrize("code", ["import os", "from subprocess import run", "open('x')", "eval('1')", "().__class__", "from . import x", "def f(:", "import typing", "help()", "quit()", "memoryview(b'')", "x.connect()", "x.subprocess()", "f.__init__"])
 def test_unsafe(code):
     assert sandbox.safety_error(code)
 
 
-@pytest.mark.parametrize("code", ["import math\ndef f(x): return math.sqrt(x)", "def f(x): return x", "import numpy as np\ndef f(x): return np.sin(x)"])
+@pytest.mark.parametrize("code", ["import math\ndef f(x): return math.sqrt(x)", "def f(x): return x", "import numpy as np\ndef f(x): return np.sin(x)", "from collections import Counter\ndef f(x): return x", "def f(input): return input", "__name__"])
 def test_safe(code):
     assert sandbox.safety_error(code) is None
 
@@ -99,6 +99,24 @@ def test_oracle(spark):
     assert got["good"].accepted and "mismatch" in got["bad"].reason and got["none"].reason == "empty solution"
 
 
+def test_oracle_kinds_of_truth(spark):
+    """An expression is the truth where there is no code; neither, or a failing run, rejects."""
+    right, wrong, fails = "def calculate(x):\n    return 2*x + 1", "def calculate(x):\n    return x - 99", "def calculate(x):\n    return [][1]"
+    rows = [
+        ("exp", right, None, "2*x + 1"), ("exp wrong", wrong, "", "2*x + 1"), ("neither", right, None, None), ("unreadable", right, None, "2*+*x"), ("code first", right, right, "x - 99"), ("fails", fails, None, "2*x + 1"),
+        ("nowhere", wrong, None, "log(x - x)"), ("nowhere fails", fails, None, "log(x - x)"), ("bad truth", right, fails, "2*x + 1"), ("text", "def calculate(x):\n    return 'abc'", right, None),
+    ]
+    p = spark.createDataFrame([(k, c, t, e, [({"x": "3"}, None)]) for k, c, t, e in rows] + [("no cases", right, None, None, [])], "task_id string, code string, truth_code string, sympy_exp string, test_cases array<struct<input:map<string,string>,output:string>>")
+    got = {r.task_id: r.reason for r in verify.oracle_verify(p, n=3).collect()}
+    none, failed = "no truth to compare with", "candidate failed to run"
+    assert got == {
+        "exp": None, "exp wrong": "mismatch with the truth", "neither": none, "unreadable": none, "code first": None, "fails": failed, "nowhere": None, "nowhere fails": failed,
+        "bad truth": "truth code failed to run", "text": "output is no number", "no cases": none,
+    }
+    accepted, rejected = verify.verify_generated(p.withColumnRenamed("code", "solution"), n=2)
+    assert {r.task_id for r in accepted.collect()} == {"exp", "code first", "nowhere"} and rejected.where("reason is null").count() == 0
+
+
 def test_combine_reports(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "task_id string, n int")
     b = spark.createDataFrame([("y", 3), ("z", 4)], "task_id string, n int")
