@@ -7,6 +7,7 @@ expression. Rows are made by range() and explode(), without a shuffle, and don't
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -40,8 +41,39 @@ class Family:
 
 T = Template
 _GCD = "array_max(filter(sequence(1, least({0}, {1})), d -> {0} % d = 0 AND {1} % d = 0))"
-_DIVISORS = "filter(sequence(1, m), d -> m % d = 0)"
-_PRIMES = "filter(sequence(2, m), p -> NOT exists(sequence(2, greatest(2, p - 1)), d -> d < p AND p % d = 0))"
+#: The largest number that the number-theory tables know.
+_MOST = 200
+
+
+def _table(what: str) -> str:
+    """SQL that looks m up in a table, made by rule, of an arithmetic function."""
+    numbers = range(1, _MOST + 1)
+    divisors = {m: [d for d in numbers if m % d == 0] for m in numbers}
+    partitions = [1] + [0] * _MOST
+    for part in numbers:
+        for m in range(part, _MOST + 1):
+            partitions[m] += partitions[m - part]
+    mu = {1: 1}
+    for m in range(2, _MOST + 1):
+        mu[m] = -sum(mu[d] for d in divisors[m][:-1])
+    values = {
+        "sigma": [sum(divisors[m]) for m in numbers], "tau": [len(divisors[m]) for m in numbers], "phi": [sum(math.gcd(k, m) == 1 for k in range(1, m + 1)) for m in numbers],
+        "primes": [sum(len(divisors[p]) == 2 for p in range(1, m + 1)) for m in numbers], "mu": [mu[m] for m in numbers], "partitions": partitions[1:13],
+    }[what]
+    return f"1.0D * element_at(array({', '.join(map(str, values))}), m)"
+
+
+def _bell(n: int) -> list[int]:
+    """The first n Bell numbers, by their triangle."""
+    out, row = [], [1]
+    for _ in range(n):
+        out.append(row[-1])
+        row = [row[-1], *row]
+        for k in range(1, len(row)):
+            row[k] += row[k - 1]
+    return out
+
+
 _LIST = "list_filter(range(1, m + 1), lambda d: m % d = 0)"
 _CHOOSE = "factorial({0}) / (factorial({1}) * factorial({0} - {1}))"
 
@@ -54,6 +86,17 @@ FAMILIES: dict[str, Family] = {
         T("atan", r"\frac{d}{dx} \arctan(<a> x)", "a / (1 + power(a * x, 2))"),
         T("quotient", r"\frac{d}{dx} \frac{<a>}{<b> x + <c>}", "-1.0D * a * b / power(b * x + c, 2)", other="-1.0 * a * b / power(b * x + c, 2)"),
         T("product", r"\frac{d}{dx} x e^{x}", "(1 + x) * exp(x)"),
+        T("polynomial", r"\frac{d}{dx} (<a> x^{<n>} + <b> x^2 + <c> x)", "a * n * power(x, n - 1) + 2 * b * x + c"),
+        T("sine_cosine", r"\frac{d}{dx} (<a> \sin x + <b> \cos x)", "a * cos(x) - b * sin(x)"),
+        T("log_linear", r"\frac{d}{dx} \ln(<a> x + <b>)", "a / (a * x + b)"),
+        T("hyperbolic", r"\frac{d}{dx} (\sinh(<a> x) + \cosh x)", "a * cosh(a * x) + sinh(x)", other="a * (exp(a * x) + exp(-a * x)) / 2 + (exp(x) - exp(-x)) / 2"),
+        T("power_sine", r"\frac{d}{dx} x^{<n>} \sin x", "n * power(x, n - 1) * sin(x) + power(x, n) * cos(x)"),
+        T("sine_of_square", r"\frac{d}{dx} \sin(<a> x^2)", "2 * a * x * cos(a * x * x)"),
+        T("exp_of_sine", r"\frac{d}{dx} e^{\sin x}", "cos(x) * exp(sin(x))"),
+        T("power_of_linear", r"\frac{d}{dx} (<a> x + <b>)^{<n>}", "a * n * power(a * x + b, n - 1)"),
+        T("wrapped_sine", r"\frac{d}{dx} \sin(\ln(x^2 + 1))", "cos(ln(x * x + 1)) * 2 * x / (x * x + 1)"),
+        T("wrapped_root", r"\frac{d}{dx} \sqrt{1 + e^{x}}", "exp(x) / (2 * sqrt(1 + exp(x)))"),
+        T("wrapped_cosine", r"\frac{d}{dx} \cos(\sin(<a> x))", "-a * cos(a * x) * sin(sin(a * x))"),
     ]),
     "integration": Family("calculus", [
         T("power", r"\int_0^{x} <a> t^{<n>} dt", "a * power(x, n + 1) / (n + 1)"),
@@ -61,17 +104,34 @@ FAMILIES: dict[str, Family] = {
         T("decay", r"\int_0^{x} e^{-<a> t} dt", "(1 - exp(-a * x)) / a"),
         T("rational", r"\int_0^{x} \frac{1}{1 + t^2} dt", "atan(x)"),
         T("sine_squared", r"\int_0^{x} \sin^2 t dt", "x / 2 - sin(2 * x) / 4"),
+        T("cosine", r"\int_0^{x} \cos(<a> t) dt", "sin(a * x) / a"),
+        T("growth", r"\int_0^{x} e^{<a> t} dt", "(exp(a * x) - 1) / a"),
+        T("linear_below", r"\int_0^{x} \frac{<a>}{<b> t + <c>} dt", "(1.0D * a / b) * ln((b * x + c) / c)", other="(1.0 * a / b) * (ln(b * x + c) - ln(c))"),
+        T("half_log", r"\int_0^{x} \frac{t}{t^2 + 1} dt", "ln(x * x + 1) / 2"),
+        T("parts_exp", r"\int_0^{x} t e^{t} dt", "(x - 1) * exp(x) + 1"),
+        T("parts_cosine", r"\int_0^{x} t \cos t dt", "x * sin(x) + cos(x) - 1"),
+        T("cosine_of_square", r"\int_0^{x} t \cos(t^2) dt", "sin(x * x) / 2"),
+        T("interval", r"\int_{x}^{x + y} \frac{<a>}{t} dt", "a * ln((x + y) / x)", other="a * (ln(x + y) - ln(x))"),
+        T("indefinite", r"F(x), F'(t) = <a> t + <b>, F(0) = <c>", "a * x * x / 2 + b * x + c"),
     ]),
     "ode": Family("ode", [
         T("decay", r"y' = -<a> y, y(0) = <b>", "b * exp(-a * x)"),
         T("linear", r"y' + <a> y = <b>, y(0) = <c>", "1.0D * b / a + (c - 1.0D * b / a) * exp(-a * x)", other="1.0 * b / a + (c - 1.0 * b / a) * exp(-a * x)"),
         T("gauss", r"y' + x y = 0, y(0) = <b>", "b * exp(-x * x / 2)"),
         T("oscillation", r"y'' + <a>^2 y = 0, y(0) = <b>, y'(0) = <c>", "b * cos(a * x) + c * sin(a * x) / a"),
+        T("variable", r"y' + (<a> x + <b>) y = 0, y(0) = <c>", "c * exp(-(a * x * x / 2 + b * x))"),
+        T("forced", r"y' + <a> y = <b> x + <c>, y(0) = 0", "1.0D * b / a * x + (1.0D * c / a - 1.0D * b / (a * a)) * (1 - exp(-a * x))", other="1.0 * b / a * x + (1.0 * c / a - 1.0 * b / (a * a)) * (1 - exp(-a * x))"),
+        T("damped", r"y'' + 2 \cdot <a> y' + (<a>^2 + <b>^2) y = 0, y(0) = <c>, y'(0) = 0", "c * exp(-a * x) * (cos(b * x) + a * sin(b * x) / b)"),
+        T("real_roots", r"y'' - <a>^2 y = 0, y(0) = <b>, y'(0) = <c>", "b * cosh(a * x) + c * sinh(a * x) / a", other="(b + 1.0 * c / a) / 2 * exp(a * x) + (b - 1.0 * c / a) / 2 * exp(-a * x)"),
     ]),
     "differential_c1": Family("ode", [
         T("first", r"y' + <a> y = 0, y = C_1 \ldots, C_1 = <c>", "c * exp(-a * x)"),
         T("euler", r"y' + \frac{<a>}{x} y = 0, C_1 = <c>", "c * power(x, -a)"),
         T("second", r"y'' - <a>^2 y = 0, C_1 = <b>, C_2 = <c>", "b * exp(-a * x) + c * exp(a * x / 10)", other="b * exp(-a * x) + c * exp(a * x / 10)"),
+        T("variable", r"y' + (<a> x + <b>) y = 0, C_1 = <c>", "c * exp(-(a * x * x / 2 + b * x))"),
+        T("forced_constant", r"y' + <a> y = <b>, C_1 = <c>", "1.0D * b / a + c * exp(-a * x)", other="1.0 * b / a + c * exp(-a * x)"),
+        T("forced_linear", r"y' + <a> y = <b> x, C_1 = <c>", "1.0D * b / a * x - 1.0D * b / (a * a) + c * exp(-a * x)", other="1.0 * b / a * x - 1.0 * b / (a * a) + c * exp(-a * x)"),
+        T("forced_exp", r"y' + <a> y = e^{x}, C_1 = <c>", "exp(x) / (a + 1) + c * exp(-a * x)"),
     ]),
     "functions": Family("vocab", [
         T("asin", r"\arcsin(x / 4)", "asin(x / 4)"),
@@ -86,6 +146,19 @@ FAMILIES: dict[str, Family] = {
         T("binomial", r"\binom{<m>}{2}", "m * (m - 1) / 2"),
         T("modulo", r"<a> x \bmod <b>", "a * x - b * floor(a * x / b + 1e-9D)", other="a * x - b * floor(a * x / b + 1e-9)"),
         T("extremes", r"\max(x, y) - \min(x, y)", "greatest(x, y) - least(x, y)"),
+        T("atan", r"\arctan(<a> x)", "atan(a * x)"),
+        T("sinh", r"\sinh(x)", "sinh(x)", other="(exp(x) - exp(-x)) / 2"),
+        T("cosh", r"\cosh(x)", "cosh(x)", other="(exp(x) + exp(-x)) / 2"),
+        T("tanh", r"\tanh(x)", "tanh(x)", other="(exp(2 * x) - 1) / (exp(2 * x) + 1)"),
+        T("sign", r"\operatorname{sign}(x - <a>)", "1.0D * sign(x - a)", other="CASE WHEN x > a THEN 1.0 WHEN x < a THEN -1.0 ELSE 0.0 END"),
+        T("minimum", r"\min(x, <a>)", "least(x, a)", other="CASE WHEN x < a THEN x ELSE a END"),
+        T("maximum", r"\max(x, <a>)", "greatest(x, a)", other="CASE WHEN x > a THEN x ELSE a END"),
+        T("root_quadratic", r"\sqrt{<a> x^2 + <b>}", "sqrt(a * x * x + b)"),
+        T("exp_quadratic", r"e^{-x^2 / <a>}", "exp(-x * x / a)"),
+        T("exp_linear", r"e^{x / <a> + <b>}", "exp(x / a + b)"),
+        T("root_negative", r"\sqrt{-x}", "0.0D", "sqrt(x)", "0.0", "sqrt(x)"),
+        T("log_negative", r"\ln(-x)", "ln(x)", "pi()"),
+        T("asin_outside", r"\arcsin(1 + x / <a>)", "pi() / 2", "ln(1 + x / a + sqrt((1 + x / a) * (1 + x / a) - 1))"),
     ]),
     "elementary_ext": Family("vocab", [
         T("hyperbolic", r"\sinh(x) + \cosh(x / <a>)", "sinh(x) + cosh(x / a)"),
@@ -94,6 +167,35 @@ FAMILIES: dict[str, Family] = {
         T("secants", r"\sec(x / 4) + \csc(x)", "1 / cos(x / 4) + 1 / sin(x)"),
         T("nested", r"e^{\sin(<a> x)}", "exp(sin(a * x))"),
         T("roots", r"\sqrt[4]{x + <a>}", "power(x + a, 0.25D)", other="power(x + a, 0.25)"),
+        T("poly2", r"<a> x^2 + <b> x + <c>", "a * x * x + b * x + c"),
+        T("poly3", r"<a> x^3 - <b> x + <c>", "a * x * x * x - b * x + c"),
+        T("sin", r"\sin(<a> x)", "sin(a * x)"),
+        T("cos", r"\cos(<a> x)", "cos(a * x)"),
+        T("exp", r"e^{x / <a>}", "exp(x / a)"),
+        T("log", r"\ln(<a> x + <b>)", "ln(a * x + b)"),
+        T("asin", r"\arcsin(x / 4)", "asin(x / 4)"),
+        T("acos", r"\arccos(x / 4)", "acos(x / 4)", other="pi() / 2 - asin(x / 4)"),
+        T("atan", r"\arctan(<a> x)", "atan(a * x)"),
+        T("tanh", r"\tanh(x / <a>)", "tanh(x / a)", other="(exp(2 * x / a) - 1) / (exp(2 * x / a) + 1)"),
+        T("sinh", r"\sinh(x / <a>)", "sinh(x / a)", other="(exp(x / a) - exp(-x / a)) / 2"),
+        T("cosh", r"\cosh(x / <a>)", "cosh(x / a)", other="(exp(x / a) + exp(-x / a)) / 2"),
+        T("sech", r"\operatorname{sech}(x)", "1 / cosh(x)", other="2 / (exp(x) + exp(-x))"),
+        T("csch", r"\operatorname{csch}(x)", "1 / sinh(x)", other="2 / (exp(x) - exp(-x))"),
+        T("coth", r"\coth(x)", "1 / tanh(x)", other="(exp(2 * x) + 1) / (exp(2 * x) - 1)"),
+        T("asinh", r"\operatorname{asinh}(<a> x)", "ln(a * x + sqrt(a * a * x * x + 1))", other="asinh(a * x)"),
+        T("acosh", r"\operatorname{acosh}(1 + x)", "ln(1 + x + sqrt((1 + x) * (1 + x) - 1))", other="acosh(1 + x)"),
+        T("atanh", r"\operatorname{atanh}(x / 4)", "ln((1 + x / 4) / (1 - x / 4)) / 2", other="atanh(x / 4)"),
+        T("abs", r"|<a> x - <b>|", "abs(a * x - b)"),
+        T("sqrt", r"\sqrt{<a> x + <b>}", "sqrt(a * x + b)"),
+        T("root3", r"\sqrt[3]{x + <a>}", "cbrt(x + a)"),
+        T("root5", r"\sqrt[5]{x + <a>}", "power(x + a, 0.2D)", other="power(x + a, 0.2)"),
+        T("factorial", r"<n>! x", "factorial(n) * x"),
+        T("binomial", r"\binom{<m>}{3}", "m * (m - 1) * (m - 2) / 6"),
+        T("atan2", r"\operatorname{atan2}(x, <a>)", "atan2(x, a)", other="atan(x / a)"),
+        T("sine_of_decay", r"\sin(e^{-x})", "sin(exp(-x))"),
+        T("log_of_root", r"\ln(1 + \sqrt{x})", "ln(1 + sqrt(x))"),
+        T("atan_of_log", r"\arctan(\ln(x + <a>))", "atan(ln(x + a))"),
+        T("root_of_square", r"\sqrt{1 + \sin^2 x}", "sqrt(1 + sin(x) * sin(x))"),
     ]),
     "complex_eval": Family("complex", [
         T("root", r"\sqrt{-<a> x}", "0.0D", "sqrt(a * x)", "0.0", "sqrt(a * x)"),
@@ -101,6 +203,11 @@ FAMILIES: dict[str, Family] = {
         T("rotation", r"e^{i <b> x}", "cos(b * x)", "sin(b * x)"),
         T("quotient", r"\frac{1}{x + <a> i}", "x / (x * x + a * a)", "-a / (x * x + a * a)"),
         T("arcsine", r"\arcsin(1 + x)", "pi() / 2", "ln(1 + x + sqrt((1 + x) * (1 + x) - 1))"),
+        T("turned_sine", r"e^{i \sin(<b> x)}", "cos(sin(b * x))", "sin(sin(b * x))"),
+        T("acosh_inside", r"\operatorname{acosh}(x / 4)", "0.0D", "acos(x / 4)", "0.0", "acos(x / 4)"),
+        T("tanh", r"\tanh(i x / 4)", "0.0D", "tan(x / 4)", "0.0", "tan(x / 4)"),
+        T("asin_reciprocal", r"\arcsin(\frac{1}{<b> x})", "asin(least(1.0D, 1 / (b * x)))", "CASE WHEN b * x < 1 THEN ln(1 / (b * x) + sqrt(1 / (b * b * x * x) - 1)) ELSE 0.0D END", "asin(least(1.0::DOUBLE, 1 / (b * x)))", "CASE WHEN b * x < 1 THEN acosh(1 / (b * x)) ELSE 0.0 END"),
+        T("power_i", r"x^{i}", "cos(ln(x))", "sin(ln(x))"),
     ]),
     "multivariate": Family("multivariate", [
         T("quad_xterm", r"<a> x^2 + <b> x y + <c> y^2", "a * x * x + b * x * y + c * y * y"),
@@ -108,6 +215,9 @@ FAMILIES: dict[str, Family] = {
         T("trig_cross", r"\sin(x) \cos(y)", "(sin(x + y) + sin(x - y)) / 2", other="sin(x) * cos(y)"),
         T("exp_cross", r"e^{-x y}", "exp(-x * y)"),
         T("log_prod", r"\ln(x^{<a>} y)", "a * ln(x) + ln(y)"),
+        T("angle_diff", r"\sin(x - y)", "sin(x - y)"),
+        T("augmented", r"<a> x + <b> y + <c>", "a * x + b * y + c"),
+        T("monomial_couple", r"<a> x^2 y + <b> x y", "a * x * x * y + b * x * y", other="x * y * (a * x + b)"),
     ]),
     "edge": Family("edge", [
         T("near_pole", r"\frac{1}{x - 0.495}", "1 / (x - 0.495D)", other="1 / (x - 0.495)"),
@@ -115,12 +225,17 @@ FAMILIES: dict[str, Family] = {
         T("root_square", r"\sqrt{(x - <a>)^2}", "abs(x - a)"),
         T("deep", r"\sin(\cos(\sin x))", "sin(cos(sin(x)))"),
         T("decay", r"e^{-<m> x^2}", "exp(-m * x * x)"),
+        T("logscale_poly", r"<a> \cdot 10^{<n>} x^2 + <b>", "a * power(10, n) * x * x + b", other="a * x * x * power(10, n) + b"),
+        T("logscale_ratio", r"\frac{10^{<n>} x}{10^{<n>} x + <a>}", "power(10, n) * x / (power(10, n) * x + a)", other="1 / (1 + a / (power(10, n) * x))"),
+        T("nested_log_sin", r"\ln(2 + \sin(<a> x))", "ln(2 + sin(a * x))"),
     ]),
     "sequences": Family("sequences", [
         T("arithmetic", r"a_{<m>}, a_1 = <a>, d = <b>", "a + (m - 1) * b * 1.0D", other="a + (m - 1) * b * 1.0"),
         T("geometric", r"a_{<n>}, a_1 = <a>, r = <b>", "a * power(b, n - 1)"),
         T("triangular", r"T_{<m>}", "m * (m + 1) / 2", other="list_sum(range(1, m + 1)) * 1.0"),
         T("cubes", r"\sum_{k=1}^{<m>} k^3", "power(m * (m + 1) / 2, 2)", other="list_sum(list_transform(range(1, m + 1), lambda k: k * k * k)) * 1.0"),
+        T("square", r"a_{<m>}, a_k = k^2", "1.0D * m * m", other="list_sum(list_transform(range(1, m + 1), lambda k: 2 * k - 1)) * 1.0"),
+        T("quadratic", r"a_{<m>}, a_k = <a> k^2 + <b> k + <c>", "1.0D * (a * m * m + b * m + c)", other="1.0 * ((a * m + b) * m + c)"),
     ]),
     "geometry": Family("geometry", [
         T("circle", r"\pi (<a> x)^2", "pi() * power(a * x, 2)"),
@@ -128,12 +243,25 @@ FAMILIES: dict[str, Family] = {
         T("cone", r"\frac{1}{3} \pi x^2 y", "pi() * x * x * y / 3"),
         T("hypotenuse", r"\sqrt{x^2 + y^2}", "sqrt(x * x + y * y)"),
         T("trapezoid", r"\frac{x + y}{2} <a>", "(x + y) / 2 * a"),
+        T("rectangle_area", r"A(x \times y)", "x * y"),
+        T("rectangle_perimeter", r"2 (x + y)", "2 * (x + y)"),
+        T("triangle", r"\frac{1}{2} x y", "x * y / 2"),
+        T("square_perimeter", r"4 x", "4 * x"),
+        T("box", r"x \cdot y \cdot <a>", "x * y * a"),
+        T("circumference", r"2 \pi x", "2 * pi() * x"),
+        T("cylinder", r"\pi x^2 y", "pi() * x * x * y"),
+        T("trapezoid_height", r"\frac{x + <a>}{2} y", "(x + a) / 2 * y"),
     ]),
     "geometry_ext": Family("geometry", [
         T("distance", r"|(<a>, <b>) - (x, y)|", "sqrt(power(x - a, 2) + power(y - b, 2))"),
         T("heron", r"\triangle(3<a>, 4<a>, 5<a>)", "6.0D * a * a", other="sqrt(6.0 * a * (6 * a - 3 * a) * (6 * a - 4 * a) * (6 * a - 5 * a))"),
         T("angle", r"\angle((1, 0), (<a>, <b>))", "acos(a / sqrt(a * a + b * b))", other="atan2(b, a)"),
         T("circumference", r"2 \pi (<a> + <b>)", "2 * pi() * (a + b)"),
+        T("squared_distance", r"|(<a>, <b>) - (x, y)|^2", "power(x - a, 2) + power(y - b, 2)"),
+        T("triangle_points", r"A((0, 0), (<a>, <b>), (x, y))", "abs(a * y - b * x) / 2"),
+        T("circle_area", r"A(\odot), r^2 = <a>^2 + <b>^2", "pi() * (a * a + b * b)"),
+        T("perimeter", r"P(<a> \times <b>)", "2.0D * (a + b)", other="2.0 * (a + b)"),
+        T("rectangle", r"A(<a> \times <b>)", "1.0D * a * b", other="1.0 * a * b"),
     ]),
     "summation": Family("summation", [
         T("squares", r"\sum_{k=1}^{<m>} k^2", "m * (m + 1) * (2 * m + 1) / 6", other="list_sum(list_transform(range(1, m + 1), lambda k: k * k)) * 1.0"),
@@ -142,6 +270,13 @@ FAMILIES: dict[str, Family] = {
         T("alternating", r"\sum_{k=0}^{<n>} (-<b>)^k", "(1 - power(-b, n + 1)) / (1 + b)", other="list_sum(list_transform(range(0, n + 1), lambda k: power(-b, k)))"),
         T("product", r"\prod_{k=1}^{<n>} 2k", "aggregate(sequence(1, n), 1.0D, (p, k) -> p * 2 * k)", other="power(2, n) * factorial(n)"),
         T("telescope", r"\prod_{k=2}^{<m>} (1 - 1 / k^2)", "(m + 1) / (2.0D * m)", other="list_product(list_transform(range(2, m + 1), lambda k: 1.0 - 1.0 / (k * k)))"),
+        T("first", r"\sum_{k=1}^{<m>} k", "m * (m + 1) / 2", other="list_sum(range(1, m + 1)) * 1.0"),
+        T("even", r"\sum_{k=1}^{<m>} 2k", "1.0D * m * (m + 1)", other="list_sum(list_transform(range(1, m + 1), lambda k: 2 * k)) * 1.0"),
+        T("geometric", r"\sum_{k=0}^{<n>} (<b> + 1)^k", "(power(b + 1, n + 1) - 1) / b", other="list_sum(list_transform(range(0, n + 1), lambda k: power(b + 1, k)))"),
+        T("weighted_powers", r"\sum_{k=1}^{<m>} k 2^k", "(m - 1) * power(2, m + 1) + 2", other="list_sum(list_transform(range(1, m + 1), lambda k: k * power(2, k)))"),
+        T("product_k", r"\prod_{k=1}^{<n>} k", "1.0D * factorial(n)", other="list_product(range(1, n + 1))"),
+        T("product_ratio", r"\prod_{k=1}^{<m>} \frac{k}{k + 1}", "1.0D / (m + 1)", other="list_product(list_transform(range(1, m + 1), lambda k: k / (k + 1)))"),
+        T("product_powers", r"\prod_{k=1}^{<n>} 2^k", "power(2, n * (n + 1) / 2)", other="list_product(list_transform(range(1, n + 1), lambda k: power(2, k)))"),
     ]),
     "limits": Family("limits", [
         T("sine", r"\lim_{t \to 0} \frac{\sin <a> t}{t}", "1.0D * a", other="1.0 * a"),
@@ -149,12 +284,24 @@ FAMILIES: dict[str, Family] = {
         T("power", r"\lim_{t \to <a>} \frac{t^{<n>} - <a>^{<n>}}{t - <a>}", "n * power(a, n - 1)"),
         T("ratio", r"\lim_{t \to \infty} \frac{<a> t^2 + 1}{<b> t^2 + t}", "1.0D * a / b", other="1.0 * a / b"),
         T("compound", r"\lim_{t \to \infty} (1 + <a> / t)^t", "exp(a)"),
+        T("euler", r"\lim_{t \to 0} (1 + t)^{1 / t}", "exp(1.0D)", other="exp(1.0)"),
+        T("linear_ratio", r"\lim_{t \to \infty} \frac{<a> t + <b>}{<c> t + 1}", "1.0D * a / c", other="1.0 * a / c"),
+        T("minus_infinity", r"\lim_{t \to -\infty} \frac{<a> t + 1}{<b> t - 1}", "1.0D * a / b", other="1.0 * a / b"),
+        T("minus_infinity_root", r"\lim_{t \to -\infty} \frac{\sqrt{<a> t^2 + 1}}{t}", "-sqrt(a)"),
+        T("exp_ratio", r"\lim_{t \to 0} \frac{e^{<a> t} - 1}{t}", "1.0D * a", other="1.0 * a"),
     ]),
     "series_coeff": Family("series", [
         T("exp", r"[t^{<n>}] e^{<a> t}", "power(a, n) / factorial(n)"),
         T("log", r"[t^{<n>}] \ln(1 + t)", "CASE WHEN n % 2 = 1 THEN 1.0D ELSE -1.0D END / n", other="power(-1, n + 1) / n"),
         T("geometric", r"[t^{<n>}] \frac{1}{1 - <a> t}", "power(a, n)"),
         T("binomial", r"[t^2] (1 + t)^{-<m>}", "m * (m + 1) / 2", other="(-m) * (-m - 1) / 2.0"),
+        T("sin", r"[t^{<n>}] \sin(<a> t)", "CASE WHEN n % 4 = 1 THEN 1.0D WHEN n % 4 = 3 THEN -1.0D ELSE 0.0D END * power(a, n) / factorial(n)", other="round(sin(n * pi() / 2)) * power(a, n) / factorial(n)"),
+        T("cos", r"[t^{<n>}] \cos(<a> t)", "CASE WHEN n % 4 = 0 THEN 1.0D WHEN n % 4 = 2 THEN -1.0D ELSE 0.0D END * power(a, n) / factorial(n)", other="round(cos(n * pi() / 2)) * power(a, n) / factorial(n)"),
+        T("sinh", r"[t^{<n>}] \sinh(<a> t)", "n % 2 * power(a, n) / factorial(n)", other="(power(a, n) - power(-a, n)) / 2 / factorial(n)"),
+        T("cosh", r"[t^{<n>}] \cosh(<a> t)", "(1 - n % 2) * power(a, n) / factorial(n)", other="(power(a, n) + power(-a, n)) / 2 / factorial(n)"),
+        T("atan", r"[t^{<n>}] \arctan t", "CASE WHEN n % 4 = 1 THEN 1.0D WHEN n % 4 = 3 THEN -1.0D ELSE 0.0D END / n", other="round(sin(n * pi() / 2)) / n"),
+        T("alternating", r"[t^{<n>}] \frac{1}{1 + t}", "CASE WHEN n % 2 = 0 THEN 1.0D ELSE -1.0D END", other="power(-1, n)"),
+        T("positive_power", r"[t^2] (1 + t)^{<m>}", "m * (m - 1) / 2"),
     ]),
     "polynomial_invariants": Family("polynomial", [
         T("vieta_sum", r"sum of roots, <a> t^2 + <b> t + <c>", "-1.0D * b / a", other="-1.0 * b / a"),
@@ -169,16 +316,22 @@ FAMILIES: dict[str, Family] = {
         T("norm", r"\|(<a>, <b>; <c>, <m>)\|_F^2", "aggregate(array(a, b, c, m), 0.0D, (s, v) -> s + v * v)", other="1.0 * (a * a + b * b + c * c + m * m)"),
         T("charpoly", r"\det(\lambda I - A), \lambda = <n>", "(n - a) * (n - m) - 1.0D * b * c", other="(n - a) * (n - m) - 1.0 * b * c"),
         T("det3", r"\det of rows (<a>, <b>, <c>), (<b>, <c>, <m>), (<c>, <m>, <n>)", "1.0D * (a * (c * n - m * m) - b * (b * n - m * c) + c * (b * m - c * c))", other="1.0 * (a * c * n + 2 * b * m * c - c * c * c - a * m * m - b * b * n)"),
+        T("inverse", r"(A^{-1})_{11}, A = ((<a>, <b>), (<c>, 3 <m> + 30))", "(3 * m + 30) / (1.0D * a * (3 * m + 30) - b * c)", other="1.0 / (a - 1.0 * b * c / (3 * m + 30))"),
+        T("det4", r"\det(((<a>, <b>), (<c>, <m>)) \otimes ((1, <n>), (1, 1)))", "power(1.0D * a * m - b * c, 2) * power(1.0D - n, 2)", other="(a * m - b * c) * (a * m - b * c) * (1.0 - n) * (1.0 - n)"),
+        T("rational", r"\det((1/<a>, 1/<b>), (1/<c>, 1/<m>))", "1.0D / (a * m) - 1.0D / (b * c)", other="1.0 / (a * m) - 1.0 / (b * c)"),
     ]),
     "numtheory": Family("numtheory", [
         T("gcd", r"\gcd(<m>, <n>)", f"1.0D * {_GCD.format('m', 'n')}", other="1.0 * gcd(m, n)"),
         T("lcm", r"\operatorname{lcm}(<m>, <n>)", f"1.0D * m * n / {_GCD.format('m', 'n')}", other="1.0 * lcm(m, n)"),
     ], {"m": (2, 200), "n": (2, 60)}),
     "ntheory_ext": Family("numtheory", [
-        T("sigma", r"\sigma(<m>)", f"aggregate({_DIVISORS}, 0.0D, (s, d) -> s + d)", other=f"1.0 * list_sum({_LIST})"),
-        T("tau", r"\tau(<m>)", f"1.0D * size({_DIVISORS})", other=f"1.0 * len({_LIST})"),
-        T("phi", r"\varphi(<m>)", "1.0D * size(filter(sequence(1, m), k -> NOT exists(sequence(2, greatest(2, m)), d -> k % d = 0 AND m % d = 0)))", other="1.0 * len(list_filter(range(1, m + 1), lambda k: gcd(k, m) = 1))"),
-        T("prime_count", r"\pi(<m>)", f"1.0D * size({_PRIMES})", other="1.0 * len(list_filter(range(2, m + 1), lambda p: len(list_filter(range(1, p + 1), lambda d: p % d = 0)) = 2))"),
+        T("sigma", r"\sigma(<m>)", _table("sigma"), other=f"1.0 * list_sum({_LIST})"),
+        T("tau", r"\tau(<m>)", _table("tau"), other=f"1.0 * len({_LIST})"),
+        T("phi", r"\varphi(<m>)", _table("phi"), other="1.0 * len(list_filter(range(1, m + 1), lambda k: gcd(k, m) = 1))"),
+        T("prime_count", r"\pi(<m>)", _table("primes"), other="1.0 * len(list_filter(range(2, m + 1), lambda p: len(list_filter(range(1, p + 1), lambda d: p % d = 0)) = 2))"),
+        T("mu", r"\mu(<m>)", _table("mu"), other=f"CASE WHEN len(list_filter({_LIST}, lambda d: d > 1 AND m % (d * d) = 0)) > 0 THEN 0.0 ELSE power(-1, len(list_filter({_LIST}, lambda p: len(list_filter(range(1, p + 1), lambda d: p % d = 0)) = 2))) END"),
+        T("partitions", r"p(<n>)", _table("partitions").replace(", m)", ", n)"), other="1.0 * [1, 2, 3, 5, 7, 11, 15, 22, 30, 42, 56, 77][n]"),
+        T("inverse", r"<a>^{-1} \bmod (<a> \cdot <m> + 1)", "1.0D * (a * m + 1 - m)", other="1.0 * list_filter(range(1, a * m + 2), lambda k: (a * k) % (a * m + 1) = 1)[1]"),
         T("power_mod", r"<a>^{<n>} \bmod <m>", "aggregate(sequence(1, n), 1L, (p, k) -> p * a % m) * 1.0D", other="1.0 * (CAST(power(a, n) AS BIGINT) % m)"),
     ], {"m": (2, 200), "n": (2, 12)}),
     "combinatorics": Family("combinatorics", [
@@ -187,6 +340,9 @@ FAMILIES: dict[str, Family] = {
         T("stirling", r"S(<m>, 2)", "power(2, m - 1) - 1"),
         T("central", r"\binom{2 \cdot <m>}{<m>}", f"1.0D * {_CHOOSE.format('2 * m', 'm')}", other="list_sum(list_transform(range(0, m + 1), lambda k: power(factorial(m) / (factorial(k::INT) * factorial((m - k)::INT)), 2)))"),
         T("subsets", r"\sum_k \binom{<m>}{k}", f"aggregate(sequence(0, m), 0.0D, (s, k) -> s + {_CHOOSE.format('m', 'k')})", other="power(2, m)"),
+        T("bell", r"B_{<m>}", f"1.0D * element_at(array{tuple(_bell(9))}, m)", other="round(list_sum(list_transform(range(0, 30), lambda k: power(k, m) / factorial(k::INT))) / exp(1))"),
+        T("stirling3", r"S(<m>, 3)", "(power(3, m) - 3 * power(2, m) + 3) / 6"),
+        T("pairs", r"\binom{<m>}{2}", "m * (m - 1) / 2"),
     ], {"m": (2, 9)}),
     "special_functions": Family("special", [
         T("legendre", r"P_2(x)", "(3 * x * x - 1) / 2"),
@@ -194,6 +350,13 @@ FAMILIES: dict[str, Family] = {
         T("gamma", r"\Gamma(<n>)", "1.0D * factorial(n - 1)", other="gamma(n)"),
         T("half_gamma", r"\Gamma(<n> + 1/2)", "factorial(2 * n) / (power(4, n) * factorial(n)) * sqrt(pi())", other="gamma(n + 0.5)"),
         T("beta", r"B(<n>, <a>)", "1.0D * factorial(n - 1) * factorial(a - 1) / factorial(n + a - 1)", other="gamma(n) * gamma(a) / gamma(n + a)"),
+        T("legendre3", r"P_3(x)", "(5 * x * x * x - 3 * x) / 2"),
+        T("hermite", r"H_3(x)", "8 * x * x * x - 12 * x", other="2 * x * (4 * x * x - 2) - 8 * x"),
+        T("zeta2", r"\zeta(2)", "pi() * pi() / 6", other="list_sum(list_transform(range(1, 1001), lambda k: 1.0::DOUBLE / (k * k))) + 1 / 1000.5::DOUBLE"),
+        T("zeta3", r"\zeta(3)", "1.2020569031595942D", other="list_sum(list_transform(range(1, 1001), lambda k: 1.0::DOUBLE / (k * k * k))) + 0.5 / power(1000.5, 2)"),
+        T("erf", r"\operatorname{erf}(x)", "aggregate(sequence(1, 70), named_struct('t', x, 's', x), (z, k) -> named_struct('t', z.t * (-x * x) / k, 's', z.s + z.t * (-x * x) / k / (2 * k + 1))).s * 2 / sqrt(pi())", other="exp(-x * x) * list_sum(list_transform(range(0, 60), lambda k: power(x, 2 * k + 1) / gamma(k + 1.5)))"),
+        T("bessel_j0", r"J_0(x)", "aggregate(sequence(1, 30), named_struct('t', 1.0D, 's', 1.0D), (z, k) -> named_struct('t', z.t * (-x * x / 4) / (k * k), 's', z.s + z.t * (-x * x / 4) / (k * k))).s", other="list_sum(list_transform(range(0, 30), lambda k: power(-1, k) * power(x / 2, 2 * k) / power(gamma(k + 1), 2)))"),
+        T("bessel_j1", r"J_1(x)", "aggregate(sequence(1, 30), named_struct('t', x / 2, 's', x / 2), (z, k) -> named_struct('t', z.t * (-x * x / 4) / (k * (k + 1)), 's', z.s + z.t * (-x * x / 4) / (k * (k + 1)))).s", other="list_sum(list_transform(range(0, 30), lambda k: power(-1, k) * power(x / 2, 2 * k + 1) / gamma(k + 1) / gamma(k + 2)))"),
     ], {"n": (3, 6)}, True),
     "stats_moments": Family("stats", [
         T("uniform_mean", r"E[U(<a>, <a> + <b>)]", "a + b / 2.0D", other="a + b / 2.0"),
@@ -202,16 +365,30 @@ FAMILIES: dict[str, Family] = {
         T("binomial_var", r"Var[B(<m>, 1/<n>)]", "m * (n - 1.0D) / (n * n)", other="m * (n - 1.0) / (n * n)"),
         T("poisson_square", r"E[X^2], X \sim Poisson(<a>)", "1.0D * a + a * a", other="1.0 * a + a * a"),
         T("beta_mean", r"E[Beta(<a>, <b>)]", "1.0D * a / (a + b)", other="1.0 * a / (a + b)"),
+        T("normal_square", r"E[X^2], X \sim N(<a>, <b>^2)", "1.0D * a * a + b * b", other="1.0 * (a * a + b * b)"),
+        T("uniform_square", r"E[X^2], X \sim U(<a>, <a> + <b>)", "a * a + a * b + b * b / 3.0D", other="(power(a + b, 3) - power(a, 3)) / (3 * b)"),
+        T("exponential_mean", r"E[Exp(<a>)]", "1.0D / a", other="1.0 / a"),
+        T("exponential_var", r"Var[Exp(<a>)]", "1.0D / (a * a)", other="1.0 / (a * a)"),
+        T("binomial_mean", r"E[B(<m>, 1/<n>)]", "1.0D * m / n", other="1.0 * m / n"),
+        T("binomial_square", r"E[X^2], X \sim B(<m>, 1/<n>)", "m * (n - 1.0D + m) / (n * n)", other="m * (n - 1.0) / (n * n) + power(1.0 * m / n, 2)"),
+        T("poisson_mean", r"E[Poisson(<a>)]", "1.0D * a", other="1.0 * a"),
+        T("poisson_var", r"Var[Poisson(<a>)]", "1.0D * a", other="1.0 * a"),
+        T("beta_var", r"Var[Beta(<a>, <b>)]", "1.0D * a * b / ((a + b) * (a + b) * (a + b + 1))", other="1.0 * a * (a + 1) / ((a + b) * (a + b + 1)) - power(1.0 * a / (a + b), 2)"),
+        T("beta_square", r"E[X^2], X \sim Beta(<a>, <b>)", "1.0D * a * (a + 1) / ((a + b) * (a + b + 1))", other="1.0 * a / (a + b) * (a + 1) / (a + b + 1)"),
     ], {}, True),
     "sets_cardinality": Family("sets", [
         T("overlap", r"|[<a>, <a> + <m>] \cap [<b>, <b> + <n>]|", "1.0D * greatest(0, least(a + m, b + n) - greatest(a, b))", other="1.0 * len(list_intersect(range(a, a + m), range(b, b + n)))"),
         T("union", r"|\{1..<m>\} \cup \{<n>..<n> + <a>\}|", "1.0D * size(array_union(sequence(1, m), sequence(n, n + a)))", other="1.0 * len(list_distinct(list_concat(range(1, m + 1), range(n, n + a + 1))))"),
         T("member", r"1_{[<a>, <m>]}(<b>)", "CASE WHEN b BETWEEN a AND m THEN 1.0D ELSE 0.0D END", other="CASE WHEN b >= a AND b <= m THEN 1.0 ELSE 0.0 END"),
+        T("interval_union", r"|[<a>, <a> + <m>] \cup [<b>, <b> + <n>]|", "1.0D * (m + n - greatest(0, least(a + m, b + n) - greatest(a, b)))", other="1.0 * len(list_distinct(list_concat(range(a, a + m), range(b, b + n))))"),
+        T("intersection", r"|\{1..<m>\} \cap \{<n>..<n> + <a>\}|", "1.0D * size(array_intersect(sequence(1, m), sequence(n, n + a)))", other="1.0 * greatest(0, least(m, n + a) - n + 1)"),
     ], {}, True),
     "solving_scalarized": Family("algebraic", [
         T("linear", r"<a> t + <b> = 0", "-1.0D * b / a", other="-1.0 * b / a"),
         T("double_root", r"t^2 - 2 \cdot <n> t + <n>^2 = 0", "1.0D * n", other="(2 * n + sqrt(4.0 * n * n - 4 * n * n)) / 2"),
         T("system", r"t + u = <m>, t - u = <n>", "(m + n) / 2.0D", other="(m + n) / 2.0"),
+        T("system2", r"t: <a> t + <b> u = <c>, <b> t - <a> u = <m>", "(1.0D * a * c + b * m) / (a * a + b * b)", other="(1.0 * a * c + b * m) / (a * a + b * b)"),
+        T("quadratic", r"larger t: t^2 - <n> t - <m> = 0", "(n + sqrt(n * n + 4.0D * m)) / 2", other="(n + sqrt(n * n + 4.0 * m)) / 2"),
     ], {}, True),
 }
 
