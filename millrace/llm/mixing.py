@@ -133,10 +133,10 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents", "doc_id", "source", "text")).drop("first_slot")
+    return mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
-#: Every source gets exactly its blocks, so what is taken is the source's stream cut off at the target.
+#: What is taken is the source's stream cut off at the target; slots follow from the blocks that it falls into.
 ORACLE = f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
@@ -158,8 +158,16 @@ runs AS (
          sum(size) OVER (PARTITION BY c.source ORDER BY r.round,
            md5('{SEED}:' || r.round || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), size, row
            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high
-  FROM copies c JOIN goal g ON c.source IS NOT DISTINCT FROM g.source, range({REPEATS}) r(round))
-SELECT doc_id, size, any_value(source_size) AS source_size, any_value(target) AS target,
-       CAST(sum(greatest(0, least(high, words) - (high - size))) AS BIGINT) AS taken
-FROM runs GROUP BY doc_id, row, size
+  FROM copies c JOIN goal g ON c.source IS NOT DISTINCT FROM g.source, range({REPEATS}) r(round)),
+counts AS (SELECT source, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid, CAST(ceil(CAST(round(target) AS BIGINT) / {BLOCK}) AS BIGINT) AS n FROM goal),
+spans AS (SELECT *, coalesce(sum(n) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM counts),
+digits AS (SELECT greatest(1, CAST(ceil(log2(greatest(sum(n), 1))) AS INT)) AS bits FROM counts),
+slots AS (SELECT slot, CAST(list_sum(list_transform(range(0, bits), lambda i: ((slot >> i) & 1) * (1 << (bits - 1 - i)))) AS BIGINT) AS point
+          FROM (SELECT bits, unnest(range(0, 1 << bits)) AS slot FROM digits) q),
+ranked AS (SELECT source, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS block FROM slots JOIN spans ON point >= low AND point < low + n),
+places AS (SELECT doc_id, row, min(slot) AS first_slot FROM runs r JOIN ranked k ON r.source IS NOT DISTINCT FROM k.source
+           AND block BETWEEN (high - size) // {BLOCK} AND (least(high, words) - 1) // {BLOCK} WHERE least(high, words) > high - size GROUP BY doc_id, row)
+SELECT r.doc_id, size, any_value(source_size) AS source_size, any_value(target) AS target,
+       CAST(sum(greatest(0, least(high, words) - (high - size))) AS BIGINT) AS taken, any_value(first_slot) AS first_slot
+FROM runs r LEFT JOIN places p ON p.row = r.row GROUP BY r.doc_id, r.row, size
 """

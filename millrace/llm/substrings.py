@@ -2,14 +2,15 @@
 
 A window is `window` consecutive words. Its fingerprint is the least hash among the `part`-word sequences in it, so that equal
 windows have equal fingerprints, while neighbouring windows mostly share theirs: a document yields one posting
-(fingerprint, doc_id, places) for some 12 % of its words.
+(fingerprint, row, places) for some 12 % of its words. row is a hash of the text: what goes depends on nothing else.
 
-FingerprintIndex keeps sorted, immutable runs (fingerprint, n), bucketed by fingerprint. A batch becomes a run of its own;
-joining runs is a merge join without a shuffle, as all have the same buckets and order. compact() merges runs
-into one, adding up counts.
+FingerprintIndex keeps sorted, immutable runs (fingerprint, n), bucketed by fingerprint. A batch is merge-joined with the runs there are,
+without a shuffle, as all have the same buckets and order, and becomes a run of its own. compact() merges runs into one, adding up counts.
 
 Fingerprints seen twice only propose: each window that has one is then compared by 128 bits of hash of all its words, over
 the whole input. The windows that turn out to stand alone are few, so it is those that go back to the documents.
+
+repeats() handles one input in batches. With an index that is kept and the texts that it was made of, it handles a later input against those.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from millrace.llm import tokens as tk
 from millrace.llm.common import discard, new_path, release, stored, table
 
 WINDOW, PART, BATCHES = 35, 20, 2
+#: Runs beyond this number are compacted.
+RUNS = 4
 
 
 def _fingerprints(w: tk.Words, h: np.ndarray, window: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,7 +46,7 @@ def _fingerprints(w: tk.Words, h: np.ndarray, window: int, part: int) -> tuple[n
 
 
 def postings(docs: DataFrame, window: int, part: int) -> DataFrame:
-    """(f, doc_id, n): each document's fingerprints, and at how many places it has each."""
+    """(f, row, n): the fingerprints of docs(row, text), and at how many places a row has each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,16 +63,16 @@ def postings(docs: DataFrame, window: int, part: int) -> DataFrame:
                 doc, value = doc[order], value[order]
                 new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])])[: len(doc)])
                 n = np.diff(np.append(new, len(doc))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([tk.signed(value[new]), b.column("doc_id").take(pa.array(doc[new])), pa.array(n)], ["f", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([tk.signed(value[new]), b.column("row").take(pa.array(doc[new])), pa.array(n)], ["f", "row", "n"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "f long, doc_id long, n int")
+    return docs.select("row", "text").mapInArrow(run, "f long, row long, n int")
 
 
 class FingerprintIndex:
-    """Sorted runs of (f, n), bucketed alike, in the shared folder."""
+    """Sorted runs of (f, n) and the postings (f, row, n) behind them, bucketed alike, in the shared folder."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark, self.runs, self.made = spark, [], []
+        self.spark, self.runs, self.parts, self.made = spark, [], [], []
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(self, df: DataFrame, key: str = "f") -> DataFrame:
@@ -81,16 +84,23 @@ class FingerprintIndex:
         return self.spark.table(name)
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch of postings as a run of its own. Returns the batch, stored in the index's order."""
+        """Adds a batch of postings. Returns the fingerprints (f) that it shares with earlier runs, or has more than once."""
         kept = self.write(batch.repartition(self.buckets, "f"))
-        self.runs.append(self.write(kept.groupBy("f").agg(F.sum("n").alias("n"))))
-        return kept
+        run = self.write(kept.groupBy("f").agg(F.sum("n").alias("n")))
+        shared = run.where("n > 1").select("f")
+        if self.runs:
+            shared = shared.union(self.probe(run).select("f")).distinct()
+        shared = stored(shared, "repeat-shared")
+        self.parts.append(kept), self.runs.append(run)
+        if len(self.runs) > RUNS:
+            self.compact()
+        return shared
 
     def probe(self, batch: DataFrame) -> DataFrame:
         """(f, seen) of the batch's fingerprints that earlier runs hold: one merge join a run."""
-        found = None
+        found, batch = None, batch.groupBy("f").agg(F.lit(0)).select("f")
         for run in self.runs:
-            hit = batch.select("f").distinct().join(run.hint("merge"), "f").select("f", F.col("n").alias("seen"))
+            hit = batch.join(run.hint("merge"), "f").select("f", F.col("n").alias("seen"))
             found = hit if found is None else found.union(hit)
         return found.groupBy("f").agg(F.sum("seen").alias("seen")) if found is not None else batch.selectExpr("f", "0L seen").limit(0)
 
@@ -105,8 +115,11 @@ class FingerprintIndex:
         return self.runs[0]
 
     def forget(self) -> None:
+        """Deletes the index."""
+        discard(*self.parts, *self.runs)
         for name in self.made:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs, self.parts, self.made = [], [], []
 
 
 def _candidates(b: pa.RecordBatch, window: int, part: int) -> tuple[tk.Words, np.ndarray, np.ndarray]:
@@ -125,37 +138,50 @@ def _candidates(b: pa.RecordBatch, window: int, part: int) -> tuple[tk.Words, np
     return w, h, np.flatnonzero(hit & np.isin(doc, owner))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, part: int = PART, batches: int = BATCHES) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, part: int = PART, batches: int = BATCHES, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept.
 
     Removes every word that lies in a window whose words also start anywhere else, in any document or the same one. kept: the
     words left, joined by one space, or null where nothing was removed. Null texts have no words. Rows that
-    repeat a doc_id, or have none, are documents of their own.
+    repeat a doc_id, or have none, are documents of their own, and so are rows alike in all. Texts of any length are cut in slices.
+
+    index: where the fingerprints go, and stay; by default one that is deleted at the end. history(text): what an index that is
+    not empty was made of; its windows count as places elsewhere.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    index = FingerprintIndex(spark)
-    parts = [index.add(postings(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), window, part)) for k in range(batches)]
-    twice = index.compact().where("n > 1").select("f")
+    row = F.xxhash64("text").alias("row")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, "text")
+    own = index is None
+    index = index or FingerprintIndex(spark)
+    shared = [index.add(postings(docs.where(F.pmod("row", F.lit(batches)) == k), window, part)) for k in range(batches)]
+    twice = shared[0]
+    for more in shared[1:]:
+        twice = twice.union(more)
+    twice = stored(twice.distinct().repartition(index.buckets, "f").sortWithinPartitions("f"), "repeat-twice")
     found = None
-    for kept in parts:
-        hit = kept.hint("merge").join(twice, "f").select("doc_id", "f")
+    for kept in index.parts:
+        hit = kept.hint("merge").join(twice, "f").select("row", "f")
         found = hit if found is None else found.union(hit)
-    lists = stored(found.groupBy("doc_id").agg(F.collect_list("f").alias("fs")), "repeat-lists")
-    discard(*parts, *index.runs)
-    index.forget()
+    # A set, as copies have one row: no longer than a text.
+    lists = stored(found.groupBy("row").agg(F.collect_set("f").alias("fs")), "repeat-lists")
+    discard(*shared, twice)
+    if own:
+        index.forget()
 
-    flagged = stored(docs.join(lists.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "fs"), "repeat-texts")
+    of = lists.select(F.col("row").alias("id"), "fs")
+    flagged = stored(docs.join(of, F.col("row") == F.col("id")).select("doc_id", "row", "text", "fs"), "repeat-texts")
+    old = history.select(row, "text").join(of, F.col("row") == F.col("id")).select("row", "text", "fs") if history is not None else None
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tk.slices(batch):
                 w, h, at = _candidates(b, window, part)
                 sums = [tk.windows(h, window, salt)[at] for salt in (1, 2)]
-                yield pa.RecordBatch.from_arrays([*map(tk.signed, sums), b.column("doc_id").take(pa.array(w.doc()[at]))], ["w1", "w2", "doc_id"])
+                yield pa.RecordBatch.from_arrays([*map(tk.signed, sums), b.column("row").take(pa.array(w.doc()[at]))], ["w1", "w2", "row"])
 
-    seen = flagged.mapInArrow(windows, "w1 long, w2 long, doc_id long").groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    alone = seen.where("n = 1").groupBy("doc_id").agg(F.collect_list("w1").alias("alone"))
+    texts = flagged.select("row", "text", "fs")
+    seen = (texts.union(old) if old is not None else texts).mapInArrow(windows, "w1 long, w2 long, row long").groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    alone = seen.where("n = 1").groupBy("row").agg(F.collect_list("w1").alias("alone"))  # of one text, as it has no copies
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,13 +206,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, part: int = PART, batches: in
         for b in batches:
             words = [(t.as_py() or "").encode().split() for t in b.column("text")]
             sha = [hashlib.sha256(b" ".join(x)).hexdigest() for x in words]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(len, words)), pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(list(map(len, words)), pa.int64()), pa.array(sha, pa.string())], ["doc_id", "row", "n_words", "kept_sha256"])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    done = flagged.join(alone.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    done = flagged.join(alone.withColumnRenamed("row", "id"), F.col("row") == F.col("id"), "left")
     done = done.select("doc_id", "text", "fs", F.coalesce("alone", F.array().cast("array<long>")).alias("alone")).mapInArrow(remove, schema)
-    rest = docs.mapInArrow(unchanged, "doc_id long, n_words long, kept_sha256 string")
-    rest = rest.join(lists.select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    rest = docs.mapInArrow(unchanged, "doc_id long, row long, n_words long, kept_sha256 string").join(lists, "row", "left_anti")
     return done.union(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept")))
 
 

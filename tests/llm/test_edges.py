@@ -385,14 +385,32 @@ def test_emails_like_the_plain_pattern():
 
 
 def test_incremental_index(spark):
-    df = spark.createDataFrame([(1, PASSAGE), (2, "q " + PASSAGE)], "doc_id long, text string")
+    """A kept index: a later batch is judged against what came before, run by run, also after compaction."""
+    docs = spark.createDataFrame([(1, PASSAGE), (2, "q " + PASSAGE), (3, " ".join(f"own{i}" for i in range(50))), (4, "x " + " ".join(f"own{i}" for i in range(40)) + " y"), (5, "nothing of the kind"), (6, " ".join(f"w{i}" for i in range(60)))], "doc_id long, text string")
     index = substrings.FingerprintIndex(spark, 3)
-    index.add(substrings.postings(df.where("doc_id = 1"), 35, 20))
-    new = substrings.postings(df.where("doc_id = 2"), 35, 20)
-    assert index.probe(new).count() > 0
-    index.add(new)
-    assert index.compact().where("n = 2").count() > 0 and len(index.runs) == 1
+    got = {}
+    for batch in ([1, 3], [2], [4, 5], [6]):
+        history = docs.where(F.col("doc_id") < min(batch)).where(F.col("doc_id").isin(*got)) if got else None
+        for r in substrings.repeats(docs.where(F.col("doc_id").isin(*batch)), batches=1, index=index, history=history).collect():
+            got[r.doc_id] = r.n_removed
+        if 2 in got and len(index.runs) > 1:
+            index.compact()
+            assert len(index.runs) == 1
+    assert got == {1: 0, 3: 0, 2: 40, 4: 40, 5: 0, 6: 0}
+    again = substrings.repeats(docs.where("doc_id = 4"), batches=1, index=index, history=docs.where("doc_id in (1, 2, 3, 5, 6)")).first()
+    assert again.n_removed == 40
     index.forget()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
+def test_prefixes_of_the_mix_keep_the_weights(spark):
+    """Of any number of first slots, each source has its share to within a few."""
+    n = {0: 500, 1: 200, 2: 100, 3: 224}
+    rows = sorted((r.slot, r.sid) for r in mixing.schedule(spark.createDataFrame(list(n.items()), "sid int, n long")).collect())
+    total, seen = sum(n.values()), Counter()
+    for k, (_, sid) in enumerate(rows, 1):
+        seen[sid] += 1
+        assert all(abs(seen[s] - k * n[s] / total) <= 6 for s in n)
 
 
 def test_repeats_within_one_document(spark):
