@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Held-out tables of at most so many rows are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 100_000
+#: A table of at most so many rows and bytes of text is broadcast; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+#: Short needles looked for in one pass over the texts.
+NEEDLES_AT_ONCE = 20_000
 
 
 def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    bytes_ = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`").cast("string"))), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    n, size = df.agg(F.count("*"), sum(bytes_, F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def frozen_keys(parts: list[DataFrame], column: str) -> DataFrame:
@@ -21,15 +29,24 @@ def frozen_keys(parts: list[DataFrame], column: str) -> DataFrame:
     return out.where(F.col(column).isNotNull()).distinct()
 
 
+def _digest(key: str) -> Column:
+    """What a key is joined by: 32 bytes, however long it is."""
+    return F.unhex(F.sha2(F.col(key).cast("string"), 256))
+
+
+def _guarded(df: DataFrame, frozen: DataFrame, key: str, how: str) -> DataFrame:
+    guard = _sized(frozen.select(_digest(key).alias("_digest")).distinct())
+    return df.withColumn("_digest", _digest(key)).join(guard, "_digest", how).drop("_digest")
+
+
 def split(df: DataFrame, frozen: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key isn't frozen, rows whose key is, with `reason`)."""
-    guard = _sized(frozen.select(key))
-    return df.join(guard, key, "left_anti"), df.join(guard, key, "left_semi").withColumn("reason", F.lit("contaminated"))
+    return _guarded(df, frozen, key, "left_anti"), _guarded(df, frozen, key, "left_semi").withColumn("reason", F.lit("contaminated"))
 
 
 def require_clean(df: DataFrame, frozen: DataFrame, key: str) -> DataFrame:
     """df, or an error if any of its keys is frozen; to be called before anything is written."""
-    hits = df.join(_sized(frozen.select(key)), key, "left_semi").limit(5).collect()
+    hits = _guarded(df, frozen, key, "left_semi").limit(5).collect()
     if hits:
         raise ValueError(f"contaminated: {[h[key] for h in hits]}")
     return df
@@ -45,26 +62,50 @@ def complete(required: list[str], line: Column) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, required)), F.coalesce(F.json_object_keys(line), F.array().cast("array<string>")))) == 0
 
 
+def _short_hits(docs: DataFrame, needles: DataFrame) -> DataFrame:
+    """Needles without enough words, some at a time, in one pass over the texts each time."""
+    spark, total = docs.sparkSession, needles.count()
+    out = spark.createDataFrame([], "doc_id string, item_id string").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), F.col("item_id").cast(needles.schema["item_id"].dataType))
+    kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c, df in (("doc_id", docs), ("item_id", needles)))
+    blocks = -(-total // NEEDLES_AT_ONCE)
+    for k in range(blocks):
+        part = needles.where(F.pmod(F.xxhash64("item_id", "needle"), F.lit(blocks)) == k).collect()
+        by_text: dict[str, list] = {}
+        for r in part:
+            by_text.setdefault(r.needle, []).append(r.item_id)
+        shared = spark.sparkContext.broadcast(by_text)
+
+        def find(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            machine = ahocorasick.Automaton()
+            for text, ids in shared.value.items():
+                machine.add_word(text, ids)
+            machine.make_automaton()
+            for f in frames:
+                rows = [(d, i) for d, t in zip(f["doc_id"], f["text"], strict=True) for i in dict.fromkeys(i for _, ids in machine.iter(t) for i in ids)]
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
+
+        out = out.union(docs.select("doc_id", "text").mapInPandas(find, kind))
+    return out
+
+
 def substring_hits(docs: DataFrame, needles: DataFrame, k: int = 5) -> DataFrame:
     """(doc, needle ids) where a needle's text occurs in a document's: docs(doc_id, text), needles(item_id, text).
 
-    A needle's words, its first and last left out as they may be cut in the document, give its rarest-looking k-word
-    sequence; an equality join on sequences proposes, contains() decides. Needles with too few words are compared with all.
+    A needle's words, its first and last left out as they may be cut in the document, give its longest-looking k-word
+    sequence; an equality join on sequences' hashes proposes, contains() decides. Needles with too few words are looked for in the texts at once.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    seq = lambda a, i: F.array_join(F.slice(a, i, k), " ")
+    seq = lambda a, i: F.slice(a, i, k)
     n = needles.where("text is not null and text <> ''").select("item_id", F.col("text").alias("needle"))
     n = n.withColumn("_w", words(F.col("needle")))
-    inner = F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0)))
-    n = n.withColumn("_in", inner)
-    longest = F.array_max(F.transform(F.sequence(F.lit(1), F.size("_in") - k + 1), lambda i: F.struct(F.length(seq(F.col("_in"), i)).alias("l"), seq(F.col("_in"), i).alias("s"))))["s"]
+    n = n.withColumn("_in", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
+    long_of = lambda i: F.struct(F.length(F.array_join(seq(F.col("_in"), i), " ")).alias("l"), F.xxhash64(seq(F.col("_in"), i)).alias("s"))
+    longest = F.array_max(F.transform(F.sequence(F.lit(1), F.size("_in") - k + 1), long_of))["s"]
     long_ones = n.where(F.size("_in") >= k).withColumn("_s", longest).select("item_id", "needle", "_s")
     short_ones = n.where(F.size("_in") < k).select("item_id", "needle")
     d = docs.where("text is not null").select("doc_id", "text")
     grams = d.withColumn("_w", words(F.col("text"))).where(F.size("_w") >= k)
-    grams = grams.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: seq(F.col("_w"), i)))).alias("_s"))
+    grams = grams.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.xxhash64(seq(F.col("_w"), i))))).alias("_s"))
     proposed = grams.join(_sized(long_ones), "_s").select("doc_id", "item_id", "needle").distinct().join(d, "doc_id")
     hits = proposed.where(F.contains("text", "needle")).select("doc_id", "item_id")
-    if short_ones.isEmpty():
-        return hits
-    return hits.union(d.join(_sized(short_ones), F.contains("text", "needle")).select("doc_id", "item_id"))
+    return hits if short_ones.isEmpty() else hits.union(_short_hits(d, short_ones))

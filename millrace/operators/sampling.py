@@ -17,6 +17,20 @@ def ordered(df: DataFrame, key: str, seed: str) -> DataFrame:
     return df.withColumn("_h", hash_order(seed, F.col(key)))
 
 
+def ranked(df: DataFrame, groups: list[str], key: str, into: str = "_r") -> DataFrame:
+    """df (with ordered()'s _h) with each row's place in its group by _h, key: counts of 4,096 hash ranges, then places within a range.
+
+    So no task sorts a whole group.
+    """
+    df = df.withColumn("_b", F.substring("_h", 1, 3))
+    sizes = df.groupBy(*groups, "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_b").alias("_of"), F.coalesce(before, F.lit(0)).alias("_base"))
+    place = df.withColumn("_in", F.row_number().over(W.partitionBy(*groups, "_b").orderBy("_h", key)))
+    on = [F.col("_b") == F.col("_of"), *[F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]]
+    return place.join(sizes, on).withColumn(into, F.col("_base") + F.col("_in")).drop("_b", "_in", "_of", "_base", *[f"_g{i}" for i in range(len(groups))])
+
+
 def exact_sample(df: DataFrame, n: int, key: str, seed: str) -> DataFrame:
     """Exactly min(n, rows) rows. A top-n: each task keeps n rows."""
     return ordered(df, key, seed).orderBy("_h", key).limit(n).drop("_h")
@@ -31,35 +45,33 @@ def head(df: DataFrame, limit: int | None, skip: int = 0, order: str = "row_no")
 def proportional(df: DataFrame, group: str, shares: DataFrame, n: int, key: str, seed: str) -> DataFrame:
     """round(n * share) rows of each group (half to even), or all it has. shares(group, share); groups without one give none."""
     take = shares.select(F.col(group), F.bround(F.lit(n) * F.col("share")).cast("long").alias("_take"))
-    ranked = ordered(df, key, seed).join(F.broadcast(take), group)  # one row a group with a share
-    rank = F.row_number().over(W.partitionBy(group).orderBy("_h", key))
-    return ranked.withColumn("_r", rank).where("_r <= _take").drop("_h", "_r", "_take")
+    held = ordered(df, key, seed).join(take, group)
+    return ranked(held, [group], key).where("_r <= _take").drop("_h", "_r", "_take")
 
 
 def fill_up(picked: DataFrame, pool: DataFrame, n: int, key: str, seed: str) -> DataFrame:
     """picked, and rows of pool that it lacks, up to n in all."""
-    rest = pool.join(picked.select(key), key, "left_anti")
-    lack = n - picked.count()
-    return picked.unionByName(exact_sample(rest, lack, key, seed), allowMissingColumns=True) if lack > 0 else exact_sample(picked, n, key, seed)
+    rest = exact_sample(pool.join(picked.select(key), key, "left_anti"), n, key, seed)
+    both = picked.withColumn("_late", F.lit(0)).unionByName(rest.withColumn("_late", F.lit(1)), allowMissingColumns=True)
+    return ordered(both, key, seed).orderBy("_late", "_h", key).limit(n).drop("_late", "_h")
 
 
 def stratified_split(df: DataFrame, strata: list[str], key: str, seed: str, test: int, val: int, cap: int | None = None) -> DataFrame:
     """df with `part`: 'test', 'val' or 'train'.
 
     Each stratum gives size * test // total rows to test, and likewise to val, in hash order; cap trims both parts.
-    Strata's sizes come from an aggregate; the rank is a window within a stratum.
+    Strata's sizes come from an aggregate, places within a stratum from ranked().
     """
     total = df.count()
     sizes = df.groupBy(*strata).agg(F.count("*").alias("_size"))
     on = [df[s].eqNullSafe(sizes[s]) for s in strata]
     full = ordered(df.join(sizes, on).select(df["*"], "_size"), key, seed)
-    full = full.withColumn("_r", F.row_number().over(W.partitionBy(*strata).orderBy("_h", key)))
+    full = ranked(full, strata, key)
     quota = lambda want: F.expr(f"_size * {want} div {max(1, total)}")
     part = F.when(F.col("_r") <= quota(test), "test").when(F.col("_r") <= quota(test) + quota(val), "val").otherwise("train")
     full = full.withColumn("part", part)
     if cap is not None:
-        trimmed = F.row_number().over(W.partitionBy("part").orderBy("_h", key))
-        held = full.where("part <> 'train'").withColumn("_n", trimmed)
+        held = ranked(full.where("part <> 'train'"), ["part"], key, "_n")
         back = held.withColumn("part", F.when(F.col("_n") > cap, "train").otherwise(F.col("part"))).drop("_n")
         full = back.unionByName(full.where("part = 'train'"))
     return full.drop("_size", "_h", "_r")

@@ -91,6 +91,22 @@ def first_failures(scored: DataFrame, order: list[str], n: int = 3) -> DataFrame
     return top.groupBy("task_id").agg(F.min_by(F.struct("got", "expected"), item).alias("first_failure"), F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["got"].alias("got"), x["expected"].alias("expected"))).alias("failures"))
 
 
+def example_failures(scored: DataFrame, order: list[str], n: int = 20) -> DataFrame:
+    """The first n problems with failures, by the first one's place, with it. A top-n: each task keeps n rows."""
+    item = F.struct(*order, "got", "expected")
+    failed = scored.where(~F.coalesce("passed", F.lit(False))).groupBy("task_id").agg(F.min(item).alias("_f"))
+    return failed.orderBy("_f", "task_id").limit(n).select("task_id", "_f.got", "_f.expected")
+
+
+def by_count(counted: DataFrame, value: str = "value", n: str = "failures") -> DataFrame:
+    """The most frequent first, ties by value."""
+    return counted.orderBy(F.desc(n), value)
+
+
+def by_value(counted: DataFrame, value: str = "value") -> DataFrame:
+    return counted.orderBy(value)
+
+
 def legacy_accuracy(pairs: DataFrame, rel_tol: float = 1e-9) -> DataFrame:
     """The share of rows(got, expected) that agree to a relative tolerance alone."""
     return pairs.agg(ratio(F.count_if(outputs_match(F.col("got"), F.col("expected"), rel_tol, 0.0)), F.count("*")).alias("accuracy"))

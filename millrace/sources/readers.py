@@ -30,6 +30,21 @@ def normalise(df: DataFrame) -> DataFrame:
     return df.withColumn("domain", F.when(F.lower("domain") != "nan", F.col("domain"))).withColumn("output_type", F.coalesce("output_type", F.lit("unknown")))
 
 
+#: Keys that have columns of their own outside `metadata`.
+OWN_KEYS = ("task_id", "latex_expression", "solution", "sympy_exp", "test_cases")
+
+
+def with_metadata(spark: SparkSession, path: str, schema: T.StructType = PROBLEM) -> DataFrame:
+    """JSONL rows whose `metadata` holds all keys but OWN_KEYS, as JSON with sorted keys; values keep their JSON form."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    row, keys = F.from_json("value", schema), F.array_sort(F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, OWN_KEYS))))
+    # A JSON text per value: strings as they stand in the line, in quotes; the rest as it is.
+    every = F.from_json("value", "map<string,variant>")
+    pair = lambda k: F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(":"), F.coalesce(F.to_json(every[k]), F.lit("null")))
+    meta = F.concat(F.lit("{"), F.array_join(F.transform(keys, pair), ","), F.lit("}"))
+    return with_row_number(normalise(lines.select(row.alias("r"), meta.alias("m")).select("r.*", "m").withColumn("metadata", F.col("m")).drop("m")))
+
+
 def _unzipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The first JSON file of each archive."""
     for df in frames:

@@ -19,13 +19,11 @@ def verify_stream(spark: SparkSession, source: str, schema: T.StructType, verify
     A batch that is run again after a failure leaves out the keys that it had written. Start with .processAllAvailable() for what is there now.
     """
 
+    # The table is there, with its schema, before the first batch looks for keys in it.
+    verify(spark.createDataFrame([], schema)).write.mode("append").parquet(target)
+
     def batch(df: DataFrame, _: int) -> None:
-        fresh = df.dropDuplicates([key])
-        try:
-            fresh = pending(fresh, spark.read.parquet(target), key)
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        fresh = pending(df.dropDuplicates([key]), spark.read.parquet(target), key)
         verify(fresh).write.mode("append").parquet(target)
 
     return spark.readStream.schema(schema).json(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

@@ -136,3 +136,21 @@ def test_families_agree_with_a_second_route(spark):
     with pytest.raises(ValueError, match="gated"):
         generators.generate(keys, "stats_moments")
     assert generators.pool(spark, 2).select("slice").distinct().count() > 10
+
+
+def test_example_failures_and_orders(spark):
+    df = spark.createDataFrame([(i % 7, i, str(i), "x", i % 3 == 0) for i in range(60)], "task_id int, case_index int, got string, expected string, passed boolean")
+    got = [(r.task_id, r.got) for r in scoring.example_failures(df, ["case_index"], 4).collect()]
+    assert got == [(1, "1"), (2, "2"), (4, "4"), (5, "5")]
+    counted = spark.createDataFrame([("b", 1), ("a", 1), ("c", 5)], "value string, failures int")
+    assert [r.value for r in scoring.by_count(counted).collect()] == ["c", "a", "b"] and [r.value for r in scoring.by_value(counted).collect()] == ["a", "b", "c"]
+
+
+def test_ranks_in_two_levels(spark):
+    from millrace.operators import sampling
+
+    df = sampling.ordered(spark.range(5000).selectExpr("id", "if(id % 10 = 0, null, 'big') AS g"), "id", "s")
+    rows = sampling.ranked(df, ["g"], "id").collect()
+    for g in (None, "big"):
+        mine = sorted((r for r in rows if r.g == g), key=lambda r: (r["_h"], r.id))
+        assert [r["_r"] for r in mine] == list(range(1, len(mine) + 1))
