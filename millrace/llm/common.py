@@ -33,11 +33,14 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only if that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only if that is unset and all runs on one machine."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
     if folder := spark.sparkContext.getCheckpointDir():
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-shared-"))
     return f"file://{_own_folder[0]}"

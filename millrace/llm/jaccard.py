@@ -521,7 +521,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     links. Rows that share a doc_id are one document: what one links to, all do; each row's n_links is that of its own text. A row without a doc_id has no links and component null.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return labelled(*joined(docs, k, percent))
+    rows, nodes, links, counts = joined(docs, k, percent)
+    done = stored(labelled(rows, nodes, links, counts), "jaccard-done")
+    discard(rows, nodes, links)
+    return done
 
 
 def link_pairs(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -537,7 +540,8 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     Only components matter here, so that pairs already in one are left alone.
     """
     rows, nodes, links, counts = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent, whole=False)
-    found = labelled(rows, nodes, links, counts).where("doc_id is not null and component_id = doc_id").select("doc_id").distinct()
+    found = stored(labelled(rows, nodes, links, counts).where("doc_id is not null and component_id = doc_id").select("doc_id").distinct(), "jaccard-first")
+    discard(rows, nodes, links)
     first = W.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
     place = free_name(docs, "_place")
     kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, free_name, stored, table
+from millrace.llm.common import WORD, discard, free_name, stored, table
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -110,10 +110,13 @@ def _mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, bloc
     pieces = rows.withColumn("block", F.explode_outer(F.when(F.col("high") > F.col("low"), F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block)))))
     pieces = pieces.join(plan, ["sid", "block"], "left")
     part = F.when(F.col("slot").isNotNull(), F.least("high", (F.col("block") + 1) * block) - F.greatest("low", F.col("block") * block))
-    return pieces.groupBy("doc_id", "row").agg(
+    done = pieces.groupBy("doc_id", "row").agg(
         F.first("source").alias("source"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
         F.coalesce(F.sum(part), F.lit(0)).alias("taken"), F.min("slot").alias("first_slot"),
     ).drop("row")
+    done = stored(done, "mix-done")
+    discard(sized, goal)
+    return done
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
