@@ -31,6 +31,8 @@ U = tk.U
 #: A shingle's hash below the number of its line, in one 64-bit integer; a stretch has fewer lines than the rest can tell apart.
 HASH_BITS = U(50)
 LINES_AT_ONCE = 1 << 14
+#: Bytes of a stretch: what fits a core's cache.
+STRETCH = 1 << 16
 
 
 class Lines(NamedTuple):
@@ -65,10 +67,10 @@ def split_lines(texts: pa.Array) -> Lines:
 
 
 def segments(lines: Lines) -> Iterator[tuple[int, int]]:
-    """Stretches of lines of about tk.SEGMENT bytes."""
+    """Stretches of lines of about STRETCH bytes."""
     i = 0
     while i < len(lines.start):
-        j = min(i + LINES_AT_ONCE, max(i + 1, int(np.searchsorted(lines.end, lines.start[i] + tk.SEGMENT))))
+        j = min(i + LINES_AT_ONCE, max(i + 1, int(np.searchsorted(lines.end, lines.start[i] + STRETCH))))
         yield i, j
         i = j
 
@@ -100,11 +102,20 @@ def line_shingles(lines: Lines) -> Iterator[tuple[int, int, np.ndarray]]:
         s, e = lines.start[i:j] - at, lines.end[i:j] - at
         chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         low, high = np.searchsorted(chars, s), np.searchsorted(chars, e)
-        m = np.maximum(1, high - low - SHINGLE + 1)  # a shorter line is one shingle
-        line = np.repeat(np.arange(n), m)
-        k = np.arange(len(line)) + np.repeat(low - np.cumsum(m) + m, m)
-        begin, stop = chars[k], chars[np.minimum(k + SHINGLE, np.repeat(high, m))]
-        found = tk.mix((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(U))
+        t, d = total[chars], down[chars[:-1]]
+        last = max(0, len(chars) - SHINGLE)  # shingles that the stretch has, those over a line's end included
+        every = (t[SHINGLE:] - t[:last]) * d[:last]
+        m = high - low - SHINGLE + 1
+        full = np.flatnonzero(m > 0)
+        inside = np.zeros(last + 1, np.int8)
+        inside[low[full]] += 1
+        inside[high[full] - SHINGLE + 1] -= 1
+        line = np.repeat(full, m[full])
+        found = every[np.cumsum(inside[:last], dtype=np.int8).view(bool)]
+        if len(full) < n:  # a shorter line is one shingle
+            short = np.flatnonzero(m <= 0)
+            line, found = np.append(line, short), np.append(found, (t[high[short]] - t[low[short]]) * d[low[short]])
+        found = tk.mix(found)
         found >>= U(64) - HASH_BITS
         found |= line.astype(U) << HASH_BITS
         found.sort()
@@ -134,42 +145,52 @@ def signatures(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
 
 
 def registry(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line, node, node2): every line of docs(doc_id, row, text) that isn't blank, with 128 bits of hash."""
+    """(doc_id, row, line, node, node2, n, keys): every line of docs(doc_id, row, text) that isn't blank, with 128 bits of hash.
+
+    n (distinct shingles) and keys (of bands) stand where a task meets a line for the first time, mostly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for b in tk.slices(batch):
                 lines = split_lines(b.column("text"))
                 node, node2 = line_hashes(lines)
+                first = _new(node, seen)
+                keys, size = signatures(Lines(lines.data, *(x[first] for x in lines[1:])))
+                there = np.zeros(len(node), bool)
+                there[first] = True
+                place = np.cumsum(there) - 1
                 doc_id, row = (b.column(c).take(pa.array(lines.doc)) for c in ("doc_id", "row"))
-                yield pa.RecordBatch.from_arrays([doc_id, row, pa.array(lines.number.astype(np.int32)), tk.signed(node), tk.signed(node2)], ["doc_id", "row", "line", "node", "node2"])
+                of = pa.array(place, mask=~there)
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BANDS), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
+                columns = [doc_id, row, pa.array(lines.number.astype(np.int32)), tk.signed(node), tk.signed(node2), pa.array(size).take(of), packed.take(of)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "line", "node", "node2", "n", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, row long, line int, node long, node2 long")
+    return docs.mapInArrow(run, "doc_id long, row long, line int, node long, node2 long, n int, keys binary")
 
 
-def _once(lines: Lines, node: np.ndarray, seen: set[int]) -> tuple[Lines, np.ndarray]:
-    """The lines whose node comes here for the first time and isn't in seen, which they are added to."""
+def _new(node: np.ndarray, seen: set[int]) -> np.ndarray:
+    """The places where a node comes for the first time that isn't in seen, which it is added to."""
     at = np.sort(np.unique(node, return_index=True)[1])
     at = at[np.array([x not in seen for x in node[at].tolist()], bool)]
     if len(seen) > 200_000:
         seen.clear()
     seen.update(node[at].tolist())
-    return Lines(lines.data, *(x[at] for x in lines[1:])), node[at]
+    return at
 
 
-def bands(docs: DataFrame) -> DataFrame:
-    """(key, node, n): the band keys of every line, mostly once a task. n: its distinct shingles."""
+def bands(known: DataFrame) -> DataFrame:
+    """(key, node, n): the band keys of every line of registry(), mostly once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for b in tk.slices(batch):
-                lines = split_lines(b.column("text"))
-                lines, node = _once(lines, line_hashes(lines)[0], seen)
-                keys, size = signatures(lines)
-                yield pa.RecordBatch.from_arrays([tk.signed(keys.ravel()), tk.signed(np.repeat(node, BANDS)), pa.array(np.repeat(size, BANDS))], ["key", "node", "n"])
+        for b in batches:
+            keys = b.column("keys").cast(pa.binary(8 * BANDS))
+            key = np.frombuffer(keys.buffers()[1], np.int64, len(keys) * BANDS, 8 * BANDS * keys.offset) if len(keys) else np.zeros(0, np.int64)
+            node, n = (np.repeat(b.column(c).to_numpy(), BANDS) for c in ("node", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(n)], ["key", "node", "n"])
 
-    return docs.select("text").mapInArrow(run, "key long, node long, n int")
+    return known.where("n is not null").select("node", "n", "keys").mapInArrow(run, "key long, node long, n int")
 
 
 def bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -183,7 +204,9 @@ def bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 lines = split_lines(b.column("text"))
                 node = line_hashes(lines)[0]
                 able = passes(shared.value, node)
-                lines, node = _once(Lines(lines.data, *(x[able] for x in lines[1:])), node[able], seen)
+                able = np.flatnonzero(able)
+                able = able[_new(node[able], seen)]
+                lines, node = Lines(lines.data, *(x[able] for x in lines[1:])), node[able]
                 data = lines.data.tobytes()
                 out = [data[s:e] for s, e in zip(lines.start.tolist(), lines.end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([tk.signed(node), pa.array(out, pa.binary())], ["node", "items"])
@@ -209,9 +232,9 @@ def body_sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def line_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of the lines of docs(text) that are similar to another one."""
-    met = stored(jaccard.groups(bands(docs), percent).groupBy("tree", "node").agg(F.first("n").alias("n")), "line-groups")
+def line_components(docs: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of the lines of docs(text) that are similar to another one. known: registry(docs)."""
+    met = stored(jaccard.groups(bands(known), percent).groupBy("tree", "node").agg(F.first("n").alias("n")), "line-groups")
     items = jaccard.work_items(met)
     texts = stored(bodies(docs, met.select("node").distinct()), "line-texts")
     links = jaccard.tree_links(items.join(texts, "node"), percent, sets_from=body_sets)
@@ -233,7 +256,7 @@ def unique_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     known = stored(registry(docs), "line-registry")
-    same = line_components(docs, percent)
+    same = line_components(docs, known, percent)
     # A line's class: its component, or itself by 128 bits.
     tagged = known.join(same, "node", "left").select("doc_id", "row", "line", "node", F.coalesce("component", "node").alias("c1"), F.when(F.col("component").isNull(), F.col("node2")).otherwise(0).alias("c2"))
     place = F.struct("doc_id", "line", "row")
