@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import contamination, reports, sandbox, scoring
+
 CASES, VARIANTS = 5, 2
 LIMIT = 1e12
 PARAMETERS = {"a": (1, 5), "b": (1, 5), "c": (1, 5), "m": (2, 8), "n": (2, 6)}
@@ -437,12 +439,47 @@ def generate(keys: DataFrame, name: str, seed: str = "0", include_gated: bool =
     )
 
 
-def problems(cases: DataFrame) -> DataFrame:
-    """Generated cases as problems with nested test cases."""
+#: What the truths' functions are called in Python.
+_PRELUDE = """from math import acos, acosh, asin, asinh, atan, atan2, ceil, cos, cosh, exp, factorial, floor, pi as _pi, sin, sinh, sqrt, tan, tanh, log as ln
+power, least, greatest, cbrt, pi = pow, min, max, (lambda v: v ** (1 / 3)), (lambda: _pi)
+"""
+
+
+def solution(t: Template) -> str | None:
+    """Python code of a template's truth, with <a> for its parameters; None where the truth isn't plain arithmetic or is complex."""
+    if re.search(r"CASE|->|array|sequence|element_at|sign\(", t.truth) or t.imaginary != "0.0D":
+        return None
+    body = re.sub(r"\b([abcmn])\b", r"<\1>", re.sub(r"(?<=[0-9])D\b", "", t.truth))
+    return f"{_PRELUDE}def calculate(x, y):\n    return {body}\n"
+
+
+def with_solutions(cases: DataFrame, name: str, seed: str = "0") -> DataFrame:
+    """generate()'s rows of a family with a `solution` in Python, null for templates without one."""
+    f, ranges = FAMILIES[name], PARAMETERS | FAMILIES[name].ranges
+    i = F.regexp_extract("task_id", "_([0-9]+):", 1).cast("long")
+    out = F.lit(None).cast("string")
+    for t in f.templates:
+        if code := solution(t):
+            parts = latex_parts(code)
+            text = F.concat(*[hashed(seed, name, p, i, *ranges[p]).cast("string") if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+            out = F.when(F.col("kind") == t.kind, text).otherwise(out)
+    return cases.withColumn("solution", out)
+
+
+def generation_run(rows: DataFrame, frozen: DataFrame, key: str = "latex_expression") -> DataFrame:
+    """The report of a run over generated rows(task_id, solution, test_cases, ..): held-out keys are dropped, the rest's solutions run on their cases."""
+    kept, dropped = contamination.split(rows, frozen, key)
+    ran = scoring.per_problem(scoring.score_cases(sandbox.run_solutions(kept.withColumn("code", F.coalesce("solution", F.lit(""))))))
+    done = kept.select("task_id").join(ran.select("task_id", "all_passed"), "task_id", "left").select(F.lit(False).alias("contaminated"), F.coalesce("all_passed", F.lit(False)).alias("accepted"))
+    return reports.generation_report(done.union(dropped.select(F.lit(True), F.lit(False))))
+
+
+def problems(cases: DataFrame, *more: str) -> DataFrame:
+    """Generated cases as problems with nested test cases; more: columns that a problem's rows share."""
     inputs = F.create_map(F.lit("x"), F.col("x").cast("string"), F.lit("y"), F.col("y").cast("string"))
     item = F.struct("case_index", inputs.alias("input"), F.col("expected").cast("string").alias("output"))
-    grouped = cases.groupBy("task_id", "slice", "kind", F.col("latex").alias("latex_expression")).agg(F.array_sort(F.collect_list(item), lambda p, q: p["case_index"] - q["case_index"]).alias("c"))
-    return grouped.select("task_id", "latex_expression", "slice", "kind", F.transform("c", lambda c: F.struct(c["input"].alias("input"), c["output"].alias("output"))).alias("test_cases"), F.lit(True).alias("synthetic"))
+    grouped = cases.groupBy("task_id", "slice", "kind", F.col("latex").alias("latex_expression"), *more).agg(F.array_sort(F.collect_list(item), lambda p, q: p["case_index"] - q["case_index"]).alias("c"))
+    return grouped.select("task_id", "latex_expression", "slice", "kind", *more, F.transform("c", lambda c: F.struct(c["input"].alias("input"), c["output"].alias("output"))).alias("test_cases"), F.lit(True).alias("synthetic"))
 
 
 def pool(spark: SparkSession, count: int, seed: str = "0", families: list[str] | None = None, include_gated: bool = False) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import evaluate
-from millrace.functions.numbers import outputs_match
+from millrace.functions.latex import expression
+from millrace.functions.numbers import format_output, outputs_match
 from millrace.functions.text import build_prompt, extract_code
 from millrace.operators import sandbox, scoring
 
@@ -44,6 +45,20 @@ def trivial_floor(problems: DataFrame) -> DataFrame:
     return scoring.score_cases(scoring.align(problems, answers))
 
 
+def latex_outputs(problems: DataFrame) -> DataFrame:
+    """(task_id, outputs): what the formula itself gives for each case, null where it can't be read or has no value there."""
+    cases = problems.select("task_id", expression(F.col("latex_expression")).alias("e"), F.posexplode("test_cases").alias("case_index", "c"))
+    v = cases.select("task_id", "case_index", evaluate(F.col("e"), F.col("c.input")).alias("v"))
+    text = F.when(F.col("v.status") == "evaluated", format_output(F.col("v.re"), F.col("v.im")))
+    rows = v.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("case_index", text.alias("o")))).alias("o"))
+    return rows.select("task_id", F.col("o.o").alias("outputs"))
+
+
+def latex_baseline(problems: DataFrame) -> DataFrame:
+    """Scored cases of reading the LaTeX formula and evaluating it at the inputs."""
+    return scoring.score_cases(scoring.align(problems, latex_outputs(problems)))
+
+
 def symbolic_check(problems: DataFrame) -> DataFrame:
     """(task_id, status, n_cases, n_passed): truth expressions against the cases' outputs.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import models, publishing, sandbox, scoring, verify
+from millrace.operators import contamination, generators, models, publishing, sandbox, scoring, verify
+from millrace.plans import generation
 from millrace.plans.tables import table
 
 GOOD = "def calculate(x_val, y=1.0):\n    return x_val ** 2 + y\n"
@@ -71,6 +72,34 @@ def trivial_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.summary(scoring.per_problem(models.trivial_floor(rows))).select("n_problems", "problems_passed", "cases_passed")
 
 
+def latex_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas of the part size, some wrong, some of calculus, some unreadable."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    said = (
+        F.when(k % 7 == 0, r"\frac{x^{2} + x}{2}").when(k % 7 == 1, r"\left(x + 1\right)^2 - 2x - 1").when(k % 7 == 2, r"\int_0^x t dt").when(k % 7 == 3, r"x^2 + \sin^{2} x + 1")
+        .when(k % 7 == 4, r"\sqrt{x^4} \cdot (\sin^2 x + \cos^2 x)").when(k % 7 == 5, r"e^{2 \ln x}").otherwise(r"\frac{x^2")
+    )
+    case = F.struct(F.create_map(F.lit("x"), s.cast("string")).alias("input"), F.when(k % 7 == 0, s * (s + 1) / 2).otherwise((s * s).cast("double")).cast("string").alias("output"))
+    rows = p.select(k.cast("string").alias("task_id"), said.alias("latex_expression"), F.array(case, case).alias("test_cases"))
+    return scoring.summary(scoring.per_problem(models.latex_baseline(rows))).select("n_problems", "problems_passed", "cases_passed")
+
+
+GUARDED = "geometry"
+
+
+def generate_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated problems, held-out ones dropped, the rest's solutions run on their cases; the report."""
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"))
+    made = generators.with_solutions(generators.generate(keys, GUARDED, "11"), GUARDED, "11")
+    rows = generators.problems(made, "solution")
+    # Every seventh solution is spoilt, and every fifth problem's text is held out.
+    number = F.regexp_extract("task_id", "_([0-9]+):", 1).cast("int")
+    rows = rows.withColumn("solution", F.when(number % 7 == 3, F.replace("solution", F.lit("return "), F.lit("return 1 + "))).otherwise(F.col("solution")))
+    frozen = rows.where(number % 5 == 0).select(F.col("latex_expression"))
+    return generators.generation_run(rows, contamination.frozen_keys([frozen], "latex_expression"))
+
+
 def _gold():
     return lambda prompt: f"```python\n{GOOD}```"
 
@@ -92,12 +121,17 @@ _VIEW = """WITH p AS (SELECT s_suppkey AS k FROM supplier),
     k % 13 NOT IN (5, 6, 8) AND k % 3 <> 1 AS coded, k % 19 = 2 AS truth_fails, k % 13 = 5 AS bare, k % 13 = 6 AS unreadable, k % 13 = 8 AS nowhere FROM p)"""
 _ORACLE_REASON = """CASE WHEN code = 'empty' THEN 'empty solution' WHEN code = 'unsafe' THEN 'import of os' WHEN coded AND truth_fails THEN 'truth code failed to run'
     WHEN bare OR unreadable THEN 'no truth to compare with' WHEN code = 'fails' THEN 'candidate failed to run' WHEN nowhere THEN NULL WHEN code = 'bad' THEN 'mismatch with the truth' END"""
-QUERIES = {f.__name__: f for f in (sandbox_exec, oracle_verify, curated, rewards, symbolic_truth, trivial_floor, model_benchmark, dataset_checks)}
+QUERIES = {f.__name__: f for f in (sandbox_exec, oracle_verify, curated, rewards, symbolic_truth, trivial_floor, latex_baseline, generate_verified, model_benchmark, dataset_checks)}
 #: The wrong and unsafe solutions are known, so the verdicts are too.
 ORACLES = {
     "symbolic_truth": """SELECT CAST(p_partkey AS VARCHAR) AS task_id, CASE p_partkey % 11 WHEN 0 THEN 'empty' WHEN 1 THEN 'parse error' WHEN 2 THEN 'undefined' ELSE 'evaluated' END AS status,
         2::BIGINT AS n_cases, CASE WHEN p_partkey % 11 > 3 THEN 2 ELSE 0 END::BIGINT AS n_passed FROM part""",
     "trivial_floor": "SELECT count(*) AS n_problems, count(*) FILTER (p_partkey % 3 = 0) AS problems_passed, 2 * count(*) FILTER (p_partkey % 3 = 0) AS cases_passed FROM part",
+    "latex_baseline": "SELECT count(*) AS n_problems, count(*) FILTER (p_partkey % 7 IN (0, 1, 4, 5)) AS problems_passed, 2 * count(*) FILTER (p_partkey % 7 IN (0, 1, 4, 5)) AS cases_passed FROM part",
+    "generate_verified": f"""WITH c AS ({generation.sql(GUARDED, "supplier", "s_suppkey")}),
+        r AS (SELECT task_id, any_value(latex) AS latex, CAST(regexp_extract(task_id, '_([0-9]+):', 1) AS INT) AS i FROM c GROUP BY task_id),
+        f AS (SELECT *, latex IN (SELECT latex FROM r WHERE i % 5 = 0) AS held FROM r)
+        SELECT count(*) AS generated, count(*) FILTER (held) AS contamination_dropped, count(*) FILTER (NOT held AND i % 7 <> 3) AS accepted, count(*) FILTER (NOT held AND i % 7 = 3) AS rejected FROM f""",
     "model_benchmark": "SELECT count(*) AS n_problems, count(*) AS problems_passed, 1.0::DOUBLE AS problem_accuracy FROM supplier",
     "dataset_checks": """SELECT 'complete' AS "check", true AS ok, 0::BIGINT AS n_bad UNION ALL SELECT 'uncontaminated', false, 2 UNION ALL SELECT 'hidden', false, count(*) FROM supplier WHERE CAST(s_suppkey AS VARCHAR) < '2'
         UNION ALL SELECT 'unique', true, 0 UNION ALL SELECT 'rows', false, count(*) - 24 FROM supplier""",

@@ -27,15 +27,16 @@ def generated_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("slice").agg(F.count("*").alias("n_problems"), F.sum(F.size("test_cases")).alias("n_cases"))
 
 
-def _sql(name: str) -> str:
+def sql(name: str, keys: str = "part", key: str = "p_partkey") -> str:
+    """The rows of family() in SQL."""
     f = g.FAMILIES[name]
     ranges, points = g.PARAMETERS | f.ranges, g.POINTS | f.ranges
-    draw = lambda p, key, low, high: f"{low} + CAST(CAST('0x' || substr(md5('{SEED}:{name}:{p}:' || {key}), 1, 8) AS BIGINT) % {high - low + 1} AS INT)"
+    draw = lambda p, of, low, high: f"{low} + CAST(CAST('0x' || substr(md5('{SEED}:{name}:{p}:' || {of}), 1, 8) AS BIGINT) % {high - low + 1} AS INT)"
     case = lambda what: "CASE t " + " ".join(f"WHEN {k} THEN {what(t)}" for k, t in enumerate(f.templates)) + " END"
     plain = lambda s: s.replace("0D", "0")
     text = lambda t: " || ".join(p if k % 2 else "'" + p.replace("'", "''") + "'" for k, p in enumerate(g.latex_parts(t.latex)))
     return f"""
-WITH p AS (SELECT p_partkey AS i, p_partkey % {len(f.templates)} AS t, {', '.join(f"{draw(p, 'p_partkey', *ranges[p])} AS {p}" for p in g.PARAMETERS)} FROM part),
+WITH p AS (SELECT {key} AS i, {key} % {len(f.templates)} AS t, {', '.join(f"{draw(p, key, *ranges[p])} AS {p}" for p in g.PARAMETERS)} FROM {keys}),
 q AS (SELECT p.*, r.case_index, {', '.join(f"({draw(v, f"i || ':' || case_index", *points[v])}) / 10.0::DOUBLE AS {v}" for v in g.POINTS)} FROM p, (SELECT CAST(range AS INT) AS case_index FROM range({g.CASES})) r),
 e AS (SELECT *, CAST({case(lambda t: t.other or plain(t.truth))} AS DOUBLE) AS expected, CAST({case(lambda t: t.other_imaginary or plain(t.imaginary))} AS DOUBLE) AS expected_im,
   {case(lambda t: f"'{t.kind}'")} AS kind, {case(text)} AS body FROM q)
@@ -45,6 +46,6 @@ FROM e, range({g.VARIANTS}) w(v) WHERE abs(expected) <= {g.LIMIT} AND abs(expect
 
 
 QUERIES = {f"family_{n}": partial(family, name=n) for n in g.FAMILIES} | {"generated_problems": generated_problems}
-ORACLES = {f"family_{n}": _sql(n) for n in g.FAMILIES} | {
+ORACLES = {f"family_{n}": sql(n) for n in g.FAMILIES} | {
     "generated_problems": "SELECT s AS slice, 2 * count(*) AS n_problems, 10 * count(*) AS n_cases FROM nation, (VALUES ('geometry'), ('sequences')) t(s) GROUP BY s"
 }

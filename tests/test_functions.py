@@ -86,3 +86,20 @@ def test_evaluate(spark, text_, want):
     df = spark.createDataFrame([(text_, {"x_val": "3"})], "t string, m map<string,string>")
     v = df.select(evaluate(F.col("t"), F.col("m")).alias("v")).first().v
     assert v.status == want[0] and (want[1] is None and v.re is None or math.isclose(v.re, want[1], abs_tol=1e-12) and math.isclose(v.im, want[2]))
+
+
+@pytest.mark.parametrize(
+    ("latex", "want"),
+    [
+        (r"2x^2 + 3x - 1", 13.0), (r"\frac{1}{x}", 0.5), (r"-x^2", -4.0), (r"\sin^{2}(x) + \cos^2 x", 1.0), (r"\sqrt[3]{4x}", 2.0), (r"|1 - x| \cdot 3", 3.0), (r"e^{\ln x}", 2.0), (r"\left(x + 1\right)\left(x - 1\right)", 3.0),
+        (r"\log_{2} 8", 3.0), (r"x!", 2.0), (r"2^{-x}", 0.25), (r"\lfloor \pi \rfloor", 3.0), (r"\operatorname{asinh}(0) + x y", 6.0), (r"\tan^{-1}(0) + \frac12", 0.5), (r"\sin 0 \cos 0 + 3\pi/\pi", 3.0), (r"x(y+1)", 8.0),
+        (r"\int_0^x t dt", None), (r"\frac{1", None), ("", None), (r"\sum_{k=1}^3 k", None), (None, None), ("x +", None),
+    ],
+)
+def test_latex(latex, want):
+    from millrace.functions import expressions, latex as reader
+
+    got = reader.read(latex)
+    assert (got is None) == (want is None)
+    if want is not None:
+        assert abs(expressions.compiled(got)({"x": 2 + 0j, "y": 3 + 0j}) - want) < 1e-9, got

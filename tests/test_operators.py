@@ -154,3 +154,24 @@ def test_ranks_in_two_levels(spark):
     for g in (None, "big"):
         mine = sorted((r for r in rows if r.g == g), key=lambda r: (r["_h"], r.id))
         assert [r["_r"] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_solutions_agree_with_truths(spark):
+    """Each template with a Python solution gives its truth at every point."""
+    keys, seen = spark.range(70).withColumnRenamed("id", "i"), 0
+    for name in generators.FAMILIES:
+        rows = generators.with_solutions(generators.generate(keys, name, "5", include_gated=True), name, "5").where("variant = 0 and case_index < 2 and solution is not null").collect()
+        for r in rows:
+            space: dict = {}
+            exec(r.solution, space)
+            got = space["calculate"](r.x, r.y)
+            assert abs(got - r.expected) <= 1e-9 * max(1, abs(r.expected)), (r.kind, r.solution, r.x, r.y)
+        seen += len({(name, r.kind) for r in rows})
+    assert seen > 180
+
+
+def test_generation_run(spark):
+    rows = generators.problems(generators.with_solutions(generators.generate(spark.range(22).withColumnRenamed("id", "i"), "functions", "2"), "functions", "2"), "solution")
+    frozen = rows.limit(1).select("latex_expression")
+    r = generators.generation_run(rows, frozen).first()
+    assert r.generated == rows.count() and r.contamination_dropped >= 1 and r.rejected == rows.join(frozen, "latex_expression", "left_anti").where("solution is null").count()
