@@ -11,22 +11,33 @@ from millrace.llm.common import stored, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the rows that the chain calls toxic. Null and empty texts are scored as empty ones, and stay unless the model calls those toxic; rows alike share
+    their fate; without labels of both kinds nothing goes. Texts of any length are scored whole.
+    """
     return toxicity.acceptable(docs, table(spark, sf_dir, "labels"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of each group of near duplicates, the row of the least doc_id; of rows that share it, the first by the other columns. Rows without doc_id
+    and texts without words have no links and stay. Texts of any length are compared whole.
+    """
     return jaccard.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the rows whose text holds a benchmark item. Null and empty texts hold none, empty items are held by none; rows alike share their fate."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, up to three times. A null source is one of its own; a row without words stays once where its source is taken
+    whole; rows alike in doc_id, source and size come alike.
+    """
     return mixing.mixed(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with the shard that their doc_id maps to; rows that share one, or have none, share a shard. A column `shard` is replaced."""
     return sharding.shard(docs)
 
 
