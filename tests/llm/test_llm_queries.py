@@ -9,7 +9,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from millrace.llm import lines, media, pii, queries, scoring
+from millrace.llm import lines, media, pii, queries, scoring, toxicity
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("documents", "benchmark", "labels")
@@ -94,6 +94,18 @@ def test_toxicity_on_labels(spark):
     assert sum(p and not y for p, y in labels) <= 0.01 * len(labels)
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """Fitted on two thirds of the labels, judged on the rest."""
+    data = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    chain = toxicity.train(docs, labels.where("doc_id % 3 <> 0"))
+    assert [name for name, _ in chain] == list(toxicity.CHAIN)
+    held = toxicity.score(docs.where("doc_id % 3 = 0"), chain).join(labels, "doc_id").select("p_toxic", "toxic").where("toxic is not null").collect()
+    bad = [r.p_toxic >= toxicity.THRESHOLD for r in held if r.toxic]
+    good = [r.p_toxic >= toxicity.THRESHOLD for r in held if not r.toxic]
+    assert len(bad) > 20 and sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.01 * len(good)
+
+
 def test_pii_by_brute_force(spark):
     """The base kinds by their plain patterns over whole texts."""
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
