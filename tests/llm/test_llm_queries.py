@@ -103,7 +103,7 @@ def test_toxicity_on_held_out_labels(spark):
     held = toxicity.score(docs.where("doc_id % 3 = 0"), chain).join(labels, "doc_id").select("p_toxic", "toxic").where("toxic is not null").collect()
     bad = [r.p_toxic >= toxicity.THRESHOLD for r in held if r.toxic]
     good = [r.p_toxic >= toxicity.THRESHOLD for r in held if not r.toxic]
-    assert len(bad) > 20 and sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.01 * len(good)
+    assert len(bad) > 20 and sum(bad) >= 0.75 * len(bad) and sum(good) <= 0.01 * len(good)
 
 
 def test_pii_by_brute_force(spark):
