@@ -134,7 +134,7 @@ ORACLES = {
         SELECT count(*) AS generated, count(*) FILTER (held) AS contamination_dropped, count(*) FILTER (NOT held AND i % 7 <> 3) AS accepted, count(*) FILTER (NOT held AND i % 7 = 3) AS rejected FROM f""",
     "model_benchmark": "SELECT count(*) AS n_problems, count(*) AS problems_passed, 1.0::DOUBLE AS problem_accuracy FROM supplier",
     "dataset_checks": """SELECT 'complete' AS "check", true AS ok, 0::BIGINT AS n_bad UNION ALL SELECT 'uncontaminated', false, 2 UNION ALL SELECT 'hidden', false, count(*) FROM supplier WHERE CAST(s_suppkey AS VARCHAR) < '2'
-        UNION ALL SELECT 'unique', true, 0 UNION ALL SELECT 'rows', false, count(*) - 24 FROM supplier""",
+        UNION ALL SELECT 'unique', true, 0 UNION ALL SELECT 'rows', count(*) = 24, abs(count(*) - 24) FROM supplier""",
     "oracle_verify": f"""{_VIEW}
         SELECT CAST(k AS VARCHAR) AS task_id, reason IS NULL AS accepted, reason FROM (SELECT k, {_ORACLE_REASON} AS reason FROM q) r""",
     "curated": f"""{_VIEW}
