@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,9 +93,9 @@ def maybe(spark: SparkSession, mask: np.ndarray) -> Callable[[Column], Column]:
     """passes() as a column function, which sends nothing but the numbers to Python."""
     shared = spark.sparkContext.broadcast(mask)
 
-    @F.pandas_udf("boolean")
-    def run(numbers: pd.Series) -> pd.Series:
-        return pd.Series(passes(shared.value, numbers.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def run(numbers: pa.Array) -> pa.Array:
+        return pa.array(passes(shared.value, numbers.to_numpy()))
 
     return run
 
