@@ -12,7 +12,7 @@ import pytest
 from millrace.llm import lines, media, pii, queries, scoring, toxicity
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "labels")
+TABLES = ("documents", "benchmark", "labels", "conversations", "embeddings")
 
 
 def plain(v):
