@@ -18,8 +18,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of near duplicates, the row of the least doc_id; of rows that share it, the first by the other columns. Rows without doc_id
-    and texts without words have no links and stay. Texts of any length are compared whole.
+    """Keeps, of each group of near duplicates, the row of the least doc_id; rows are known by doc_id and text, and of copies in both the first by a hash of
+    the row stays. Rows without doc_id and texts without words have no links and stay. Texts of any length are compared whole.
     """
     return jaccard.one_of_each(docs)
 
@@ -31,7 +31,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, up to three times. A null source is one of its own; a row without words stays once where its source is taken
-    whole; rows alike in doc_id, source and size come alike.
+    whole; repeated and missing doc_ids don't matter.
     """
     return mixing.mixed(docs)
 

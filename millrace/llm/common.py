@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of 64 bits of a filter that spares texts without candidates a second look; a full one only saves less.
-FILTER_WORDS = 1 << 17
+#: Least and most words of 64 bits of a filter that spares texts without candidates a second look; a full one only saves less.
+FILTER_WORDS, MOST_FILTER_WORDS = 1 << 17, 1 << 23
 _own_folder: list[str] = []
 
 
@@ -74,18 +74,24 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def bit_filter(df: DataFrame, number: Column) -> np.ndarray:
-    """A filter of fixed size (1 MiB) that passes() lets df's numbers through, and few others while it isn't full."""
-    place = F.pmod(number, F.lit(FILTER_WORDS * 64))
+def bit_filter(df: DataFrame, number: Column, expected: int = 0) -> np.ndarray:
+    """A filter that passes() lets df's numbers through, and few others while it isn't full.
+
+    It has some 16 bits for each of `expected` numbers, and from 1 to 64 MiB.
+    """
+    words = FILTER_WORDS
+    while words * 4 < expected and words < MOST_FILTER_WORDS:
+        words *= 2
+    place = F.pmod(number, F.lit(words * 64))
     marks = df.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m"))
-    rows = marks.toArrow()  # FILTER_WORDS rows at most
-    mask = np.zeros(FILTER_WORDS, np.int64)
+    rows = marks.toArrow()  # `words` rows at most
+    mask = np.zeros(words, np.int64)
     mask[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
     return mask
 
 
 def passes(mask: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    p = np.mod(numbers.view(np.int64), FILTER_WORDS * 64)
+    p = np.mod(numbers.view(np.int64), len(mask) * 64)
     return (mask[p >> 6] >> (p & 63)) & 1 == 1
 
 

@@ -4,8 +4,9 @@ A mask picks some of nine consecutive words and ignores the others, so that a ha
 ignored one was replaced. MASKS is such that any two copies of WINDOW words that differ in at most two of them agree
 under some mask at some place. A text holds an item when some WINDOW words of it, against WINDOW of the item's, have NEEDED equal ones.
 
-Shorter items must occur as a whole: of 7 to 12 words, one may be replaced (masks: every other word, from the first and from the second); of 5
-or 6, none. Under LEAST words an item is too short to tell from chance within a text, so it must be the whole text.
+One rule for all lengths: of the n words compared, n * (WINDOW - NEEDED) // WINDOW may be replaced, so two of 13, one of 7 to 12, none of fewer. Shorter
+items are compared as wholes (masks for one replaced word: every other word, from the first and from the second). An item under `least` words must
+be the whole text, as within a text so few words don't tell a leak from chance; least = 1 looks for all items anywhere.
 
 Seeds of texts and of items are joined by hash in Spark, each with the words around it (as hashes), on which the overlap is verified. A
 filter of fixed size sifts the texts' seeds first.
@@ -27,8 +28,6 @@ WINDOW, NEEDED, LEAST = 13, 11, 5
 MASKS = ((0, 1, 2, 5, 7, 8), (0, 2, 3, 4, 7, 8))
 SPAN = 9
 LEAD = WINDOW - SPAN
-#: The longest text that may have to equal an item.
-TINY = LEAST - 1
 HIT = "array<struct<item_id:long,word:int,item_word:int,matched:int,compared:int>>"
 U = tk.U
 
@@ -45,16 +44,16 @@ def seeds(h: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
 
 def short_masks(n: int) -> list[tuple[int, ...]]:
     """The masks of an item of n < WINDOW words."""
-    return [tuple(range(n))] if n < 7 else [tuple(range(0, n, 2)), tuple(range(1, n, 2))]
+    return [tuple(range(n))] if not replaced(n) else [tuple(range(0, n, 2)), tuple(range(1, n, 2))]
 
 
 def replaced(n: int) -> int:
     """How many of n compared words may differ."""
-    return WINDOW - NEEDED if n == WINDOW else int(n >= 7)
+    return n * (WINDOW - NEEDED) // WINDOW
 
 
 def sown(w: tk.Words, h: np.ndarray, short: list[int], items: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(words to compare, text, place, seed) for each mask. short: the lengths below WINDOW that items have.
+    """(words to compare, text, place, seed) for each mask. short: the lengths below WINDOW that items have, negative if the item must be the whole text.
 
     Items have short seeds only for their own length; texts for each of those.
     """
@@ -63,11 +62,11 @@ def sown(w: tk.Words, h: np.ndarray, short: list[int], items: bool) -> Iterator[
         s = seeds(h, mask, k)
         at = np.flatnonzero(tk.whole(w.first, len(h), SPAN)[: len(s)] & (n[doc[: len(s)]] >= WINDOW))
         yield WINDOW, doc[at], at - w.first[doc[at]], s[at]
-    for size in short:
+    for size in map(abs, short):
         for k, mask in enumerate(short_masks(size)):
             s = seeds(h, mask, 10 * size + k)[: max(0, len(h) - size + 1)]
             own = n[doc[: len(s)]]
-            at = np.flatnonzero(tk.whole(w.first, len(h), size)[: len(s)] & ((own == size) if items or size < LEAST else (own >= size)))
+            at = np.flatnonzero(tk.whole(w.first, len(h), size)[: len(s)] & ((own == size) if items or -size in short else (own >= size)))
             yield size, doc[at], at - w.first[doc[at]], s[at]
 
 
@@ -130,15 +129,15 @@ def text_hash() -> list[Column]:
     return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
 
 
-def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def found(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """(h1, h2, hits): the texts of docs(text), by hash, that hold an item, and which, with the best place of each."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long"), "text")
     count = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"))
-    short = sorted(r[0] for r in items.select(count.alias("n")).where(f"n between 1 and {WINDOW - 1}").distinct().collect())  # 12 at most
+    short = sorted(r[0] if r[0] >= least else -r[0] for r in items.select(count.alias("n")).where(f"n between 1 and {WINDOW - 1}").distinct().collect())  # 12 at most
     kind = "hash long, size int, place int, words binary"
     seeded = stored(items.mapInArrow(lambda it: _sow(it, short, None, ["item_id"]), f"{kind}, item_id long"), "leak-items")
-    shared = spark.sparkContext.broadcast(bit_filter(seeded, F.col("hash")))
+    shared = spark.sparkContext.broadcast(bit_filter(seeded, F.col("hash"), seeded.count()))
     mine = docs.select("text", *text_hash()).mapInArrow(lambda it: _sow(it, short, shared, ["h1", "h2"]), f"{kind}, h1 long, h2 long")
     both = mine.join(seeded.select("hash", "size", F.col("place").alias("item_place"), F.col("words").alias("item_words"), "item_id"), ["hash", "size"])
     held = both.drop("hash").mapInArrow(_verify, "h1 long, h2 long, item_id long, word int, item_word int, matched int, compared int")
@@ -155,26 +154,27 @@ def _parted(docs: DataFrame, leaky: DataFrame) -> tuple[DataFrame, DataFrame, li
     return docs.where(~may), docs.where(may), names
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, into: str = "leaks") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, into: str = "leaks", least: int = LEAST) -> DataFrame:
     """docs with one more column: the benchmark items found in each text, with the place and the count of equal words.
 
     docs has a column text; benchmark item_id and text. Null and empty texts hold nothing, and null, empty or blank items are held by none;
-    repeated item texts are looked for like any other, under each item_id. All rows of docs stay, repeated ones too. Of places that tie in equal words the
-    first counts. Texts of any length are cut into words in slices of whole texts. A column named like `into` is replaced. Only rows that may hold something are shuffled.
+    repeated item texts are looked for like any other, under each item_id, null ones too; item_id is a whole number. All rows of docs stay, repeated ones too. Of places that tie in equal words the
+    first counts. Texts of any length are cut into words in slices of whole texts. A column named like `into`, in whatever case, is replaced. Only rows that may hold something are shuffled.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != into]
-    leaky = found(docs, benchmark)
+    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() != into.lower()]
+    leaky = found(docs, benchmark, least)
     clean, rest, (h1, h2) = _parted(docs, leaky)
-    hits = leaky.select(F.col("h1").alias("_of1"), F.col("h2").alias("_of2"), F.col("hits").alias("_hits"))
-    rest = rest.select(*columns, h1, h2).join(hits, (F.col(h1) == F.col("_of1")) & (F.col(h2) == F.col("_of2")), "left")
+    of1, of2, held = (free_name(rest, c) for c in ("_of1", "_of2", "_hits"))
+    hits = leaky.select(F.col("h1").alias(of1), F.col("h2").alias(of2), F.col("hits").alias(held))
+    rest = rest.select(*columns, h1, h2).join(hits, (F.col(h1) == F.col(of1)) & (F.col(h2) == F.col(of2)), "left")
     nothing = F.array().cast(HIT)
-    return clean.select(*columns, nothing.alias(into)).union(rest.select(*columns, F.coalesce("_hits", nothing).alias(into)))
+    return clean.select(*columns, nothing.alias(into)).union(rest.select(*columns, F.coalesce(held, nothing).alias(into)))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of docs without a leak, with docs' columns."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    leaky = found(docs, benchmark)
+    leaky = found(docs, benchmark, least)
     kept, rest, (h1, h2) = _parted(docs, leaky)
     hits = leaky.select(F.col("h1").alias(h1), F.col("h2").alias(h2))
     return kept.select(*columns).union(rest.join(hits, [h1, h2], "left_anti").select(*columns))

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens as tk
-from millrace.llm.common import bit_filter, components, discard, free_name, passes, stored, table
+from millrace.llm.common import WORD, bit_filter, components, discard, free_name, passes, stored, table
 
 SHINGLE, PERCENT = 5, 80
 #: A chunk of a tree holds about so many nodes, and so many shingles, at most.
@@ -73,10 +73,10 @@ def bitmap(s: np.ndarray) -> bytes:
 
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, node, digest, bits, counts): a row per row of docs(doc_id, text), and one a task with the counts of hash buckets."""
+    """(doc_id, h, n, node, digest, bits, counts): a row per row of docs(doc_id, h, text), and one a task with the counts of hash buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "node", "digest", "bits", "counts"]
+        names = ["doc_id", "h", "n", "node", "digest", "bits", "counts"]
         total = np.zeros(1 << BUCKET_BITS, np.int32)  # a task reads far fewer than 2**31 shingles
         for batch in batches:
             for b in tk.slices(batch):
@@ -84,10 +84,10 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
                 total += np.bincount((np.concatenate(sets) >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total)).astype(np.int32)
                 sums = [tk.signed(np.array([digest(s, salt) for s in sets], U)) for salt in (1, 2)]
                 bits = pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *sums, bits, pa.nulls(b.num_rows, pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([len(s) for s in sets], pa.int64()), *sums, bits, pa.nulls(b.num_rows, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 5 + [pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, digest long, bits binary, counts binary")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n long, node long, digest long, bits binary, counts binary")
 
 
 def bucket_order(counts: DataFrame) -> np.ndarray:
@@ -471,12 +471,12 @@ def sets_of(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def joined(docs: DataFrame, k: int, percent: int, whole: bool = True, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """rows(doc_id, n, node, ..) of docs, nodes(node, rid, n, bits), links(a, b) between nodes, and counts(node, found) of each node's links.
+    """rows(doc_id, h, n, node, ..) of docs, h a hash of the text, nodes(node, rid, n, bits), links(a, b) between nodes, and counts(node, found) of each node's links.
 
     Links are enough to join components, or all if every; counts are whole if `whole`, else empty.
     """
-    found = stored(profile(docs, k), "jaccard-profile")
-    rows = found.where("n is not null").select("doc_id", "n", "node", "digest", "bits")
+    found = stored(profile(docs.withColumn("h", F.xxhash64("text")), k), "jaccard-profile")
+    rows = found.where("n is not null").select("doc_id", "h", "n", "node", "digest", "bits")
     shared = docs.sparkSession.sparkContext.broadcast(bucket_order(found.where("counts is not null").select("counts")))
     nodes = rows.where("n > 0 and doc_id is not null").groupBy("node", "digest").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = stored(nodes.drop("digest"), "jaccard-nodes")
@@ -535,18 +535,25 @@ def link_pairs(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is their component's, once; texts without words and rows without doc_id stay.
+    """docs without near duplicates: of each group that links join, the row of the least doc_id stays; texts without words and rows without doc_id all stay.
 
+    Rows are known by doc_id and text, so that unlike texts which share a doc_id don't stand for each other; of a group's texts that share the least doc_id the one of
+    the least hash stays, and of rows alike in both the first by a hash of the whole row. doc_id is a whole number. Columns of any type, maps too, come along.
     Only components matter here, so that pairs already in one are left alone.
     """
-    rows, nodes, links, counts = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent, whole=False)
-    found = stored(labelled(rows, nodes, links, counts).where("doc_id is not null and component_id = doc_id").select("doc_id").distinct(), "jaccard-first")
+    rows, nodes, links, _ = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent, whole=False)
+    parts = components(links)
+    own = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    own = own.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+    found = stored(own.select(F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h")), "jaccard-first")
     discard(rows, nodes, links)
-    first = W.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    place = free_name(docs, "_place")
-    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(*columns).union(docs.where("doc_id is null").select(*columns))
+    place, h = free_name(docs, "_place"), free_name(docs, "_h")
+    linkless = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rest = docs.where(~linkless).withColumn(h, F.xxhash64("text")).join(found, (F.col("doc_id").cast("long") == F.col("first_id")) & (F.col(h) == F.col("first_h")), "left_semi")
+    by = W.partitionBy("doc_id", h).orderBy(F.xxhash64(F.to_json(F.struct(*columns))))  # Spark takes the first of each task before it shuffles
+    rest = rest.withColumn(place, F.row_number().over(by)).where(F.col(place) == 1)
+    return rest.select(*columns).union(docs.where(linkless).select(*columns))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

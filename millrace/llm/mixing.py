@@ -83,13 +83,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, block
     holds any of it, null if none does. Null texts have size 0, and a null source is a source of its own. Rows that repeat a
     doc_id are documents of their own. Reruns agree: the order is an MD5's, then by size, and rows alike in both are alike in all.
     """
-    return _mix(docs, weights, repeats, block, seed).drop("source")
+    return _mix(docs, weights, repeats, block, seed).drop("source", "row")
 
 
-def _mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """mix(), and each row's source."""
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(f"({WORD})")), F.lit(0)).cast("long").alias("size"))
-    sized = stored(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+def _mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: str = SEED, row: str | None = None) -> DataFrame:
+    """mix(), and each row's source and number: that of docs' column `row`, or one of its own."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    sized = docs.select("doc_id", "source", number.alias("row"), F.coalesce(F.regexp_count("text", F.lit(f"({WORD})")), F.lit(0)).cast("long").alias("size"))
+    sized = stored(sized, "mix-sizes")
     goal = targets(sized, weights, repeats).withColumn("words", F.round("target").cast("long"))
     goal = goal.withColumn("sid", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
     goal = stored(goal.coalesce(1), "mix-targets")
@@ -113,7 +114,7 @@ def _mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, bloc
     done = pieces.groupBy("doc_id", "row").agg(
         F.first("source").alias("source"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
         F.coalesce(F.sum(part), F.lit(0)).alias("taken"), F.min("slot").alias("first_slot"),
-    ).drop("row")
+    )
     done = stored(done, "mix-done")
     discard(sized, goal)
     return done
@@ -122,16 +123,14 @@ def _mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, bloc
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix's rows, with docs' columns: each row of docs once for every time round that takes a word of it, first or last.
 
-    The document in which a source's target ends is kept whole. Rows alike in doc_id, source and size come alike. A row without
-    words comes once if its source's target takes in the whole source; of a source that is cut, such rows go.
+    The document in which a source's target ends is kept whole. Rows are numbered once, in a stored copy of docs, and known by that number: repeated and missing
+    doc_ids don't matter. A row without words comes once if its source's target takes in the whole source; of a source that is cut, such rows go.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(f"({WORD})")), F.lit(0)).cast("long")
-    taken = _mix(docs.select("doc_id", "source", "text"), **how).where("taken > 0 or size = 0 and round(target) >= source_size")
-    key, origin, words, times, time = (free_name(docs, c) for c in ("_key", "_origin", "_words", "_times", "_time"))
-    rounds = F.max(F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size")))).cast("int")
-    often = taken.groupBy(F.col("doc_id").alias(key), F.col("source").alias(origin), F.col("size").alias(words)).agg(rounds.alias(times))
-    rows = docs.join(often, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(origin)) & (size == F.col(words)))
-    rows = rows.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times))))
+    row, of, times, time = (free_name(docs, c) for c in ("_row", "_of", "_times", "_time"))
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    taken = _mix(numbered.select("doc_id", "source", "text", row), row=row, **how).where("taken > 0 or size = 0 and round(target) >= source_size")
+    often = taken.select(F.col("row").alias(of), F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(times))
+    rows = numbered.join(often, F.col(row) == F.col(of)).withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

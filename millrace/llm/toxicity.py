@@ -190,10 +190,11 @@ def _score(chain: list[tuple[str, Linear]], kept: list[str], new: list[str]) ->
 def score(docs: DataFrame, chain: list[tuple[str, Linear]], prefix: str = "p_") -> DataFrame:
     """docs with <prefix><category> for each category of CHAIN; 0 for those that couldn't be learned (no labels of both kinds).
 
-    A null text is scored as an empty one. All rows stay, and columns named like the new ones are replaced.
+    A null text is scored as an empty one, texts of any length whole; rows alike in text score alike. All rows stay, and columns named like the new ones, in
+    whatever case, are replaced.
     """
     new = [f"{prefix}{k}" for k in CHAIN]
-    kept = [c for c in docs.columns if c not in new]
+    kept = [c for c in docs.columns if c.lower() not in new]
     df = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in new]])
     return df.mapInArrow(_score(chain, kept, new), schema)

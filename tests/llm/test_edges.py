@@ -49,6 +49,36 @@ def test_empty_table(docs, name):
     assert OPERATORS[name](docs.limit(0)).count() == 0
 
 
+def test_clashing_columns_of_leaks_and_scores(spark, docs):
+    """Columns that stand in the way of the operators' own come along; those named like a result are replaced, whatever their case."""
+    names = ("_of1", "_OF2", "_hits", "_h1", "_h2", "hits", "item_id")
+    bench = docs.selectExpr("doc_id item_id", "text")
+    odd = docs.withColumns({c: F.lit("z") for c in (*names, "LEAKS")})
+    got = decontamination.leaks(odd, bench)
+    assert got.columns == [c for c in odd.columns if c != "LEAKS"] + ["leaks"] and all(r[c] == "z" for r in got.collect() for c in names)
+    assert same(got.select("doc_id", "leaks")) == same(decontamination.leaks(docs, bench).select("doc_id", "leaks"))
+    labels = spark.createDataFrame([(1, 1, 0), (9, 0, 1), (2, 1, 0), (10, 0, 1)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    scored = toxicity.score(docs.withColumns({"P_toxic": F.lit("z"), "words": F.lit("z")}), chain)
+    assert scored.columns == ["doc_id", "text", "source", "words", "p_low_quality", "p_toxic"]
+    assert same(scored.drop("words")) == same(toxicity.score(docs, chain)) and toxicity.score(docs.limit(0), chain).count() == 0
+
+
+def test_stages_know_rows_by_more_than_their_id(spark):
+    """Missing and repeated ids, unlike texts under one id, a map column."""
+    rng = np.random.default_rng(2)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, rng.integers(8, 20)))
+    rows = [(None if i % 2 else i % 50, text(), f"s{i % 2}", {"k": str(i)}) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, meta map<string,string>").repartition(4)
+    want = {r.source: r.words for r in mixing._mix(df.drop("meta"), block=16).groupBy("source").agg(F.sum("taken").alias("words")).collect()}
+    got = Counter()
+    for r in mixing.mixed(df, block=16).collect():
+        got[r.source] += len(r.text.split())
+    assert all(abs(got[s] - want[s]) <= 40 for s in want)
+    one = jaccard.one_of_each(df.union(df.where("doc_id < 9")))  # 9 and fewer come twice
+    assert one.columns == df.columns and Counter((r.doc_id, r.text) for r in one.collect()) == Counter(r[:2] for r in rows)
+
+
 @pytest.mark.parametrize("name", sorted(ROW_FOR_ROW - {"shard", "leaks"}))
 def test_other_columns_do_not_matter(docs, name):
     odd = docs.withColumns({c: F.lit("z") for c in ("size", "node", "key", "n", "row", "f", "block", "id", "component", "label", "words", "kept", "_n")})
@@ -83,7 +113,7 @@ def test_near_duplicate_links(spark, docs):
     assert got[1, 3] == got[2, 3] == got[8, 3] == 1 and got[3, 0] == 3 and got[4, 0] == 4 and got[None, 3] is None
     assert got[7, 2] == 6  # the rows of id 7 are one document
     kept = jaccard.one_of_each(docs).collect()
-    assert Counter(r.doc_id for r in kept) == Counter([1, 3, 4, 5, 6, 9, 11, None, None])  # 9 and 10 share 36 of 40 shingles
+    assert Counter(r.doc_id for r in kept) == Counter([1, 3, 4, 5, 6, 7, 9, 11, None, None])  # 9 and 10 share 36 of 40 shingles; 7 has a text of its own besides
 
 
 def random_sets(seed, n, groups):
@@ -335,11 +365,20 @@ def test_substituted_leaks(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(item)), (2, "one two three four five six"), (3, "yes no"), (4, " ".join(item)), (5, "a1 a2 a3 a4 a5 a6 a7"), (6, " ".join(["ha"] * 30)), (7, None), (8, " "), (None, "x")], "item_id long, text string")
     found = {r.doc_id: r.leaks for r in decontamination.leaks(docs, bench).collect()}
-    assert {k: sorted(x.item_id for x in v) for k, v in found.items()} == {0: [1, 4], 1: [1, 4], 2: [], 3: [], 4: [1, 4], 5: [2], 6: [], 7: [3], 8: [], 9: [5], 10: [], 11: [6], 12: [], 13: []}
+    assert {k: sorted(x.item_id for x in v) for k, v in found.items()} == {0: [1, 4], 1: [1, 4], 2: [], 3: [], 4: [1, 4], 5: [2], 6: [], 7: [3], 8: [], 9: [5], 10: [], 11: [6], 12: [], 13: []}  # the item without id is no whole text here
     assert [(x.word, x.item_word, x.matched, x.compared) for x in found[0]] == [(1, 0, 13, 13)] * 2 and [(x.word, x.item_word, x.matched, x.compared) for x in found[9]] == [(1, 0, 6, 7)]
     assert {r.doc_id for r in decontamination.clean(docs, bench).collect()} == {2, 3, 6, 8, 10, 12, 13}
 
 
+@pytest.mark.parametrize("least", [1, 5])
+def test_short_items_and_items_without_id(spark, least):
+    """least = 1 finds an item of two words anywhere; a null item_id counts like any other."""
+    docs = spark.createDataFrame([(1, "well yes no maybe"), (2, "YES no"), (3, "no yes"), (4, "x a b c d e f y"), (5, "a b c d f e")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "yes no"), (7, "a b c d e f")], "item_id long, text string")
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in decontamination.leaks(docs, bench, least=least).collect()}
+    assert got == {1: [None] if least == 1 else [], 2: [None], 3: [], 4: [7], 5: []}
+
+
 def test_leaks_by_brute_force(spark):
     """Both sides: every text that holds an item is found, with each item, and no other."""
     rng = np.random.default_rng(11)
