@@ -19,7 +19,7 @@ NAMES = {
     "arcsin": "asin", "arccos": "acos", "arctan": "atan", "asin": "asin", "acos": "acos", "atan": "atan", "asinh": "asinh", "acosh": "acosh", "atanh": "atanh", "exp": "exp", "ln": "log", "log": "log",
 }
 _TOKEN = re.compile(r"\\[A-Za-z]+|\\.|[0-9]+(?:\.[0-9]*)?|\.[0-9]+|[A-Za-z]|\S")
-_SKIP = {r"\left", r"\right", r"\,", r"\;", r"\!", r"\:", r"\quad"}
+_SKIP = {r"\left", r"\right", r"\displaystyle", r"\textstyle", r"\,", r"\;", r"\!", r"\:", r"\quad"}
 
 
 class _Reader:

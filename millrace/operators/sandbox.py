@@ -55,7 +55,8 @@ def safety_error(code: str | None) -> str | None:
     return None
 
 
-#: The child serves one request a line, each in a fork of its own, so that imports are paid for once.
+#: The child serves one request a line, a program with some inputs, in a fork of its own, so that imports are paid for once. Each input is run in a fresh
+#: namespace with a time limit of its own; what kills the fork ends the request there, and the rest is asked for again.
 _CHILD = r"""
 import inspect, json, os, resource, signal, sys
 def number(v):
@@ -90,58 +91,97 @@ def bound(f, given):
 import math, cmath
 try: import numpy
 except ImportError: pass
+def limits(job):
+    s = max(1, int(job['timeout_s'] * len(job['inputs']) + 1))
+    for what, most in ((resource.RLIMIT_CPU, s), (resource.RLIMIT_FSIZE, 1 << 20), (resource.RLIMIT_NOFILE, 64)): resource.setrlimit(what, (most, most))
+    used = int(open('/proc/self/statm').read().split()[0]) * 4096
+    resource.setrlimit(resource.RLIMIT_AS, (used + (job['memory_mb'] << 20),) * 2)
+    signal.signal(signal.SIGALRM, signal.SIG_DFL)
+    null = os.open(os.devnull, os.O_RDWR)
+    for k in (0, 1, 2): os.dup2(null, k)
+def one(code, given, most):
+    try:
+        space = {'__name__': '__main__'}
+        exec(code if not isinstance(code, str) else compile(code, '<code>', 'exec'), space)
+        f = entry(space)
+        said = number(f(**bound(f, given)))
+        if len(said.encode()) > most: raise OverflowError(f'the output is longer than {most} bytes')
+        return {'exit_code': 0, 'stdout': said, 'stderr': ''}
+    except BaseException as e:
+        return {'exit_code': 1, 'stdout': '', 'stderr': f'{type(e).__name__}: {e}'[:500]}
 for line in sys.stdin:
     job = json.loads(line)
     r, w = os.pipe()
     pid = os.fork()
     if not pid:
         os.close(r)
-        mb = job['memory_mb'] << 20
-        s = max(1, int(job['timeout_s'] + 1))
-        for what, most in ((resource.RLIMIT_CPU, s), (resource.RLIMIT_FSIZE, 1 << 20), (resource.RLIMIT_NOFILE, 64)): resource.setrlimit(what, (most, most))
-        used = int(open('/proc/self/statm').read().split()[0]) * 4096
-        resource.setrlimit(resource.RLIMIT_AS, (used + mb, used + mb))
-        signal.signal(signal.SIGALRM, signal.SIG_DFL); signal.setitimer(signal.ITIMER_REAL, job['timeout_s'])
-        null = os.open(os.devnull, os.O_RDWR); os.dup2(null, 0); os.dup2(null, 1); os.dup2(null, 2)
+        limits(job)
+        code = job['code']
+        try: code = compile(code, '<code>', 'exec')
+        except BaseException: pass
         try:
-            space = {'__name__': '__main__'}
-            exec(compile(job['code'], '<code>', 'exec'), space)
-            f = entry(space)
-            out = {'exit_code': 0, 'stdout': number(f(**bound(f, job['inputs']))), 'stderr': ''}
-        except BaseException as e:
-            out = {'exit_code': 1, 'stdout': '', 'stderr': f'{type(e).__name__}: {e}'[:500]}
-        try: os.write(w, json.dumps(out).encode()[:60000])
+            with os.fdopen(w, 'wb') as out:
+                for given in job['inputs']:
+                    signal.setitimer(signal.ITIMER_REAL, job['timeout_s'])
+                    got = one(code, given, job['output_bytes'])
+                    signal.setitimer(signal.ITIMER_REAL, 0)
+                    out.write(json.dumps(got).encode() + b'\n'); out.flush()
         finally: os._exit(0)
     os.close(w)
-    with os.fdopen(r, 'rb') as f: got = f.read()
+    with os.fdopen(r, 'rb') as f:
+        for got in f:
+            if got.endswith(b'\n'): sys.stdout.write(got.decode()); sys.stdout.flush()
     _, status = os.waitpid(pid, 0)
     late = os.WIFSIGNALED(status) and os.WTERMSIG(status) in (signal.SIGALRM, signal.SIGXCPU)
-    print(got.decode() if got and not late else json.dumps({'exit_code': 1, 'stdout': '', 'stderr': 'killed', 'timed_out': late}), flush=True)
+    print(json.dumps({'end': True, 'timed_out': late}), flush=True)
 """
 
 
+#: A longer output is an error of the run, and named as such.
+OUTPUT_BYTES = 1 << 20
+#: Inputs of one program that share a fork.
+TOGETHER = 64
+
+
 class Child:
-    """A child process that runs code; replaced when it dies or falls silent."""
+    """A child process that runs programs; replaced when it dies or falls silent."""
 
     def __init__(self):
         self.process = None
 
-    def run(self, code: str, inputs: dict, timeout_s: float, memory_mb: int) -> dict:
-        for _ in range(2):
-            if self.process is None or self.process.poll() is not None:
-                env = {"PATH": os.environ.get("PATH", ""), "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "PYTHONPATH": ""}
-                self.process = subprocess.Popen([sys.executable, "-c", _CHILD], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=env, start_new_session=True)
-            try:
-                self.process.stdin.write(json.dumps({"code": code, "inputs": inputs, "timeout_s": timeout_s, "memory_mb": memory_mb}).encode() + b"\n")
-                self.process.stdin.flush()
-                with selectors.DefaultSelector() as s:
-                    s.register(self.process.stdout, selectors.EVENT_READ)
-                    if s.select(timeout_s + 20) and (line := self.process.stdout.readline()):
-                        return json.loads(line)
-            except (OSError, ValueError):
-                pass
-            self.close()
-        return {"exit_code": 1, "stdout": "", "stderr": "the sandbox died", "timed_out": True}
+    def run(self, code: str, inputs: list[dict], timeout_s: float, memory_mb: int) -> list[dict]:
+        """One result for each input."""
+        done: list[dict] = []
+        idle = 0  # requests in a row that gave nothing
+        while len(done) < len(inputs):
+            got, end = self._ask(code, inputs[len(done) :], timeout_s, memory_mb)
+            done += got
+            idle = 0 if got or end else idle + 1
+            if len(done) < len(inputs) and (end or idle == 2):  # the next one killed the fork, or the child twice
+                done.append({"exit_code": 1, "stdout": "", "stderr": "killed" if end else "the sandbox died", "timed_out": end["timed_out"] if end else True})
+                idle = 0
+        return done
+
+    def _ask(self, code: str, inputs: list[dict], timeout_s: float, memory_mb: int) -> tuple[list[dict], dict | None]:
+        """The results until the fork ended, and how it ended; None if the child itself fell silent."""
+        if self.process is None or self.process.poll() is not None:
+            env = {"PATH": os.environ.get("PATH", ""), "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "PYTHONPATH": ""}
+            self.process = subprocess.Popen([sys.executable, "-c", _CHILD], bufsize=0, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=env, start_new_session=True)
+        got, held = [], b""
+        try:
+            request = {"code": code, "inputs": inputs, "timeout_s": timeout_s, "memory_mb": memory_mb, "output_bytes": OUTPUT_BYTES}
+            self.process.stdin.write(json.dumps(request).encode() + b"\n")
+            with selectors.DefaultSelector() as s:
+                s.register(self.process.stdout, selectors.EVENT_READ)
+                while s.select(timeout_s + 20) and (more := os.read(self.process.stdout.fileno(), 1 << 16)):
+                    *lines, held = (held + more).split(b"\n")
+                    got += map(json.loads, lines)
+                    if got and "end" in got[-1]:
+                        return got[:-1], got[-1]
+        except (OSError, ValueError):
+            pass
+        self.close()
+        return got, None
 
     def close(self) -> None:
         if self.process is not None:
@@ -159,7 +199,8 @@ RESULT = "exit_code int, stdout string, stderr string, timed_out boolean, safety
 def execute(cases: DataFrame, timeout_s: float = 2.0, memory_mb: int = 512) -> DataFrame:
     """cases(.., code, input map<string,string>) with `run`, a struct of exit code, output, error, time-out and safety error.
 
-    Only key columns, code and input go through Python. A source is checked once for each batch's distinct texts.
+    Only key columns, code and input go through Python. A source is checked once for each batch's distinct texts, and its inputs of a batch run in
+    a few forks. An output of more than OUTPUT_BYTES fails.
     """
     rest = [c for c in cases.columns if c not in ("code", "input")]
     schema = cases.select(*rest, "code", "input").schema
@@ -168,14 +209,17 @@ def execute(cases: DataFrame, timeout_s: float = 2.0, memory_mb: int = 512) -> D
         child = Child()
         try:
             for df in frames:
-                unsafe = {c: safety_error(c) for c in df["code"].unique()}
-                out = []
-                for code, inputs in zip(df["code"], df["input"], strict=True):
-                    if bad := unsafe[code]:
-                        out.append((1, "", "", False, bad))
+                out: list[tuple] = [()] * len(df)
+                inputs, of_code = df["input"].tolist(), df.groupby(df["code"].fillna(""), sort=False).indices
+                for code, rows in of_code.items():
+                    if bad := safety_error(code):
+                        for i in rows:
+                            out[i] = (1, "", "", False, bad)
                         continue
-                    got = child.run(code, dict(inputs or {}), timeout_s, memory_mb)
-                    out.append((got["exit_code"], got["stdout"], got["stderr"], bool(got.get("timed_out")), None))
+                    for k in range(0, len(rows), TOGETHER):
+                        some = rows[k : k + TOGETHER]
+                        for i, got in zip(some, child.run(code, [dict(inputs[i] or {}) for i in some], timeout_s, memory_mb), strict=True):
+                            out[i] = (got["exit_code"], got["stdout"], got["stderr"], bool(got.get("timed_out")), None)
                 names = ["exit_code", "stdout", "stderr", "timed_out", "safety_error"]
                 # Maps come from Arrow as lists of pairs or dicts; they go back as they came.
                 yield pd.concat([df.reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,20 @@ def _column(df: DataFrame, name: str) -> Column:
     return F.coalesce(name, F.lit("")) if name in df.columns else F.lit("")
 
 
+def _once(rows: DataFrame, columns: tuple[str, ...], judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with the columns that judge() finds for them. judge() gets each distinct content of `columns` once, under a task_id of its own.
+
+    So rows that share a task_id are judged one by one, and copies are run once. The id is a hash of the content, which stays the same when a task is run again.
+    """
+    columns = tuple(c for c in columns if c in rows.columns)
+    keyed = rows.withColumn("_content", F.sha2(F.to_json(F.struct(*columns)), 256))
+    judged = judge(keyed.select(F.col("_content").alias("task_id"), *[c for c in columns if c != "task_id"]).dropDuplicates(["task_id"]))
+    return keyed.join(judged.withColumnRenamed("task_id", "_judged"), F.col("_content") == F.col("_judged")).drop("_content", "_judged")
+
+
+CONTENT = ("task_id", "code", "solution", "truth_code", "sympy_exp", "test_cases")
+
+
 def numeric_check(problems: DataFrame, n: int = POINTS, seed: str = "0", **limits) -> DataFrame:
     """(task_id, numeric_ok, n_defined, why): code against the truth at n jittered points.
 
@@ -65,7 +81,12 @@ def numeric_check(problems: DataFrame, n: int = POINTS, seed: str = "0", **limit
 
 
 def oracle_verify(problems: DataFrame, **how) -> DataFrame:
-    """(task_id, accepted, reason): source check, then numeric check of those that pass it."""
+    """(task_id, accepted, reason), a row per row: source check, then numeric check of those that pass it. Rows may share a task_id."""
+    return _once(problems, CONTENT, lambda p: _oracle_verify(p, **how)).select("task_id", "accepted", "reason")
+
+
+def _oracle_verify(problems: DataFrame, **how) -> DataFrame:
+    """oracle_verify() of rows whose task_ids differ."""
     checked = problems.withColumn("_bad", F.when(F.trim(F.coalesce("code", F.lit(""))) == "", "empty solution").when(~F.contains("code", F.lit("def ")), "no function").otherwise(sandbox.safety("code")))
     good = numeric_check(checked.where("_bad is null").drop("_bad"), **how)
     out = checked.select("task_id", "_bad").join(good, "task_id", "left")
@@ -75,8 +96,7 @@ def oracle_verify(problems: DataFrame, **how) -> DataFrame:
 
 def verify_generated(problems: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) rows of generated problems(task_id, solution, ..); rejected ones with their reason."""
-    verdicts = oracle_verify(problems.withColumn("code", F.col("solution")), **how)
-    both = problems.join(verdicts, "task_id")
+    both = _once(problems.withColumn("code", F.col("solution")), CONTENT, lambda p: _oracle_verify(p, **how)).select(*problems.columns, "accepted", "reason")
     return both.where("accepted").drop("accepted", "reason"), both.where("not accepted").drop("accepted")
 
 
@@ -87,15 +107,21 @@ def gold_check(problems: DataFrame, least: float = 0.99, **limits) -> DataFrame:
     return one.withColumn("problem_accuracy", F.when(F.col("problem_accuracy") < least, F.raise_error(F.concat(F.lit("gold accuracy "), F.col("problem_accuracy").cast("string")))).otherwise(F.col("problem_accuracy")))
 
 
-def curate(rows: DataFrame, **how) -> DataFrame:
+def curate(rows: DataFrame, content: tuple[str, ...] = CONTENT[:1] + CONTENT[2:], **how) -> DataFrame:
     """rows(task_id, solution, truth_code, sympy_exp, test_cases) with accepted and reason, by the first branch that applies:
 
     no solution; checked against a truth, code or expression; compiled only, as there are no cases; run on all cases; all given outputs match.
+    Rows may share a task_id. Rows alike in `content` are run once.
     """
+    return _once(rows, content, lambda r: _curate(r, **how))
+
+
+def _curate(rows: DataFrame, **how) -> DataFrame:
+    """(task_id, accepted, reason) of rows whose task_ids differ."""
     base = rows.withColumn("code", F.coalesce("solution", F.lit("")))
     blank = F.trim("code") == ""
     true = (F.trim(_column(rows, "truth_code")) != "") | (F.trim(_column(rows, "sympy_exp")) != "")
-    truth = oracle_verify(base.where(~blank & true), **how)
+    truth = _oracle_verify(base.where(~blank & true), **how)
     rest = base.where(~blank & ~true)
     bare = rest.where(F.size("test_cases") <= 0).withColumn("reason", sandbox.safety("code")).select("task_id", F.col("reason").isNull().alias("accepted"), "reason")
     ran = sandbox.run_solutions(rest.where(F.size("test_cases") > 0))
@@ -104,7 +130,7 @@ def curate(rows: DataFrame, **how) -> DataFrame:
     cases = cases.select("task_id", (F.col("e").isNull() & ~F.col("w")).alias("accepted"), F.when(F.col("e").isNotNull(), F.col("e")).when(F.col("w"), "mismatch with a case").alias("reason"))
     empty = base.where(blank).select("task_id", F.lit(False).alias("accepted"), F.lit("empty solution").alias("reason"))
     verdicts = empty.union(truth).union(bare).union(cases)
-    return rows.join(verdicts.select("task_id", "accepted", F.left("reason", F.lit(200)).alias("reason")), "task_id")
+    return verdicts.select("task_id", "accepted", F.left("reason", F.lit(200)).alias("reason"))
 
 
 def combine_reports(partial: DataFrame, full: DataFrame, key: str = "task_id") -> DataFrame:
@@ -121,12 +147,22 @@ TRACE = r"(?i)traceback|error:|exception"
 
 
 def rewards(trajectories: DataFrame, problems: DataFrame, **limits) -> DataFrame:
-    """(task_id, tool, meta, execution, terminal, complexity, total) of trajectories(task_id, trajectory).
+    """(task_id, tool, meta, execution, terminal, complexity, total), a row per row of trajectories(task_id, trajectory).
 
-    problems(task_id, solution, sympy_exp, test_cases). Each executed block runs on all cases; the last one's outputs are
+    A task may have any number of trajectories, each judged by itself. problems(task_id, solution, sympy_exp, test_cases), a row a task. Each executed block runs on all cases; the last one's outputs are
     judged. Without a block, only the final answer can earn the terminal reward. Unknown tasks get 0 throughout.
     """
-    t = trajectories.join(problems.withColumn("_known", F.lit(True)), "task_id", "left").withColumn("blocks", execute_blocks(F.col("trajectory")))
+    done = _once(trajectories.select(F.col("task_id").alias("_task"), "trajectory"), ("_task", "trajectory"), lambda t: _rewards(t, problems, **limits))
+    return done.select(F.col("_task").alias("task_id"), *PARTS, "total")
+
+
+PARTS = ("tool", "meta", "execution", "terminal", "complexity")
+
+
+def _rewards(trajectories: DataFrame, problems: DataFrame, **limits) -> DataFrame:
+    """Rewards of trajectories(task_id, _task, trajectory), task_id being the trajectory's own."""
+    problems = problems.select(F.col("task_id").alias("_task"), "solution", "sympy_exp", "test_cases")
+    t = trajectories.join(problems.withColumn("_known", F.lit(True)), "_task", "left").withColumn("blocks", execute_blocks(F.col("trajectory")))
     runs = t.where("_known and size(blocks) > 0").select("task_id", F.posexplode("blocks").alias("block", "code"), "test_cases")
     cases = runs.select("task_id", "block", "code", F.posexplode("test_cases").alias("case_index", "c"))
     done = sandbox.execute(cases.select("task_id", "block", "case_index", F.col("c.output").alias("expected"), "code", F.col("c.input").alias("input")), **limits)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import contamination, generators, models, publishing, sandbox, scoring, verify
 from millrace.plans import generation
 from millrace.plans.tables import table
+from millrace.sources import shared
 
 GOOD = "def calculate(x_val, y=1.0):\n    return x_val ** 2 + y\n"
 BAD = "def calculate(x_val, y=1.0):\n    return x_val ** 2 - y\n"
@@ -44,13 +45,15 @@ def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One block; two blocks, of which the last counts; a final answer only; a longer block under a trace."""
+    """Up to three trajectories a task, good and bad ones side by side: one block; two blocks, of which the last counts; a final answer only; a longer block under a trace."""
     p, k = _problems(spark, sf_dir).withColumn("solution", F.lit(GOOD)), F.col("k")
     block = lambda c: F.concat(F.lit("try <execute>\n"), c, F.lit("</execute>"))
     answer = F.concat(F.lit("so <final_answer>"), (k * k + (k % 8 == 2).cast("int")).cast("string"), F.lit("</final_answer>"))
     said = F.when(k % 4 == 0, block(F.col("code"))).when(k % 4 == 1, F.concat(block(F.lit(BAD)), block(F.col("code")))).when(k % 4 == 2, answer)
     t = p.select(F.when(k % 23 == 9, "nobody").otherwise(F.col("task_id")).alias("task_id"), said.alias("trajectory"), "code")
-    return verify.rewards(t.select("task_id", F.coalesce("trajectory", F.concat(F.lit("Traceback: "), block(F.lit(LONG)))).alias("trajectory")), p.drop("code", "k"))
+    t = t.select("task_id", F.coalesce("trajectory", F.concat(F.lit("Traceback: "), block(F.lit(LONG)))).alias("trajectory"))
+    more = [p.where(k % m == 0).select("task_id", block(F.lit(c)).alias("trajectory")) for m, c in ((1, GOOD), (2, BAD))]
+    return verify.rewards(t.union(more[0]).union(more[1]), p.drop("code", "k"))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,19 +88,23 @@ def latex_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.summary(scoring.per_problem(models.latex_baseline(rows))).select("n_problems", "problems_passed", "cases_passed")
 
 
-GUARDED = "geometry"
+GUARDED = tuple(n for n, f in generators.FAMILIES.items() if not f.gated)
 
 
 def generate_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated problems, held-out ones dropped, the rest's solutions run on their cases; the report."""
-    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"))
-    made = generators.with_solutions(generators.generate(keys, GUARDED, "11"), GUARDED, "11")
-    rows = generators.problems(made, "solution")
-    # Every seventh solution is spoilt, and every fifth problem's text is held out.
+    """Problems of all families that aren't gated; held-out ones dropped, the rest's solutions run on their cases: how each family's rows end."""
+    keys, rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i")), None
+    for name in GUARDED:
+        made = generators.problems(generators.with_solutions(generators.generate(keys, name, generation.SEED), name, generation.SEED), "solution").withColumn("family", F.lit(name))
+        rows = made if rows is None else rows.union(made)
+    rows = shared.stored(rows, "generated")
+    # Every seventh solution is spoilt, and every fifth problem's texts are held out.
     number = F.regexp_extract("task_id", "_([0-9]+):", 1).cast("int")
-    rows = rows.withColumn("solution", F.when(number % 7 == 3, F.replace("solution", F.lit("return "), F.lit("return 1 + "))).otherwise(F.col("solution")))
-    frozen = rows.where(number % 5 == 0).select(F.col("latex_expression"))
-    return generators.generation_run(rows, contamination.frozen_keys([frozen], "latex_expression"))
+    rows = rows.withColumn("solution", F.when(number % 7 == 3, F.replace("solution", F.lit("return "), F.lit("return 'no' or "))).otherwise(F.col("solution")))
+    frozen = contamination.frozen_keys([rows.where(number % 5 == 0)], "latex_expression")
+    accepted, rejected = generators.generation_run(rows, frozen)
+    ends = accepted.select("family", F.lit("accepted").alias("outcome")).union(rejected.select("family", "reason"))
+    return ends.groupBy("family", "outcome").agg(F.count("*").alias("n"))
 
 
 def _gold():
@@ -128,10 +135,9 @@ ORACLES = {
         2::BIGINT AS n_cases, CASE WHEN p_partkey % 11 > 3 THEN 2 ELSE 0 END::BIGINT AS n_passed FROM part""",
     "trivial_floor": "SELECT count(*) AS n_problems, count(*) FILTER (p_partkey % 3 = 0) AS problems_passed, 2 * count(*) FILTER (p_partkey % 3 = 0) AS cases_passed FROM part",
     "latex_baseline": "SELECT count(*) AS n_problems, count(*) FILTER (p_partkey % 7 IN (0, 1, 4, 5)) AS problems_passed, 2 * count(*) FILTER (p_partkey % 7 IN (0, 1, 4, 5)) AS cases_passed FROM part",
-    "generate_verified": f"""WITH c AS ({generation.sql(GUARDED, "supplier", "s_suppkey")}),
-        r AS (SELECT task_id, any_value(latex) AS latex, CAST(regexp_extract(task_id, '_([0-9]+):', 1) AS INT) AS i FROM c GROUP BY task_id),
-        f AS (SELECT *, latex IN (SELECT latex FROM r WHERE i % 5 = 0) AS held FROM r)
-        SELECT count(*) AS generated, count(*) FILTER (held) AS contamination_dropped, count(*) FILTER (NOT held AND i % 7 <> 3) AS accepted, count(*) FILTER (NOT held AND i % 7 = 3) AS rejected FROM f""",
+    "generate_verified": f"""WITH r AS ({generation._each(GUARDED, lambda n: f"SELECT '{n}' AS family, i, latex FROM texts WHERE i IN (SELECT i FROM cases)")}),
+        held AS (SELECT DISTINCT latex FROM r WHERE i % 5 = 0)
+        SELECT family, CASE WHEN latex IN (SELECT latex FROM held) THEN 'contaminated' WHEN i % 7 = 3 THEN 'mismatch with a case' ELSE 'accepted' END AS outcome, count(*) AS n FROM r GROUP BY ALL""",
     "model_benchmark": "SELECT count(*) AS n_problems, count(*) AS problems_passed, 1.0::DOUBLE AS problem_accuracy FROM supplier",
     "dataset_checks": """SELECT 'complete' AS "check", true AS ok, 0::BIGINT AS n_bad UNION ALL SELECT 'uncontaminated', false, 2 UNION ALL SELECT 'hidden', false, count(*) FROM supplier WHERE CAST(s_suppkey AS VARCHAR) < '2'
         UNION ALL SELECT 'unique', true, 0 UNION ALL SELECT 'rows', count(*) = 24, abs(count(*) - 24) FROM supplier""",
@@ -141,8 +147,9 @@ ORACLES = {
         SELECT CAST(k AS VARCHAR) AS task_id, reason IS NULL AS accepted, reason FROM (SELECT k, CASE WHEN NOT bare THEN {_ORACLE_REASON}
           ELSE CASE code WHEN 'empty' THEN 'empty solution' WHEN 'unsafe' THEN 'error: import of os' WHEN 'fails' THEN 'error: ZeroDivisionError: division by zero' WHEN 'bad' THEN 'mismatch with a case' END END AS reason FROM q) r""",
     "rewards": f"""{_VIEW},
-        r AS (SELECT CASE WHEN k % 23 = 9 THEN 'nobody' ELSE CAST(k AS VARCHAR) END AS task_id, k % 23 <> 9 AS known, k % 4 AS kind, k, code, code IN ('good', 'bad') AS ran,
-          k % 4 <> 2 AND (k % 4 <> 0 OR code <> 'empty') OR k % 4 = 1 AS used, NOT (k % 13 = 5 OR k % 13 NOT IN (6, 8) AND k % 3 = 0) AS has_exp FROM q),
+        t AS (SELECT k, code, CAST(k % 4 AS INT) AS kind, k % 23 <> 9 AS known FROM q UNION ALL SELECT k, 'good', 0, true FROM q UNION ALL SELECT k, 'bad', 0, true FROM q WHERE k % 2 = 0),
+        r AS (SELECT CASE WHEN known THEN CAST(k AS VARCHAR) ELSE 'nobody' END AS task_id, known, kind, k, code, code IN ('good', 'bad') AS ran,
+          NOT (k % 13 = 5 OR k % 13 NOT IN (6, 8) AND k % 3 = 0) AS has_exp FROM t),
         s AS (SELECT *, CASE WHEN NOT known THEN 0.0 WHEN kind = 2 THEN 0.0 WHEN kind = 3 THEN 1.0 WHEN kind = 1 THEN 1.0 + CASE WHEN ran THEN 1.0 ELSE -0.25 END WHEN ran THEN 1.0 ELSE -0.25 END::DOUBLE AS execution,
           known AND CASE kind WHEN 2 THEN k % 8 = 2 WHEN 3 THEN true ELSE code = 'good' END AS correct FROM r)
         SELECT task_id, CASE WHEN known AND kind <> 2 THEN 0.1 ELSE 0.0 END::DOUBLE AS tool, CASE WHEN known AND kind = 3 THEN 0.2 ELSE 0.0 END::DOUBLE AS meta, execution,

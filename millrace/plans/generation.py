@@ -7,13 +7,16 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import latex
+from millrace.functions.expressions import evaluate
+from millrace.operators import gates, trees
 from millrace.operators import generators as g
 from millrace.plans.tables import table
 
 SEED = "11"
 
 
-def family(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def family(spark: SparkSession, sf_dir: str, name: str | tuple[str, g.Family]) -> DataFrame:
     """Rounded, as engines differ in the last digits of transcendental functions."""
     keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"))
     df = g.generate(keys, name, SEED, include_gated=True)
@@ -22,30 +25,113 @@ def family(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def generated_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The families' pool as problems with nested cases: how many of each slice."""
-    keys = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"))
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"))
     df = g.problems(g.generate(keys, "geometry", SEED).union(g.generate(keys, "sequences", SEED)))
     return df.groupBy("slice").agg(F.count("*").alias("n_problems"), F.sum(F.size("test_cases")).alias("n_cases"))
 
 
-def sql(name: str, keys: str = "part", key: str = "p_partkey") -> str:
-    """The rows of family() in SQL."""
-    f = g.FAMILIES[name]
+def drawn(p: str, of: str, domain: tuple[int, int] | g.Log, name: str) -> str:
+    """SQL of a draw."""
+    whole = lambda tag, low, high: f"({low} + CAST(CAST('0x' || substr(md5('{SEED}:{name}:{tag}:' || {of}), 1, 8) AS BIGINT) % {high - low + 1} AS INT))"
+    if isinstance(domain, tuple):
+        return f"{whole(p, *domain)} / 10.0::DOUBLE" if p in g.POINTS else whole(p, *domain)
+    scales = ", ".join(f"1e{e}" for e in range(domain.low, domain.high + 1))
+    sign = whole(f"{p}-sign", 0, 1)
+    return f"(CASE {sign} WHEN 0 THEN -1.0 ELSE 1.0 END)::DOUBLE * ({whole(f'{p}-size', 100, 999)} / 100.0::DOUBLE) * ([{scales}])[{whole(f'{p}-scale', 1, domain.high - domain.low + 1)}]"
+
+
+def sampled_sql(family: str | tuple[str, g.Family], keys: str, key: str) -> str:
+    """CTEs up to `cases`: each key's template, parameters and accepted points, each attempt a row and its rank the case."""
+    name, f = g.family_of(family, True)
     ranges, points = g.PARAMETERS | f.ranges, g.POINTS | f.ranges
-    draw = lambda p, of, low, high: f"{low} + CAST(CAST('0x' || substr(md5('{SEED}:{name}:{p}:' || {of}), 1, 8) AS BIGINT) % {high - low + 1} AS INT)"
     case = lambda what: "CASE t " + " ".join(f"WHEN {k} THEN {what(t)}" for k, t in enumerate(f.templates)) + " END"
     plain = lambda s: s.replace("0D", "0")
-    text = lambda t: " || ".join(p if k % 2 else "'" + p.replace("'", "''") + "'" for k, p in enumerate(g.latex_parts(t.latex)))
+    tried = lambda n, rows: f"""
+  SELECT *, CAST({case(lambda t: t.other or plain(t.truth))} AS DOUBLE) AS expected, CAST({case(lambda t: t.other_imaginary or plain(t.imaginary))} AS DOUBLE) AS expected_im, {case(lambda t: g.near_pole(name, f, t, False))} AS near
+  FROM (SELECT p.*, r.k, {', '.join(f"{drawn(v, "i || ':' || r.k", points[v], name)} AS {v}" for v in g.POINTS)} FROM {rows} p, range({n}) r(k)) d"""
+    good = f"NOT near AND abs(expected) <= {g.LIMIT} AND abs(expected_im) <= {g.LIMIT}"
+    return f"""
+p AS (SELECT {key} AS i, {key} % {len(f.templates)} AS t, {', '.join(f"{drawn(p, key, ranges[p], name)} AS {p}" for p in g.PARAMETERS)} FROM {keys}),
+few AS MATERIALIZED ({tried(g.FIRST_ATTEMPTS, 'p')}),
+short AS (SELECT p.* FROM p WHERE (SELECT count(*) FROM few WHERE few.i = p.i AND {good}) < {g.CASES}),
+tries AS MATERIALIZED (SELECT * FROM few WHERE i NOT IN (SELECT i FROM short) UNION ALL {tried(g.ATTEMPTS, 'short')}),
+cases AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY k) - 1 AS INT) AS case_index, {case(lambda t: f"'{t.kind}'")} AS kind FROM tries WHERE {good}) q WHERE case_index < {g.CASES})"""
+
+
+def texts_sql(family: str | tuple[str, g.Family]) -> str:
+    """CTE `texts`: the distinct notations of each problem, numbered."""
+    name, f = g.family_of(family, True)
+    tagged = lambda x: x.replace("CASE _t", "CASE t")
     return f"""
-WITH p AS (SELECT {key} AS i, {key} % {len(f.templates)} AS t, {', '.join(f"{draw(p, key, *ranges[p])} AS {p}" for p in g.PARAMETERS)} FROM {keys}),
-q AS (SELECT p.*, r.case_index, {', '.join(f"({draw(v, f"i || ':' || case_index", *points[v])}) / 10.0::DOUBLE AS {v}" for v in g.POINTS)} FROM p, (SELECT CAST(range AS INT) AS case_index FROM range({g.CASES})) r),
-e AS (SELECT *, CAST({case(lambda t: t.other or plain(t.truth))} AS DOUBLE) AS expected, CAST({case(lambda t: t.other_imaginary or plain(t.imaginary))} AS DOUBLE) AS expected_im,
-  {case(lambda t: f"'{t.kind}'")} AS kind, {case(text)} AS body FROM q)
-SELECT '{name}_' || i || ':v' || v AS task_id, kind, CASE v WHEN 0 THEN body ELSE '\\left(' || body || '\\right)' END AS latex, case_index, x, y,
-  round(expected, 5) AS expected, round(expected_im, 5) AS expected_im
-FROM e, range({g.VARIANTS}) w(v) WHERE abs(expected) <= {g.LIMIT} AND abs(expected_im) <= {g.LIMIT}"""
+every AS (SELECT p.*, v, CASE v WHEN 0 THEN {tagged(g.standard(f, 'sql'))} ELSE {tagged(g.notations(f, 'sql', 'style'))} END AS latex
+  FROM (SELECT p.*, v, md5('{SEED}:{name}:style:' || i || ':' || v) AS style FROM p, range({g.VARIANTS}) w(v)) p),
+texts AS (SELECT i, latex, CAST(row_number() OVER (PARTITION BY i ORDER BY min(v)) - 1 AS INT) AS variant FROM every GROUP BY i, latex)"""
+
+
+def sql(family: str | tuple[str, g.Family], keys: str = "part", key: str = "p_partkey") -> str:
+    """The rows of family() in SQL."""
+    name, _ = g.family_of(family, True)
+    return f"""
+WITH {sampled_sql(family, keys, key)}, {texts_sql(family)}
+SELECT '{name}_' || c.i || ':v' || variant AS task_id, kind, latex, case_index, x, y, round(expected, 5) AS expected, round(expected_im, 5) AS expected_im
+FROM cases c JOIN texts USING (i)"""
+
+
+#: What sampling has to cope with: poles within the range, truths defined on a part of it, magnitudes of all scales, a problem with hardly a point and one without any.
+SAMPLING = ("sampling", g.Family("sampling", [
+    g.Template("pole", r"\frac{<a> x + 1}{x - <b>}", "(a * x + 1) / (x - b)"),
+    g.Template("two_poles", r"\frac{<a>}{x^2 - <m>}", "a / (x * x - m)"),
+    g.Template("root", r"\sqrt{x - <a>}", "sqrt(x - a)", other="CASE WHEN x >= a THEN sqrt(x - a) END"),
+    g.Template("magnitude", r"<a> y^2 + x", "a * y * y + x"),
+    g.Template("rare", r"\sqrt{x - 4.2 - <n> / 10}", "sqrt(x - 4.2D - n / 10.0D)", other="CASE WHEN x::DOUBLE - 4.2::DOUBLE - n / 10.0::DOUBLE >= 0 THEN sqrt(x::DOUBLE - 4.2::DOUBLE - n / 10.0::DOUBLE) END"),
+    g.Template("never", r"\sqrt{-1 - x^2}", "sqrt(-1.0D - x * x)", other="CAST(NULL AS DOUBLE)"),
+], {"x": (-50, 50), "y": g.Log(-3, 6)}))
+#: Families of which some texts are one formula, which the LaTeX reader can evaluate.
+READABLE = ("functions", "elementary_ext", "multivariate", "edge", "geometry")
+
+
+def read_kinds(name: str) -> list[str]:
+    return [t.kind for t in g.FAMILIES[name].templates if t.imaginary == "0.0D" and trees.written(t.latex)[1] is not None and trees.ways(trees.written(t.latex)[0]) > 1]
+
+
+def notation_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every notation of a formula, read back and evaluated at the first point: how many there are, how many give the truth."""
+    keys, out = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i")), None
+    for name in READABLE:
+        df = g.generate(keys, name, SEED).where((F.col("case_index") == 0) & F.col("kind").isin(read_kinds(name))).withColumn("family", F.lit(name))
+        out = df if out is None else out.union(df)
+    e = evaluate(latex.expression(F.col("latex")), F.create_map(F.lit("x"), F.col("x").cast("string"), F.lit("y"), F.col("y").cast("string")))
+    out = out.withColumn("e", e)
+    agrees = (F.col("e.status") == "evaluated") & (F.abs(F.col("e.re") - F.col("expected")) <= 1e-8 * F.greatest(F.lit(1.0), F.abs("expected"))) & (F.abs("e.im") <= 1e-8)
+    return out.groupBy("family", "kind").agg(F.count("*").alias("n_notations"), F.count_if(agrees).alias("n_agree"))
+
+
+#: Checked families, and what stands in for every fifth problem's truth.
+CHECKED, PLANTED = ("derivative", "integration", "ode", "differential_c1", "summation"), "truth + bad * (0.01 * x * x * truth + 0.01 * x)"
+
+
+def gated_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each case's truth passes the check of its kind, wrong truths planted in every fifth problem."""
+    keys, out = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i")), None
+    for name in CHECKED:
+        df = gates.checked(keys, name, SEED, PLANTED, bad=F.when(F.col("i") % 5 == 0, 1.0).otherwise(0.0)).select(F.lit(name).alias("family"), "i", "kind", "case_index", "ok")
+        out = df if out is None else out.union(df)
+    return out
+
+
+def _each(names: tuple[str, ...], what, keys: str = "supplier", key: str = "s_suppkey") -> str:
+    """A union of what(name) over CTEs of each family."""
+    return " UNION ALL ".join(f"SELECT * FROM (WITH {sampled_sql(n, keys, key)}, {texts_sql(n)} {what(n)}) f" for n in names)
+
+
+def _kinds(kinds: list[str]) -> str:
+    return ", ".join(f"'{k}'" for k in kinds)
 
 
-QUERIES = {f"family_{n}": partial(family, name=n) for n in g.FAMILIES} | {"generated_problems": generated_problems}
+QUERIES = {f"family_{n}": partial(family, name=n) for n in g.FAMILIES} | {"generated_problems": generated_problems, "sampled_inputs": partial(family, name=SAMPLING), "notation_readback": notation_readback, "gated_truths": gated_truths}
 ORACLES = {f"family_{n}": sql(n) for n in g.FAMILIES} | {
-    "generated_problems": "SELECT s AS slice, 2 * count(*) AS n_problems, 10 * count(*) AS n_cases FROM nation, (VALUES ('geometry'), ('sequences')) t(s) GROUP BY s"
-}
+    "generated_problems": f"SELECT f AS slice, count(*) AS n_problems, CAST(sum(n) AS BIGINT) AS n_cases FROM ({_each(('geometry', 'sequences'), lambda n: f"SELECT '{n}' AS f, c.i, variant, count(*) AS n FROM cases c JOIN texts USING (i) GROUP BY c.i, variant")}) q GROUP BY f",
+    "sampled_inputs": sql(SAMPLING),
+    "notation_readback": f"SELECT f AS family, kind, count(*) AS n_notations, count(*) AS n_agree FROM ({_each(READABLE, lambda n: f"SELECT '{n}' AS f, kind FROM cases c JOIN texts USING (i) WHERE case_index = 0 AND kind IN ({_kinds(read_kinds(n))})")}) q GROUP BY f, kind",
+    "gated_truths": _each(CHECKED, lambda n: f"SELECT '{n}' AS family, i, kind, case_index, i % 5 <> 0 AS ok FROM cases WHERE kind IN ({_kinds(gates.checkable(n, g.FAMILIES[n]))})"),
+}

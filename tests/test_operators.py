@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import bootstrap, contamination, dedup, generators, sampling, sandbox, scoring, verify
+from millrace.operators import bootstrap, contamination, dedup, gates, generators, sampling, sandbox, scoring, trees, verify
 
 
 def problems(spark, rows):
@@ -84,6 +84,29 @@ def test_execute(spark):
     assert "missing" in got["c"].stderr and got["d"].timed_out and got["e"].exit_code and got["f"].safety_error and got["h"].safety_error == "no code"
 
 
+def test_one_program_many_inputs(spark):
+    """Inputs that end the fork, run out of time or give long outputs cost themselves only; the rest keep their places."""
+    code = "seen = []\ndef calculate(x):\n    seen.append(x)\n    if x == 3:\n        while True: pass\n    if x == 5:\n        raise SystemExit\n    if x == 6:\n        return 'a' * 70_000\n    if x == 7:\n        return 'a' * 2_000_000\n    return x + len(seen)"
+    df = spark.createDataFrame([(i, code if i != 4 else "def calculate(x):\n    return -x", {"x": str(i)}) for i in range(140)], "k int, code string, input map<string,string>").coalesce(1)
+    got = {r.k: r.run for r in sandbox.execute(df, timeout_s=0.5, memory_mb=256).collect()}
+    assert got[3].timed_out and got[5].exit_code == 1 and got[6].stdout == "a" * 70_000 and "longer than" in got[7].stderr and not got[7].timed_out
+    assert all(got[i].stdout == f"{float(i + 1)}" for i in range(140) if i not in (3, 4, 5, 6, 7)) and got[4].stdout == "-4.0"
+
+
+def test_rows_that_share_a_task(spark):
+    """Rows are judged one by one, whatever their ids."""
+    good, bad = "def calculate(x):\n    return 2*x + 1", "def calculate(x):\n    return x - 9"
+    cases, kind = [({"x": "3"}, "7.0")], "task_id string, solution string, sympy_exp string, test_cases array<struct<input:map<string,string>,output:string>>"
+    p = spark.createDataFrame([("t", good, "2*x + 1", cases), ("t", bad, "2*x + 1", cases), ("t", good, "2*x + 1", cases), ("t", "", "2*x + 1", cases), ("u", bad, "", cases), ("u", good, "", cases)], kind)
+    assert sorted((r.task_id, r.solution, r.accepted) for r in verify.curate(p, n=2).collect()) == sorted([("t", good, True), ("t", bad, False), ("t", good, True), ("t", "", False), ("u", bad, False), ("u", good, True)])
+    accepted, rejected = verify.verify_generated(p.where("task_id = 't'"), n=2)
+    assert sorted(r.solution for r in accepted.collect()) == [good, good] and sorted(r.solution for r in rejected.collect()) == ["", bad] and accepted.columns == p.columns
+    said = lambda c: f"<execute>{c}</execute>"
+    t = spark.createDataFrame([("t", said(good)), ("t", said(bad)), ("t", said(good)), ("t", "no block"), ("x", said(good))], "task_id string, trajectory string")
+    one = p.where("task_id = 't'").limit(1).withColumn("solution", F.lit(good))
+    assert sorted((r.task_id, r.total) for r in verify.rewards(t, one).collect()) == [("t", 0.0), ("t", 1.1), ("t", 3.1), ("t", 3.1), ("x", 0.0)]
+
+
 def test_wrong_output_fails_verification(spark):
     p = problems(spark, [("a", ["2.0"]), ("b", ["3.0"])]).withColumn("code", F.lit("def calculate(x):\n    return x + 1"))
     scored = scoring.per_problem(scoring.score_cases(sandbox.run_solutions(p)))
@@ -157,21 +180,81 @@ def test_ranks_in_two_levels(spark):
 
 
 def test_solutions_agree_with_truths(spark):
-    """Each template with a Python solution gives its truth at every point."""
-    keys, seen = spark.range(70).withColumnRenamed("id", "i"), 0
+    """Every template has a Python solution, which gives its truth at each point, complex ones too."""
+    keys, seen = spark.range(70).withColumnRenamed("id", "i"), set()
     for name in generators.FAMILIES:
-        rows = generators.with_solutions(generators.generate(keys, name, "5", include_gated=True), name, "5").where("variant = 0 and case_index < 2 and solution is not null").collect()
+        rows = generators.with_solutions(generators.generate(keys, name, "5", include_gated=True), name, "5").where("variant = 0 and case_index < 2").collect()
         for r in rows:
             space: dict = {}
             exec(r.solution, space)
-            got = space["calculate"](r.x, r.y)
-            assert abs(got - r.expected) <= 1e-9 * max(1, abs(r.expected)), (r.kind, r.solution, r.x, r.y)
-        seen += len({(name, r.kind) for r in rows})
-    assert seen > 180
+            got, want = space["calculate"](r.x, r.y), complex(r.expected, r.expected_im)
+            assert abs(got - want) <= 1e-9 * max(1, abs(want)), (r.kind, r.solution, r.x, r.y)
+        seen |= {(name, r.kind) for r in rows}
+    assert seen == {(name, t.kind) for name, f in generators.FAMILIES.items() for t in f.templates}
 
 
 def test_generation_run(spark):
-    rows = generators.problems(generators.with_solutions(generators.generate(spark.range(22).withColumnRenamed("id", "i"), "functions", "2"), "functions", "2"), "solution")
-    frozen = rows.limit(1).select("latex_expression")
-    r = generators.generation_run(rows, frozen).first()
-    assert r.generated == rows.count() and r.contamination_dropped >= 1 and r.rejected == rows.join(frozen, "latex_expression", "left_anti").where("solution is null").count()
+    rows = generators.problems(generators.with_solutions(generators.generate(spark.range(22).withColumnRenamed("id", "i"), "complex_eval", "2"), "complex_eval", "2"), "solution")
+    spoilt = F.col("task_id").startswith("complex_eval_7:")
+    rows = rows.withColumn("solution", F.when(spoilt, "def calculate(x, y):\n    return [][1]").otherwise(F.col("solution")))
+    frozen = rows.where("task_id = 'complex_eval_3:v0'").select("latex_expression")
+    accepted, rejected = generators.generation_run(rows, frozen)
+    why = {r.task_id: r.reason for r in rejected.collect()}
+    assert why.pop("complex_eval_3:v0") == "contaminated" and why and all(t.startswith("complex_eval_7:") and w.startswith("error: IndexError") for t, w in why.items())
+    r = generators.generation_report(accepted, rejected).first()
+    assert (r.generated, r.contamination_dropped, r.rejected) == (rows.count(), 1, len(why)) and r.accepted == r.generated - 1 - len(why)
+    assert "j" in accepted.first().test_cases[0].output or accepted.count() > 20
+
+
+def test_every_template_has_notations():
+    """More than two ways to write each problem, and choices don't multiply the text."""
+    for name, f in generators.FAMILIES.items():
+        for t in f.templates:
+            pieces, _ = trees.written(t.latex)
+            assert trees.ways(pieces) > 2 and len(trees.text_sql(pieces, "s", "sql")) < 4000, (name, t.kind)
+
+
+def test_trees_print_alike(spark):
+    """SQL and Python of a tree give the same values."""
+    texts = [
+        "2 * x ** n + a / b - -x", "sum(k * x for k in range(1, n + 1) if k % 2 == 0)", "prod(k for k in range(2, m))", "sum(1 for k in range(5, 2))", "1.0 if a <= n < m and x > 0 or b == 3 else -1.0",
+        "(3, 5, 7, 9)[n - 3]", "sum(sum(j for j in range(0, k)) for k in range(0, 6))", "gcd(m, 12) + m // 4", "power(2, n) + factorial(5) / sqrt(x)",
+    ]
+    row = {"x": 2.5, "a": 3, "b": 4, "c": 1, "m": 8, "n": 5}
+    df = spark.createDataFrame([tuple(row.values())], "x double, a int, b int, c int, m int, n int")
+    got = df.select(*[F.expr(trees.sql(trees.parse(t))).cast("double").alias(str(i)) for i, t in enumerate(texts)]).first()
+    space: dict = {}
+    exec(generators._PRELUDE, space)
+    for i, t in enumerate(texts):
+        code = trees.python(trees.parse(t))
+        for p in trees.PARAMETERS:
+            code = code.replace(f"<{p}>", str(row[p]))
+        assert abs(got[i] - eval(code, space | row)) < 1e-9, t
+    with pytest.raises(trees.Unprintable):
+        trees.sql(trees.parse("erf(x)"))
+
+
+def test_points_keep_off_poles(spark):
+    near = lambda t: trees.near_pole(trees.parse(t), "x", 0.15)
+    df = spark.createDataFrame([(float(x) / 10,) for x in range(-30, 31)], "x double")
+    hit = lambda t: {round(r.x, 1) for r in df.where(near(t)).collect()}
+    assert hit("1 / (x - 1)") == {0.9, 1.0, 1.1} and hit("2 / power(x * x - 4, 3) + 1 / 3") == {-2.1, -2.0, -1.9, 1.9, 2.0, 2.1}
+    assert hit("1 / (x * x + 1)") == hit("x + exp(x)") == set() and hit("1 / (x * (2 * x + 1))") == {-0.6, -0.5, -0.4, -0.1, 0.0, 0.1}
+
+
+def test_samples_run_out(spark):
+    """As many points as 200 numbered draws give, the same however rows are dealt out."""
+    f = ("s", generators.Family("s", [generators.Template("rare", "x", "sqrt(x - 99.0D)"), generators.Template("never", "x", "ln(-1.0D - x * x)"), generators.Template("often", "x", "x")], {"x": (0, 999)}))
+    keys = spark.range(90).withColumnRenamed("id", "i")
+    rows = generators.generate(keys, f, "1").where("variant = 0").collect()
+    n = {k: [0] * 30 for k in ("rare", "never", "often")}
+    for r in rows:
+        n[r.kind][int(r.task_id.split("_")[1].split(":")[0]) // 3] += 1
+    assert set(n["often"]) == {5} and set(n["never"]) == {0} and 0 < sum(n["rare"]) < 150 and min(n["rare"]) < 5
+    assert sorted(rows, key=str) == sorted(generators.generate(keys.repartition(7), f, "1").where("variant = 0").collect(), key=str)
+
+
+def test_gates_find_a_wrong_truth():
+    """What can be checked is; a truth that doesn't belong to its text is found, here by values."""
+    ode = dict((t.kind, t) for t in generators.FAMILIES["differential_c1"].templates)
+    assert len(gates.checkable("derivative", generators.FAMILIES["derivative"])) == 18 and "second" in ode and gates.sides("limits", generators.FAMILIES["limits"].templates[0]) is None
