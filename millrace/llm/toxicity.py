@@ -5,7 +5,8 @@ features and the probabilities of the categories before it. For training, those
 haven't seen the document (FOLDS folds), so that a later model learns how far to trust an earlier one.
 
 Features: log2(1 + count) of the most telling hashed words (runs of letters, digits and non-ASCII bytes, lower case), picked by
-chi-square on the training rows alone, and a few ratios of the text's form.
+chi-square on the training rows alone, and a few ratios of the text's form. Thresholds are learned from the out-of-fold probabilities as well, by the share of
+false alarms that is allowed, so that toxic words diluted in a long text count.
 The models are fitted in one task on SAMPLE labelled documents at most, those first by a hash of doc_id; all else covers all rows.
 """
 
@@ -27,7 +28,8 @@ CHAIN = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
 #: The most labelled documents that a fit reads.
 SAMPLE = 10_000
 WORDS, FOLDS, RIDGE, STEPS, BITS = 192, 5, 0.3, 8, 20
-THRESHOLD = 0.5
+#: A category's threshold is what this share of its negatives reach out of fold, within these bounds.
+FALSE_SHARE, THRESHOLDS = 0.004, (0.1, 0.5)
 FORMS = ("log_words", "word_length", "upper", "marks", "distinct")
 
 NOT_WORD = np.zeros(256, bool)
@@ -58,6 +60,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class Linear:
     """A ridge logistic regression over picked words, forms and earlier probabilities."""
 
+    threshold = THRESHOLDS[1]
+
     def __init__(self, doc: np.ndarray, word: np.ndarray, value: np.ndarray, dense: np.ndarray, y: np.ndarray):
         n, pos = len(y), max(1, int(y.sum()))
         inside = np.bincount(word[y[doc] > 0], minlength=1 << BITS)
@@ -119,7 +123,10 @@ def fit_chain(doc: np.ndarray, word: np.ndarray, value: np.ndarray, forms: np.nd
             held, rest = fold == k, known & (fold != k)
             if held.any() and len(np.unique(y[rest])) == 2:
                 p[held] = fitted(rest).probability(*_subset(doc, word, value, held), dense[held])
-        chain.append((name, fitted(known)))
+        model = fitted(known)
+        clean = p[y == 0]
+        model.threshold = float(np.clip(np.quantile(clean, 1 - FALSE_SHARE), *THRESHOLDS)) if len(clean) else THRESHOLDS[1]
+        chain.append((name, model))
         dense = np.column_stack([dense, p])
     return chain
 
@@ -157,11 +164,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tupl
         forms = table.column("forms").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
         fold = (tk.mix(ids.astype(np.int64).view(tk.U)) % tk.U(FOLDS)).astype(int)
         chain = fit_chain(doc, word, value, forms, {k: table.column(f"y_{k}").to_numpy() for k in CHAIN}, fold)
-        return pa.table({"name": [n for n, _ in chain], **{c: [getattr(m, c).tolist() for _, m in chain] for c in ("words", "w", "mean", "scale")}}, model)
+        return pa.table({"name": [n for n, _ in chain], **{c: [getattr(m, c).tolist() for _, m in chain] for c in ("words", "w", "mean", "scale")}, "threshold": [m.threshold for _, m in chain]}, model)
 
-    model = pa.schema([("name", pa.string()), ("words", pa.list_(pa.int64())), *((c, pa.list_(pa.float64())) for c in ("w", "mean", "scale"))])
+    model = pa.schema([("name", pa.string()), ("words", pa.list_(pa.int64())), *((c, pa.list_(pa.float64())) for c in ("w", "mean", "scale")), ("threshold", pa.float64())])
     got = rows.mapInArrow(extract, f"doc_id long, {', '.join(f'{n} int' for n in names)}, words array<int>, values array<double>, forms array<double>")
-    got = got.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "name string, words array<long>, w array<double>, mean array<double>, scale array<double>")
+    got = got.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "name string, words array<long>, w array<double>, mean array<double>, scale array<double>, threshold double")
     fitted = {r["name"]: r for r in got.collect()}
     chain = []
     for name in CHAIN:
@@ -169,10 +176,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tupl
             m = Linear.__new__(Linear)
             for c in ("words", "w", "mean", "scale"):
                 setattr(m, c, np.array(fitted[name][c], np.int64 if c == "words" else float))
+            m.threshold = fitted[name]["threshold"]
             chain.append((name, m))
     return chain
 
 
+def threshold(chain: list[tuple[str, Linear]], category: str = "toxic") -> float:
+    """From which probability on a document counts as of the category."""
+    return dict(chain)[category].threshold if category in dict(chain) else THRESHOLDS[1]
+
+
 def _score(chain: list[tuple[str, Linear]], kept: list[str], new: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,15 +214,15 @@ def score(docs: DataFrame, chain: list[tuple[str, Linear]], prefix: str = "p_")
 
 
 def acceptable(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the chain doesn't call toxic, with docs' columns."""
+    """The rows of docs that the chain doesn't call toxic, with docs' columns. A probability equal to the threshold is toxic; rows alike in text share their fate."""
     prefix = "p_"
     while any(free_name(docs, f"{prefix}{k}") != f"{prefix}{k}" for k in CHAIN):
         prefix += "_"
-    scored = score(docs, train(docs, labels), prefix)
-    return scored.where(F.col(f"{prefix}toxic") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chain = train(docs, labels)
+    return score(docs, chain, prefix).where(F.col(f"{prefix}toxic") < threshold(chain)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", *[f"p_{k}" for k in CHAIN], (F.col("p_toxic") >= THRESHOLD).alias("toxic"))
+    chain = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, chain).select("doc_id", *[f"p_{k}" for k in CHAIN], (F.col("p_toxic") >= threshold(chain)).alias("toxic"))

@@ -90,7 +90,7 @@ def test_toxicity_on_labels(spark):
     data = "/root/testdata/sf0.01"
     got = {r.doc_id: r.toxic for r in queries.QUERIES["op5_toxicity"](spark, data).collect()}
     labels = [(got[r.doc_id], r.toxic) for r in spark.read.parquet(f"{data}/labels.parquet").collect()]
-    assert sum(p and y for p, y in labels) >= 0.75 * sum(y for _, y in labels)
+    assert sum(p and y for p, y in labels) >= 0.9 * sum(y for _, y in labels)
     assert sum(p and not y for p, y in labels) <= 0.01 * len(labels)
 
 
@@ -101,9 +101,9 @@ def test_toxicity_on_held_out_labels(spark):
     chain = toxicity.train(docs, labels.where("doc_id % 3 <> 0"))
     assert [name for name, _ in chain] == list(toxicity.CHAIN)
     held = toxicity.score(docs.where("doc_id % 3 = 0"), chain).join(labels, "doc_id").select("p_toxic", "toxic").where("toxic is not null").collect()
-    bad = [r.p_toxic >= toxicity.THRESHOLD for r in held if r.toxic]
-    good = [r.p_toxic >= toxicity.THRESHOLD for r in held if not r.toxic]
-    assert len(bad) > 20 and sum(bad) >= 0.75 * len(bad) and sum(good) <= 0.01 * len(good)
+    bad = [r.p_toxic >= toxicity.threshold(chain) for r in held if r.toxic]
+    good = [r.p_toxic >= toxicity.threshold(chain) for r in held if not r.toxic]
+    assert len(bad) > 20 and sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.01 * len(good)
 
 
 def test_pii_by_brute_force(spark):
