@@ -248,10 +248,13 @@ def safety(code: pd.Series) -> pd.Series:
     return code.map(known)
 
 
-def throughput(spark, n: int = 1000, cores: int | None = None) -> float:
-    """Executions a second of a small function."""
-    df = spark.range(n).repartition(cores or spark.sparkContext.defaultParallelism)
-    df = df.select("id", F.lit("def calculate(x):\n    return x ** 2").alias("code"), F.create_map(F.lit("x"), F.col("id").cast("string")).alias("input"))
+def throughput(spark, n: int = 10_000, cores: int | None = None) -> float:
+    """Executions a second of n small functions, ten inputs a function; an error if any of them fails."""
+    df = spark.range(n).repartition(cores or spark.sparkContext.defaultParallelism, F.floor(F.col("id") / 10))
+    code = F.concat(F.lit("def calculate(x):\n    return x ** 2 + "), F.floor(F.col("id") / 10).cast("string"))
+    df = df.select("id", code.alias("code"), F.create_map(F.lit("x"), F.col("id").cast("string")).alias("input"))
     start = time.time()
-    execute(df).agg(F.count_if(F.col("run.exit_code") == 0)).first()
+    failed = execute(df).agg(F.count_if(F.col("run.exit_code") != 0)).first()[0]
+    if failed:
+        raise RuntimeError(f"{failed} of {n} runs failed")
     return n / (time.time() - start)

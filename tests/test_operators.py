@@ -63,6 +63,19 @@ def test_contamination(spark):
     assert sorted(tuple(r) for r in contamination.substring_hits(docs, needles).collect()) == [(1, 1), (1, 2), (2, 2)]
 
 
+def test_short_needles_by_brute_force(spark):
+    """Needles of 1 to 40 bytes, some of several bytes a character, at the ends of texts and across rows that must not run together."""
+    import random
+
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abé 中") for _ in range(n))
+    docs = [(i, text(rng.randint(0, 60))) for i in range(120)] + [(900, None), (901, "x" * 3_000_000 + "needle")]
+    needles = [(i, text(rng.choice([1, 2, 3, 5, 8, 13]))) for i in range(60)] + [(100 + i, docs[i][1][-6:]) for i in range(20)] + [(200, "xneedle"), (201, docs[0][1][-2:] + docs[1][1][:2])]
+    want = sorted((d, i) for d, t in docs for i, n in needles if t and n and n in t)
+    got = contamination.substring_hits(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(needles, "item_id int, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 200
+
+
 @pytest.mark.parametrize("code", ["import os", "from subprocess import run", "open('x')", "eval('1')", "().__class__", "from . import x", "def f(:", "import typing", "help()", "quit()", "memoryview(b'')", "x.connect()", "x.subprocess()", "f.__init__"])
 def test_unsafe(code):
     assert sandbox.safety_error(code)
