@@ -236,7 +236,7 @@ FAMILIES: dict[str, Family] = {
         T("exp_cross", r"e^{-x y}", "exp(-x * y)"),
         T("log_prod", r"\ln(x^{<a>} y)", "a * ln(x) + ln(y)"),
         T("angle_diff", r"\sin(x - y)", "sin(x - y)"),
-        T("augmented", r"<a> x + <b> y + <c>", "a * x + b * y + c"),
+        T("augmented", r"\frac{<a> x + <b>}{y + <c>} e^{x / <m>}", "(a * x + b) / (y + c) * exp(x / m)", other="exp(x / m::DOUBLE) * (a * x + b) / (y + c)"),
         T("monomial_couple", r"<a> x^2 y + <b> x y", "a * x * x * y + b * x * y", other="x * y * (a * x + b)"),
     ]),
     "edge": Family("edge", [
@@ -386,6 +386,8 @@ FAMILIES: dict[str, Family] = {
         T("poisson_square", r"E[X^2], X \sim Poisson(<a>)", "1.0D * a + a * a", other="1.0 * a + a * a"),
         T("beta_mean", r"E[Beta(<a>, <b>)]", "1.0D * a / (a + b)", other="1.0 * a / (a + b)"),
         T("normal_square", r"E[X^2], X \sim N(<a>, <b>^2)", "1.0D * a * a + b * b", other="1.0 * (a * a + b * b)"),
+        T("normal_mean", r"E[N(<a>, <b>^2)]", "1.0D * a", other="1.0 * a"),
+        T("normal_var", r"Var[N(<a>, <b>^2)]", "1.0D * b * b", other="1.0 * (a * a + b * b) - a * a"),
         T("uniform_square", r"E[X^2], X \sim U(<a>, <a> + <b>)", "a * a + a * b + b * b / 3.0D", other="(power(a + b, 3) - power(a, 3)) / (3 * b)"),
         T("exponential_mean", r"E[Exp(<a>)]", "1.0D / a", other="1.0 / a"),
         T("exponential_var", r"Var[Exp(<a>)]", "1.0D / (a * a)", other="1.0 / (a * a)"),

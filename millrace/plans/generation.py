@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import latex
 from millrace.functions.expressions import evaluate
-from millrace.operators import gates, trees
+from millrace.operators import gates, trees, user_families
 from millrace.operators import generators as g
 from millrace.plans.tables import table
 
@@ -119,6 +121,31 @@ def gated_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+class Collatz:
+    """How many steps it takes from a number to 1; with `peaks`, the largest number on the way too."""
+
+    def __init__(self, peaks: bool) -> None:
+        self.peaks = peaks
+
+    def columns(self, seed: str) -> T.StructType:
+        kinds = {"task_id": T.StringType(), "latex": T.StringType(), "start": T.LongType(), "steps": T.IntegerType()} | ({"peak": T.LongType()} if self.peaks else {})
+        return T.StructType([T.StructField(c, k) for c, k in kinds.items()])
+
+    def rows(self, i: int, seed: str) -> Iterator[tuple]:
+        n = top = start = i + int(seed)
+        steps = 0
+        while n > 1:
+            n, steps = (3 * n + 1 if n % 2 else n // 2), steps + 1
+            top = max(top, n)
+        yield (f"collatz_{i}", rf"\min\{{k : T^k({start}) = 1\}}", start, steps, *([top] if self.peaks else []))
+
+
+def user_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's family over the part keys, by lateral join."""
+    user_families.register(spark, "collatz", Collatz(True))
+    return user_families.generate(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i")), "collatz", SEED)
+
+
 def _each(names: tuple[str, ...], what, keys: str = "supplier", key: str = "s_suppkey") -> str:
     """A union of what(name) over CTEs of each family."""
     return " UNION ALL ".join(f"SELECT * FROM (WITH {sampled_sql(n, keys, key)}, {texts_sql(n)} {what(n)}) f" for n in names)
@@ -128,10 +155,14 @@ def _kinds(kinds: list[str]) -> str:
     return ", ".join(f"'{k}'" for k in kinds)
 
 
-QUERIES = {f"family_{n}": partial(family, name=n) for n in g.FAMILIES} | {"generated_problems": generated_problems, "sampled_inputs": partial(family, name=SAMPLING), "notation_readback": notation_readback, "gated_truths": gated_truths}
+QUERIES = {f"family_{n}": partial(family, name=n) for n in g.FAMILIES} | {"generated_problems": generated_problems, "sampled_inputs": partial(family, name=SAMPLING), "notation_readback": notation_readback, "gated_truths": gated_truths, "user_family": user_family}
 ORACLES = {f"family_{n}": sql(n) for n in g.FAMILIES} | {
     "generated_problems": f"SELECT f AS slice, count(*) AS n_problems, CAST(sum(n) AS BIGINT) AS n_cases FROM ({_each(('geometry', 'sequences'), lambda n: f"SELECT '{n}' AS f, c.i, variant, count(*) AS n FROM cases c JOIN texts USING (i) GROUP BY c.i, variant")}) q GROUP BY f",
     "sampled_inputs": sql(SAMPLING),
     "notation_readback": f"SELECT f AS family, kind, count(*) AS n_notations, count(*) AS n_agree FROM ({_each(READABLE, lambda n: f"SELECT '{n}' AS f, kind FROM cases c JOIN texts USING (i) WHERE case_index = 0 AND kind IN ({_kinds(read_kinds(n))})")}) q GROUP BY f, kind",
+    "user_family": f"""WITH RECURSIVE walk(i, start, n, k, top) AS (
+        SELECT p_partkey, p_partkey + {SEED}, p_partkey + {SEED}, 0, p_partkey + {SEED} FROM part
+        UNION ALL SELECT i, start, m, k + 1, greatest(top, m) FROM (SELECT *, CASE WHEN n % 2 = 1 THEN 3 * n + 1 ELSE n // 2 END AS m FROM walk WHERE n > 1) s)
+        SELECT i, 'collatz_' || i AS task_id, '\\min\\{{k : T^k(' || start || ') = 1\\}}' AS latex, start, CAST(max(k) AS INT) AS steps, max(top) AS peak FROM walk GROUP BY i, start""",
     "gated_truths": _each(CHECKED, lambda n: f"SELECT '{n}' AS family, i, kind, case_index, i % 5 <> 0 AS ok FROM cases WHERE kind IN ({_kinds(gates.checkable(n, g.FAMILIES[n]))})"),
 }

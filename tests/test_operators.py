@@ -267,6 +267,20 @@ def test_samples_run_out(spark):
     assert sorted(rows, key=str) == sorted(generators.generate(keys.repartition(7), f, "1").where("variant = 0").collect(), key=str)
 
 
+def test_user_family_states_its_columns(spark):
+    from millrace.operators import user_families
+    from millrace.plans.generation import Collatz
+
+    keys = spark.createDataFrame([(5,), (None,), (26,)], "i int")
+    for peaks in (False, True):
+        user_families.register(spark, "collatz_test", Collatz(peaks))
+        df = user_families.generate(keys, "collatz_test", "1")
+        assert df.columns == ["i", "task_id", "latex", "start", "steps"] + ["peak"] * peaks
+        assert sorted(r.steps for r in df.collect()) == [8, 111]
+    with pytest.raises(ValueError, match="no name"):
+        user_families.register(spark, "x y", Collatz(True))
+
+
 def test_gates_find_a_wrong_truth():
     """What can be checked is; a truth that doesn't belong to its text is found, here by values."""
     ode = dict((t.kind, t) for t in generators.FAMILIES["differential_c1"].templates)
