@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from millrace.operators import contamination, generators, models, publishing, sa
 from millrace.plans import generation
 from millrace.plans.tables import table
 from millrace.sources import shared
+from millrace.streaming import resume
 
 GOOD = "def calculate(x_val, y=1.0):\n    return x_val ** 2 + y\n"
 BAD = "def calculate(x_val, y=1.0):\n    return x_val ** 2 - y\n"
@@ -107,6 +110,18 @@ def generate_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.groupBy("family", "outcome").agg(F.count("*").alias("n"))
 
 
+def verified_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems that arrive as JSONL in two rounds, the second of which repeats part of the first: each is verified once."""
+    rows = _problems(spark, sf_dir)
+    base = f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
+    source, target = f"{base}/source", f"{base}/verified"
+    schema = rows.drop("k").schema
+    for part in (rows.where("k % 3 <> 0"), rows.where("k % 2 = 0")):
+        part.drop("k").write.mode("append").json(source)
+        resume.verify_stream(spark, source, schema, lambda df: verify.oracle_verify(df, n=2), target, f"{base}/marks", everything=True).awaitTermination()
+    return spark.read.parquet(target).select("task_id", "accepted", "reason")
+
+
 def _gold():
     return lambda prompt: f"```python\n{GOOD}```"
 
@@ -128,7 +143,7 @@ _VIEW = """WITH p AS (SELECT s_suppkey AS k FROM supplier),
     k % 13 NOT IN (5, 6, 8) AND k % 3 <> 1 AS coded, k % 19 = 2 AS truth_fails, k % 13 = 5 AS bare, k % 13 = 6 AS unreadable, k % 13 = 8 AS nowhere FROM p)"""
 _ORACLE_REASON = """CASE WHEN code = 'empty' THEN 'empty solution' WHEN code = 'unsafe' THEN 'import of os' WHEN coded AND truth_fails THEN 'truth code failed to run'
     WHEN bare OR unreadable THEN 'no truth to compare with' WHEN code = 'fails' THEN 'candidate failed to run' WHEN nowhere THEN NULL WHEN code = 'bad' THEN 'mismatch with the truth' END"""
-QUERIES = {f.__name__: f for f in (sandbox_exec, oracle_verify, curated, rewards, symbolic_truth, trivial_floor, latex_baseline, generate_verified, model_benchmark, dataset_checks)}
+QUERIES = {f.__name__: f for f in (sandbox_exec, oracle_verify, curated, rewards, symbolic_truth, trivial_floor, latex_baseline, generate_verified, verified_stream, model_benchmark, dataset_checks)}
 #: The wrong and unsafe solutions are known, so the verdicts are too.
 ORACLES = {
     "symbolic_truth": """SELECT CAST(p_partkey AS VARCHAR) AS task_id, CASE p_partkey % 11 WHEN 0 THEN 'empty' WHEN 1 THEN 'parse error' WHEN 2 THEN 'undefined' ELSE 'evaluated' END AS status,
@@ -141,6 +156,8 @@ ORACLES = {
     "model_benchmark": "SELECT count(*) AS n_problems, count(*) AS problems_passed, 1.0::DOUBLE AS problem_accuracy FROM supplier",
     "dataset_checks": """SELECT 'complete' AS "check", true AS ok, 0::BIGINT AS n_bad UNION ALL SELECT 'uncontaminated', false, 2 UNION ALL SELECT 'hidden', false, count(*) FROM supplier WHERE CAST(s_suppkey AS VARCHAR) < '2'
         UNION ALL SELECT 'unique', true, 0 UNION ALL SELECT 'rows', count(*) = 24, abs(count(*) - 24) FROM supplier""",
+    "verified_stream": f"""{_VIEW}
+        SELECT CAST(k AS VARCHAR) AS task_id, reason IS NULL AS accepted, reason FROM (SELECT k, {_ORACLE_REASON} AS reason FROM q WHERE k % 3 <> 0 OR k % 2 = 0) r""",
     "oracle_verify": f"""{_VIEW}
         SELECT CAST(k AS VARCHAR) AS task_id, reason IS NULL AS accepted, reason FROM (SELECT k, {_ORACLE_REASON} AS reason FROM q) r""",
     "curated": f"""{_VIEW}
