@@ -13,15 +13,21 @@ def explode_cases(problems: DataFrame) -> DataFrame:
     return problems.select("task_id", F.posexplode("test_cases").alias("case_index", "c")).select("task_id", "case_index", F.col("c.input").alias("input"), F.col("c.output").alias("expected"))
 
 
-def align(problems: DataFrame, predictions: DataFrame, missing: str = "ignore") -> DataFrame:
+def align(problems: DataFrame, predictions: DataFrame, missing: str = "ignore", lengths: str = "fill") -> DataFrame:
     """(task_id, case_index, got, expected): outputs beside cases by place.
 
     predictions(task_id, outputs array<string>). missing: 'ignore' leaves out problems without predictions, 'fail' keeps
-    them with null outputs. Short or unreadable outputs are filled up with nulls, which fail.
+    them with null outputs. lengths: 'fill' fills short or unreadable outputs up with nulls, which fail, and leaves out what is too many; 'error' stops
+    at predictions that differ from their cases in number.
     """
+    if lengths not in ("fill", "error"):
+        raise ValueError("lengths is 'fill' or 'error'")
     if missing not in ("ignore", "fail"):
         raise ValueError("missing is 'ignore' or 'fail'")
     joined = problems.select("task_id", "test_cases").join(predictions, "task_id", "inner" if missing == "ignore" else "left")
+    if lengths == "error":
+        said = F.concat(F.lit("task "), F.col("task_id").cast("string"), F.lit(" has "), F.size("outputs").cast("string"), F.lit(" outputs for "), F.size("test_cases").cast("string"), F.lit(" cases"))
+        joined = joined.withColumn("outputs", F.when(F.size("outputs") != F.size("test_cases"), F.raise_error(said).cast("array<string>")).otherwise(F.col("outputs")))
     zipped = joined.select("task_id", "outputs", F.posexplode("test_cases").alias("case_index", "c"))
     return zipped.select("task_id", "case_index", F.get("outputs", F.col("case_index")).alias("got"), F.col("c.output").alias("expected"))
 

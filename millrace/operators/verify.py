@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.expressions import evaluate
 from millrace.functions.inputs import sample_points
-from millrace.functions.numbers import operation_count, outputs_match, parse_number
+from millrace.functions.numbers import format_output, operation_count, outputs_match, parse_number
 from millrace.functions.text import execute_blocks, final_answer
 from millrace.operators import sandbox
 from millrace.operators.scoring import per_problem, score_cases, summary
@@ -100,6 +100,34 @@ def verify_generated(problems: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
     return both.where("accepted").drop("accepted", "reason"), both.where("not accepted").drop("accepted")
 
 
+def resample(problems: DataFrame, n: int = POINTS, seed: str = "0", **limits) -> DataFrame:
+    """problems(task_id, test_cases, truth_code or sympy_exp or both) with `n` new cases each: jittered inputs with the truth's outputs filled in.
+
+    Points at which the truth fails, can't be read or has no finite value are left out; a problem without any such point, or without
+    cases to jitter, has an empty array. Rows that share a task_id are resampled one by one.
+    """
+    return _once(problems.withColumnRenamed("test_cases", "_old"), CONTENT[:1] + ("_old",) + CONTENT[3:5], lambda p: _resample(p.withColumnRenamed("_old", "test_cases"), n, seed, **limits)).drop("_old")
+
+
+def _resample(problems: DataFrame, n: int, seed: str, **limits) -> DataFrame:
+    """(task_id, test_cases) of rows whose task_ids differ."""
+    p = problems.select("task_id", "test_cases", _column(problems, "truth_code").alias("code"), _column(problems, "sympy_exp").alias("sympy_exp"))
+    points = sample_points(p, n, seed).join(p.drop("test_cases"), "task_id")
+    coded = F.trim("code") != ""
+    ran = sandbox.execute(points.where(coded).select("task_id", "point", "code", "input"), **limits)
+    ok = (F.col("run.exit_code") == 0) & F.col("run.safety_error").isNull() & ~F.col("run.timed_out")
+    ran = ran.select("task_id", "point", "input", F.when(ok, parse_number(F.col("run.stdout"))).alias("z"))
+    told = points.where(~coded).withColumn("e", evaluate(F.col("sympy_exp"), F.col("input")))
+    told = told.select("task_id", "point", "input", F.when(F.col("e.status") == "evaluated", F.struct("e.re", "e.im")).alias("z"))
+    finite = lambda v: ~F.isnan(v) & (F.abs(v) != float("inf"))
+    good = ran.union(told).where(finite(F.col("z.re")) & finite(F.col("z.im")))
+    item = F.struct("point", "input", format_output(F.col("z.re"), F.col("z.im")).alias("output"))
+    new = good.groupBy("task_id").agg(F.array_sort(F.collect_list(item), lambda a, b: a["point"] - b["point"]).alias("c"))  # n items at most
+    new = new.select("task_id", F.transform("c", lambda c: F.struct(c["input"].alias("input"), c["output"].alias("output"))).alias("test_cases"))
+    none = F.array().cast("array<struct<input:map<string,string>,output:string>>")
+    return p.select("task_id").join(new, "task_id", "left").select("task_id", F.coalesce("test_cases", none).alias("test_cases"))
+
+
 def gold_check(problems: DataFrame, least: float = 0.99, **limits) -> DataFrame:
     """The summary of the problems' own solutions; an error below `least`."""
     scored = score_cases(sandbox.run_solutions(problems, **limits))

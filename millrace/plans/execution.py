@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.numbers import outputs_match
 from millrace.operators import contamination, generators, models, publishing, sandbox, scoring, verify
 from millrace.plans import generation
 from millrace.plans.tables import table
@@ -122,6 +123,13 @@ def verified_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).select("task_id", "accepted", "reason")
 
 
+def resampled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three new cases a problem from its truth: how many there are, and whether all outputs are those of x^2 + 1."""
+    done = verify.resample(_problems(spark, sf_dir).drop("code", "solution"), n=3)
+    right = lambda c: outputs_match(c["output"], (F.pow(c["input"]["x"].cast("double"), F.lit(2)) + 1).cast("string"))
+    return done.select("task_id", F.size("test_cases").alias("n_cases"), F.forall("test_cases", right).alias("all_right"))
+
+
 def _gold():
     return lambda prompt: f"```python\n{GOOD}```"
 
@@ -143,7 +151,7 @@ _VIEW = """WITH p AS (SELECT s_suppkey AS k FROM supplier),
     k % 13 NOT IN (5, 6, 8) AND k % 3 <> 1 AS coded, k % 19 = 2 AS truth_fails, k % 13 = 5 AS bare, k % 13 = 6 AS unreadable, k % 13 = 8 AS nowhere FROM p)"""
 _ORACLE_REASON = """CASE WHEN code = 'empty' THEN 'empty solution' WHEN code = 'unsafe' THEN 'import of os' WHEN coded AND truth_fails THEN 'truth code failed to run'
     WHEN bare OR unreadable THEN 'no truth to compare with' WHEN code = 'fails' THEN 'candidate failed to run' WHEN nowhere THEN NULL WHEN code = 'bad' THEN 'mismatch with the truth' END"""
-QUERIES = {f.__name__: f for f in (sandbox_exec, oracle_verify, curated, rewards, symbolic_truth, trivial_floor, latex_baseline, generate_verified, verified_stream, model_benchmark, dataset_checks)}
+QUERIES = {f.__name__: f for f in (sandbox_exec, oracle_verify, curated, rewards, symbolic_truth, trivial_floor, latex_baseline, generate_verified, resampled_cases, verified_stream, model_benchmark, dataset_checks)}
 #: The wrong and unsafe solutions are known, so the verdicts are too.
 ORACLES = {
     "symbolic_truth": """SELECT CAST(p_partkey AS VARCHAR) AS task_id, CASE p_partkey % 11 WHEN 0 THEN 'empty' WHEN 1 THEN 'parse error' WHEN 2 THEN 'undefined' ELSE 'evaluated' END AS status,
@@ -156,6 +164,8 @@ ORACLES = {
     "model_benchmark": "SELECT count(*) AS n_problems, count(*) AS problems_passed, 1.0::DOUBLE AS problem_accuracy FROM supplier",
     "dataset_checks": """SELECT 'complete' AS "check", true AS ok, 0::BIGINT AS n_bad UNION ALL SELECT 'uncontaminated', false, 2 UNION ALL SELECT 'hidden', false, count(*) FROM supplier WHERE CAST(s_suppkey AS VARCHAR) < '2'
         UNION ALL SELECT 'unique', true, 0 UNION ALL SELECT 'rows', count(*) = 24, abs(count(*) - 24) FROM supplier""",
+    "resampled_cases": f"""{_VIEW}
+        SELECT CAST(k AS VARCHAR) AS task_id, CASE WHEN coded AND truth_fails OR bare OR unreadable OR nowhere THEN 0 ELSE 3 END AS n_cases, true AS all_right FROM q""",
     "verified_stream": f"""{_VIEW}
         SELECT CAST(k AS VARCHAR) AS task_id, reason IS NULL AS accepted, reason FROM (SELECT k, {_ORACLE_REASON} AS reason FROM q WHERE k % 3 <> 0 OR k % 2 = 0) r""",
     "oracle_verify": f"""{_VIEW}

@@ -20,6 +20,15 @@ def test_two_level_scoring(spark):
     assert scoring.summary(scoring.per_problem(scoring.score_cases(scoring.align(p.limit(0), pred)))).first().problem_accuracy == 0.0
 
 
+def test_lengths_that_differ(spark):
+    p = problems(spark, [("a", ["1", "2"]), ("b", ["1"])])
+    pred = spark.createDataFrame([("a", ["1"]), ("b", ["1"])], "task_id string, outputs array<string>")
+    assert sorted((r.task_id, r.got) for r in scoring.align(p, pred).collect() if r.got) == [("a", "1"), ("b", "1")]
+    with pytest.raises(Exception, match="task a has 1 outputs for 2 cases"):
+        scoring.align(p, pred, lengths="error").collect()
+    assert scoring.align(p.where("task_id = 'b'"), pred, lengths="error").count() == 1
+
+
 def test_missing_truth_is_an_error(spark):
     with pytest.raises(Exception, match="expected output"):
         scoring.score_cases(spark.createDataFrame([("1", None)], "got string, expected string")).collect()
