@@ -12,7 +12,7 @@ from millrace.functions.expressions import evaluate
 from millrace.functions.latex import expression
 from millrace.functions.numbers import format_output, outputs_match
 from millrace.functions.text import build_prompt, extract_code
-from millrace.operators import sandbox, scoring
+from millrace.operators import calculus, sandbox, scoring
 
 
 def complete(prompts: DataFrame, make_backend: Callable[[], Callable[[str], str]]) -> DataFrame:
@@ -63,10 +63,11 @@ def symbolic_check(problems: DataFrame) -> DataFrame:
     """(task_id, status, n_cases, n_passed): truth expressions against the cases' outputs.
 
     problems(task_id, sympy_exp, test_cases). status is empty, parse error, undefined (at some case) or evaluated; only
-    evaluated rows can pass.
+    evaluated rows can pass. Integral, Sum, Product and Derivative are evaluated as rows, see calculus.values.
     """
     cases = problems.select("task_id", "sympy_exp", F.explode("test_cases").alias("c"))
-    done = cases.select("task_id", F.col("c.output").alias("expected"), evaluate(F.col("sympy_exp"), F.col("c.input")).alias("v"))
+    cases = cases.select("task_id", "sympy_exp", F.col("c.output").alias("expected"), F.col("c.input").alias("input"))
+    done = calculus.values(cases, "sympy_exp", "input").select("task_id", "expected", "v")
     im = F.when(F.col("v.im") != 0, F.concat(F.when(F.col("v.im") > 0, "+").otherwise(""), F.col("v.im").cast("string"), F.lit("j"))).otherwise("")
     ok = outputs_match(F.concat(F.col("v.re").cast("string"), im), F.col("expected"))
     worst = F.min_by("v.status", F.element_at(F.create_map(*[x for k, s in enumerate(("parse error", "empty", "undefined", "evaluated")) for x in (F.lit(s), F.lit(k))]), F.col("v.status")))

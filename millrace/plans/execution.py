@@ -74,6 +74,33 @@ def symbolic_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.symbolic_check(_parts(spark, sf_dir))
 
 
+def _calculus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose truths hold calculus, at the part's size and price; some truths are wrong, undefined or unreadable."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
+    k, x, y = F.col("p_partkey"), F.col("p_size").cast("double"), F.col("p_retailprice").cast("double") / 1000
+    said = (
+        ("Integral(2*t + y, (t, 0, x))", x * x + x * y),
+        ("Sum(k**2 + y, (k, 1, x))", x * (x + 1) * (2 * x + 1) / 6 + x * y),
+        ("Product(y*k/(k + 1), (k, 1, 3)) + x", y * y * y / 4 + x),
+        ("Derivative(sin(t*y)*t, t) + Derivative(x**3*y, (x, 2))", F.sin(y) + y * F.cos(y) + 6 * x * y),
+        ("Integral(exp(-y*t), (t, 0, oo))", 1 / y),
+        ("Sum(1, (k, 1, Sum(j, (j, 1, 3))))*y", 6 * y),
+        ("Integral(y/(t - x/2), (t, 0, x))", y),
+        ("Integral(2*t + y, t)", x * x),
+        ("Integral(t*y, (t, 0, x))", x * x * y),
+        ("Integral(1/sqrt(t), (t, 0, y)) + Sum(k, (k, 3, 2))", 2 * F.sqrt(y)),
+    )
+    e, out = F.lit(None), F.lit(None)
+    for i, (text, value) in enumerate(said):
+        e, out = F.when(k % len(said) == i, text).otherwise(e), F.when(k % len(said) == i, value).otherwise(out)
+    case = F.struct(F.create_map(F.lit("x_val"), x.cast("string"), F.lit("y"), y.cast("string"), F.lit("t"), F.lit("1")).alias("input"), out.cast("string").alias("output"))
+    return p.select(k.cast("string").alias("task_id"), e.alias("sympy_exp"), F.array(case).alias("test_cases"))
+
+
+def calculus_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.symbolic_check(_calculus(spark, sf_dir))
+
+
 def trivial_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _parts(spark, sf_dir).select("task_id", F.col("floor_cases").alias("test_cases"))
     return scoring.summary(scoring.per_problem(models.trivial_floor(rows))).select("n_problems", "problems_passed", "cases_passed")
@@ -151,11 +178,13 @@ _VIEW = """WITH p AS (SELECT s_suppkey AS k FROM supplier),
     k % 13 NOT IN (5, 6, 8) AND k % 3 <> 1 AS coded, k % 19 = 2 AS truth_fails, k % 13 = 5 AS bare, k % 13 = 6 AS unreadable, k % 13 = 8 AS nowhere FROM p)"""
 _ORACLE_REASON = """CASE WHEN code = 'empty' THEN 'empty solution' WHEN code = 'unsafe' THEN 'import of os' WHEN coded AND truth_fails THEN 'truth code failed to run'
     WHEN bare OR unreadable THEN 'no truth to compare with' WHEN code = 'fails' THEN 'candidate failed to run' WHEN nowhere THEN NULL WHEN code = 'bad' THEN 'mismatch with the truth' END"""
-QUERIES = {f.__name__: f for f in (sandbox_exec, oracle_verify, curated, rewards, symbolic_truth, trivial_floor, latex_baseline, generate_verified, resampled_cases, verified_stream, model_benchmark, dataset_checks)}
+QUERIES = {f.__name__: f for f in (sandbox_exec, oracle_verify, curated, rewards, symbolic_truth, calculus_truth, trivial_floor, latex_baseline, generate_verified, resampled_cases, verified_stream, model_benchmark, dataset_checks)}
 #: The wrong and unsafe solutions are known, so the verdicts are too.
 ORACLES = {
     "symbolic_truth": """SELECT CAST(p_partkey AS VARCHAR) AS task_id, CASE p_partkey % 11 WHEN 0 THEN 'empty' WHEN 1 THEN 'parse error' WHEN 2 THEN 'undefined' ELSE 'evaluated' END AS status,
         2::BIGINT AS n_cases, CASE WHEN p_partkey % 11 > 3 THEN 2 ELSE 0 END::BIGINT AS n_passed FROM part""",
+    "calculus_truth": """SELECT CAST(p_partkey AS VARCHAR) AS task_id, CASE p_partkey % 10 WHEN 5 THEN 'parse error' WHEN 6 THEN 'undefined' WHEN 7 THEN 'parse error' ELSE 'evaluated' END AS status,
+        1::BIGINT AS n_cases, CASE WHEN p_partkey % 10 IN (5, 6, 7, 8) THEN 0 ELSE 1 END::BIGINT AS n_passed FROM part""",
     "trivial_floor": "SELECT count(*) AS n_problems, count(*) FILTER (p_partkey % 3 = 0) AS problems_passed, 2 * count(*) FILTER (p_partkey % 3 = 0) AS cases_passed FROM part",
     "latex_baseline": "SELECT count(*) AS n_problems, count(*) FILTER (p_partkey % 7 IN (0, 1, 4, 5)) AS problems_passed, 2 * count(*) FILTER (p_partkey % 7 IN (0, 1, 4, 5)) AS cases_passed FROM part",
     "generate_verified": f"""WITH r AS ({generation._each(GUARDED, lambda n: f"SELECT '{n}' AS family, i, latex FROM texts WHERE i IN (SELECT i FROM cases)")}),

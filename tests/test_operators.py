@@ -1,7 +1,9 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import bootstrap, contamination, dedup, gates, generators, sampling, sandbox, scoring, trees, verify
+from millrace.operators import bootstrap, calculus, contamination, dedup, gates, generators, sampling, sandbox, scoring, trees, verify
 
 
 def problems(spark, rows):
@@ -294,3 +296,25 @@ def test_gates_find_a_wrong_truth():
     """What can be checked is; a truth that doesn't belong to its text is found, here by values."""
     ode = dict((t.kind, t) for t in generators.FAMILIES["differential_c1"].templates)
     assert len(gates.checkable("derivative", generators.FAMILIES["derivative"])) == 18 and "second" in ode and gates.sides("limits", generators.FAMILIES["limits"].templates[0]) is None
+
+
+def test_calculus_in_truths(spark):
+    said = [
+        ("Integral(2*t, (t, 0, x))", {"x_val": "3"}, 9), ("Integral(t, (t, x, 0))", {"x": "2"}, -2), ("Integral(exp(-t**2), (t, -oo, oo))", {}, math.pi**0.5), ("Integral(exp(t), (t, -oo, 0))", {}, 1),
+        ("Integral(x*y, (x, 0, 1), (y, 0, 2))", {}, 1), ("Integral(1/sqrt(t), (t, 0, 4))", {}, 4), ("Integral(I*t, (t, 0, 2))", {}, 2j), ("Integral(1/t, (t, -1, 1))", {}, "undefined"),
+        ("Sum(k, (k, 1, n)) + 1", {"n": "10000"}, 50005001), ("Sum(k, (k, 5, 4))", {}, 0), ("Product(k, (k, 1, n))", {"n": "5"}, 120), ("Product(I*k, (k, 1, 3))", {}, -6j), ("Product(k, (k, 2, 1))", {}, 1),
+        ("Sum(1/k, (k, 0, 3))", {}, "undefined"), ("Sum(1/k, (k, 1, oo))", {}, "undefined"), ("Sum(k, (k, 1, 2.5))", {}, "undefined"), ("Sum(x, (x, 1, 3)) + x", {"x": "10"}, 16),
+        ("Derivative(x**3, x)", {"x_value": "2"}, 12), ("Derivative(sin(x), (x, 2))", {"x": "1"}, -math.sin(1)), ("Derivative(x**2*y, x, y)", {"x": "3", "y": "5"}, 6), ("Derivative(log(x), x)", {"x": "0.1"}, 10),
+        ("Derivative(Abs(x), x)", {"x": "0"}, 0), ("Derivative(1/x, x)", {"x": "0"}, "undefined"), ("Derivative(Abs(x), (x, 2))", {"x": "0"}, "undefined"), ("Derivative(x**2, x)", {"y": "1"}, "undefined"), ("Integral(Sum(t**k, (k, 0, 3)), (t, 0, 1))", {}, 25 / 12),
+        ("Integral(t, t)", {"t": "1"}, "parse error"), ("Sum(", {}, "parse error"), ("Sum(k, (k, 1, Sum(j, (j, 1, 3))))", {}, "parse error"), ("Sum(Sum(Sum(i, (i, 1, 2)), (j, 1, 2)), (k, 1, 2))", {}, "undefined"),
+        ("Integral(t, (t, 0, 2))", None, 2), ("x + 1", {"x": "1", "z": None}, 2), ("", {}, "empty"), (None, {}, "empty"), ("Sum(k, (k, 1, n))", {"n": "4", "z": None}, 10),
+    ]
+    rows = [(i, t, m, "kept") for i, (t, m, _) in enumerate(said)]
+    df = spark.createDataFrame(rows + rows[:9], "i int, text string, given map<string,string>, row string")
+    got = calculus.values(df, "text", "given").collect()
+    assert len(got) == len(rows) + 9 and {r.row for r in got} == {"kept"}
+    for r in got:
+        text, _, want = said[r.i]
+        assert (r.v.status == want) if isinstance(want, str) else abs(complex(r.v.re, r.v.im) - want) <= 1e-7 * max(1, abs(want)), (text, r.v)
+    assert calculus.values(df.limit(0), "text", "given").count() == 0
+    assert abs(sum(w * o**3 for w, o in zip(calculus.stencil(3), range(-4, 5), strict=True)) - 6) < 1e-12
