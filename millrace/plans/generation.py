@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import latex
 from millrace.functions.expressions import evaluate
-from millrace.operators import gates, trees, user_families
+from millrace.operators import gates, matrices, trees, user_families
 from millrace.operators import generators as g
 from millrace.plans.tables import table
 
@@ -146,6 +147,45 @@ def user_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user_families.generate(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i")), "collatz", SEED)
 
 
+def matrix_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact scalars of matrices up to 4 by 4, whole and rational, over the part keys."""
+    made = matrices.generate(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i")), SEED)
+    return made.select("task_id", "kind", "size", "latex", F.round("expected", 5).alias("expected"))
+
+
+def _leibniz(cell: str) -> str:
+    """SQL of a 4 by 4 determinant as the sum over permutations; cell has {r} and {c}."""
+    sign = lambda p: "-" if sum(p[i] > p[j] for i in range(4) for j in range(i + 1, 4)) % 2 else "+"
+    return " ".join(f"{sign(p)} {' * '.join(cell.format(r=r, c=c) for r, c in enumerate(p))}" for p in permutations(range(4)))
+
+
+def _matrix_sql() -> str:
+    """matrix_problems() by other routes: determinants as sums over permutations, of matrices filled up to 4 by 4 with ones on the diagonal, inverses by Cramer's rule, a cubic's discriminant by its formula."""
+    md5 = lambda what, at: f"CAST('0x' || substr(md5('{SEED}:matrices:{what}:' || {at}), 1, 8) AS BIGINT)"
+    whole = lambda what, low, high, at="i": f"({low} + CAST({md5(what, at)} % {high - low + 1} AS INT))"
+    at = "i || ':' || r || ':' || c"
+    entry = f"CASE WHEN rational AND {whole('part', 0, 1, at)} = 0 THEN {whole('up', -4, 4, at)} * (12 // {whole('down', 2, 4, at)}) ELSE {whole('whole', -6, 6, at)} * 12 END::BIGINT"
+    filled = [f"CASE WHEN {max(r, c)} < size THEN m[{r + 1}][{c + 1}] ELSE {int(r == c)} END AS e{r}{c}" for r in range(4) for c in range(4)]
+    text = "CASE WHEN v % 12 = 0 THEN CAST(v // 12 AS VARCHAR) ELSE CASE WHEN v < 0 THEN '-' ELSE '' END || '\\frac{' || abs(v) // gcd(v, 12) || '}{' || 12 // gcd(v, 12) || '}' END"
+    tied = "CASE WHEN {c} = rw THEN CASE WHEN {r} = cl THEN 1 ELSE 0 END ELSE e{r}{c} END"
+    less = "CASE WHEN greatest({r}, {c}) < size THEN CASE WHEN {r} = {c} THEN lam * 12 ELSE 0 END - e{r}{c} ELSE e{r}{c} END"
+    a, b, c, d = "e00 // 12 + 7", "e01 // 12", "e10 // 12", "e11 // 12"
+    return rf"""
+WITH p AS (SELECT p_partkey AS i, ['det', 'trace', 'inverse', 'charpoly', 'norm', 'discriminant'][{whole('kind', 1, 6, 'p_partkey')}] AS kind, CAST([2, 2, 3, 3, 4][{whole('size', 1, 5, 'p_partkey')}] AS INT) AS size FROM part),
+q AS (SELECT *, {whole('rational', 1, 5)} <= 2 AND kind <> 'discriminant' AND NOT (kind = 'inverse' AND size = 4) AS rational, {whole('row', 0, 11)} % size AS rw, {whole('column', 0, 11)} % size AS cl, {whole('lambda', 0, 2)} AS lam FROM p),
+w AS (SELECT *, list_transform(range(size), lambda r: list_transform(range(size), lambda c: {entry})) AS m FROM q),
+e AS (SELECT *, {', '.join(filled)} FROM w),
+f AS (SELECT *, {_leibniz('e{r}{c}')} AS det, '\begin{{pmatrix}}' || array_to_string(list_transform(m, lambda row: array_to_string(list_transform(row, lambda v: {text}), ' & ')), ' \\ ') || '\end{{pmatrix}}' AS said,
+  {a} AS ca, {b} AS cb, {c} AS cc, {d} AS cd FROM e),
+g AS (SELECT *, CASE kind WHEN 'det' THEN CASE WHEN det <> 0 THEN det / power(12.0::DOUBLE, size) END WHEN 'trace' THEN list_sum(list_transform(range(size), lambda k: m[k + 1][k + 1])) / 12.0::DOUBLE
+    WHEN 'inverse' THEN CASE WHEN det <> 0 THEN 12.0::DOUBLE * ({_leibniz(tied)}) / det END WHEN 'charpoly' THEN ({_leibniz(less)}) / power(12.0::DOUBLE, size)
+    WHEN 'norm' THEN list_sum(list_transform(flatten(m), lambda v: v * v)) / 144.0::DOUBLE ELSE cb * cb * cc * cc - 4 * ca * cc * cc * cc - 4 * cb * cb * cb * cd - 27 * ca * ca * cd * cd + 18 * ca * cb * cc * cd END AS expected,
+  CASE kind WHEN 'det' THEN '\det\left(' || said || '\right)' WHEN 'trace' THEN '\operatorname{{tr}}\left(' || said || '\right)' WHEN 'inverse' THEN '\left(' || said || '\right)^{{-1}}_{{' || rw + 1 || ',' || cl + 1 || '}}'
+    WHEN 'charpoly' THEN '\operatorname{{charpoly}}\left(' || said || '\right)\left(' || lam || '\right)' WHEN 'norm' THEN '\left\Vert ' || said || ' \right\Vert_{{F}}^{{2}}'
+    ELSE '\operatorname{{disc}}\left((' || ca || ')x^3 + (' || cb || ')x^2 + (' || cc || ')x + (' || cd || ')\right)' END AS latex FROM f)
+SELECT 'matrix_' || i AS task_id, kind, size, latex, round(expected, 5) AS expected FROM g WHERE abs(expected) <= 1e6"""
+
+
 def _each(names: tuple[str, ...], what, keys: str = "supplier", key: str = "s_suppkey") -> str:
     """A union of what(name) over CTEs of each family."""
     return " UNION ALL ".join(f"SELECT * FROM (WITH {sampled_sql(n, keys, key)}, {texts_sql(n)} {what(n)}) f" for n in names)
@@ -155,10 +195,11 @@ def _kinds(kinds: list[str]) -> str:
     return ", ".join(f"'{k}'" for k in kinds)
 
 
-QUERIES = {f"family_{n}": partial(family, name=n) for n in g.FAMILIES} | {"generated_problems": generated_problems, "sampled_inputs": partial(family, name=SAMPLING), "notation_readback": notation_readback, "gated_truths": gated_truths, "user_family": user_family}
+QUERIES = {f"family_{n}": partial(family, name=n) for n in g.FAMILIES} | {"generated_problems": generated_problems, "sampled_inputs": partial(family, name=SAMPLING), "notation_readback": notation_readback, "gated_truths": gated_truths, "user_family": user_family, "matrix_problems": matrix_problems}
 ORACLES = {f"family_{n}": sql(n) for n in g.FAMILIES} | {
     "generated_problems": f"SELECT f AS slice, count(*) AS n_problems, CAST(sum(n) AS BIGINT) AS n_cases FROM ({_each(('geometry', 'sequences'), lambda n: f"SELECT '{n}' AS f, c.i, variant, count(*) AS n FROM cases c JOIN texts USING (i) GROUP BY c.i, variant")}) q GROUP BY f",
     "sampled_inputs": sql(SAMPLING),
+    "matrix_problems": _matrix_sql(),
     "notation_readback": f"SELECT f AS family, kind, count(*) AS n_notations, count(*) AS n_agree FROM ({_each(READABLE, lambda n: f"SELECT '{n}' AS f, kind FROM cases c JOIN texts USING (i) WHERE case_index = 0 AND kind IN ({_kinds(read_kinds(n))})")}) q GROUP BY f, kind",
     "user_family": f"""WITH RECURSIVE walk(i, start, n, k, top) AS (
         SELECT p_partkey, p_partkey + {SEED}, p_partkey + {SEED}, 0, p_partkey + {SEED} FROM part

@@ -1,9 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import bootstrap, calculus, contamination, dedup, gates, generators, sampling, sandbox, scoring, trees, verify
+from millrace.operators import bootstrap, calculus, contamination, dedup, gates, generators, matrices, sampling, sandbox, scoring, trees, verify
 
 
 def problems(spark, rows):
@@ -318,3 +319,28 @@ def test_calculus_in_truths(spark):
         assert (r.v.status == want) if isinstance(want, str) else abs(complex(r.v.re, r.v.im) - want) <= 1e-7 * max(1, abs(want)), (text, r.v)
     assert calculus.values(df.limit(0), "text", "given").count() == 0
     assert abs(sum(w * o**3 for w, o in zip(calculus.stencil(3), range(-4, 5), strict=True)) - 6) < 1e-12
+
+
+def test_matrices_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    ms = [rng.integers(-3, 4, (n, n)).tolist() for n in (1, 2, 3, 4, 5) for _ in range(12)] + [[[0, 1], [1, 0]], [[0, 0], [0, 0]], [[0, 2, 1], [0, 1, 3], [4, 0, 0]]]
+    df = spark.createDataFrame(list(enumerate(ms)), "i int, m array<array<bigint>>")
+    m, last = F.col("m"), F.size("m") - 1
+    for r in df.select("i", matrices.determinant(m).alias("det"), matrices.characteristic(m).alias("poly"), matrices.cofactor(m, F.lit(0), last).alias("cofactor"), matrices.trace(m).alias("trace")).collect():
+        a = np.array(ms[r.i], float)
+        n = len(a)
+        assert (r.det, r.trace) == (round(np.linalg.det(a)), a.trace()) and np.allclose(r.poly, np.poly(a), atol=1e-6)
+        assert n == 1 or r.cofactor == round((-1) ** (n - 1) * np.linalg.det(np.delete(a[1:], n - 1, 1)))
+    odd = spark.createDataFrame([(None,), ([],)], "m array<array<bigint>>")
+    assert [r.d for r in odd.select(matrices.determinant(m).alias("d")).collect()] == [None, 1]
+    huge = spark.createDataFrame([([[2**40, 1], [1, 2**40]],)], "m array<array<bigint>>")
+    with pytest.raises(Exception, match="OVERFLOW"):
+        huge.select(matrices.determinant(m)).collect()
+
+
+def test_resultants(spark):
+    rows = [([1, 0, -1], [1, -1], 0), ([1, 0, -1], [1, -3], 8), ([2, 3], [5], 5), ([5], [2, 3], 5), ([1, -3, 2], [1, 1, 1], 21)]
+    df = spark.createDataFrame(rows, "p array<bigint>, q array<bigint>, want bigint")
+    assert all(r.got == r.want for r in df.select("want", matrices.resultant(F.col("p"), F.col("q")).alias("got")).collect())
+    cubics = spark.createDataFrame([([1, 5, 6], 1), ([1, 2, 3, 4], -200), ([2, 3], 1), ([1, -6, 12, -8], 0)], "p array<bigint>, want bigint")
+    assert all(r.got == r.want for r in cubics.select("want", matrices.discriminant(F.col("p")).alias("got")).collect())
