@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import hash_uniform
-from millrace.operators import contamination, dedup, sampling
+from millrace.operators import contamination, dedup, sampling, training_mixture
 from millrace.plans.tables import table
 from millrace.streaming import resume
 
@@ -53,6 +53,38 @@ def mixture_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.mixture(docs.where("lang = 'en'"), docs.where("lang <> 'en'"), 0.3, 120, "lang", shares, "doc_id", SEED)
 
 
+SLICES = [*training_mixture.SHARES, *training_mixture.GATED_SHARES, "complex", "other"]
+
+
+def mixture_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third as many rows as there are orders, from the main split (every fourth order) and generated ones, without and with the gated slices."""
+    o = table(spark, sf_dir, "orders", "o_orderkey")
+    k = F.col("o_orderkey")
+    case = F.struct(F.create_map(F.lit("x"), F.lit("0")).alias("input"), F.floor(k / 4).cast("string").alias("output"))
+    rows = o.select(k.cast("string").alias("task_id"), F.concat(F.lit("x + "), F.floor(k / 2).cast("string")).alias("latex_expression"), F.element_at(F.array(*map(F.lit, SLICES)), (k % len(SLICES)).cast("int") + 1).alias("slice"), k.alias("row_no"), F.array(case).alias("test_cases"))
+    rows = rows.withColumn("gated", F.when(F.col("slice").isin(*training_mixture.GATED_SHARES), True))
+    main, made, n = rows.where("row_no % 4 = 0").drop("slice", "gated"), rows.where("row_no % 4 <> 0"), o.count() // 3
+    frozen = rows.select(F.concat(F.lit("y + "), "task_id").alias("latex_expression"))
+    mixed = [training_mixture.training_mixture(main, made, frozen, n, SEED, gated).select(F.lit(gated).alias("include_gated"), "task_id", "slice") for gated in (False, True)]
+    return mixed[0].union(mixed[1])
+
+
+def _mixture_sql() -> str:
+    names, gated = ", ".join(f"'{s}'" for s in SLICES), ", ".join(f"'{s}'" for s in training_mixture.GATED_SHARES)
+    shares = ", ".join(f"({str(g).lower()}, '{s}', {v})" for g in (False, True) for s, v in training_mixture.slice_shares(g).items())
+    return f"""WITH n AS (SELECT count(*) // 3 AS n FROM orders),
+        o AS (SELECT CAST(o_orderkey AS VARCHAR) AS task_id, o_orderkey AS k, o_orderkey // 2 AS latex, o_orderkey // 4 AS output, ([{names}])[o_orderkey % {len(SLICES)} + 1] AS slice FROM orders),
+        a AS (SELECT task_id FROM o WHERE k % 4 = 0 ORDER BY md5('{SEED}:' || task_id), task_id LIMIT (SELECT CAST(round_even(n * {training_mixture.MAIN_SHARE}::DOUBLE, 0) AS BIGINT) FROM n)),
+        w AS (SELECT n - (SELECT count(*) FROM a) AS want FROM n),
+        d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY latex, output ORDER BY k) AS place FROM o WHERE k % 4 <> 0 AND latex NOT IN (SELECT latex FROM o WHERE k % 4 = 0)) q WHERE place = 1),
+        c AS (SELECT g AS include_gated, task_id, slice FROM d, (VALUES (false), (true)) v(g) WHERE g OR slice NOT IN ({gated})),
+        p AS (SELECT include_gated, task_id, c.slice FROM (SELECT *, row_number() OVER (PARTITION BY include_gated, slice ORDER BY md5('{SEED}:' || task_id), task_id) AS place FROM c) c
+          JOIN (VALUES {shares}) s(g, slice, share) ON s.g = include_gated AND s.slice = c.slice, w WHERE place <= round_even(want * CAST(share AS DOUBLE), 0)),
+        l AS (SELECT include_gated, task_id, slice, row_number() OVER (PARTITION BY include_gated ORDER BY md5('{SEED}-fill:' || task_id), task_id) AS place FROM c ANTI JOIN p USING (include_gated, task_id)),
+        f AS (SELECT l.include_gated, task_id, slice FROM l, w WHERE place <= want - (SELECT count(*) FROM p WHERE p.include_gated = l.include_gated))
+        SELECT g AS include_gated, task_id, NULL AS slice FROM a, (VALUES (false), (true)) v(g) UNION ALL SELECT * FROM p UNION ALL SELECT * FROM f"""
+
+
 def shard_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.shard_ranges(table(spark, sf_dir, "orders", "o_orderkey"), 7, "o_orderkey")
 
@@ -93,7 +125,7 @@ def checkpoint_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resume.pending(e, e.where("event_id % 4 = 1"), "event_id")
 
 
-QUERIES = {f.__name__: f for f in (dedup_keep_first, dedup_composite, keyed_union_last_wins, variant_ids, stratified_split, exact_sample_hash, head_offset, mixture_by_slice, shard_ranges, weighted_kinds, contamination_substring, contamination_exact_anti, leak_filter, complete_rows, checkpoint_resume)}
+QUERIES = {f.__name__: f for f in (dedup_keep_first, dedup_composite, keyed_union_last_wins, variant_ids, stratified_split, exact_sample_hash, head_offset, mixture_by_slice, mixture_shares, shard_ranges, weighted_kinds, contamination_substring, contamination_exact_anti, leak_filter, complete_rows, checkpoint_resume)}
 
 _H = "md5('42:' || {0})"
 ORACLES = {
@@ -117,6 +149,7 @@ ORACLES = {
         f AS (SELECT doc_id, lang FROM documents WHERE lang <> 'en' AND doc_id NOT IN (SELECT doc_id FROM p)
               ORDER BY md5('42-fill:' || doc_id), doc_id LIMIT (SELECT 84 - count(*) FROM p))
         SELECT * FROM a UNION ALL SELECT * FROM p UNION ALL SELECT * FROM f""",
+    "mixture_shares": _mixture_sql(),
     "shard_ranges": "SELECT o_orderkey, CAST(ntile(7) OVER (ORDER BY o_orderkey) AS INT) AS worker FROM orders",
     "weighted_kinds": """SELECT p_partkey, CASE WHEN u < 0.35 THEN 'vieta' WHEN u < 0.6 THEN 'coefficient' WHEN u < 0.8 THEN 'discriminant' ELSE 'resultant' END AS kind
         FROM (SELECT p_partkey, CAST('0x' || substr(md5('42:' || p_partkey), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM part) q""",

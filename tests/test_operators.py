@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import bootstrap, calculus, contamination, dedup, gates, generators, matrices, sampling, sandbox, scoring, trees, verify
+from millrace.operators import bootstrap, calculus, contamination, dedup, gates, generators, matrices, sampling, sandbox, scoring, training_mixture, trees, verify
 
 
 def problems(spark, rows):
@@ -344,3 +344,29 @@ def test_resultants(spark):
     assert all(r.got == r.want for r in df.select("want", matrices.resultant(F.col("p"), F.col("q")).alias("got")).collect())
     cubics = spark.createDataFrame([([1, 5, 6], 1), ([1, 2, 3, 4], -200), ([2, 3], 1), ([1, -6, 12, -8], 0)], "p array<bigint>, want bigint")
     assert all(r.got == r.want for r in cubics.select("want", matrices.discriminant(F.col("p")).alias("got")).collect())
+
+
+def test_training_mixture(spark):
+    made_schema = "task_id string, latex_expression string, slice string, gated boolean, row_no long, test_cases array<struct<input:map<string,string>,output:string>>"
+    case = lambda out: [({"x": "1"}, out)]
+    slices = [*training_mixture.SHARES, *training_mixture.GATED_SHARES, None]
+    made = spark.createDataFrame([(f"g{i}", f"y + {i}", slices[i % len(slices)], slices[i % len(slices)] in training_mixture.GATED_SHARES or None, i, case("1")) for i in range(2000)], made_schema)
+    main = spark.createDataFrame([(f"m{i}", f"x + {i}", f"tag{i}") for i in range(300)], "task_id string, latex_expression string, tag string")
+    none = main.limit(0)
+    for gated in (False, True):
+        assert abs(sum(training_mixture.slice_shares(gated).values()) - 1) < 1e-9
+        got = training_mixture.training_mixture(main, made, none, 400, "1", gated).collect()
+        assert len(got) == len({r.task_id for r in got}) == 400 and sum(r.task_id[0] == "m" for r in got) == 260
+        assert [r.task_id for r in got] == [r.task_id for r in training_mixture.training_mixture(main, made.repartition(7), none, 400, "1", gated).collect()]
+        quota = {name: round(140 * share) for name, share in training_mixture.slice_shares(gated).items()}
+        over = max(0, sum(quota.values()) - 140)  # what rounding gives too many is cut
+        assert sum(max(0, q - sum(r.slice == name for r in got)) for name, q in quota.items()) == over
+        assert gated or not any(r.gated for r in got)
+    short = training_mixture.training_mixture(main.limit(10), made.limit(50), none, 400, "1", True).count()
+    assert short == 60 and training_mixture.training_mixture(none, made.limit(0), none, 10, "1").count() == 0
+    with pytest.raises(ValueError, match="contaminated"):
+        training_mixture.training_mixture(main, made, main, 400, "1")
+    rows = [("a", "t", "ode", None, 1, case("1")), ("b", "t", "ode", None, 0, case("1")), ("c", "t", "ode", None, 2, case("2")), ("d", "x + 3", "ode", None, 3, case("1")), ("e", "u", "sets", True, 4, case("1")), ("f", None, "ode", False, 5, None)]
+    few = spark.createDataFrame(rows, made_schema)
+    assert {r.task_id for r in training_mixture.candidates(main, few).collect()} == {"b", "c", "f"}
+    assert {r.task_id for r in training_mixture.candidates(main, few, True).collect()} == {"b", "c", "e", "f"}
