@@ -95,6 +95,10 @@ def _bell(n: int) -> list[int]:
 
 
 _LIST = "list_filter(range(1, m + 1), lambda d: m % d = 0)"
+#: Ai(0) and -Ai'(0), and the two solutions of y'' = x y that start with 1 and with x.
+_AIRY_AI, _AIRY_SLOPE = (repr(3 ** (-p / 3) / math.gamma(p / 3)) for p in (2, 1))
+_AIRY_EVEN, _AIRY_ODD = (f"{first} * sum(prod(x * x * x / ((3.0 * j + {d}) * (3.0 * j + {d + 1})) for j in range(0, k)) for k in range(0, 25))" for first, d in (("1.0", 2), ("x", 3)))
+_AIRY_SQL = "list_sum(list_transform(range(0, 61), lambda k: gamma((k + 1) / 3.0::DOUBLE) / gamma(k + 1.0::DOUBLE) * power(cbrt(3.0) * x, k) * {1})) / (pi() * power(3.0, {0}))"
 _CHOOSE = "factorial({0}) / (factorial({1}) * factorial({0} - {1}))"
 
 FAMILIES: dict[str, Family] = {
@@ -377,6 +381,9 @@ FAMILIES: dict[str, Family] = {
         T("erf", r"\operatorname{erf}(x)", "aggregate(sequence(1, 70), named_struct('t', x, 's', x), (z, k) -> named_struct('t', z.t * (-x * x) / k, 's', z.s + z.t * (-x * x) / k / (2 * k + 1))).s * 2 / sqrt(pi())", other="exp(-x * x) * list_sum(list_transform(range(0, 60), lambda k: power(x, 2 * k + 1) / gamma(k + 1.5)))"),
         T("bessel_j0", r"J_0(x)", "aggregate(sequence(1, 30), named_struct('t', 1.0D, 's', 1.0D), (z, k) -> named_struct('t', z.t * (-x * x / 4) / (k * k), 's', z.s + z.t * (-x * x / 4) / (k * k))).s", other="list_sum(list_transform(range(0, 30), lambda k: power(-1, k) * power(x / 2, 2 * k) / power(gamma(k + 1), 2)))"),
         T("bessel_j1", r"J_1(x)", "aggregate(sequence(1, 30), named_struct('t', x / 2, 's', x / 2), (z, k) -> named_struct('t', z.t * (-x * x / 4) / (k * (k + 1)), 's', z.s + z.t * (-x * x / 4) / (k * (k + 1)))).s", other="list_sum(list_transform(range(0, 30), lambda k: power(-1, k) * power(x / 2, 2 * k + 1) / gamma(k + 1) / gamma(k + 2)))"),
+        # SQL takes the expansion in gamma values instead.
+        T("airy_ai", r"\operatorname{Ai}(x)", f"{_AIRY_AI} * {_AIRY_EVEN} - {_AIRY_SLOPE} * {_AIRY_ODD}", other=_AIRY_SQL.format("2.0 / 3", "sin(2 * pi() * (k + 1) / 3)")),
+        T("airy_bi", r"\operatorname{Bi}(x)", f"sqrt(3.0) * ({_AIRY_AI} * {_AIRY_EVEN} + {_AIRY_SLOPE} * {_AIRY_ODD})", other=_AIRY_SQL.format("1.0 / 6", "abs(sin(2 * pi() * (k + 1) / 3))")),
     ], {"n": (3, 6)}, True),
     "stats_moments": Family("stats", [
         T("uniform_mean", r"E[U(<a>, <a> + <b>)]", "a + b / 2.0D", other="a + b / 2.0"),
