@@ -16,20 +16,22 @@ from millrace.streaming import resume
 
 GOOD = "def calculate(x_val, y=1.0):\n    return x_val ** 2 + y\n"
 BAD = "def calculate(x_val, y=1.0):\n    return x_val ** 2 - y\n"
+#: Wrong by half or more at every whole number, so that no tolerance hides it at large ones.
+WRONG = "def calculate(x_val, y=1.0):\n    return 2 * x_val ** 2 - y\n"
 UNSAFE = "import os\ndef calculate(x_val):\n    return os.getpid()\n"
 FAILS = "def calculate(x_val):\n    return x_val / 0\n"
 LONG = "def calculate(x_val, y=1.0):\n    return x_val ** 2 + y + 0 - 0 + 0\n"
 
 
-def _problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _problems(spark: SparkSession, sf_dir: str, bad: str = WRONG) -> DataFrame:
     """A problem a supplier: two cases of x^2 + 1, with good, wrong, unsafe, failing and empty solutions.
 
     The truth is code, an expression or both; it is missing, unreadable or nowhere defined for some.
     """
     k = F.col("k")
-    s = table(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").cast("int").alias("k"))
-    case = lambda v: F.struct(F.create_map(F.lit("x"), v.cast("string")).alias("input"), (v * v + 1).cast("double").cast("string").alias("output"))
-    code = F.when(k % 7 == 6, UNSAFE).when(k % 5 == 4, BAD).when(k % 11 == 7, FAILS).when(k % 17 == 3, "").otherwise(GOOD)
+    s = table(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").cast("long").alias("k"))
+    case = lambda v: F.struct(F.create_map(F.lit("x"), v.cast("string")).alias("input"), F.concat((v * v + 1).cast("string"), F.lit(".0")).alias("output"))
+    code = F.when(k % 7 == 6, UNSAFE).when(k % 5 == 4, bad).when(k % 11 == 7, FAILS).when(k % 17 == 3, "").otherwise(GOOD)
     none = (k % 13).isin(5, 6, 8)
     truth = F.when(none | (k % 3 == 1), "").when(k % 19 == 2, FAILS).otherwise(GOOD)
     exp = F.when(k % 13 == 5, "").when(k % 13 == 6, "x +* 2").when(k % 13 == 8, "log(x - x)").when(k % 3 == 0, "").otherwise("x**2 + 1")
@@ -37,7 +39,7 @@ def _problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sandbox_exec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sandbox.run_solutions(_problems(spark, sf_dir))
+    return sandbox.run_solutions(_problems(spark, sf_dir, BAD))
 
 
 def oracle_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +54,11 @@ def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three trajectories a task, good and bad ones side by side: one block; two blocks, of which the last counts; a final answer only; a longer block under a trace."""
     p, k = _problems(spark, sf_dir).withColumn("solution", F.lit(GOOD)), F.col("k")
     block = lambda c: F.concat(F.lit("try <execute>\n"), c, F.lit("</execute>"))
-    answer = F.concat(F.lit("so <final_answer>"), (k * k + (k % 8 == 2).cast("int")).cast("string"), F.lit("</final_answer>"))
-    said = F.when(k % 4 == 0, block(F.col("code"))).when(k % 4 == 1, F.concat(block(F.lit(BAD)), block(F.col("code")))).when(k % 4 == 2, answer)
+    answer = F.concat(F.lit("so <final_answer>"), F.when(k % 8 == 2, k * k + 1).otherwise(2 * k * k).cast("string"), F.lit("</final_answer>"))
+    said = F.when(k % 4 == 0, block(F.col("code"))).when(k % 4 == 1, F.concat(block(F.lit(WRONG)), block(F.col("code")))).when(k % 4 == 2, answer)
     t = p.select(F.when(k % 23 == 9, "nobody").otherwise(F.col("task_id")).alias("task_id"), said.alias("trajectory"), "code")
     t = t.select("task_id", F.coalesce("trajectory", F.concat(F.lit("Traceback: "), block(F.lit(LONG)))).alias("trajectory"))
-    more = [p.where(k % m == 0).select("task_id", block(F.lit(c)).alias("trajectory")) for m, c in ((1, GOOD), (2, BAD))]
+    more = [p.where(k % m == 0).select("task_id", block(F.lit(c)).alias("trajectory")) for m, c in ((1, GOOD), (2, WRONG))]
     return verify.rewards(t.union(more[0]).union(more[1]), p.drop("code", "k"))
 
 
