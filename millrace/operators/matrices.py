@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.generators import hashed
+from millrace.operators.generators import hashed, kept, spread
 
 #: The common denominator of rational entries, whose own denominators are 2, 3 and 4.
 UNIT = 12
@@ -35,24 +35,32 @@ def determinant(m: Column) -> Column:
     """
     whole = lambda a, b: F.call_function("div", a, b)
 
-    def step(state: Column, k: Column) -> Column:
-        rows, before = state["m"], state["before"]
+    def swap(s: Column, k: Column) -> Column:
+        rows = s["m"]
         found = F.array_min(F.filter(F.transform(rows, lambda row, i: F.when((i >= k) & (F.get(row, k) != 0), i)), lambda i: i.isNotNull()))
-        here = F.coalesce(found, k)
-        swapped = F.transform(rows, lambda row, i: F.when(i == k, F.get(rows, here)).when(i == here, F.get(rows, k)).otherwise(row))
-        return F.struct(swapped.alias("m"), before.alias("before"), F.when(found.isNull(), 0).when(found == k, state["sign"]).otherwise(-state["sign"]).alias("sign"))
+        return F.struct(rows.alias("m"), s["before"].alias("before"), s["sign"].alias("sign"), F.coalesce(found, F.lit(-1)).alias("at"), s["top"].alias("top"))
 
-    def clear(state: Column, k: Column) -> Column:
-        rows, before = state["m"], state["before"]
-        top = F.get(rows, k)
+    def take(s: Column, k: Column) -> Column:
+        rows, at = s["m"], s["at"]
+        swapped = F.when(at <= k, rows).otherwise(F.transform(rows, lambda row, i: F.when(i == k, F.get(rows, at)).when(i == at, F.get(rows, k)).otherwise(row)))
+        sign = F.when(at < 0, 0).when(at == k, s["sign"]).otherwise(-s["sign"])
+        return F.struct(swapped.alias("m"), s["before"].alias("before"), sign.alias("sign"), at.alias("at"), F.get(rows, F.greatest(at, F.lit(0))).alias("top"))
+
+    def clear(s: Column, k: Column) -> Column:
+        rows, before, top = s["m"], s["before"], s["top"]
         pivot = F.get(top, k)
         less = F.transform(rows, lambda row, i: F.when(i > k, F.transform(row, lambda v, j: whole(v * pivot - F.get(row, k) * F.get(top, j), before))).otherwise(row))
-        gone = state["sign"] == 0
-        return F.struct(F.when(gone, rows).otherwise(less).alias("m"), F.when(gone, F.lit(1).cast("long")).otherwise(pivot).alias("before"), state["sign"].alias("sign"))
+        return F.struct(less.alias("m"), pivot.alias("before"), s["sign"].alias("sign"), s["at"].alias("at"), top.alias("top"))
+
+    # Each step of the fold does one of the three, so that the next reads a value and not an expression written out wherever it is used.
+    def step(s: Column, n: Column) -> Column:
+        k, part = F.call_function("div", n, F.lit(3)).cast("int"), n % 3
+        return F.when(s["sign"] == 0, s).when(part == 0, swap(s, k)).when(part == 1, take(s, k)).otherwise(clear(s, k))
 
-    start = F.struct(m.alias("m"), F.lit(1).cast("long").alias("before"), F.lit(1).alias("sign"))
-    steps = F.when(F.size(m) > 0, F.sequence(F.lit(0), F.size(m) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(m.isNotNull(), F.aggregate(steps, start, lambda s, k: clear(step(s, k), k), lambda s: F.when(s["sign"] == 0, F.lit(0).cast("long")).otherwise(s["sign"] * s["before"])))
+    one, none = F.lit(1).cast("long"), F.array().cast("array<bigint>")
+    start = F.struct(m.alias("m"), one.alias("before"), F.lit(1).alias("sign"), F.lit(0).alias("at"), none.alias("top"))
+    steps = F.when(F.size(m) > 0, F.sequence(F.lit(0), 3 * F.size(m) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(m.isNotNull(), F.aggregate(steps, start, step, lambda s: F.when(s["sign"] == 0, F.lit(0).cast("long")).otherwise(s["sign"] * s["before"])))
 
 
 def cofactor(m: Column, i: Column, j: Column) -> Column:
@@ -111,15 +119,10 @@ def _entry(v: Column) -> Column:
     return F.when(down == 1, up.cast("string")).otherwise(F.concat(F.when(v < 0, "-").otherwise(""), F.lit(r"\frac{"), F.abs(up).cast("string"), F.lit("}{"), down.cast("string"), F.lit("}")))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df, its columns computed once: behind a generator they aren't written out again wherever they are used."""
-    return df.select(F.explode(F.array(F.struct("*"))).alias("o")).select("o.*")
-
-
 def objects(keys: DataFrame, seed: str = "0") -> DataFrame:
     """keys(i) with kind, size, m (entries times UNIT), row and column (of an inverse's entry), lambda; each a pure function of seed and i."""
     i, draw = F.col("i"), lambda what, low, high: hashed(seed, _NAME, what, F.col("i"), low, high)
-    df = keys.select(i.cast("long").alias("i"))
+    df = spread(keys.select(i.cast("long").alias("i")))
     df = df.withColumn("kind", F.element_at(F.array(*map(F.lit, KINDS)), draw("kind", 1, len(KINDS)))).withColumn("size", F.element_at(F.array(*map(F.lit, SIZES)), draw("size", 1, len(SIZES))))
     df = df.withColumn("rational", (draw("rational", 1, 5) <= 2) & (F.col("kind") != "discriminant") & ~((F.col("kind") == "inverse") & (F.col("size") == 4)))
     places = F.sequence(F.lit(0), F.col("size") - 1)
@@ -132,7 +135,7 @@ def objects(keys: DataFrame, seed: str = "0") -> DataFrame:
 
     at = lambda what: F.pmod(draw(what, 0, 11), F.col("size"))
     m = F.transform(places, lambda r: F.transform(places, lambda c: entry(r, c)))
-    return _kept(df.select("i", "kind", "size", m.alias("m"), at("row").alias("row"), at("column").alias("column"), draw("lambda", 0, 2).cast("long").alias("lambda")))
+    return kept(df.select("i", "kind", "size", m.alias("m"), at("row").alias("row"), at("column").alias("column"), draw("lambda", 0, 2).cast("long").alias("lambda")))
 
 
 def generate(keys: DataFrame, seed: str = "0") -> DataFrame:
@@ -141,7 +144,7 @@ def generate(keys: DataFrame, seed: str = "0") -> DataFrame:
     A discriminant is that of the cubic whose coefficients, over UNIT, open the matrix's rows: a + 7, b from its first, c, d from its second. Keys whose value is 0 for a determinant, undefined or
     beyond LIMIT give no row.
     """
-    df = _kept(objects(keys, seed).withColumn("det", determinant(F.col("m"))))
+    df = kept(objects(keys, seed).withColumn("det", determinant(F.col("m"))))
     m, n, unit = F.col("m"), F.col("size"), F.lit(float(UNIT))
     det = F.col("det")
     cell = lambda r, c: F.call_function("div", F.get(F.get(m, F.lit(r)), F.lit(c)), F.lit(UNIT).cast("long"))
@@ -162,4 +165,4 @@ def generate(keys: DataFrame, seed: str = "0") -> DataFrame:
         latex = F.when(F.col("kind") == kind, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in said[kind]])).otherwise(latex)
         expected = F.when(F.col("kind") == kind, value[kind]).otherwise(expected)
     made = df.select(F.concat(F.lit("matrix_"), "i").alias("task_id"), F.lit("matrix").alias("slice"), "kind", "size", latex.alias("latex"), expected.alias("expected"))
-    return _kept(made).where(F.abs("expected") <= LIMIT)
+    return kept(made).where(F.abs("expected") <= LIMIT)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import matrices
 from millrace.operators import generators as g
 from millrace.plans import generation
 
@@ -25,3 +26,10 @@ def test_blocks_find_the_points_of_the_plain_search(spark):
     df = g.sampled(g.objects(spark.range(60).withColumnRenamed("id", "i"), name, f, "11"), name, f, "11")
     counts = {r["_t"]: r["n"] for r in df.groupBy("_t").agg(F.count("*").alias("n")).collect()}
     assert counts[0] == counts[1] == counts[3] == 50 and 5 not in counts and 0 < counts[4] <= 50
+
+
+def test_determinant_steps_are_values(spark):
+    plan = spark.range(1).select(matrices.determinant(F.expr("array(array(2L, 1L), array(1L, 3L))")).alias("d"))
+    assert plan.first()[0] == 5
+    m = spark.range(1).selectExpr("transform(sequence(1, 4), r -> transform(sequence(1, 4), c -> CAST(r * c + id AS BIGINT))) AS m").select(matrices.determinant(F.col("m")).alias("d"))
+    assert m.first()[0] == 0 and m._jdf.queryExecution().analyzed().toString().count("lambdafunction") < 20
