@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import partial
 from itertools import permutations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,11 +19,18 @@ from millrace.plans.tables import table
 SEED = "11"
 
 
+def rounded(value: Column, digits: int = 5) -> Column:
+    """value rounded as SQL engines do doubles, half away from zero after scaling; Spark's round() goes by the shortest decimal text, which decides ties otherwise."""
+    scaled = F.abs(value) * F.lit(10.0**digits)
+    whole = F.floor(scaled) + F.when(scaled - F.floor(scaled) >= 0.5, 1).otherwise(0)
+    return F.when(value < 0, -whole.cast("double")).otherwise(whole.cast("double")) / F.lit(10.0**digits)
+
+
 def family(spark: SparkSession, sf_dir: str, name: str | tuple[str, g.Family]) -> DataFrame:
     """Rounded, as engines differ in the last digits of transcendental functions."""
     keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"))
     df = g.generate(keys, name, SEED, include_gated=True)
-    return df.select("task_id", "kind", "latex", "case_index", "x", "y", F.round("expected", 5).alias("expected"), F.round("expected_im", 5).alias("expected_im"))
+    return df.select("task_id", "kind", "latex", "case_index", "x", "y", rounded(F.col("expected")).alias("expected"), rounded(F.col("expected_im")).alias("expected_im"))
 
 
 def generated_problems(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """What the generated problems' plans hold, and results that only some keys show."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,11 @@ from millrace.operators import generators as g
 from millrace.plans import generation
 
 
+def parts(tmp_path, keys):
+    duckdb.sql(f"COPY (SELECT unnest({list(keys)})::BIGINT AS p_partkey) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    return str(tmp_path)
+
+
 @pytest.mark.parametrize("name", ["numtheory", "special_functions", "ntheory_ext", "sets_cardinality", "matrix_scalars"])
 def test_points_are_found_once_by_many_tasks(spark, name):
     df = g.generate(spark.range(100, numPartitions=1).withColumnRenamed("id", "i"), name, "1", include_gated=True)
@@ -33,3 +39,17 @@ def test_determinant_steps_are_values(spark):
     assert plan.first()[0] == 5
     m = spark.range(1).selectExpr("transform(sequence(1, 4), r -> transform(sequence(1, 4), c -> CAST(r * c + id AS BIGINT))) AS m").select(matrices.determinant(F.col("m")).alias("d"))
     assert m.first()[0] == 0 and m._jdf.queryExecution().analyzed().toString().count("lambdafunction") < 20
+
+
+def test_ties_are_rounded_as_sql_does(spark):
+    values = [-1.825155, -2.396355, 0.5, -0.0000051, 1e11 + 0.3, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(generation.rounded(F.col("v"))).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 5)", [v]).fetchall()[0][0] for v in values]
+
+
+def test_sampled_inputs_at_ties(spark, tmp_path):
+    sf = parts(tmp_path, [1041, 1635])
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet'")
+    got = generation.QUERIES["sampled_inputs"](spark, sf).select("task_id", "case_index", "expected").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(f"SELECT task_id, case_index, expected FROM ({generation.ORACLES['sampled_inputs']})").fetchall())
