@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import matrices
+from millrace.operators import gates, matrices, trees
 from millrace.operators import generators as g
 from millrace.plans import generation
 
@@ -53,3 +53,12 @@ def test_sampled_inputs_at_ties(spark, tmp_path):
     con.sql(f"CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet'")
     got = generation.QUERIES["sampled_inputs"](spark, sf).select("task_id", "case_index", "expected").collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(f"SELECT task_id, case_index, expected FROM ({generation.ORACLES['sampled_inputs']})").fetchall())
+
+
+def test_planted_faults_don_t_cancel(spark):
+    """d/dx 4 / (x + 1) is -1 at x = 1: where x * truth is -1, the two parts of the fault used to add up to nothing."""
+    f = g.FAMILIES["derivative"]
+    t = next(k for k, t in enumerate(f.templates) if t.kind == "quotient")
+    df = spark.range(1).selectExpr(f"{t} AS _t", "4 AS a", "1 AS b", "1 AS c", "2 AS m", "2 AS n", "1.0D AS x", "1.0D AS y", "1.0D AS bad")
+    assert trees.names(trees.parse(generation.PLANTED_IN_VALUE)) == {"truth", "bad", "x"}
+    assert not df.select(gates.holds("derivative", f, trees.parse(generation.PLANTED_IN_VALUE))).first()[0]
