@@ -22,6 +22,11 @@ def test_points_are_found_once_by_many_tasks(spark, name):
     assert df.rdd.getNumPartitions() > 1
 
 
+def test_readback_plans_each_family_once(spark):
+    plan = generation.notation_readback(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with(") == len(generation.READABLE)
+
+
 def test_number_theory_looks_values_up():
     t = next(t for t in g.FAMILIES["ntheory_ext"].templates if t.kind == "prime_count")
     assert "aggregate" not in g.truth("ntheory_ext", t)[0]
