@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import outputs_match
@@ -124,6 +124,11 @@ def latex_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 GUARDED = tuple(n for n, f in generators.FAMILIES.items() if not f.gated)
 
 
+def spoilt(solution: Column) -> Column:
+    """A solution that says no to everything. What it returned is bracketed, as `no or p if q else r` would spoil p only."""
+    return F.regexp_replace(solution, r"return (.*)", r"return 'no' or ($1)")
+
+
 def generate_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems of all families that aren't gated; held-out ones dropped, the rest's solutions run on their cases: how each family's rows end."""
     keys, rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i")), None
@@ -133,7 +138,7 @@ def generate_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shared.stored(rows, "generated")
     # Every seventh solution is spoilt, and every fifth problem's texts are held out.
     number = F.regexp_extract("task_id", "_([0-9]+):", 1).cast("int")
-    rows = rows.withColumn("solution", F.when(number % 7 == 3, F.replace("solution", F.lit("return "), F.lit("return 'no' or "))).otherwise(F.col("solution")))
+    rows = rows.withColumn("solution", F.when(number % 7 == 3, spoilt(F.col("solution"))).otherwise(F.col("solution")))
     frozen = contamination.frozen_keys([rows.where(number % 5 == 0)], "latex_expression")
     accepted, rejected = generators.generation_run(rows, frozen)
     ends = accepted.select("family", F.lit("accepted").alias("outcome")).union(rejected.select("family", "reason"))

@@ -24,3 +24,11 @@ def test_query_at_large_keys(spark, suppliers, name):
     key = lambda r: tuple((x is None, str(x)) for x in r)
     got = [tuple(r) for r in df.select(*want.columns).collect()]
     assert sorted(got, key=key) == sorted(want.fetchall(), key=key)
+
+
+def test_a_spoilt_solution_is_wrong_on_both_sides_of_a_condition(spark):
+    code = "def calculate(x, y):\n    return 1.0 if x > 2 else -1.0\n"
+    said = spark.createDataFrame([(code,)], "s string").select(execution.spoilt(execution.F.col("s"))).first()[0]
+    space = {}
+    exec(said, space)
+    assert {space["calculate"](x, 0) for x in (1, 3)} == {"no"}
