@@ -44,6 +44,11 @@ U = tk.U
 LOW = U((1 << (64 - BUCKET_BITS)) - 1)
 #: Above every set size.
 BIG = 1 << 31
+#: A set's size below its key, in one 64-bit integer.
+SIZE_BITS = 16
+MOST_SIZE = (1 << SIZE_BITS) - 1
+#: A work item of so few members and shingles is judged with others, until they have so many shingles together.
+FEW, FEW_ITEMS, BUNDLE_ITEMS = 8, 1 << 14, 1 << 18
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -145,21 +150,37 @@ def prefixes(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
 def groups(rows: DataFrame, percent: int | None = None) -> DataFrame:
     """(tree, node, n) of the groups of rows(key, node, n, most) that can hold a link; tree: the group's first node.
 
-    With percent, most follows from n alone and rows come without it.
+    With percent, most follows from n alone and rows come without it. Key and size are one number then, which sorts faster: the key's high bits above
+    the size, or above MOST_SIZE, which allows all partners from there on. Keys that share those bits share a group, which loses no pair.
 
     Rows come sorted by key, then size, and stream through. A group is cut before a row that no earlier one allows as a partner. Rows
     that allow no earlier one go too, and what then stands alone. A cut group's state is its first row and its reach.
     """
 
+    def numbered(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        key, node, n, most = (b.column(c).to_numpy() for c in ("key", "node", "n", "most"))
+        return key, node, n, most, n
+
+    def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        place, node, known = (b.column(c).to_numpy() for c in ("place", "node", "n"))
+        tied = np.concatenate([[False], place[1:] == place[:-1]])
+        at = np.flatnonzero(tied | np.append(tied[1:], False))
+        if len(at):  # by node, so that groups alike have the same first one
+            order = at[np.lexsort((node[at], place[at]))]
+            node, known = node.copy(), known.copy()
+            node[at], known[at] = node[order], known[order]
+        n = place & MOST_SIZE
+        return place >> SIZE_BITS, node, n, np.where(n == MOST_SIZE, BIG - 1, n * 100 // percent), known
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the previous batch's last cut group: key, its first node and size, its reach, its last node, and whether the first node is still alone
         for b in batches:
             if not b.num_rows:
                 continue
-            key, node, n, most = (b.column(c).to_numpy() for c in ("key", "node", "n", "most"))
+            key, node, n, most, known = unpacked(b) if percent is not None else numbered(b)
             again = np.concatenate([[last is not None and key[0] == last[0] and node[0] == last[4]], (key[1:] == key[:-1]) & (node[1:] == node[:-1])])
             if again.any():
-                key, node, n, most = (x[~again] for x in (key, node, n, most))
+                key, node, n, most, known = (x[~again] for x in (key, node, n, most, known))
                 if not len(key):
                     continue
             start = np.concatenate([[last is None or key[0] != last[0]], key[1:] != key[:-1]])
@@ -176,15 +197,18 @@ def groups(rows: DataFrame, percent: int | None = None) -> DataFrame:
             keep = able & (size[part] > 1)
             before = ([], [], [])
             if last is not None and last[5] and size[0] > 1:
-                before = ([last[1]], [last[1]], [last[2]])
-            last = (key[-1], first[-1], least[-1], int(reach[-1] - group[-1] * BIG), node[-1], alone)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(x, y.dtype), y[keep]])) for x, y in zip(before, (first, node, n), strict=True)], ["tree", "node", "n"])
+                before = ([last[1]], [last[1]], [last[6]])
+            known_first = np.concatenate([[0 if last is None else last[6]], known[at]])[part[-1]]
+            last = (key[-1], first[-1], least[-1], int(reach[-1] - group[-1] * BIG), node[-1], alone, known_first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(x, y.dtype), y[keep]])) for x, y in zip(before, (first, node, known), strict=True)], ["tree", "node", "n"])
 
     spark = rows.sparkSession
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "n", "node")
-    if percent is not None:
-        dealt = dealt.withColumn("most", F.floor(F.col("n") * 100 / percent).cast("int"))
-    return dealt.select("key", "node", "n", "most").mapInArrow(run, "tree long, node long, n int")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if percent is None:
+        return rows.repartition(parts, "key").sortWithinPartitions("key", "n", "node").select("key", "node", "n", "most").mapInArrow(run, "tree long, node long, n int")
+    place = F.col("key").bitwiseAND(F.lit(~MOST_SIZE)).bitwiseOR(F.least("n", F.lit(MOST_SIZE)).cast("long"))
+    rows = rows.select(place.alias("place"), "node", "n").repartition(parts, F.shiftright("place", SIZE_BITS))
+    return rows.sortWithinPartitions("place").mapInArrow(run, "tree long, node long, n int")
 
 
 def fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -336,14 +360,59 @@ def work_items(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).drop("chunks", "other")
 
 
-def per_item(rows: DataFrame, run: Callable[..., pa.RecordBatch | None], columns: dict[str, Callable[[pa.Array], list | np.ndarray]], schema: str) -> DataFrame:
+class Bundle:
+    """Small work items, judged many at a time: all pairs of each, by one sort of their hashes below the pairs' numbers. Hashes have `bits` bits."""
+
+    def __init__(self, percent: int, bits: int):
+        self.percent, self.bits = percent, bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.node, self.sets, self.members, self.items = [], [], [], 0
+
+    def takes(self, x: int, y: int, node: np.ndarray, sets: list[np.ndarray]) -> bool:
+        """Whether the work item is small, and so has been put in."""
+        if x != y or len(sets) > FEW or (items := sum(map(len, sets))) > FEW_ITEMS:
+            return False
+        self.node.append(node)
+        self.sets += sets
+        self.members.append(len(sets))
+        self.items += items
+        return True
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The links (a, b) of what was put in, all of them."""
+        node, members = np.concatenate(self.node), np.array(self.members)
+        n, flat = np.array([len(s) for s in self.sets], np.int64), np.concatenate(self.sets)
+        start, first = np.cumsum(n) - n, np.cumsum(members) - members
+        sides = [(first[members == k][:, None] + side[None]).ravel() for k in range(2, FEW + 1) for side in np.triu_indices(k, 1)]
+        left, right = np.concatenate(sides[::2]), np.concatenate(sides[1::2])
+        near = self.percent * np.maximum(n[left], n[right]) <= 100 * np.minimum(n[left], n[right])
+        left, right = left[near], right[near]
+        both, most = np.zeros(len(left), np.int64), 1 << (64 - self.bits)
+        for i in range(0, len(left), most):
+            side = np.concatenate([left[i : i + most], right[i : i + most]])
+            pair = np.tile(np.arange(len(side) // 2, dtype=U), 2)
+            size = n[side]
+            at = np.arange(size.sum()) + np.repeat(start[side] - (np.cumsum(size) - size), size)
+            found = flat[at] | np.repeat(pair << U(self.bits), size)
+            found.sort()
+            both[i : i + most] = np.bincount((found[1:][found[1:] == found[:-1]] >> U(self.bits)).astype(np.int64), minlength=len(side) // 2)
+        ok = 100 * both >= self.percent * (n[left] + n[right] - both)
+        a, b = node[left[ok]], node[right[ok]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+
+def per_item(rows: DataFrame, run: Callable[..., pa.RecordBatch | None], columns: dict[str, Callable[[pa.Array], list | np.ndarray]], schema: str, bundle: Callable[[], Bundle] | None = None, many: Callable[[Bundle], pa.RecordBatch | None] | None = None) -> DataFrame:
     """run(tree, x, y, *columns) for each work item of rows(tree, x, y, ..) of two rows or more. Items stream by; one is held at a time.
 
+    With bundle, columns are mine, node and items; small items are held in one, and many() is called for all of them at once instead.
+
     columns: by name, what makes a list or array of an Arrow column; it is called a batch at a time.
     """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
+        held, last, small = [], None, bundle() if bundle else None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -353,16 +422,24 @@ def per_item(rows: DataFrame, run: Callable[..., pa.RecordBatch | None], columns
             for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(tree)], strict=True):
                 key = int(tree[i]), int(x[i]), int(y[i])
                 if key != last and held:
-                    yield from said(last, held)
+                    yield from said(last, held, small)
                     held = []
                 held.append([m[i:j] for m in made])
                 last = key
         if held:
-            yield from said(last, held)
+            yield from said(last, held, small)
+        if small and small.members and (got := many(small)) is not None:
+            yield got
 
-    def said(key: tuple, held: list) -> Iterator[pa.RecordBatch]:
+    def said(key: tuple, held: list, small: Bundle | None) -> Iterator[pa.RecordBatch]:
         parts = held[0] if len(held) == 1 else [np.concatenate(m) if isinstance(m[0], np.ndarray) else [v for part in m for v in part] for m in zip(*held, strict=True)]
-        if len(parts[0]) > 1 and (got := run(*key, *parts)) is not None:
+        if small and len(parts[0]) > 1 and small.takes(*key[1:], *parts[1:]):
+            if small.items >= BUNDLE_ITEMS:
+                got = many(small)
+                small.clear()
+                if got is not None:
+                    yield got
+        elif len(parts[0]) > 1 and (got := run(*key, *parts)) is not None:
             yield got
 
     keys = ["tree", "x", "y"]
@@ -417,11 +494,12 @@ def tree_survivors(rows: DataFrame, percent: int) -> DataFrame:
     return per_item(rows, run, {"mine": numbers, "node": numbers, "n": numbers, "bits": arrays}, "tree long, node long, n int").distinct()
 
 
-def tree_links(rows: DataFrame, percent: int, whole: bool = False, every: bool = False, sets_from: Callable[[pa.Array], list[np.ndarray]] = arrays) -> DataFrame:
+def tree_links(rows: DataFrame, percent: int, whole: bool = False, every: bool = False, sets_from: Callable[[pa.Array], list[np.ndarray]] = arrays, bits: int = 64) -> DataFrame:
     """(a, b, node, found): links (a, b) between nodes of the work items rows(tree, x, y, mine, node, trees, items), and nodes with the links found there.
 
     items: what sets_from() makes each node's sorted 64-bit shingle hashes of. trees (all of the node's trees) only matters if whole. Links
-    are as many as join a work item's components, or all if every; nodes' links are counted if whole.
+    are as many as join a work item's components, or all if every; nodes' links are counted if whole. bits: how many the hashes have; where that leaves
+    some for the pairs' numbers, and links aren't counted, small items are judged many at a time and give all their links.
     """
 
     def run(tree: int, x: int, y: int, mine: np.ndarray, node: np.ndarray, sets: list, trees: list | None = None) -> pa.RecordBatch | None:
@@ -448,7 +526,9 @@ def tree_links(rows: DataFrame, percent: int, whole: bool = False, every: bool =
         return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "node", "found"])
 
     columns = {"mine": numbers, "node": numbers, "items": sets_from} | ({"trees": tree_sets} if whole else {})
-    return per_item(rows, run, columns, "a long, b long, node long, found long")
+    none = np.zeros(0, np.int64)
+    small = {} if whole or bits > 52 else {"bundle": lambda: Bundle(percent, bits), "many": lambda small: said(*small.links(), none, none)}
+    return per_item(rows, run, columns, "a long, b long, node long, found long", **small)
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:

@@ -139,8 +139,11 @@ def signatures(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
         place = np.concatenate([place, place + bins], axis=1)
         place = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :bins]
         final = np.take_along_axis(least.reshape(-1, bins), place % bins, axis=1) + (place - np.arange(bins)).astype(U) * tk.BASE
-        for b in range(BANDS):
-            out[i:j, b] = tk.mix((final[:, b * ROWS : (b + 1) * ROWS] * weight).sum(axis=1, dtype=U) + U(b))
+        final = final.reshape(-1, BANDS, ROWS)
+        band = final[:, :, 0] * weight[0]
+        for r in range(1, ROWS):
+            band += final[:, :, r] * weight[r]
+        out[i:j] = tk.mix(band + np.arange(BANDS, dtype=U))
     return out, size
 
 
@@ -237,7 +240,7 @@ def line_components(docs: DataFrame, known: DataFrame, percent: int = PERCENT) -
     met = stored(jaccard.groups(bands(known), percent).groupBy("tree", "node").agg(F.first("n").alias("n")), "line-groups")
     items = jaccard.work_items(met)
     texts = stored(bodies(docs, met.select("node").distinct()), "line-texts")
-    links = jaccard.tree_links(items.join(texts, "node"), percent, sets_from=body_sets)
+    links = jaccard.tree_links(items.join(texts, "node"), percent, sets_from=body_sets, bits=int(HASH_BITS))
     out = stored(components(links.where("a is not null").select("a", "b")), "line-components")
     discard(met, texts)
     return out
